@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +77,62 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def in_units(rows: DataFrame, keys: list[str], row_id: str, limit: int, tag: str) -> DataFrame:
+    """rows dealt to units of comparison, sorted within partitions by ``keys, _i, _j``.
+
+    A key of at most ``limit`` rows is one unit. A larger one is split by a hash of
+    row_id to chunks of about ``limit`` rows, and each two chunks meet in a unit
+    (_i <= _j; in a unit with _i < _j only pairs across the chunks count), so that no
+    task holds a whole hot key and every pair still meets once. ``_at`` is a row's chunk.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    sizes = materialize(sizes.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_c")), tag)
+    split = rows.join(sizes, keys, "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
+    split = split.withColumn("_at", F.pmod(F.xxhash64(row_id, F.lit("unit")), F.col("_c")).cast("int"))
+    split = split.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    split = split.withColumns({"_i": F.least("_at", "_o"), "_j": F.greatest("_at", "_o")}).drop("_c", "_o")
+    by = [*keys, "_i", "_j"]
+    return split.repartition(*by).sortWithinPartitions(*by)
+
+
+def runs(batches, keys: list[str]):
+    """Tables of the consecutive rows of Arrow batches that agree in ``keys`` (no nulls)."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        cols = np.stack([part.column(k).to_numpy().astype(np.int64) for k in keys], axis=1)
+        cut = [0, *(np.flatnonzero((cols[1:] != cols[:-1]).any(axis=1)) + 1).tolist(), len(cols)]
+        for a, b in zip(cut, cut[1:]):
+            key = tuple(cols[a])
+            if last is not None and key != last:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(part.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def roots(n: int, left, right) -> np.ndarray:
+    """Smallest member of each of n nodes' component under links left[i] - right[i]."""
+    root = np.arange(n)
+    while len(left):
+        a, b = root[left], root[right]
+        low = np.minimum(a, b)
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        while True:
+            up = new[new]
+            if (up == new).all():
+                break
+            new = up
+        if (new == root).all():
+            break
+        root = new
+    return root
