@@ -107,6 +107,11 @@ class Tokenizer:
         odd = [s for s in lack if not (s.isprintable() and " " not in s)]
         self.known.update(zip(odd, self.raw([" " + s for s in odd])))
 
+    def forget(self) -> None:
+        """After a task: the worker may serve other operators next."""
+        self.known.clear()
+        self.known.old = {}
+
     def encode(self, batch: list[str]) -> list[bytes]:
         self.known.age()
         cut = [pieces(t) for t in batch]
@@ -182,6 +187,7 @@ def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE,
                 if whole:
                     yield emit(whole)
                     whole = []
+        tokenizer.forget()
         if rest:
             yield emit(packed(rest))
 

@@ -24,7 +24,7 @@ from decisionlake.llm.common import materialize, table, texts
 #: Bytes of a passage, of an anchor, and of a symbol of the transforms.
 LENGTH, ANCHOR, SYMBOL = 100, 32, 10
 #: Bytes hashed at a time; bytes of cells merged at a time (more for one large anchor).
-BUFFER, BATCH = 1 << 21, 1 << 20
+BUFFER, BATCH = 1 << 20, 1 << 19
 SHARDS = 4
 
 _RANDOM = np.random.default_rng(19940510)
