@@ -110,7 +110,7 @@ SQL = {
         o_totalprice / 10000 AS mean_aoi, (o_custkey % 250) / 10.0 AS queue_max,
         ('0x' || substr(sha256('42:scenario-' || o_custkey), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM orders)""",
     "candidates": """SELECT *, least(eta_near, 0.25) AS executed_near, greatest(eta_haps, 0.05) AS executed_haps,
-        list_filter([CASE WHEN eta_near > 0.25 THEN 'near_power_sic_repair' END, CASE WHEN eta_haps < 0.05 THEN 'minimum_sensing_power' END], x -> x IS NOT NULL) AS repair_reasons FROM (
+        list_filter([CASE WHEN eta_near > 0.25 THEN 'near_power_sic_repair' END, CASE WHEN eta_haps < 0.05 THEN 'minimum_sensing_power' END], lambda x: x IS NOT NULL) AS repair_reasons FROM (
         SELECT l_orderkey::VARCHAR AS state_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS candidate_index,
         CASE l_returnflag WHEN 'A' THEN 'teacher' WHEN 'N' THEN 'safe_template' ELSE 'greedy_baseline' END AS candidate_source,
         l_quantity < 49 AS hard_feasible, l_discount < 0.05 AS pre_repair_feasible, l_linestatus = 'F' AND l_discount >= 0.095 AS fallback_used,
