@@ -86,7 +86,10 @@ def _whitened(moments: DataFrame, scale: float) -> DataFrame:
     return p.selectExpr("_group", *(f"_m{i}" for i in range(DIMS)), *(f"_k{i}{j}" for i, j in _PAIRS))
 
 
-_SUMS = [F.count("*").alias("_n"), *(F.sum(x).alias(f"_s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"_q{i}{j}") for i, j in _PAIRS)]
+def _sums() -> list:
+    return [F.count("*").alias("_n"), *(F.sum(x).alias(f"_s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"_q{i}{j}") for i, j in _PAIRS)]
+
+
 _TOTALS = ["_n", *(f"_s{i}" for i in range(DIMS)), *(f"_q{i}{j}" for i, j in _PAIRS)]
 
 
@@ -112,10 +115,10 @@ def estimates(narrow: DataFrame) -> DataFrame:
     needs, keeps the nearest rows up to SHARE (to the end of a step of the scale), and
     estimates from them again. A step is one aggregation; a group of any size is
     summed by all tasks, and its steps of the scale are bounded in number."""
-    now = materialize(_whitened(narrow.groupBy("_group").agg(*_SUMS), 1.0), "mcd")
+    now = materialize(_whitened(narrow.groupBy("_group").agg(*_sums()), 1.0), "mcd")
     for step in range(STEPS):
         near = narrow.join(now, "_group").withColumn("_at", F.expr(f"cast(floor({_FINE} * ln(1e-6 + {_distance()})) as int)"))
-        near = near.groupBy("_group", "_at").agg(*_SUMS)
+        near = near.groupBy("_group", "_at").agg(*_sums())
         near = near.selectExpr(
             "*", "sum(_n) over (partition by _group) as _all",
             "coalesce(sum(_n) over (partition by _group order by _at rows between unbounded preceding and 1 preceding), 0) as _before",
@@ -125,13 +128,13 @@ def estimates(narrow: DataFrame) -> DataFrame:
     return now
 
 
-def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _judged(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """The columns ``keep`` of docs, those of BASE, and kept: false where base_failed,
     else whether the squared distance from the group's estimate is at most CUTOFF.
 
     docs has text, lang and source; null languages and sources are groups like others.
-    Columns of docs that are named like ours are set aside while this runs and come
-    back under ``keep``. Repeated rows count and come out each; an empty table gives
+    The columns of docs are set aside under names of their own (second result) while
+    this runs, so that none clashes with ours. Repeated rows count and come out each; an empty table gives
     none. The wide table is written once with its statistics; the estimates read only
     the vectors. What joins it is a row a group.
     """
@@ -143,16 +146,20 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     model = estimates(good.join(where, ["_lang", "_source"]).select("_group", *_X))
     rules = materialize(where.join(model, "_group").drop("_group"), "rules")
     scored = d.join(rules, ["_lang", "_source"], "left").withColumn("_d2", F.expr(_distance()))
-    return scored.select(
-        *(F.col(a).alias(c) for c, a in aside.items()), *(c for c in BASE if c not in aside),
-        F.expr(f"not base_failed and coalesce(_d2, 0) <= {CUTOFF}").alias("kept"),
-        F.col("_d2").alias("distance"),
-    )
+    verdict = F.expr(f"not base_failed and coalesce(_d2, 0) <= {CUTOFF}").alias("kept")
+    return scored.select(*aside.values(), *BASE, verdict, F.col("_d2").alias("distance")), aside
+
+
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """As _judged() says; ``keep`` must not name one of our columns."""
+    scored, aside = _judged(docs, keep)
+    return scored.select(*(F.col(a).alias(c) for c, a in aside.items()), *BASE, "kept", "distance")
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, in their own columns."""
-    return judged(docs, docs.columns).where("kept").select(*docs.columns)
+    scored, aside = _judged(docs, docs.columns)
+    return scored.where("kept").select(*(F.col(a).alias(c) for c, a in aside.items()))
 
 
 def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
