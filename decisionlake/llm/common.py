@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: What Python workers keep between the tasks of one operator, and how to drop it.
+KEPT: list = []
+
+
+def release() -> None:
+    """At the start of an operator's tasks: drop what another operator has kept."""
+    for drop in KEPT:
+        drop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import components, in_units, materialize, roots, runs, table, texts
+from decisionlake.llm.common import components, in_units, materialize, release, roots, runs, table, texts
 
 #: Words of a shingle; similarity as a fraction; bands and MinHash values of a band; MinHash
 #: values compared at a time; the posterior probability below which a pair is dropped.
@@ -91,6 +91,7 @@ def needed(values: int) -> list[tuple[int, int]]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         rows = []
         for text in texts(batch):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import table, texts
+from decisionlake.llm.common import release, table, texts
 
 #: Buckets of hashed n-grams, and their lengths.
 BUCKETS, NGRAMS = 1 << 15, (1, 2, 3)
@@ -96,6 +96,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     one vector a task, summed by Spark: the driver gets a row a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, n = np.zeros(BUCKETS + 1, dtype=np.int64), 0
         for batch in batches:
             for text in texts(batch):
@@ -194,6 +195,7 @@ def predict(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)  # of a fixed size: BUCKETS by classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for batch in batches:
             got = [model.predict(t) for t in batch.column(len(names)).to_pylist()]
@@ -226,6 +228,7 @@ def keep_language(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for batch in batches:
             got = [model.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]

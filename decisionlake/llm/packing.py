@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm.common import table, texts
+from decisionlake.llm.common import KEPT, table, texts
 from decisionlake.llm.segments import Cache, pieces
 
 #: Tokens of a window, the id that closes a document, the longest piece that enters
@@ -108,7 +108,7 @@ class Tokenizer:
         self.known.update(zip(odd, self.raw([" " + s for s in odd])))
 
     def forget(self) -> None:
-        """After a task: the worker may serve other operators next."""
+        """Before another operator's tasks run in this worker."""
         self.known.clear()
         self.known.old = {}
 
@@ -121,6 +121,7 @@ class Tokenizer:
 
 
 _WORKER: dict[str, Tokenizer] = {}
+KEPT.append(lambda: [t.forget() for t in _WORKER.values()])
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -187,7 +188,6 @@ def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE,
                 if whole:
                     yield emit(whole)
                     whole = []
-        tokenizer.forget()
         if rest:
             yield emit(packed(rest))
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import materialize, table, texts
+from decisionlake.llm.common import materialize, release, table, texts
 
 #: Bytes of a passage, of an anchor, and of a symbol of the transforms.
 LENGTH, ANCHOR, SYMBOL = 100, 32, 10
@@ -103,6 +103,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(place)], ["key", "whole", "doc", "place"]
         )
 
+    release()
     for batch in batches:
         docs, parts, starts, held = [], [], [], 0
         for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
