@@ -28,35 +28,41 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     left. Only the windows in use are kept; the rest of a partition is empty.
     """
     n = len(sizes)
-    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = [(-int(s), i, np.array([s], dtype=np.int64), [[i]]) for i, s in enumerate(sizes)]
+    # a window of a partition is a node: a size, or two nodes put together; -1 is empty
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    nodes = n
+    heap = [(-int(s), i, np.array([s], dtype=np.int64), np.array([i])) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     tick = n
     while len(heap) > 1:
         _, _, a, x = heapq.heappop(heap)  # sums fall from left to right
         _, _, b, y = heapq.heappop(heap)
         if len(a) + len(b) <= k:
-            sums, sets = np.concatenate([a, b]), x + y
+            sums, sets = np.concatenate([a, b]), np.concatenate([x, y])
         else:
-            m, p, q = k, len(a), len(b)
-            full = np.zeros(m, dtype=np.int64)
-            full[:p] = a
-            full[m - q :] += b[::-1]
-            sets = x + [[] for _ in range(m - p)]
-            for j in range(q):
-                t = m - 1 - j
-                sets[t] = sets[t] + y[j] if sets[t] else y[j]
-            sums = full
+            sums, sets, other = np.zeros(k, dtype=np.int64), np.full(k, -1), np.full(k, -1)
+            sums[: len(a)], sets[: len(a)] = a, x
+            sums[k - len(b) :] += b[::-1]
+            other[k - len(b) :] = y[::-1]
+            both = np.flatnonzero((sets >= 0) & (other >= 0))
+            left.append(sets[both])
+            right.append(other[both])
+            sets = np.maximum(sets, other)
+            sets[both] = np.arange(nodes, nodes + len(both))
+            nodes += len(both)
         order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        sets = [sets[j] for j in order]
+        sums, sets = sums[order], sets[order]
         low = int(sums[-1]) if len(sums) == k else 0
         heapq.heappush(heap, (low - int(sums[0]), tick, sums, sets))
         tick += 1
-    out = np.zeros(n, dtype=np.int64)
+    out = np.full(nodes, -1, dtype=np.int64)
     if heap:
-        for w, members in enumerate(heap[0][3]):
-            out[members] = w
-    return out
+        out[heap[0][3]] = np.arange(len(heap[0][3]))
+    if left:
+        for node, p, q in zip(range(nodes - 1, n - 1, -1), np.concatenate(left)[::-1].tolist(), np.concatenate(right)[::-1].tolist()):
+            out[p] = out[q] = out[node]
+    return out[:n]
 
 
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
