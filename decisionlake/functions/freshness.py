@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RUN = Window.partitionBy("entity").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _run():
+    return Window.partitionBy("entity").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def age(event: str, cap: int, start: int) -> Column:
     """1 at an event, one more each slot after it, at most cap; from start before the
     first (TS1, TS2). Slots count from 1."""
-    last = F.max(F.when(F.col(event), F.col("slot"))).over(_RUN)
+    last = F.max(F.when(F.col(event), F.col("slot"))).over(_run())
     return F.when(last.isNull(), F.least(F.lit(start) + F.col("slot"), F.lit(cap))).otherwise(F.least(1 + F.col("slot") - last, F.lit(cap))).cast("long")
 
 
 def waiting(event: str, cap: int) -> Column:
     """0 at an event, one more each slot after it (TS4)."""
-    last = F.max(F.when(F.col(event), F.col("slot"))).over(_RUN)
+    last = F.max(F.when(F.col(event), F.col("slot"))).over(_run())
     return F.least(F.col("slot") - F.coalesce(last, F.lit(0)), F.lit(cap)).cast("long")
 
 
