@@ -23,7 +23,7 @@ def candidate_summary(candidates: DataFrame) -> DataFrame:
 
 def action_diversity(candidates: DataFrame) -> DataFrame:
     """Distinct actions to candidates, over states (QR3)."""
-    key = F.struct("pair", F.bround("eta_haps", 8), F.bround("eta_near", 8), F.bround("eta_cpu", 8))
+    key = F.struct("pair", F.bround("eta_sensing", 8), F.bround("eta_near", 8), F.bround("eta_cpu", 8))
     each = candidates.groupBy("state_id").agg((F.size(F.collect_set(key)) / F.count("*")).alias("r"))
     return each.agg(F.count("*").alias("states"), F.round(F.avg("r"), 6).alias("mean_ratio"), F.sum(F.when(F.col("r") < 0.75, 1).otherwise(0)).alias("below"))
 
@@ -36,7 +36,7 @@ def role_compliance(candidates: DataFrame) -> DataFrame:
 
 def action_field_changes(candidates: DataFrame) -> DataFrame:
     """How repair changed each control (QR5)."""
-    d = candidates.selectExpr("stack(2, 'eta_haps', abs(executed_haps - eta_haps), 'eta_near', abs(executed_near - eta_near)) as (field, x)")
+    d = candidates.selectExpr("stack(2, 'eta_sensing', abs(executed_sensing - eta_sensing), 'eta_near', abs(executed_near - eta_near)) as (field, x)")
     return d.groupBy("field").agg(
         F.count("*").alias("n"), F.count_if(F.col("x") > 1e-12).alias("changed"), F.round(F.avg("x"), 6).alias("mean_change"), F.round(F.percentile("x", 0.95), 6).alias("p95_change")
     )

@@ -195,7 +195,7 @@ def soft_targets(ranked: DataFrame) -> DataFrame:
 
 def demonstrations(selected: DataFrame, targets: DataFrame, candidates: DataFrame, states: DataFrame) -> DataFrame:
     """Accepted states with the winner's executed action and targets (VE17)."""
-    c = candidates.selectExpr("state_id", "candidate_index as selected_index", "pair", "executed_haps", "executed_near", "eta_cpu", "repair_distance")
+    c = candidates.selectExpr("state_id", "candidate_index as selected_index", "pair", "executed_sensing", "executed_near", "eta_cpu", "repair_distance")
     return selected.join(c, ["state_id", "selected_index"]).join(targets, "state_id").join(states.select("state_id", "scenario_id", "split", "global_state_index"), "state_id")
 
 

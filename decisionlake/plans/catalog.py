@@ -242,7 +242,7 @@ def qr1(s, d):
 
 
 @query("qr3_action_diversity", """SELECT count(*) AS states, round(avg(r), 6) AS mean_ratio, sum((r < 0.75)::INT)::BIGINT AS below FROM (
-  SELECT state_id, count(DISTINCT (pair, round_even(eta_haps, 8), round_even(eta_near, 8), round_even(eta_cpu, 8))) / count(*) AS r FROM candidates GROUP BY 1)""", "candidates")
+  SELECT state_id, count(DISTINCT (pair, round_even(eta_sensing, 8), round_even(eta_near, 8), round_even(eta_cpu, 8))) / count(*) AS r FROM candidates GROUP BY 1)""", "candidates")
 def qr3(s, d):
     return quality.action_diversity(a.candidates(s, d))
 
@@ -253,7 +253,7 @@ def qr4(s, d):
 
 
 @query("qr5_action_field_changes", """SELECT field, count(*) AS n, sum((x > 1e-12)::INT)::BIGINT AS changed, round(avg(x), 6) AS mean_change, round(quantile_cont(x, 0.95), 6) AS p95_change FROM (
-  SELECT 'eta_haps' AS field, abs(executed_haps - eta_haps) AS x FROM candidates UNION ALL SELECT 'eta_near', abs(executed_near - eta_near) FROM candidates) GROUP BY 1""", "candidates")
+  SELECT 'eta_sensing' AS field, abs(executed_sensing - eta_sensing) AS x FROM candidates UNION ALL SELECT 'eta_near', abs(executed_near - eta_near) FROM candidates) GROUP BY 1""", "candidates")
 def qr5(s, d):
     return quality.action_field_changes(a.candidates(s, d))
 

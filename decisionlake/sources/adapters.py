@@ -41,14 +41,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity < 49 as hard_feasible", "l_discount < 0.05D as pre_repair_feasible",
         "l_linestatus = 'F' and l_discount >= 0.095D as fallback_used", "l_discount + 0.0D as repair_distance",
         "l_extendedprice / 100000 as one_step_stage_cost", "l_tax + 0.0D as one_step_constraint_violation",
-        "l_quantity / 50 as teacher_confidence", "l_partkey % 5 as pair", "l_quantity / 50 as eta_haps", "(l_suppkey % 11) / 10.0D as eta_communication",
+        "l_quantity / 50 as teacher_confidence", "l_partkey % 5 as pair", "l_quantity / 50 as eta_sensing", "(l_suppkey % 11) / 10.0D as eta_communication",
         "l_discount * 5 + 0.0D as eta_near", "(l_partkey % 3) / 2.0D as eta_cpu",
         "case when l_suppkey % 20 = 0 then 'nearest_available_template' else 'exact' end as template_resolution",
         "l_partkey", "l_suppkey", "l_quantity", "l_tax",
     )
     return line.withColumns({
-        "executed_near": F.expr("least(eta_near, 0.25D)"), "executed_haps": F.expr("greatest(eta_haps, 0.05D)"),
-        "repair_reasons": F.expr("filter(array(case when eta_near > 0.25D then 'near_power_sic_repair' end, case when eta_haps < 0.05D then 'minimum_sensing_power' end), x -> x is not null)"),
+        "executed_near": F.expr("least(eta_near, 0.25D)"), "executed_sensing": F.expr("greatest(eta_sensing, 0.05D)"),
+        "repair_reasons": F.expr("filter(array(case when eta_near > 0.25D then 'near_power_sic_repair' end, case when eta_sensing < 0.05D then 'minimum_sensing_power' end), x -> x is not null)"),
     })
 
 
@@ -109,13 +109,13 @@ SQL = {
         sha256(o_custkey || '-' || o_orderstatus || '-' || floor(o_totalprice / 20000)::INT) AS causal_state_hash,
         o_totalprice / 10000 AS mean_aoi, (o_custkey % 250) / 10.0 AS queue_max,
         ('0x' || substr(sha256('42:scenario-' || o_custkey), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM orders)""",
-    "candidates": """SELECT *, least(eta_near, 0.25) AS executed_near, greatest(eta_haps, 0.05) AS executed_haps,
-        list_filter([CASE WHEN eta_near > 0.25 THEN 'near_power_sic_repair' END, CASE WHEN eta_haps < 0.05 THEN 'minimum_sensing_power' END], lambda x: x IS NOT NULL) AS repair_reasons FROM (
+    "candidates": """SELECT *, least(eta_near, 0.25) AS executed_near, greatest(eta_sensing, 0.05) AS executed_sensing,
+        list_filter([CASE WHEN eta_near > 0.25 THEN 'near_power_sic_repair' END, CASE WHEN eta_sensing < 0.05 THEN 'minimum_sensing_power' END], lambda x: x IS NOT NULL) AS repair_reasons FROM (
         SELECT l_orderkey::VARCHAR AS state_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS candidate_index,
         CASE l_returnflag WHEN 'A' THEN 'teacher' WHEN 'N' THEN 'safe_template' ELSE 'greedy_baseline' END AS candidate_source,
         l_quantity < 49 AS hard_feasible, l_discount < 0.05 AS pre_repair_feasible, l_linestatus = 'F' AND l_discount >= 0.095 AS fallback_used,
         l_discount + 0.0 AS repair_distance, l_extendedprice / 100000 AS one_step_stage_cost, l_tax + 0.0 AS one_step_constraint_violation,
-        l_quantity / 50 AS teacher_confidence, l_partkey % 5 AS pair, l_quantity / 50 AS eta_haps, (l_suppkey % 11) / 10.0::DOUBLE AS eta_communication,
+        l_quantity / 50 AS teacher_confidence, l_partkey % 5 AS pair, l_quantity / 50 AS eta_sensing, (l_suppkey % 11) / 10.0::DOUBLE AS eta_communication,
         l_discount * 5 + 0.0 AS eta_near, (l_partkey % 3) / 2.0::DOUBLE AS eta_cpu,
         CASE WHEN l_suppkey % 20 = 0 THEN 'nearest_available_template' ELSE 'exact' END AS template_resolution, l_partkey, l_suppkey, l_quantity, l_tax FROM lineitem)""",
     "rollouts": """SELECT state_id, candidate_index, candidate_source, m AS rollout_index,
