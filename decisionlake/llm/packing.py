@@ -99,8 +99,9 @@ class Tokenizer:
 
     def learn(self, lack: list[str]) -> None:
         """Encode " " + s for each s: a few thousand in one string, cut again where an
-        id begins with the space, which none of them holds inside."""
-        plain = [s for s in lack if s.isprintable() and " " not in s]
+        id begins with the space, which none of them holds inside; each begins with a
+        character that is no white space, so that its space stays with it."""
+        plain = [s for s in lack if " " not in s]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -108,9 +109,8 @@ class Tokenizer:
             if len(cut) != len(part):
                 raise ValueError("tokens do not follow the spaces")
             said = ids.tobytes()
-            for s, a, b in zip(part, cut, [*cut[1:], len(ids)]):
-                self.known[s] = said[4 * a : 4 * b]
-        odd = [s for s in lack if not (s.isprintable() and " " not in s)]
+            self.known.update(zip(part, [said[4 * a : 4 * b] for a, b in zip(cut, [*cut[1:], len(ids)])]))
+        odd = [s for s in lack if " " in s]
         self.known.update(zip(odd, self.raw([" " + s for s in odd])))
 
     def forget(self) -> None:
