@@ -57,3 +57,11 @@ def episode_kpis(log: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg("covariance_trace"), 6).alias("trace"), F.round(F.avg("energy"), 6).alias("energy"),
         F.round(F.avg(F.col("delivered").cast("double")), 6).alias("delivery_rate"), F.round(F.avg(F.col("detected").cast("double")), 6).alias("detection_rate"),
     )
+
+
+def sensing_age(accepted: str, cap: int, start: int) -> Column:
+    """Slots since the timestamp of the last accepted estimate, from 1 to cap; one more
+    a slot in between, from start before the first (TS3)."""
+    last = F.max(F.when(F.col(accepted).isNotNull(), F.struct("slot", F.greatest(F.lit(1), F.col("slot") - F.col(accepted)).alias("age")))).over(_run())
+    grown = F.coalesce(F.least(last["age"], F.lit(cap)) + F.col("slot") - last["slot"], F.lit(start) + F.col("slot"))
+    return F.least(grown, F.lit(cap)).cast("long")

@@ -26,3 +26,32 @@ def noma_kpis(links: DataFrame, bandwidth: float = 1.0, threshold: float = 0.2)
         "far_rate": bandwidth * F.least(F.log2(1 + F.col("far_sinr")), F.log2(1 + F.col("far_at_near_sinr"))), "near_rate": bandwidth * F.log2(1 + F.col("near_sinr")),
         "sic_margin": F.col("far_at_near_sinr") - threshold,
     })
+
+
+def beam_gain(h_re: Column, h_im: Column, w_re: Column, w_im: Column) -> Column:
+    """Squared magnitude of the inner product of two complex arrays (LK2)."""
+    def total(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    re, im = total(h_re, w_re) + total(h_im, w_im), total(h_re, w_im) - total(h_im, w_re)
+    return re * re + im * im
+
+
+def secrecy_kpis(links: DataFrame, residual: float, target_rate: float, duration: float, bits: float, bandwidth: float = 1.0) -> DataFrame:
+    """What an eavesdropper that decodes the far user first can learn, and the rates that
+    stay secret (LK4). Needs near_rate and far_rate of noma_kpis and target_gain."""
+    d = links.withColumns({
+        "target_far_rate": bandwidth * F.log2(1 + F.expr("far_power * target_gain / (near_power * target_gain + disturbance)")),
+        "target_near_rate": bandwidth * F.log2(1 + F.expr(f"near_power * target_gain / ({residual}D * far_power * target_gain + disturbance)")),
+    })
+    for user in ("far", "near"):
+        secret = F.greatest(F.lit(0.0), F.col(f"{user}_rate") - F.col(f"target_{user}_rate"))
+        d = d.withColumns({f"{user}_secrecy": secret, f"{user}_intercepted": F.col(f"target_{user}_rate") * duration >= bits})
+        d = d.withColumn(f"{user}_outage", F.col(f"{user}_secrecy") < target_rate)
+    return d
+
+
+def sensing_kpis(links: DataFrame, threshold: float, floor: float, scales: dict[str, float]) -> DataFrame:
+    """Detection and the variance of each measurement from a column sinr (LK5)."""
+    quality = F.greatest(F.col("sinr"), F.lit(floor))
+    return links.withColumns({"detected": F.col("sinr") >= threshold} | {f"{k}_variance": v / quality for k, v in scales.items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,29 @@ def split_leakage(states: DataFrame) -> DataFrame:
     """Number of scenarios in more than one split (AU11)."""
     each = states.groupBy("scenario_id").agg(F.min("split").alias("low"), F.max("split").alias("high"))
     return each.where("low <> high").agg(F.count("*").alias("leaking"))
+
+
+def hard_infeasible(candidates: DataFrame) -> DataFrame:
+    """Candidates still infeasible after repair (AU4)."""
+    return candidates.where("not hard_feasible").select("state_id", "candidate_index")
+
+
+def selections_per_state(states: DataFrame, selections: DataFrame) -> DataFrame:
+    """States without exactly one selection (AU5)."""
+    have = selections.groupBy("state_id").agg(F.count("*").alias("n"))
+    return states.select("state_id").join(have, "state_id", "left").select("state_id", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+
+
+def dangling_selections(demonstrations: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Demonstrations whose candidate does not exist (AU6)."""
+    return demonstrations.join(candidates.select("state_id", "candidate_index"), ["state_id", "candidate_index"], "left_anti").select("state_id", "candidate_index")
+
+
+def targets_valid(targets: str, tolerance: float = 1e-6) -> Column:
+    """Whether an array of (index, weight) is null, or not empty with finite weights of
+    at least 0 that sum to 1, and distinct indices (AU7, QR8)."""
+    good = (
+        f"size({targets}) > 0 and forall({targets}, t -> t.weight >= 0 and t.weight < double('infinity'))"
+        f" and abs(aggregate({targets}, 0D, (s, t) -> s + t.weight) - 1) <= {tolerance}D and size(array_distinct({targets}.index)) = size({targets})"
+    )
+    return F.expr(f"{targets} is null or coalesce({good}, false)")

@@ -75,3 +75,23 @@ def latency_report(requests: DataFrame) -> DataFrame:
 def difficulty_cube(states: DataFrame) -> DataFrame:
     """Mean age by category and split with subtotals (QR19)."""
     return states.cube("state_category", "split").agg(F.count("*").alias("n"), F.round(F.avg("mean_aoi"), 6).alias("mean_aoi"))
+
+
+def template_resolution(candidates: DataFrame) -> DataFrame:
+    """Candidates and their share by how their template was found (QR14)."""
+    d = candidates.groupBy("template_resolution").agg(F.count("*").alias("n"))
+    return d.withColumn("share", F.round(F.col("n") / F.sum("n").over(_all()), 6))
+
+
+def target_shape(targets: DataFrame) -> DataFrame:
+    """Mean number of targets, none counting as one, and how many are valid (QR16, MG6)."""
+    from decisionlake.operators.audit import targets_valid
+
+    size = F.when(F.col("targets").isNull(), 1).otherwise(F.size("targets"))
+    return targets.agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_targets"), F.count_if(targets_valid("targets")).alias("valid"))
+
+
+def teacher_contribution(ranked: DataFrame) -> DataFrame:
+    """Each source's share of the weight of equivalent candidates (QR11)."""
+    d = ranked.where("equivalent").groupBy("candidate_source").agg(F.sum("quality_weight").alias("w"), F.count_if(F.col("rank") == 1).alias("selected"))
+    return d.select("candidate_source", "selected", F.round(F.col("w") / F.sum("w").over(_all()), 6).alias("share"))

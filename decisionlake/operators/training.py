@@ -41,3 +41,37 @@ def paired_comparison(results: DataFrame, one: str, two: str) -> DataFrame:
 
 def fifth_percentile_rate(results: DataFrame) -> DataFrame:
     return results.groupBy("method", "seed").agg(F.round(F.sum("rate"), 2).alias("sum_rate"), F.round(F.percentile("rate", 0.05), 2).alias("p05_rate"))
+
+
+def continuous_targets(actions: DataFrame) -> DataFrame:
+    """The seven controls as targets from -1 to 1; a value that is not finite is an error (TD5)."""
+    from math import pi
+
+    from decisionlake.functions.control import BOUNDS, clip
+
+    def target(c: str):
+        x = F.col(c).cast("double")
+        scaled = x * {"eta_near": 2.0, "heading": 1 / pi}.get(c, 1.0)
+        return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit(f"{c} must be finite"))).otherwise(clip(scaled, -1.0, 1.0))
+
+    return actions.withColumns({c: target(c) for c in BOUNDS})
+
+
+def head_size(df: DataFrame, label: str) -> DataFrame:
+    """Classes a head needs: its largest label and one (TD7)."""
+    return df.agg((F.max(label) + 1).cast("long").alias("classes"))
+
+
+def latency_percentiles(requests: DataFrame, deadline: float) -> DataFrame:
+    """Median, 95 % quantile and share beyond the deadline, by teacher (EV3)."""
+    return requests.groupBy("teacher_label").agg(
+        F.round(F.percentile("latency_s", 0.5), 6).alias("p50"), F.round(F.percentile("latency_s", 0.95), 6).alias("p95"),
+        F.round(F.avg((F.col("latency_s") > deadline).cast("double")), 6).alias("missed"),
+    )
+
+
+def active_query_ranking(summary: DataFrame, n: int) -> DataFrame:
+    """The n states of the greatest spread of risk among their candidates, ties by
+    state (EV5); a top-k report."""
+    each = summary.groupBy("state_id").agg(F.round(F.max("risk") - F.min("risk"), 8).alias("spread"))
+    return each.orderBy(F.desc("spread"), "state_id").limit(n)
