@@ -18,6 +18,9 @@ RIDGE = (0.05, 0.02, 0.09, 0.0025)
 #: Variance of the normal distribution over its inner 75 % in four dimensions:
 #: 0.75 / P(chi2_6 <= quantile_0.75(chi2_4)).
 CONSISTENT = 1.4866
+#: Rows of a table of groups that is broadcast (under 20 MB), and the salts of a hot
+#: group's rows where the table is larger.
+SMALL, SALTS = 100_000, 64
 DIMS = 4
 _X = [f"_x{i}" for i in range(DIMS)]
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
@@ -108,6 +111,17 @@ def groups(narrow: DataFrame) -> DataFrame:
     )
 
 
+def attach(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with ``small`` (written before, a row a key). Counted: up to SMALL
+    rows it is broadcast; beyond that each of its rows is repeated a salt, so that the
+    rows of a hot key meet it in SALTS tasks and sums over them are combined first."""
+    if small.count() <= SMALL:
+        return rows.join(F.broadcast(small), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 def estimates(narrow: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant location and shape of each _group of narrow
     (_group, _x0..). Concentration steps from the plain estimate: each counts a group's
@@ -117,7 +131,7 @@ def estimates(narrow: DataFrame) -> DataFrame:
     summed by all tasks, and its steps of the scale are bounded in number."""
     now = materialize(_whitened(narrow.groupBy("_group").agg(*_sums()), 1.0), "mcd")
     for step in range(STEPS):
-        near = narrow.join(now, "_group").withColumn("_at", F.expr(f"cast(floor({_FINE} * ln(1e-6 + {_distance()})) as int)"))
+        near = attach(narrow, now, ["_group"]).withColumn("_at", F.expr(f"cast(floor({_FINE} * ln(1e-6 + {_distance()})) as int)"))
         near = near.groupBy("_group", "_at").agg(*_sums())
         near = near.selectExpr(
             "*", "sum(_n) over (partition by _group) as _all",
@@ -136,16 +150,16 @@ def _judged(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str]
     The columns of docs are set aside under names of their own (second result) while
     this runs, so that none clashes with ours. Repeated rows count and come out each; an empty table gives
     none. The wide table is written once with its statistics; the estimates read only
-    the vectors. What joins it is a row a group.
+    the vectors. What joins it is a row a group, broadcast or salted as attach() says.
     """
     aside = {c: f"_keep{i}" for i, c in enumerate(keep)}
     d = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in aside.items()), F.col("text"), F.coalesce("lang", F.lit("\x01")).alias("_lang"), F.coalesce("source", F.lit("\x01")).alias("_source"))
     d = materialize(with_statistics(d).drop("text"), "stats")
     good = d.where("not base_failed").select("_lang", "_source", *_X)
     where = groups(good)
-    model = estimates(good.join(where, ["_lang", "_source"]).select("_group", *_X))
+    model = estimates(attach(good, where, ["_lang", "_source"]).select("_group", *_X))
     rules = materialize(where.join(model, "_group").drop("_group"), "rules")
-    scored = d.join(rules, ["_lang", "_source"], "left").withColumn("_d2", F.expr(_distance()))
+    scored = attach(d, rules, ["_lang", "_source"], "left").withColumn("_d2", F.expr(_distance()))
     verdict = F.expr(f"not base_failed and coalesce(_d2, 0) <= {CUTOFF}").alias("kept")
     return scored.select(*aside.values(), *BASE, verdict, F.col("_d2").alias("distance")), aside
 

@@ -219,3 +219,18 @@ def test_suffix(spark, said, monkeypatch):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
     assert suffix.dedup(make(spark, [])).count() == 0
     assert suffix.cut_documents(make(spark, texts)).columns == DOCS_COLUMNS
+
+
+def test_quality_alike_with_salted_groups(spark, monkeypatch):
+    from decisionlake.llm import quality
+
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{(i * 7 + j * j) % 97}" for j in range(20 + i % 30)) + " #" * (i % 3), "xy"[i % 2], "hot" if i % 3 else f"s{i % 5}") for i in range(600)],
+        "doc_id long, text string, lang string, source string",
+    )
+    wide = {r.doc_id: r for r in quality.judged(docs, ["doc_id"]).collect()}
+    monkeypatch.setattr(quality, "SMALL", 0)
+    salted = {r.doc_id: r for r in quality.judged(docs, ["doc_id"]).collect()}
+    assert wide.keys() == salted.keys() and len(wide) == 600
+    for k, r in wide.items():
+        assert r.kept == salted[k].kept and abs((r.distance or 0) - (salted[k].distance or 0)) < 1e-6 * max(1, r.distance or 0)
