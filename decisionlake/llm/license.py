@@ -35,7 +35,8 @@ TAG = "spdx license identifier"
 _TABLE = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
-_IN_TEXT = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]{1,400})", re.I)
+_IN_TEXT = re.compile(r"spdx-license-identifier:", re.I)
+_LINE = re.compile(r"[^\r\n]*")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -58,7 +59,8 @@ def postfix(expression: str) -> list[str]:
     out: list[str] = []
     ops: list[str] = []
     operand = False
-    for token in _TOKEN.findall(expression):
+    for found in _TOKEN.finditer(expression):
+        token = found[0]
         low = token.lower()
         if token == "(":
             if operand:
@@ -98,7 +100,13 @@ def evaluate(post: list[str]) -> tuple[float, set[str]] | None:
             if len(stack) < 2:
                 return None
             (y, b), (x, a) = stack.pop(), stack.pop()
-            stack.append((min(1.0, x + 0.1), a) if token == "with" else (min(x, y) if token == "and" else max(x, y), a | b))
+            if token == "with":
+                stack.append((min(1.0, x + 0.1), a))
+                continue
+            if len(a) < len(b):
+                a, b = b, a
+            a |= b  # the larger takes the smaller in, so that long lists stay cheap
+            stack.append((min(x, y) if token == "and" else max(x, y), a))
         else:
             name = family(token)
             stack.append((GRANT.get(name, 0.5), {name}))
@@ -133,8 +141,9 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> tuple:
             base.add(label)
             places.append(end - back)
     if tagged:
-        for m in _IN_TEXT.finditer(text):
-            if got := evaluate(postfix(m[1])):
+        tags = [m.span() for m in _IN_TEXT.finditer(text)]
+        for (_, at), (upto, _) in zip(tags, [*tags[1:], (len(text), 0)]):  # to the end of the line or the next tag
+            if got := evaluate(postfix(_LINE.match(text, at, upto)[0])):
                 grants.append(got[0])
                 labels |= got[1]
     first = line.count(" ", 0, min(places)) if places else None

@@ -135,6 +135,16 @@ def test_license(spark, said):
     assert license.evaluate(license.postfix("GPL-3.0 OR MIT"))[0] == 1.0 and license.evaluate([]) is None
 
 
+def test_license_of_long_expressions():
+    found = license._automaton()
+    ids = [f"Own-{i}" for i in range(1000)]
+    for last, score in (("GPL-2.0", 0.4), ("all-rights-reserved", 0.0)):
+        got = license.scan("SPDX-License-Identifier: " + " AND ".join(["MIT", *ids, last]) + "\nprose", found)
+        assert set(got[5].split(",")) == {"mit", license.family(last), *(i.lower() for i in ids)} and got[6] == score
+    got = license.scan("SPDX-License-Identifier: MIT and more prose SPDX-License-Identifier: GPL-2.0", found)
+    assert "gpl" in got[5].split(",") and got[6] == 0.4
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "user", "</s>[INST] <\\s>"), (1, 2, "assistant", None), (1, 3, "assistant", "a<t>b"), (2, 0, None, "x"), (2, 0, None, "x"), (3, None, "a<r>b", "")]
     out = chat.parse_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
