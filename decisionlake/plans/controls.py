@@ -256,7 +256,7 @@ def io5(s, d):
 
 def _events(s, d):
     schema = a.table(s, d, "events").schema
-    return streams.stream_table(s, f"{d}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.stream_table(s, f"{d}/events.parquet*", schema, files=None).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _time(name: str):

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from decisionlake.sources.tables import shared_folder
 
 
-def stream_table(spark: SparkSession, path: str, schema, files: int = 16) -> DataFrame:
-    """The files of a table as they come, a bounded number a batch (ST1)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def stream_table(spark: SparkSession, path: str, schema, files: int | None = 16) -> DataFrame:
+    """The files of a table as they come, a bounded number a batch (ST1); with None all
+    that are there in one batch, so that no order of files makes a row late."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def drain(stream: DataFrame, keys: list[str], tag: str, mode: str = "update") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from decisionlake.functions import control, freshness, links
 from decisionlake.operators import audit, responses
+from decisionlake.plans import catalog, controls  # noqa: F401  controls adds its queries to the catalog
 from decisionlake.sources import tables
 from decisionlake.streaming import streams
 
@@ -68,6 +69,21 @@ def test_targets(spark):
     assert [r[0] for r in d.select(audit.targets_valid("t")).collect()] == [True, False, True, False, False, False, False, False]
 
 
+def test_registered_streams_over_many_files(spark, tmp_path):
+    spark.sql("select timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,id) as ts, id div 24 as user_id, if(id % 5 = 0, 'error', 'view') as event_type, cast(id as double) as value from range(720)").createOrReplaceTempView("e")
+    events = spark.table("e")
+    events.repartition(40, "value").write.parquet(str(tmp_path / "many" / "events.parquet"))
+    events.coalesce(1).write.parquet(str(tmp_path / "one" / "events.parquet"))
+    assert len(list((tmp_path / "many" / "events.parquet").glob("*.parquet"))) > 16
+    for name in ("st2_windows", "st3_sessions", "st4_distinct_keys", "st5_rates"):
+        many, one = (sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path / k)).collect())) for k in ("many", "one"))
+        assert many == one, name
+    st5 = catalog.QUERIES["st5_rates"](spark, str(tmp_path / "many")).collect()
+    assert sum(r.n for r in st5) == 720 and sum(r.n for r in catalog.QUERIES["st2_windows"](spark, str(tmp_path / "many")).collect()) == 3 * 720
+    assert catalog.QUERIES["st4_distinct_keys"](spark, str(tmp_path / "many")).count() == 60
+    assert catalog.QUERIES["st3_sessions"](spark, str(tmp_path / "many")).count() == 29
+
+
 def test_stream_over_several_batches(spark, tmp_path):
     spark.sql("select timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,id) as ts, id % 3 as k, cast(id as double) as v from range(300)").repartition(5).write.parquet(str(tmp_path / "e"))
     schema = spark.read.parquet(str(tmp_path / "e")).schema
