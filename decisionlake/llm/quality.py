@@ -98,15 +98,22 @@ _TOTALS = ["_n", *(f"_s{i}" for i in range(DIMS)), *(f"_q{i}{j}" for i, j in _PA
 
 def groups(narrow: DataFrame) -> DataFrame:
     """(_lang, _source) to the group its rows are judged in: its own where it has
-    GROUP rows, else the language's small sources together, else all such rest."""
+    GROUP rows, else the language's small sources together; where those have too few,
+    the largest own group of the language. A language without GROUP rows has no group:
+    its rows are not judged by those of other languages, and stay undecided."""
     sizes = narrow.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_own", F.col("_n") >= GROUP)
-    rest = sizes.where("not _own").groupBy("_lang").agg(F.sum("_n").alias("_rest"))
+    rest = sizes.groupBy("_lang").agg(
+        F.sum(F.when(~F.col("_own"), F.col("_n"))).alias("_rest"),
+        F.max(F.when(F.col("_own"), F.struct("_n", "_source"))).getField("_source").alias("_largest"),
+    )
     return materialize(
         sizes.join(rest, "_lang", "left").select(
-            "_lang", "_source",
-            F.when(F.col("_own"), F.concat_ws("\x00", "_lang", "_source")).when(F.col("_rest") >= GROUP, F.concat("_lang", F.lit("\x00"))).otherwise("").alias("_group"),
-        ),
+            "_lang", "_source", "_own", "_rest", "_largest",
+            F.when(F.col("_own"), F.concat_ws("\x00", "_lang", "_source"))
+            .when(F.col("_rest") >= GROUP, F.concat("_lang", F.lit("\x00")))
+            .otherwise(F.concat_ws("\x00", "_lang", "_largest")).alias("_group"),
+        ).where("_own or _rest >= %d or _largest is not null" % GROUP).select("_lang", "_source", "_group"),
         "groups",
     )
 
@@ -144,7 +151,8 @@ def estimates(narrow: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """The columns ``keep`` of docs, those of BASE, and kept: false where base_failed,
-    else whether the squared distance from the group's estimate is at most CUTOFF.
+    else whether the squared distance from the group's estimate is at most CUTOFF, or
+    the language has too few rows for an estimate (distance null).
 
     docs has text, lang and source; null languages and sources are groups like others.
     The columns of docs are set aside under names of their own (second result) while

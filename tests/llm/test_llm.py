@@ -244,3 +244,14 @@ def test_quality_alike_with_salted_groups(spark, monkeypatch):
     assert wide.keys() == salted.keys() and len(wide) == 600
     for k, r in wide.items():
         assert r.kept == salted[k].kept and abs((r.distance or 0) - (salted[k].distance or 0)) < 1e-6 * max(1, r.distance or 0)
+def test_quality_judges_no_row_by_another_language(spark):
+    rows = [(i, words(60 + i % 40, i), "de", f"s{i % 3}") for i in range(90)]
+    rows += [(100 + i, " ".join("字" * 20 + str((i + 1) * j) for j in range(30)), "zh", "s0") for i in range(15)]
+    rows += [(200 + i, words(60 + i % 40, i), "en", "big") for i in range(150)] + [(400 + i, words(60, i), "en", "few") for i in range(5)]
+    rows += [(500, "&&& ### " * 3 + words(60, 999).replace(" ", " $%& "), "en", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = by(quality.judged(docs, ["doc_id"]).collect())
+    assert [i for i, r in got.items() if not r.kept] == [500]
+    assert all((r.distance is None) == (i < 200) for i, r in got.items())
+
+
