@@ -12,42 +12,50 @@ from pyspark.sql import functions as F
 from decisionlake.llm.common import components, in_units, materialize, roots, runs, table
 
 #: Cosine of a link; code words of each half; how many standard deviations of a random
-#: direction a filter lies from a vector at least; filters a vector has at least.
-COSINE, WORDS, CAP, LEAST = 0.93, 256, 3.2, 16
+#: direction a filter lies from a vector at least; filters of a table a vector has at
+#: least; tables, each with a rotation and codes of its own.
+COSINE, WORDS, CAP, LEAST, TABLES = 0.93, 256, 3.2, 32, 2
+#: Shorter vectors are filled with zeros to this length, which keeps their cosines: in
+#: few dimensions the filters nearest to a vector are so near that no other shares them.
+SHORTEST = 64
 #: Vectors of a unit of comparison.
 CHUNK = 1024
 
 
 class Filters:
-    """Filter directions (u, w) / sqrt 2 of one dimension: all WORDS^2 products of two
-    random codes, over the halves of a randomly rotated vector."""
+    """Filter directions (u, w) / sqrt 2 of one dimension: all words^2 products of two
+    random codes, over the halves of a randomly rotated vector, in each of the tables."""
 
-    def __init__(self, dim: int, words: int = WORDS, cap: float = CAP, least: int = LEAST, seed: int = 7) -> None:
+    def __init__(self, dim: int, words: int = WORDS, cap: float = CAP, least: int = LEAST, tables: int = TABLES, seed: int = 7) -> None:
         random = np.random.default_rng([seed, dim])
-        size = dim + dim % 2
+        size = max(dim + dim % 2, SHORTEST)
         self.dim, self.words, self.least = dim, words, least
-        self.turn = np.linalg.qr(random.standard_normal((size, size)))[0][:dim]
-        code = random.standard_normal((2, words, size // 2))
-        self.code = code / np.linalg.norm(code, axis=2, keepdims=True)
-        self.bar = cap * np.sqrt(2.0 / max(dim, 1))  # on the sum of both halves' products
+        self.tables = []
+        for _ in range(tables):
+            turn = np.linalg.qr(random.standard_normal((size, size)))[0][:dim]
+            code = random.standard_normal((2, words, size // 2))
+            self.tables.append((turn, code / np.linalg.norm(code, axis=2, keepdims=True)))
+        self.bar = cap * np.sqrt(2.0 / size)  # on the sum of both halves' products
 
     def decode(self, unit: np.ndarray) -> np.ndarray:
-        """The filters a unit vector exceeds, at least ``least``, in order of number.
-
-        List decoding: both halves' products sorted; for each word of the first half,
-        the words of the second that lift the sum over the bar are a prefix."""
-        half = self.code.shape[2]
-        turned = unit @ self.turn
-        a, b = self.code[0] @ turned[:half], self.code[1] @ turned[half:]
+        """The filters a unit vector exceeds, at least ``least`` a table, in order of number."""
+        lists = [self._decode(unit @ turn, code) for turn, code in self.tables]
+        return np.concatenate([x + k * self.words**2 for k, x in enumerate(lists)]).astype(np.int32)
+
+    def _decode(self, turned: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """List decoding of one table: both halves' products sorted; for each word of the
+        first half, the words of the second that lift the sum over the bar are a prefix."""
+        half = code.shape[2]
+        a, b = code[0] @ turned[:half], code[1] @ turned[half:]
         order = np.argsort(-b, kind="stable")
         falling = -b[order]
         n = np.searchsorted(falling, a - self.bar, side="right")
         if n.sum() < self.least:
             best = np.add.outer(a, b).ravel()
-            return np.sort(np.argpartition(-best, self.least)[: self.least]).astype(np.int32)
+            return np.sort(np.argpartition(-best, self.least)[: self.least])
         first = np.repeat(np.arange(self.words), n)
         second = order[np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)]
-        return np.sort(first * self.words + second).astype(np.int32)
+        return np.sort(first * self.words + second)
 
 
 def _decoded(classes: DataFrame, heavy: bool) -> DataFrame:
@@ -133,8 +141,9 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     Two vectors link when their labels are equal and not null and their cosine, in
     double precision, is COSINE or more. Null, empty and zero vectors and those with a
     null or non-finite component link with nothing, nor do vectors of different
-    lengths. Pairs are found by filters they share, so a few may be missed (recall is
-    measured in the tests); none is below COSINE. Equal vectors of a label are one
+    lengths. Pairs are found by filters they share. On random pairs of cosine exactly
+    COSINE one table shared none in 13 of 48,000 (64 dimensions; 6 of 48,000 in 384);
+    TABLES independent ones miss by the product, about 7e-8. None found is below COSINE. Equal vectors of a label are one
     class, compared once and counted by its size; repeated rows count as other
     vectors; rows of one vec_id are one node. n_links, component_id (smallest vec_id
     reached), kept. An empty table gives none.

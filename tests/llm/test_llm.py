@@ -172,6 +172,25 @@ def test_embedding(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1005))
 
 
+@pytest.mark.parametrize("dim, cosine", [(4, 0.93), (16, 0.93), (64, 0.93), (64, 0.94), (384, 0.93)])
+def test_filters_share_at_the_threshold(dim, cosine):
+    random_ = np.random.default_rng(dim)
+    filters = embedding.Filters(dim)
+    for _ in range(2000):
+        x, z = random_.standard_normal((2, dim))
+        x /= np.linalg.norm(x)
+        z -= z @ x * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z)
+        assert len(np.intersect1d(filters.decode(x), filters.decode(y)))
+
+
+def test_embedding_of_few_dimensions(spark):
+    turn = np.arccos(0.935)
+    rows = [(2 * k + j, [float((k + 1) * np.cos(k + j * turn)), float((k + 1) * np.sin(k + j * turn)), 0.0], k) for k in range(50) for j in (0, 1)]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert [r.n_links for r in got] == [1] * 100
+
+
 @pytest.fixture(scope="module")
 def encoding():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -231,6 +250,17 @@ def test_suffix(spark, said, monkeypatch):
     assert suffix.cut_documents(make(spark, texts)).columns == DOCS_COLUMNS
 
 
+def test_quality_judges_no_row_by_another_language(spark):
+    rows = [(i, words(60 + i % 40, i), "de", f"s{i % 3}") for i in range(90)]
+    rows += [(100 + i, " ".join("字" * 20 + str((i + 1) * j) for j in range(30)), "zh", "s0") for i in range(15)]
+    rows += [(200 + i, words(60 + i % 40, i), "en", "big") for i in range(150)] + [(400 + i, words(60, i), "en", "few") for i in range(5)]
+    rows += [(500, "&&& ### " * 3 + words(60, 999).replace(" ", " $%& "), "en", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = by(quality.judged(docs, ["doc_id"]).collect())
+    assert [i for i, r in got.items() if not r.kept] == [500]
+    assert all((r.distance is None) == (i < 200) for i, r in got.items())
+
+
 def test_quality_alike_with_salted_groups(spark, monkeypatch):
     from decisionlake.llm import quality
 
@@ -244,14 +274,3 @@ def test_quality_alike_with_salted_groups(spark, monkeypatch):
     assert wide.keys() == salted.keys() and len(wide) == 600
     for k, r in wide.items():
         assert r.kept == salted[k].kept and abs((r.distance or 0) - (salted[k].distance or 0)) < 1e-6 * max(1, r.distance or 0)
-def test_quality_judges_no_row_by_another_language(spark):
-    rows = [(i, words(60 + i % 40, i), "de", f"s{i % 3}") for i in range(90)]
-    rows += [(100 + i, " ".join("字" * 20 + str((i + 1) * j) for j in range(30)), "zh", "s0") for i in range(15)]
-    rows += [(200 + i, words(60 + i % 40, i), "en", "big") for i in range(150)] + [(400 + i, words(60, i), "en", "few") for i in range(5)]
-    rows += [(500, "&&& ### " * 3 + words(60, 999).replace(" ", " $%& "), "en", "few")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = by(quality.judged(docs, ["doc_id"]).collect())
-    assert [i for i, r in got.items() if not r.kept] == [500]
-    assert all((r.distance is None) == (i < 200) for i, r in got.items())
-
-
