@@ -81,36 +81,37 @@ def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, whole, doc, place) of cells. Of equal cells in a buffer the first goes
+    """Rows (key, whole, doc, sub, place) of cells. Of equal cells in a buffer the first goes
     on; the others are marked as done, so that a cell that very many documents share
     comes to the shuffle once a buffer."""
 
-    def emit(docs: list[int], parts: list[bytes], starts: list[int]) -> pa.RecordBatch:
+    def emit(docs: list[tuple[int, int]], parts: list[bytes], starts: list[int]) -> pa.RecordBatch:
         data, sizes = np.frombuffer(b"".join(parts), dtype=np.uint8), np.array([len(p) for p in parts])
         first, n, key, whole = cells(data, sizes)
         of = np.searchsorted(np.cumsum(sizes), first, side="right")
         start = first - (np.cumsum(sizes) - sizes)[of] + np.array(starts, dtype=np.int64)[of]
-        doc, place = np.array(docs, dtype=np.int64)[of], _pack(start, n)
-        order = np.lexsort((place, doc, whole))
-        doc, place, key, whole = doc[order], place[order], key[order].copy(), whole[order]
+        doc, sub = np.array(docs, dtype=np.int64)[of].T
+        place = _pack(start, n)
+        order = np.lexsort((place, sub, doc, whole))
+        doc, sub, place, key, whole = doc[order], sub[order], place[order], key[order].copy(), whole[order]
         later = np.zeros(len(doc), dtype=bool)
         later[1:] = whole[1:] == whole[:-1]
         head = np.maximum.accumulate(np.where(later, 0, np.arange(len(doc))))
-        later &= (doc != doc[head]) | (place != place[head])
-        key[later] = _mix(key[later] + doc[later].astype(np.uint64) * _power(2) + place[later].astype(np.uint64))
+        later &= (doc != doc[head]) | (sub != sub[head]) | (place != place[head])
+        key[later] = _mix(key[later] + doc[later].astype(np.uint64) * _power(2) + sub[later].astype(np.uint64) * _power(3) + place[later].astype(np.uint64))
         place = np.where(later, place | _DONE, place)
         return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(place)], ["key", "whole", "doc", "place"]
+            [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(sub), pa.array(place)], ["key", "whole", "doc", "sub", "place"]
         )
 
     release()
     for batch in batches:
         docs, parts, starts, held = [], [], [], 0
-        for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
+        for doc, sub, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch)):
             data = text.encode("utf-8", "surrogatepass")
             for at in range(0, max(len(data) - LENGTH + 1, 0), BUFFER):
                 part = data[at : at + BUFFER + LENGTH - 1]
-                docs.append(doc)
+                docs.append((doc, sub))
                 parts.append(part)
                 starts.append(at)
                 held += len(part)
@@ -122,30 +123,30 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From cells sorted by key, whole, doc, place: equal cells but the first (whole
+    """From cells sorted by key, whole, doc, sub, place: equal cells but the first (whole
     true), and the first of each of several different cells around one anchor."""
 
     def split(rows: np.ndarray) -> pa.RecordBatch:
-        key, whole, doc, place = rows
+        key, whole, doc, sub, place = rows
         done = place >= _DONE
         new_key = np.ones(len(key), dtype=bool)
         new_key[1:] = key[1:] != key[:-1]
         new = new_key.copy()
         new[1:] |= whole[1:] != whole[:-1]
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        later = (doc != doc[head]) | (place != place[head])
+        later = (doc != doc[head]) | (sub != sub[head]) | (place != place[head])
         group = np.cumsum(new_key) - 1
         several = np.bincount(group, weights=new & ~done, minlength=1)[group] > 1
         out = later | done | (new & several)
         place = place & (_DONE - 1)
         return pa.RecordBatch.from_arrays(
-            [pa.array((later | done)[out]), pa.array(key[out]), pa.array(doc[out]), pa.array((place >> 7)[out]), pa.array((place & 127)[out])],
-            ["all", "key", "doc", "start", "n"],
+            [pa.array((later | done)[out]), pa.array(key[out]), pa.array(doc[out]), pa.array(sub[out]), pa.array((place >> 7)[out]), pa.array((place & 127)[out])],
+            ["all", "key", "doc", "sub", "start", "n"],
         )
 
-    held = np.zeros((4, 0), dtype=np.int64)
+    held = np.zeros((5, 0), dtype=np.int64)
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)])], axis=1)
+        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(5)])], axis=1)
         if not rows.shape[1]:
             continue
         cut = int(np.searchsorted(rows[0], rows[0, -1]))
@@ -161,12 +162,12 @@ def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for doc, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for doc, sub, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
             data = unpack.decompress(packed)
-            rows += [(c["key"], doc, c["start"], c["n"], data[c["start"] : c["start"] + c["n"] + LENGTH - 1]) for c in wanted]
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["key", "doc", "start", "n", "bytes"])
+            rows += [(c["key"], doc, sub, c["start"], c["n"], data[c["start"] : c["start"] + c["n"] + LENGTH - 1]) for c in wanted]
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["key", "doc", "sub", "start", "n", "bytes"])
 
 
 def _sorted_key(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,10 +250,10 @@ def merge(shards: list[Shard], rounds: int = LENGTH // SYMBOL) -> tuple[np.ndarr
     return nodes, block
 
 
-def repeated(doc: np.ndarray, start: np.ndarray, n: np.ndarray, data: list[bytes]) -> list[tuple[int, int, int]]:
-    """(doc, from, to) of runs of LENGTH bytes in cells that also start earlier in another."""
-    order = np.lexsort((start, doc))
-    order = order[np.append(True, (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0))]  # repeated rows
+def repeated(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, n: np.ndarray, data: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """(doc, sub, from, to) of runs of LENGTH bytes in cells that also start earlier in another."""
+    order = np.lexsort((start, sub, doc))
+    order = order[np.append(True, (np.diff(doc[order]) != 0) | (np.diff(sub[order]) != 0) | (np.diff(start[order]) != 0))]  # repeated rows
     deal = np.concatenate([order[k::SHARDS] for k in range(SHARDS)])
     rank = np.concatenate([np.arange(len(order))[k::SHARDS] for k in range(SHARDS)])
     size = np.array([len(data[k]) for k in deal])
@@ -292,7 +293,7 @@ def repeated(doc: np.ndarray, start: np.ndarray, n: np.ndarray, data: list[bytes
     last = np.append(cut[1:], len(again)) - 1
     which = order[again[cut] >> 7]
     begin, end = start[which] + (again[cut] & 127), start[which] + (again[last] & 127) + LENGTH
-    return list(zip(doc[which].tolist(), begin.tolist(), end.tolist()))
+    return list(zip(doc[which].tolist(), sub[which].tolist(), begin.tolist(), end.tolist()))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,15 +301,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
-        got = repeated(*(rows.column(c).to_numpy() for c in ("doc", "start", "n")), rows.column("bytes").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*got) if got else ((), (), ()))], ["doc", "from", "to"])
+        got = repeated(*(rows.column(c).to_numpy() for c in ("doc", "sub", "start", "n")), rows.column("bytes").to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*got) if got else [()] * 4)], ["doc", "sub", "from", "to"])
 
     held: list[pa.RecordBatch] = []
     size, last = 0, None
     for batch in batches:
         key = batch.column(0).to_numpy()
         cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
-        width = np.append(0, np.cumsum(batch.column(3).to_numpy() + LENGTH))
+        width = np.append(0, np.cumsum(batch.column("n").to_numpy() + LENGTH))
         begin = 0
         for a in cut[:-1]:
             if size + width[a] - width[begin] >= BATCH and key[a] != (key[a - 1] if a else last):
@@ -323,33 +324,41 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
+def _key(docs: DataFrame) -> list:
+    """(doc, sub), by which rows are told apart and ordered: doc_id, nulls first, and
+    among rows of one doc_id a hash of the text."""
+    return [
+        F.coalesce(docs["doc_id"], F.lit(-(2**63))).cast("long").alias("doc"),
+        F.xxhash64(docs["doc_id"].isNull(), F.coalesce(docs["text"], F.lit(""))).alias("sub"),
+    ]
+
+
 def _packed(docs: DataFrame) -> DataFrame:
-    """(doc, packed): texts compressed before they are shuffled."""
+    """(doc_id, doc, sub, packed): texts compressed before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             data = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(data, pa.binary())], ["doc_id", "doc", "sub", "packed"])
 
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias("doc"), "text").mapInArrow(run, "doc long, packed binary")
+    return docs.select(docs["doc_id"].cast("long"), *_key(docs), "text").mapInArrow(run, "doc_id long, doc long, sub long, packed binary")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc, passages: array of from, to) of the documents that repeat one: byte ranges
+    """(doc, sub, passages: array of from, to) of the documents that repeat one: byte ranges
     covered by strings of LENGTH bytes that also start earlier. They may overlap."""
-    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias("doc"), "text")
-    cell = keyed.mapInArrow(_cells, "key long, whole long, doc long, place long")
-    cell = cell.repartition("key").sortWithinPartitions("key", "whole", "doc", "place")
-    found = materialize(cell.mapInArrow(_shared, "all boolean, key long, doc long, start long, n long"), "cells")
-    wanted = found.where("not `all`").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
-    around = _packed(docs).join(wanted, "doc").select("doc", "packed", "wanted")
-    around = around.mapInArrow(_bytes_of, "key long, doc long, start long, n long, bytes binary")
+    cell = docs.select(*_key(docs), "text").mapInArrow(_cells, "key long, whole long, doc long, sub long, place long")
+    cell = cell.repartition("key").sortWithinPartitions("key", "whole", "doc", "sub", "place")
+    found = materialize(cell.mapInArrow(_shared, "all boolean, key long, doc long, sub long, start long, n long"), "cells")
+    wanted = found.where("not `all`").groupBy("doc", "sub").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
+    around = _packed(docs).join(wanted, ["doc", "sub"]).select("doc", "sub", "packed", "wanted")
+    around = around.mapInArrow(_bytes_of, "key long, doc long, sub long, start long, n long, bytes binary")
     around = around.repartition("key").sortWithinPartitions("key")
-    part = around.mapInArrow(_merged, "doc long, from long, to long")
-    whole = found.where("`all`").select("doc", F.col("start").alias("from"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("to"))
+    part = around.mapInArrow(_merged, "doc long, sub long, from long, to long")
+    whole = found.where("`all`").select("doc", "sub", F.col("start").alias("from"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("to"))
     both = part.unionByName(whole)
-    return materialize(both.groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("passages")), "passages")
+    return materialize(both.groupBy("doc", "sub").agg(F.collect_list(F.struct("from", "to")).alias("passages")), "passages")
 
 
 def cut(data: bytes, passages: list[dict] | None) -> tuple[bytes, int]:
@@ -371,9 +380,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, null texts empty; a passage never crosses documents. Earlier
-    is a smaller doc_id (null first), or the same and an earlier start. Rows that repeat
-    a doc_id are one document told twice: they must repeat its text, take nothing from
-    each other, and each gives a row. An empty table gives none.
+    is a smaller doc_id (null first), the same and a smaller hash of the text, or the
+    same and an earlier start. Rows of one doc_id, or without one, are documents of
+    their own where their texts differ; those that agree in both are one document told
+    twice: they take nothing from each other, and each gives a row. An empty table
+    gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,21 +398,21 @@ def dedup(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()]))],
-                ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    joined = _packed(docs).join(repeated_passages(docs), "doc", "left").select("doc", "packed", "passages")
-    out = joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.expr("case when doc > -9223372036854775807 then doc end").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    joined = _packed(docs).join(repeated_passages(docs), ["doc", "sub"], "left").select("doc_id", "packed", "passages")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """The documents, in their own columns, with repeated passages cut from their
     texts; n_chars follows where there is such a column. A character that a passage's
     end splits goes with it. Null texts stay null."""
-    passages = repeated_passages(docs).withColumnRenamed("doc", "_doc").withColumnRenamed("passages", "_passages")
+    passages = repeated_passages(docs).toDF("_doc", "_sub", "_passages")
     names = docs.columns
-    joined = docs.join(passages, F.coalesce(docs["doc_id"], F.lit(-(2**63))) == F.col("_doc"), "left").select(*(docs[c] for c in names), "_passages")
+    doc, sub = _key(docs)
+    joined = docs.join(passages, (doc == F.col("_doc")) & (sub == F.col("_sub")), "left").select(*(docs[c] for c in names), "_passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -250,6 +250,21 @@ def test_suffix(spark, said, monkeypatch):
     assert suffix.cut_documents(make(spark, texts)).columns == DOCS_COLUMNS
 
 
+def test_suffix_of_null_and_repeated_ids(spark):
+    shared = words(60, 21)
+    head = words(50, 22)
+    said = [(None, head + " " + shared), (None, head[:200] + words(70, 23)), (7, words(30, 24) + " " + shared), (7, words(90, 25)), (7, words(90, 25)), (None, words(80, 26)), (-(2**63) + 1, words(80, 27))]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    rows = suffix.dedup(docs).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in said)
+    whole = collections.Counter(hashlib.sha256(t.encode()).hexdigest() for _, t in said)
+    got = collections.Counter(r.kept_sha256 for r in rows)
+    assert all(got[hashlib.sha256(said[k][1].encode()).hexdigest()] == whole[hashlib.sha256(said[k][1].encode()).hexdigest()] for k in (3, 4, 5, 6))
+    assert sum(r.n_removed > 0 for r in rows) == 2  # one of the nulls loses the head, 7 the shared end
+    cut = collections.Counter(r.text for r in suffix.cut_documents(docs).collect())
+    assert sum(cut.values()) == 7 and sum(shared in t for t in cut) == 1 and sum(head[:200] in t for t in cut) == 1
+
+
 def test_quality_judges_no_row_by_another_language(spark):
     rows = [(i, words(60 + i % 40, i), "de", f"s{i % 3}") for i in range(90)]
     rows += [(100 + i, " ".join("字" * 20 + str((i + 1) * j) for j in range(30)), "zh", "s0") for i in range(15)]
