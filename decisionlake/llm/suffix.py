@@ -5,7 +5,8 @@ Only places that can repeat are sorted. Every run of 100 bytes holds an anchor,
 least of its 32-byte strings by a hash; the runs of one anchor are a cell. Equal runs
 have equal anchors at equal places, so cells whose anchor string occurs once hold
 nothing that repeats, cells that are equal as a whole repeat as a whole, and what is
-left, different cells around an equal anchor, goes through the transforms.
+left, different cells around an equal anchor, goes through the transforms. Where very many
+differ around one anchor, their runs are told apart by digests, over all tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ LENGTH, ANCHOR, SYMBOL = 100, 32, 10
 #: Bytes hashed at a time; bytes of cells merged at a time (more for one large anchor).
 BUFFER, BATCH = 1 << 20, 1 << 19
 SHARDS = 4
+#: Cells around one anchor that go through the transforms at most; runs around hotter
+#: anchors held at a time.
+HOT, RUNS = 4096, 1 << 17
 
 _RANDOM = np.random.default_rng(19940510)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,10 +127,16 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From cells sorted by key, whole, doc, sub, place: equal cells but the first (whole
-    true), and the first of each of several different cells around one anchor."""
-
-    def split(rows: np.ndarray) -> pa.RecordBatch:
+    """From cells sorted by key, whole, doc, sub, place: equal cells but the first (all
+    true), and the first of each of several different cells around one anchor. Of an
+    anchor's cells before a batch only the last first one is held."""
+    held = np.zeros((5, 0), dtype=np.int64)  # the first of the equal cells that a batch ends in
+    alone, more = True, False  # whether it is still to be told; whether its key has another
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        begin = held.shape[1]
+        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(5)])], axis=1)
         key, whole, doc, sub, place = rows
         done = place >= _DONE
         new_key = np.ones(len(key), dtype=bool)
@@ -136,38 +146,90 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         later = (doc != doc[head]) | (sub != sub[head]) | (place != place[head])
         group = np.cumsum(new_key) - 1
-        several = np.bincount(group, weights=new & ~done, minlength=1)[group] > 1
-        out = later | done | (new & several)
-        place = place & (_DONE - 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array((later | done)[out]), pa.array(key[out]), pa.array(doc[out]), pa.array(sub[out]), pa.array((place >> 7)[out]), pa.array((place & 127)[out])],
+        count = np.bincount(group, weights=new & ~done)
+        if begin and more:
+            count[0] += 1
+        out = later | done | (new & (count[group] > 1))
+        if begin:
+            out[0] = alone and not done[0] and count[0] > 1
+        at = head[-1]
+        alone, more = count[-1] == 1, count[-1] > 1
+        held = rows[:, at : at + 1].copy()
+        every, place = later | done, place & (_DONE - 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(every[out]), pa.array(key[out]), pa.array(doc[out]), pa.array(sub[out]), pa.array((place >> 7)[out]), pa.array((place & 127)[out])],
             ["all", "key", "doc", "sub", "start", "n"],
         )
 
-    held = np.zeros((5, 0), dtype=np.int64)
-    for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(5)])], axis=1)
-        if not rows.shape[1]:
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0, -1]))
-        if cut:
-            yield split(rows[:, :cut])
-        held = rows[:, cut:]
-    if held.shape[1]:
-        yield split(held)
+
+def _spans(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(doc, sub, start, n) of consecutive runs (doc, sub, start)."""
+    out: list[tuple[int, int, int, int]] = []
+    for doc, sub, start in sorted(set(runs)):
+        if out and out[-1][:2] == (doc, sub) and out[-1][2] + out[-1][3] == start:
+            out[-1] = (*out[-1][:3], out[-1][3] + 1)
+        else:
+            out.append((doc, sub, start, 1))
+    return out
+
+
+class _Earliest:
+    """The earliest run (doc, sub, start) of each digest, and those that are later."""
+
+    def __init__(self) -> None:
+        self.first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        self.later: list[tuple[int, int, int]] = []
+
+    def add(self, digest: tuple[int, bytes], run: tuple[int, int, int]) -> None:
+        before = self.first.setdefault(digest, run)
+        if before != run:
+            self.later.append(max(before, run))
+            self.first[digest] = min(before, run)
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the cells that a document lists."""
+    """The bytes of the cells that a document lists. Cells around a hot anchor become a
+    row a run (n = 0), keyed by a 128-bit BLAKE2b digest of its bytes; of equal runs in a
+    buffer the first goes on, the others are told as spans (n = -runs) under keys of
+    their own, so that a very common run comes to the shuffle once a buffer."""
     unpack = zstandard.ZstdDecompressor()
+    told: set[tuple[int, int]] = set()  # a row that is repeated lists its cells once
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["key", "doc", "sub", "start", "n", "bytes"])
+
+    def runs_of(hot: _Earliest) -> pa.RecordBatch:
+        rows = [(key, *run, 0, rest) for (key, rest), run in hot.first.items()]
+        return emit(rows + [(hash(span), *span[:3], -span[3], b"") for span in _spans(hot.later)])
+
+    hot = _Earliest()
     for batch in batches:
-        rows = []
+        rows: list[tuple] = []
+        held = 0
         for doc, sub, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (doc, sub) in told:
+                continue
+            told.add((doc, sub))
             data = unpack.decompress(packed)
-            rows += [(c["key"], doc, sub, c["start"], c["n"], data[c["start"] : c["start"] + c["n"] + LENGTH - 1]) for c in wanted]
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["key", "doc", "sub", "start", "n", "bytes"])
+            for c in wanted:
+                start, n = c["start"], c["n"]
+                if not c["hot"]:
+                    rows.append((c["key"], doc, sub, start, n, data[start : start + n + LENGTH - 1]))
+                    held += n + LENGTH
+                    continue
+                for at in range(start, start + n):
+                    digest = hashlib.blake2b(data[at : at + LENGTH], digest_size=16).digest()
+                    hot.add((int.from_bytes(digest[:8], "little", signed=True), digest[8:]), (doc, sub, at))
+                if len(hot.first) + len(hot.later) >= RUNS:
+                    yield runs_of(hot)
+                    hot = _Earliest()
+            if held >= 16 * BATCH:
+                yield emit(rows)
+                rows, held = [], 0
+        yield emit(rows)
+    yield runs_of(hot)
 
 
 def _sorted_key(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +363,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
-        got = repeated(*(rows.column(c).to_numpy() for c in ("doc", "sub", "start", "n")), rows.column("bytes").to_pylist())
+        n = rows.column("n").to_numpy()
+        some = rows.filter(pa.array(n > 0))
+        got = repeated(*(some.column(c).to_numpy() for c in ("doc", "sub", "start", "n")), some.column("bytes").to_pylist()) if len(some) else []
+        some, hot = rows.filter(pa.array(n == 0)), _Earliest()
+        for key, doc, sub, start, rest in zip(*(some.column(c).to_pylist() for c in ("key", "doc", "sub", "start", "bytes"))):
+            hot.add((key, rest), (doc, sub, start))
+        some = rows.filter(pa.array(n < 0))
+        spans = _spans(hot.later) + [(doc, sub, start, -m) for doc, sub, start, m in zip(*(some.column(c).to_pylist() for c in ("doc", "sub", "start", "n")))]
+        got += [(doc, sub, start, start + m + LENGTH - 1) for doc, sub, start, m in spans]
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*got) if got else [()] * 4)], ["doc", "sub", "from", "to"])
 
     held: list[pa.RecordBatch] = []
@@ -309,7 +379,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = batch.column(0).to_numpy()
         cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
-        width = np.append(0, np.cumsum(batch.column("n").to_numpy() + LENGTH))
+        width = np.append(0, np.cumsum(np.maximum(batch.column("n").to_numpy(), 0) + LENGTH))
         begin = 0
         for a in cut[:-1]:
             if size + width[a] - width[begin] >= BATCH and key[a] != (key[a - 1] if a else last):
@@ -345,16 +415,28 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), *_key(docs), "text").mapInArrow(run, "doc_id long, doc long, sub long, packed binary")
 
 
+def _around(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The cells to compare with their bytes, and the runs around hot anchors."""
+    several = found.where("not `all`")
+    hot = several.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("key", F.lit(True).alias("hot"))
+    cell = F.struct("key", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = several.join(F.broadcast(hot), "key", "left").groupBy("doc", "sub").agg(F.collect_list(cell).alias("wanted"))
+    around = _packed(docs).join(wanted, ["doc", "sub"]).select("doc", "sub", "packed", "wanted")
+    return around.mapInArrow(_bytes_of, "key long, doc long, sub long, start long, n long, bytes binary")
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """Cells that repeat as a whole (all), or whose anchor has different cells."""
+    cell = docs.select(*_key(docs), "text").mapInArrow(_cells, "key long, whole long, doc long, sub long, place long")
+    cell = cell.repartition("key").sortWithinPartitions("key", "whole", "doc", "sub", "place")
+    return materialize(cell.mapInArrow(_shared, "all boolean, key long, doc long, sub long, start long, n long"), "cells")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc, sub, passages: array of from, to) of the documents that repeat one: byte ranges
     covered by strings of LENGTH bytes that also start earlier. They may overlap."""
-    cell = docs.select(*_key(docs), "text").mapInArrow(_cells, "key long, whole long, doc long, sub long, place long")
-    cell = cell.repartition("key").sortWithinPartitions("key", "whole", "doc", "sub", "place")
-    found = materialize(cell.mapInArrow(_shared, "all boolean, key long, doc long, sub long, start long, n long"), "cells")
-    wanted = found.where("not `all`").groupBy("doc", "sub").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
-    around = _packed(docs).join(wanted, ["doc", "sub"]).select("doc", "sub", "packed", "wanted")
-    around = around.mapInArrow(_bytes_of, "key long, doc long, sub long, start long, n long, bytes binary")
-    around = around.repartition("key").sortWithinPartitions("key")
+    found = _found(docs)
+    around = _around(docs, found).repartition("key").sortWithinPartitions("key")
     part = around.mapInArrow(_merged, "doc long, sub long, from long, to long")
     whole = found.where("`all`").select("doc", "sub", F.col("start").alias("from"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("to"))
     both = part.unionByName(whole)

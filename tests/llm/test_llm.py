@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -250,6 +251,34 @@ def test_suffix(spark, said, monkeypatch):
     assert suffix.cut_documents(make(spark, texts)).columns == DOCS_COLUMNS
 
 
+def test_suffix_around_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 8)
+    line = "licensed to all who read this line, by the house"
+    said = [words(25, 1000 + k) + " " + line + " " + words(25, 2000 + k // 3) + ("" if k % 4 else line * 4) for k in range(60)] + [words(25, 1003) + " " + line, None]
+    docs = make(spark, said)
+    around = suffix._around(docs, suffix._found(docs)).collect()
+    assert max(collections.Counter(r.key for r in around if r.n > 0).values(), default=0) <= 8 and any(r.n == 0 for r in around)
+    got, seen = by(suffix.dedup(docs).collect()), set()
+    for i, t in enumerate(said):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(data[s : s + 100])
+        assert got[i].kept_sha256 == hashlib.sha256(bytes(x for x, g in zip(data, gone) if not g)).hexdigest(), i
+
+
+def test_shared_over_batches():
+    random_ = np.random.default_rng(2)
+    rows = np.stack([np.sort(random_.integers(0, 12, 300)), random_.integers(0, 4, 300), random_.integers(0, 6, 300), np.zeros(300, np.int64), random_.integers(0, 3, 300) << 7 | 1])
+    rows = rows[:, np.lexsort(rows[::-1])]
+    names = ["key", "whole", "doc", "sub", "place"]
+    cut = lambda size: (pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in rows], names) for k in range(0, 300, size))
+    told = [sorted(tuple(r.values()) for b in suffix._shared(cut(size)) for r in b.to_pylist()) for size in (300, 1, 7)]
+    assert told[0] == told[1] == told[2] and 0 < len(told[0]) <= 300
+
+
 def test_suffix_of_null_and_repeated_ids(spark):
     shared = words(60, 21)
     head = words(50, 22)
