@@ -101,13 +101,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(sh), h, g, bands(signature(sh)).astype(np.int64) if len(sh) else np.zeros(0, np.int64)))
         n, h, g, b = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(b, pa.list_(pa.int64()))],
-            ["doc_id", "size", "h", "g", "bands"],
+            [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(b, pa.list_(pa.int64()))],
+            ["doc_id", "said", "size", "h", "g", "bands"],
         )
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    told: set[int] = set()  # of rows that are equal the first of a task goes on
     for batch in batches:
+        new = []
+        for k, rep in enumerate(batch.column(0).to_pylist()):
+            if rep not in told:
+                told.add(rep)
+                new.append(k)
+        if not new:
+            continue
+        batch = batch.take(pa.array(new))
         sets = [shingles(t) for t in texts(batch)]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in range(3)), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -171,6 +180,42 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "w"])
 
 
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """As near_duplicates() says, with ``said``, the hash of the row's text."""
+    signed = docs.select("doc_id", F.xxhash64("text").alias("said"), "text")
+    signed = signed.mapInArrow(_sign, "doc_id long, said long, size long, h long, g long, bands array<long>")
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    some = signed.where("size > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "said")).alias("first")
+    classes = some.groupBy("h", "g").agg(first, F.count("*").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    band = classes.select("rep", F.explode("bands").alias("band"))
+    shared = band.groupBy("band").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").select("band", "b")
+    together = components(band.join(shared, "band").where("rep <> b").select(F.col("rep").alias("a"), "b"), "bands-cc")
+    candidates = together.join(classes.select(F.col("rep").alias("node"), "n", F.col("first.doc_id").alias("_id"), F.col("first.said").alias("_said")), "node")
+    candidates = materialize(candidates, "candidates")
+    sets = materialize(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("said"), "text")
+        .join(candidates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("said") == F.col("_said")))
+        .select(F.col("node").alias("rep"), "component", "n", "text")
+        .mapInArrow(_shingled, "rep long, component long, n long, signature binary, shingles binary"),
+        "sets",
+    )
+    found = materialize(in_units(sets, ["component"], "rep", CHUNK, "units").mapInArrow(_compare, "a long, b long, w long"), "links")
+    weight = found.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
+    joined = materialize(components(found.select("a", "b"), "links-cc"), "linked")
+    least = joined.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    joined = joined.join(least, "component").select(F.col("node").alias("rep"), "least")
+    nodes = materialize(weight.join(joined, "rep", "full"), "nodes")
+    of = classes.select("h", "g", "rep", "n", "first").join(nodes, "rep", "left").select("h", "g", "n", "w", F.coalesce("least", "first").alias("least"))
+    member = some.select("doc_id", "said", "row", "h", "g").join(of, ["h", "g"]).select(
+        "doc_id", "said", F.col("least.doc_id").alias("class_id"), (F.col("n") - 1 + F.coalesce("w", F.lit(0))).cast("long").alias("n_links"),
+        (F.col("row") == F.col("least.row")).alias("kept"),
+    )
+    alone = signed.where("size = 0").select("doc_id", "said", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return member.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Links of (doc_id, text): documents whose sets of five-word shingles have a
     Jaccard similarity of 0.8 or more.
@@ -182,41 +227,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets. A large component is compared in units of two chunks; no pair becomes a row.
     A link is lost with a probability of about 1e-6. Null texts and texts without a
     word link with nothing; shorter texts than five words link when their words are
-    equal. Repeated rows are other documents of their class. One row a row: doc_id,
-    class_id (smallest doc_id of the component), n_links (documents linked directly),
-    kept (doc_id = class_id). An empty table gives none.
+    equal. Rows without a doc_id and rows that repeat one are documents of their own,
+    compared like others. One row a row: doc_id, class_id (smallest doc_id of the
+    component, null where none has one), n_links (documents linked directly), kept (one
+    row a component, of the doc_id that is class_id). An empty table gives none.
     """
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, size long, h long, g long, bands array<long>"), "signed")
-    some = signed.where("size > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
-    band = classes.select("rep", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1").select("band", "b")
-    together = components(band.join(shared, "band").where("rep <> b").select(F.col("rep").alias("a"), "b"), "bands-cc")
-    candidates = materialize(together.join(classes.select(F.col("rep").alias("node"), "n"), "node"), "candidates")
-    sets = materialize(
-        docs.select("doc_id", "text").join(candidates, F.col("doc_id") == F.col("node"))
-        .select(F.col("node").alias("rep"), "component", "n", "text")
-        .mapInArrow(_shingled, "rep long, component long, n long, signature binary, shingles binary"),
-        "sets",
-    )
-    found = materialize(in_units(sets, ["component"], "rep", CHUNK, "units").mapInArrow(_compare, "a long, b long, w long"), "links")
-    weight = found.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
-    joined = components(found.select("a", "b"), "links-cc")
-    nodes = materialize(weight.join(joined.withColumnRenamed("node", "rep"), "rep", "full"), "nodes")
-    member = some.select("doc_id", "h", "g").join(classes.select("h", "g", "rep", "n"), ["h", "g"]).select("doc_id", "rep", "n")
-    alone = signed.where("not (size > 0 and doc_id is not null)").select("doc_id", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("n"))
-    out = member.unionByName(alone).join(nodes, "rep", "left")
-    of = F.coalesce("component", "rep")
-    return out.select(
-        "doc_id", of.alias("class_id"), (F.col("n") - 1 + F.coalesce("w", F.lit(0))).cast("long").alias("n_links"),
-        of.eqNullSafe(F.col("doc_id")).alias("kept"),
-    )
+    return _verdicts(docs).select("doc_id", "class_id", "n_links", "kept")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, in their own columns, but for all of a class but its smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents, in their own columns, but for all of a component but one row, of
+    its smallest doc_id. Rows that agree in doc_id and text are told apart by no name:
+    where one of several stays, it is the least by a hash of all columns."""
+    keys = _verdicts(docs).groupBy("doc_id", "said").agg(F.count("*").alias("_n"), F.sum(F.col("kept").cast("long")).alias("_k"))
+    keys = materialize(keys.where("_k < _n").select(F.col("doc_id").alias("_id"), F.col("said").alias("_said"), (F.col("_k") > 0).alias("_one")), "gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_said"])
+    stay = docs.join(keys, same, "left_anti")
+    one = docs.join(keys.where("_one"), same).select(F.struct(*(docs[c] for c in docs.columns)).alias("_r"), "_id", "_said", F.xxhash64(*(docs[c] for c in docs.columns)).alias("_h"))
+    one = one.groupBy("_id", "_said").agg(F.min_by("_r", "_h").alias("_r")).select("_r.*")
+    return stay.select(*docs.columns).unionByName(one)
 
 
 def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,19 @@ def test_jaccard_in_chunks(spark, monkeypatch):
     assert {r.n_links for r in got} == {29} and {r.class_id for r in got} == {0}
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    base, other, own = words(200, 31), words(200, 32), words(200, 33)
+    near = base.split()
+    near[100] = "changed"
+    said = [(None, base), (None, base), (None, " ".join(near)), (5, base), (3, " ".join(near)), (3, " ".join(near)), (None, other), (None, other), (8, own), (8, words(90, 34)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(said)], "doc_id long, text string, source string")
+    got = collections.Counter((r.doc_id, r.class_id, r.n_links, r.kept) for r in jaccard.near_duplicates(docs).collect())
+    assert got == {(None, 3, 5, False): 3, (5, 3, 5, False): 1, (3, 3, 5, True): 1, (3, 3, 5, False): 1, (None, None, 1, True): 1, (None, None, 1, False): 1, (8, 8, 0, True): 2, (None, None, 0, True): 2}
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == {(3, " ".join(near)): 1, (None, other): 1, (8, own): 1, (8, words(90, 34)): 1, (None, None): 1, (None, ""): 1}
+
+
 def test_license(spark, said):
     got = by(license.scan_licenses(make(spark, said)).collect())
     assert (got[14].n_base, got[14].first_word, got[14].last_word, got[14].base_labels) == (3, 0, 9, "apache-2,cc-by-nc,mit")
