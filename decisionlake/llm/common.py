@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-#: What Python workers keep between the tasks of one operator, and how to drop it.
-KEPT: list = []
 
 
 def release() -> None:
-    """At the start of an operator's tasks: drop what another operator has kept."""
-    for drop in KEPT:
-        drop()
+    """At the start of an operator's tasks: give back what earlier tasks of this Python
+    worker have freed, so that it does not count beside what this one needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,25 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
+#: Bits of the table of likely(), 4096 bytes a row: 2 MB, whatever the data.
+_BITS, _ROW = 1 << 24, 1 << 15
+
+
+def likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """rows with ``_likely``: false only where no row of ``wanted`` has the key (long, not
+    null). A bitmap of the wanted keys, of a fixed size, is broadcast, so that most
+    rows that a join would drop need not be shuffled to it; where very many are wanted it
+    fills up and tells less, but nothing wrong."""
+    bit = F.pmod(wanted_key, F.lit(_BITS))
+    bits = wanted.select(F.floor(bit / _ROW).cast("int").alias("_row"), F.pmod(bit, F.lit(_ROW)).alias("_bit"))
+    bits = bits.groupBy("_row").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bits"))
+    rows = rows.withColumn("_bit", F.pmod(key, F.lit(_BITS))).withColumn("_row", F.floor(F.col("_bit") / _ROW).cast("int"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.pmod("_bit", F.lit(_ROW)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = F.expr("getbit({}, cast(pmod(_bit, 8) as int))".format("_byte"))
+    rows = rows.join(F.broadcast(bits), "_row", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
+    return rows.withColumn("_likely", told == 1).drop("_row", "_bit", "_bits", "_byte")
+
+
 def in_units(rows: DataFrame, keys: list[str], row_id: str, limit: int, tag: str) -> DataFrame:
     """rows dealt to units of comparison, sorted within partitions by ``keys, _i, _j``.
 

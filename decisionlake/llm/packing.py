@@ -5,15 +5,14 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm.common import KEPT, table, texts
-from decisionlake.llm.segments import Cache, pieces
+from decisionlake.llm.common import release, table
+from decisionlake.llm.segments import assemble, slices
 
 #: Tokens of a window, the id that closes a document, the longest piece that enters
 #: the differencing, and how many pieces are differenced together.
@@ -77,7 +76,7 @@ def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 class Tokenizer:
-    """Ids of texts as little-endian bytes by the tokenizers library, each distinct piece once."""
+    """Ids of texts by the tokenizers library, each distinct word of a slice once."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -86,48 +85,42 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
-        self.known: Cache = Cache(400_000)
-
         starts = [i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]
         self.spaced = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)
         self.spaced[starts] = True
 
-    def raw(self, strings: list[str]) -> list[bytes]:
-        got = self.library.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def learn(self, lack: list[str]) -> None:
-        """Encode " " + s for each s: a few thousand in one string, cut again where an
-        id begins with the space, which none of them holds inside; each begins with a
-        character that is no white space, so that its space stays with it."""
-        plain = [s for s in lack if " " not in s]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(self.spaced[ids]).tolist()
+    def raw(self, strings: list[str]) -> list[np.ndarray]:
+        """Ids of each string by itself."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(strings), 2000):
+            out += [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(strings[at : at + 2000], add_special_tokens=False)]
+        return out
+
+    def spelled(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + s for each run s of letters, and how many each has: many thousand
+        in one string, told apart by the ids that begin with a space."""
+        ids, size = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(stems), 20_000):
+            part = stems[at : at + 20_000]
+            got = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(self.spaced[got])
             if len(cut) != len(part):
                 raise ValueError("tokens do not follow the spaces")
-            said = ids.tobytes()
-            self.known.update(zip(part, [said[4 * a : 4 * b] for a, b in zip(cut, [*cut[1:], len(ids)])]))
-        odd = [s for s in lack if " " in s]
-        self.known.update(zip(odd, self.raw([" " + s for s in odd])))
+            ids.append(got)
+            size.append(np.diff(cut, append=len(got)))
+        return np.concatenate(ids), np.concatenate(size)
 
-    def forget(self) -> None:
-        """Before another operator's tasks run in this worker."""
-        self.known.clear()
-        self.known.old = {}
+    def spell(self, stems: list[str], strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, size = self.spelled(stems)
+        alone = self.raw(strings)
+        return np.concatenate([ids, *alone]), np.concatenate([size, [len(x) for x in alone]]).astype(np.int64)
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        self.known.age()
-        cut = [pieces(t) for t in batch]
-        self.learn(list(self.known.missing(set(chain.from_iterable(p[1:] for p in cut)))))
-        first = self.raw([p[0] for p in cut])
-        return [b"".join([f, *map(self.known.__getitem__, p[1:])]) for f, p in zip(first, cut)]
+    def encode(self, said: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the closing id, one after another, and their numbers."""
+        return assemble(said, self.spell, [CLOSING])
 
 
 _WORKER: dict[str, Tokenizer] = {}
-KEPT.append(lambda: [t.forget() for t in _WORKER.values()])
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -136,7 +129,8 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
     """Pack (doc_id, text) into sequences of at most ``capacity`` ids; one row a piece.
 
-    A document is its ids and a closing id; null texts are empty and give the closing
+    A document is its ids and a closing id; the file's special tokens are such in a
+    text too, as the library reads it; null texts are empty and give the closing
     id alone. Whole windows are cut from a document's front and are sequences by
     themselves; the rest is cut to pieces of at most ``piece`` ids, which are packed
     together in blocks of ``block`` pieces by differencing, the window count rising
@@ -147,55 +141,58 @@ def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         if path not in _WORKER:
             _WORKER[path] = Tokenizer(path)
         tokenizer = _WORKER[path]
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         serial = 0
-        whole: list[tuple] = []
-        rest: list[tuple] = []
+        rest: list[pa.RecordBatch] = []
+        waiting = 0
+
+        def emit(rows: pa.RecordBatch, sequence: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(base + sequence), pa.array(offset)], _NAMES)
 
-        def packed(rows: list[tuple]) -> list[tuple]:
+        def packed(rows: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal serial
-            at = windows(np.array([r[2] for r in rows], dtype=np.int64), capacity)
-            used: dict[int, int] = {}
-            out = []
-            for r, w in zip(rows, at.tolist()):
-                offset = used.get(w, 0)
-                used[w] = offset + r[2]
-                out.append((*r, base + serial + w, offset))
+            size = rows.column("length").to_numpy()
+            at = windows(size, capacity)
+            order = np.argsort(at, kind="stable")
+            before = np.cumsum(size[order]) - size[order]
+            new = np.append(True, at[order][1:] != at[order][:-1])
+            offset = np.empty(len(size), dtype=np.int64)
+            offset[order] = before - np.repeat(before[new], np.diff(np.append(np.flatnonzero(new), len(size))))
             serial += int(at.max()) + 1
-            return out
-
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _NAMES)
+            return emit(rows, serial - int(at.max()) - 1 + at, offset)
 
         for batch in batches:
-            said, ids_of = texts(batch), batch.column(0).to_pylist()
-            for a in range(0, len(said), 1000):
-                for doc, ids in zip(ids_of[a : a + 1000], tokenizer.encode(said[a : a + 1000])):
-                    ids += CLOSING.to_bytes(4, "little")
-                    n, start = len(ids) // 4, 0
-                    while start < n:
-                        left = n - start
-                        size = capacity if left >= capacity else min(piece, left)
-                        row = (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n)
-                        if size == capacity:
-                            whole.append((*row, base + serial, 0))
-                            serial += 1
-                        else:
-                            rest.append(row)
-                        start += size
-                while len(rest) >= block:
-                    yield emit(packed(rest[:block]))
-                    del rest[:block]
-                if whole:
-                    yield emit(whole)
-                    whole = []
-        if rest:
-            yield emit(packed(rest))
+            for part in slices(batch, 1):
+                ids, n = tokenizer.encode(part.column(1))
+                # whole windows from the front of a document, then pieces
+                whole = n // capacity
+                count = whole + -(-(n - whole * capacity) // piece)
+                of = np.repeat(np.arange(len(n)), count)
+                k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                start = np.where(k < whole[of], k * capacity, whole[of] * capacity + (k - whole[of]) * piece)
+                length = np.where(k < whole[of], capacity, np.minimum(piece, n[of] - start))
+                at = 4 * ((np.cumsum(n) - n)[of] + start)
+                said = memoryview(ids.tobytes())
+                crc = [zlib.crc32(said[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+                cols = [part.column(0).cast(pa.int64()).take(pa.array(of)), *(pa.array(c, pa.int64()) for c in (start, length, crc, n[of]))]
+                rows = pa.RecordBatch.from_arrays(cols, _NAMES[:5])
+                full = rows.filter(pa.array(length == capacity))
+                yield emit(full, serial + np.arange(len(full)), np.zeros(len(full), dtype=np.int64))
+                serial += len(full)
+                rest.append(rows.filter(pa.array(length < capacity)))
+                waiting += len(rest[-1])
+                if waiting >= block:
+                    held = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                    for a in range(0, waiting - block + 1, block):
+                        yield packed(held.slice(a, block))
+                    rest, waiting = [held.slice(waiting - waiting % block)], waiting % block
+        if waiting:
+            yield packed(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
