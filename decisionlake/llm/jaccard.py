@@ -12,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import components, in_units, materialize, release, roots, runs, table, texts
+from decisionlake.llm.common import components, in_units, likely, materialize, release, roots, runs, table, texts
+from decisionlake.llm.segments import gather
 
 #: Words of a shingle; similarity as a fraction; bands and MinHash values of a band; MinHash
 #: values compared at a time; the posterior probability below which a pair is dropped.
 WORDS, OVER, UNDER = 5, 4, 5
 BANDS, ROWS, STEP, TOLERANCE = 40, 5, 20, 1e-6
 #: Documents of a unit of comparison.
-CHUNK = 1024
+CHUNK = 4096
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,9 +36,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's runs of WORDS words (white space
+    """Sorted distinct 64-bit hashes of a text's runs of WORDS words (ASCII white space
     separates words); a shorter text with a word is one shingle, others have none."""
-    data = np.frombuffer(" ".join(text.split()).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    data = np.frombuffer(b" ".join(text.encode("utf-8", "surrogatepass").split()), dtype=np.uint8)
     if not len(data):
         return np.zeros(0, dtype=np.uint64)
     space = data == 32
@@ -124,6 +125,21 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their component's pivot (signature and set) to rows told apart from it:
+    the set's symmetric difference with the pivot's and the exclusive or of the
+    signatures. Two rows differ in as many elements as their differences do, and agree
+    in a MinHash value where these agree; near copies of the pivot are told in few bytes."""
+    for batch in batches:
+        size, signature, apart = [], [], []
+        for sig, own, pivot_sig, pivot in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6))):
+            size.append(len(own) // 8)
+            signature.append((np.frombuffer(sig, dtype=np.uint32) ^ np.frombuffer(pivot_sig, dtype=np.uint32)).tobytes())
+            apart.append(np.setxor1d(np.frombuffer(own, dtype=np.uint64), np.frombuffer(pivot, dtype=np.uint64), assume_unique=True).tobytes())
+        cols = [*(batch.column(i) for i in range(3)), pa.array(size, pa.int64()), pa.array(signature, pa.binary()), pa.array(apart, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["rep", "component", "n", "size", "signature", "apart"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each unit: for each class the weight of the classes linked with it, and
     edges that keep the unit's components together."""
@@ -135,20 +151,27 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rep) < 2:
             continue
         unit = unit.take(pa.array(only))
-        weight_of, at = unit.column("n").to_numpy(), unit.column("_at").to_numpy()
+        weight_of, at, size = (unit.column(c).to_numpy() for c in ("n", "_at", "size"))
         sig = np.frombuffer(b"".join(unit.column("signature").to_pylist()), dtype=np.uint32).reshape(len(rep), -1)
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in unit.column("shingles").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        end = np.cumsum(size)
-        names, code = np.unique(np.concatenate(sets), return_inverse=True)
-        mark = np.zeros(len(names), dtype=bool)
+        apart = [np.frombuffer(s, dtype=np.uint64) for s in unit.column("apart").to_pylist()]
+        far = np.array([len(s) for s in apart])
+        begin = np.cumsum(far) - far
+        names, code = np.unique(np.concatenate(apart), return_inverse=True)
+        code = code.astype(np.int32)
+        mark = np.zeros(len(names) + 1, dtype=bool)
         i, j = unit.column("_i")[0].as_py(), unit.column("_j")[0].as_py()
-        left = np.flatnonzero(at == i)
         weight, pairs = np.zeros(len(rep), dtype=np.int64), []
-        for x in left:
-            near = np.arange(x + 1, len(rep)) if i == j else np.flatnonzero(at == j)
-            a, b = np.minimum(size[near], size[x]), np.maximum(size[near], size[x])
-            near = near[UNDER * a >= OVER * b]  # no other sizes can reach the threshold
+        order = np.argsort(size, kind="stable")  # so that the sizes in reach are a slice
+        other = order if i == j else order[at[order] == j]
+        sizes = size[other]
+        for k, x in enumerate(order):
+            if i == j:
+                low, high = k + 1, np.searchsorted(sizes, UNDER * size[x] // OVER, side="right")
+            elif at[x] == i:
+                low, high = np.searchsorted(sizes, [-(-OVER * size[x] // UNDER), UNDER * size[x] // OVER + 1])
+            else:
+                continue
+            near = other[low:high]  # no other sizes can reach the threshold
             match = np.zeros(len(near), dtype=np.int64)
             for k, least in steps:
                 if not len(near):
@@ -157,17 +180,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near, match = near[match >= least], match[match >= least]
             if not len(near):
                 continue
-            mark[code[end[x] - size[x] : end[x]]] = True
-            common = np.array([np.count_nonzero(mark[code[end[y] - size[y] : end[y]]]) for y in near])
-            mark[code[end[x] - size[x] : end[x]]] = False
-            near = near[(OVER + UNDER) * common >= OVER * (size[near] + size[x])]
+            own = code[begin[x] : begin[x] + far[x]]
+            mark[own] = True
+            told = np.append(0, np.cumsum(mark[gather(code, begin, far, near)]))
+            mark[own] = False
+            end = np.cumsum(far[near])
+            differ = far[x] + far[near] - 2 * (told[end] - told[end - far[near]])
+            both = size[near] + size[x]
+            near = near[(OVER + UNDER) * (both - differ) >= 2 * OVER * both]
             weight[x] += weight_of[near].sum()
             weight[near] += weight_of[x]
             if len(near):
-                pairs.append((np.full(len(near), x), near))
+                pairs.append((x, near))
         if not pairs:
             continue
-        root = roots(len(rep), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+        root = roots(len(rep), np.concatenate([np.full(len(y), x) for x, y in pairs]), np.concatenate([y for _, y in pairs]))
         out += [(int(rep[k]), int(rep[root[k]]) if root[k] != k else None, int(weight[k])) for k in np.flatnonzero(weight)]
         if len(out) > 10_000:
             yield _links(out)
@@ -195,13 +222,18 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     candidates = together.join(classes.select(F.col("rep").alias("node"), "n", F.col("first.doc_id").alias("_id"), F.col("first.said").alias("_said")), "node")
     candidates = materialize(candidates, "candidates")
     sets = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("said"), "text")
+        likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("said"), "text"), F.xxhash64("doc_id", "said"), candidates, F.xxhash64("_id", "_said"))
+        .where("_likely")
         .join(candidates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("said") == F.col("_said")))
         .select(F.col("node").alias("rep"), "component", "n", "text")
         .mapInArrow(_shingled, "rep long, component long, n long, signature binary, shingles binary"),
         "sets",
     )
-    found = materialize(in_units(sets, ["component"], "rep", CHUNK, "units").mapInArrow(_compare, "a long, b long, w long"), "links")
+    pivot = sets.where("rep = component").select("component", F.col("signature").alias("_sig"), F.col("shingles").alias("_set")).dropDuplicates(["component"])
+    pivot = materialize(pivot, "pivots")  # so that the join below is one that Spark can split where a component is hot
+    apart = sets.join(pivot, "component").select("rep", "component", "n", "signature", "shingles", "_sig", "_set")
+    apart = materialize(apart.mapInArrow(_apart, "rep long, component long, n long, size long, signature binary, apart binary"), "apart")
+    found = materialize(in_units(apart, ["component"], "rep", CHUNK, "units").mapInArrow(_compare, "a long, b long, w long"), "links")
     weight = found.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     joined = materialize(components(found.select("a", "b"), "links-cc"), "linked")
     least = joined.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
@@ -224,7 +256,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     values are candidates, and so are all classes these connect. Within such a
     component two classes are compared a few MinHash values at a time, dropped when the
     posterior probability of 0.8 falls below TOLERANCE, and else verified on their whole
-    sets. A large component is compared in units of two chunks; no pair becomes a row.
+    sets, which are told by their difference from one of the component. A large component
+    is compared in units of two chunks; no pair becomes a row.
     A link is lost with a probability of about 1e-6. Null texts and texts without a
     word link with nothing; shorter texts than five words link when their words are
     equal. Rows without a doc_id and rows that repeat one are documents of their own,
@@ -241,11 +274,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     where one of several stays, it is the least by a hash of all columns."""
     keys = _verdicts(docs).groupBy("doc_id", "said").agg(F.count("*").alias("_n"), F.sum(F.col("kept").cast("long")).alias("_k"))
     keys = materialize(keys.where("_k < _n").select(F.col("doc_id").alias("_id"), F.col("said").alias("_said"), (F.col("_k") > 0).alias("_one")), "gone")
-    same = docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_said"])
-    stay = docs.join(keys, same, "left_anti")
-    one = docs.join(keys.where("_one"), same).select(F.struct(*(docs[c] for c in docs.columns)).alias("_r"), "_id", "_said", F.xxhash64(*(docs[c] for c in docs.columns)).alias("_h"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_r"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"]).alias("_text"))
+    rows = likely(rows, F.xxhash64("_doc", "_text"), keys, F.xxhash64("_id", "_said"))
+    stay = rows.where("not _likely").select("_r.*")
+    rows = rows.where("_likely")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_said"))
+    other = rows.join(keys, same, "left_anti").select("_r.*")
+    one = rows.join(keys.where("_one"), same).withColumn("_h", F.xxhash64("_r"))
     one = one.groupBy("_id", "_said").agg(F.min_by("_r", "_h").alias("_r")).select("_r.*")
-    return stay.select(*docs.columns).unionByName(one)
+    return stay.unionByName(other).unionByName(one)
 
 
 def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
