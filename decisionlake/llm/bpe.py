@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import base64
-import hashlib
+import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from decisionlake.llm.common import table, texts
-from decisionlake.llm.segments import Cache, pieces
+from decisionlake.llm.common import release, table
+from decisionlake.llm.segments import assemble, gather, slices
 
 #: Token-position rows (g = word * 2^16 + position) join the merge table; each round
 #: contracts every live word's leftmost pair of minimum rank; a word without a pair
@@ -29,19 +30,18 @@ WITH RECURSIVE t(it, g, id) AS (
       SELECT x.g // 65536 AS w, min(m.m * 65536 + x.g % 65536) AS k
       FROM t x JOIN t y ON y.g = x.g + 1 JOIN merges m ON m.k = x.id * 65536 + y.id GROUP BY 1)) b
   ON t.g // 65536 = b.w WHERE g <> b.p + 1)
-SELECT t.g // 65536 AS w, string_agg(id, ',' ORDER BY g) AS ids
+SELECT t.g // 65536 AS w, id
 FROM t JOIN (SELECT g // 65536 AS w, max(it) AS last FROM t GROUP BY 1) f ON f.w = t.g // 65536 AND it = f.last
-GROUP BY 1 ORDER BY 1
+ORDER BY g
 """
-#: Ordered aggregation: each word's token bytes (a character for a byte) by position.
-_DECODE = """
-SELECT w, string_agg(v.said, '' ORDER BY pos) AS said FROM (
-  SELECT w, generate_subscripts(a, 1) AS pos, unnest(a)::BIGINT AS id FROM (SELECT w, string_split(ids, ',') AS a FROM coded))
-JOIN vocab v USING (id) GROUP BY w ORDER BY w
-"""
-#: Positions share a long with the word's number; longer words go through in one
-#: database each round, see Bpe._long.
-_MAX_WORD = 1024
+#: Ordered aggregation: the bytes (a character for a byte) of each run of ids by position.
+_DECODE = "SELECT run, string_agg(said, '' ORDER BY pos) AS said FROM coded JOIN vocab USING (id) GROUP BY run ORDER BY run"
+#: Bytes of the longest word that the recursive query contracts: all rounds of a word
+#: stay until its end, so rows grow with the square of its length. Longer words are
+#: contracted by the same rule on a heap.
+LONGEST = 256
+#: Rows that the rounds of a query's words come to at most, and ids decoded at a time.
+_ROWS, _IDS = 2 << 20, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,10 +52,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encoder and decoder over a rank file; holds the merge table in DuckDB."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "200MB") -> None:
+    def __init__(self, path: str, pattern: str, memory: str = "256MB") -> None:
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        # queries are bounded by rows, so that none spills; without a folder none could
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         pair: dict[int, int] = {}
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -65,35 +66,38 @@ class Bpe:
         self._load("merges", k=list(pair), m=list(pair.values()))
         self._load("vocab", id=list(self.ranks.values()), said=[t.decode("latin-1") for t in self.ranks])
         self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.changed: dict[str, bytes] = {}
-        self.words: Cache = Cache(300_000)
-        self.segments: Cache = Cache(300_000)
 
     def _load(self, name: str, **cols: list) -> None:
         self.con.register("incoming", pa.table(cols))
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def contract(self, words: list[bytes]) -> list[str]:
-        """Token ids, joined by commas, of each word (none empty) by the recursive query."""
-        out: list[str] = []
-        for at in range(0, len(words), 40_000):
-            part = words[at : at + 40_000]
-            size = np.array([len(w) for w in part])
-            flat = np.frombuffer(b"".join(part), dtype=np.uint8)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            self.con.register("init", pa.table({"w": np.repeat(np.arange(len(part)), size), "pos": pos, "id": self.bytes_id[flat]}))
-            out += self.con.execute(_CONTRACT).fetchnumpy()["ids"].tolist()
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, begin, size): token ids of each word (none empty) by the recursive query:
+        words of similar length together, as many as keep the rows of all rounds below _ROWS."""
+        length = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(length, kind="stable")
+        rows = np.cumsum(length[order] ** 2)
+        begin, size = np.zeros((2, len(words)), dtype=np.int64)
+        pool, at, done = [np.zeros(0, np.int64)], 0, 0
+        while at < len(order):
+            end = max(at + 1, int(np.searchsorted(rows, (rows[at - 1] if at else 0) + _ROWS)))
+            here = order[at:end]
+            flat = np.frombuffer(b"".join([words[i] for i in here.tolist()]), dtype=np.uint8)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(length[here]) - length[here], length[here])
+            self.con.register("init", pa.table({"w": np.repeat(np.arange(len(here)), length[here]), "pos": pos, "id": self.bytes_id[flat]}))
+            got = self.con.execute(_CONTRACT).fetchnumpy()
             self.con.unregister("init")
-        return out
-
-    def _long(self, word: bytes) -> list[int]:
-        """A word of any length: the same contraction, one pair at a time, on a heap;
-        row by row the recursive query would copy a long word once for each pair."""
-        import heapq
-
+            size[here] = np.bincount(got["w"], minlength=len(here))
+            begin[here] = done + np.cumsum(size[here]) - size[here]
+            pool.append(got["id"])
+            at, done = end, done + len(got["id"])
+        return np.concatenate(pool), begin, size
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """A word of any length: the leftmost pair of minimum rank, one at a time, on a heap."""
         ids = [self.ranks[bytes([b])] for b in word]
-        part = [bytes([b]) for b in word]
+        part: list[bytes | None] = [bytes([b]) for b in word]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(r, i, 2) for i in range(len(ids) - 1) if (r := self.ranks.get(part[i] + part[i + 1])) is not None]
         heapq.heapify(heap)
@@ -109,107 +113,113 @@ class Bpe:
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < len(ids) and (r := self.ranks.get(part[a] + part[b])) is not None:
                     heapq.heappush(heap, (r, a, len(part[a]) + len(part[b])))
-        return [k for k, p in zip(ids, part) if p is not None]
-
-    def decode(self, sequences: list[str]) -> list[bytes]:
-        """Bytes of each sequence of ids, joined by commas (none empty)."""
-        out: list[bytes] = []
-        for at in range(0, len(sequences), 40_000):
-            part = sequences[at : at + 40_000]
-            self.con.register("coded", pa.table({"w": np.arange(len(part)), "ids": part}))
-            out += [said.encode("latin-1") for said in self.con.execute(_DECODE).fetchnumpy()["said"].tolist()]
+        return np.array([k for k, p in zip(ids, part) if p is not None], dtype=np.int64)
+
+    def spell(self, stems: list[str], strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, one after another, and their numbers: of each stem after a space, which is
+        a word, and of each string, cut to words by the pattern; each distinct word once.
+        A word that is a token is that token."""
+        cut = [self.pattern.findall(s) for s in strings]
+        code = {" " + s: i for i, s in enumerate(stems)}
+        of = np.array([*range(len(stems)), *(code.setdefault(w, len(code)) for ws in cut for w in ws)], dtype=np.int64)
+        raw = [w.encode("utf-8", "surrogatepass") for w in code]
+        known = np.array([self.ranks.get(w, -1) for w in raw], dtype=np.int64)
+        length = np.array([len(w) for w in raw], dtype=np.int64)
+        ask, long = np.flatnonzero((known < 0) & (length <= LONGEST)), np.flatnonzero((known < 0) & (length > LONGEST))
+        pool, begin, size = known, np.arange(len(known)), np.ones(len(known), dtype=np.int64)
+        more, first, size[ask] = self.contract([raw[i] for i in ask.tolist()])
+        begin[ask] = len(pool) + first
+        alone = [self._long(raw[i]) for i in long.tolist()]
+        size[long] = [len(x) for x in alone]
+        begin[long] = len(pool) + len(more) + np.cumsum(size[long]) - size[long]
+        words = np.array([1] * len(stems) + [len(ws) for ws in cut], dtype=np.int64)
+        each = np.append(0, np.cumsum(size[of]))
+        end = np.cumsum(words)
+        return gather(np.concatenate([pool, more, *alone]), begin, size, of), each[end] - each[end - words]
+
+    def encode(self, said: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and their numbers."""
+        return assemble(said, self.spell, [])
+
+    def decode(self, ids: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The bytes of each sequence of ids (given one after another, with their numbers);
+        a long sequence is decoded in runs."""
+        of = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+        new = np.append(True, (of[1:] != of[:-1]) | (pos[1:] % _IDS == 0)) if len(ids) else np.zeros(0, bool)
+        run = np.cumsum(new) - 1
+        head = np.flatnonzero(new)
+        said: list[bytes] = []
+        at = 0
+        while at < len(head):
+            end = max(at + 1, int(np.searchsorted(head, head[at] + _IDS, side="right")) - 1)
+            here = slice(int(head[at]), int(head[end]) if end < len(head) else len(ids))
+            self.con.register("coded", pa.table({"run": run[here], "pos": pos[here], "id": ids[here]}))
+            got = self.con.execute(_DECODE).fetchnumpy()
             self.con.unregister("coded")
+            if len(got["run"]) != end - at:
+                raise ValueError("an id is not in the vocabulary")
+            said += [x.encode("latin-1") for x in got["said"]]
+            at = end
+        out = [b""] * len(size)
+        for i, x in zip(of[head].tolist(), said):
+            out[i] = out[i] + x if out[i] else x
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words not yet known, decode them again, and keep the decoded
-        bytes of those whose bytes did not come back."""
-        lack = list(self.words.missing(words))
-        raw = [w.encode("utf-8") for w in lack]
-        ids: list = [str(r) if (r := self.ranks.get(w)) is not None else None for w in raw]
-        ask = [i for i, x in enumerate(ids) if x is None and len(raw[i]) <= _MAX_WORD]
-        for i, x in zip(ask, self.contract([raw[i] for i in ask])):
-            ids[i] = x
-        for i, x in enumerate(ids):
-            if x is None:
-                ids[i] = ",".join(map(str, self._long(raw[i])))
-        for word, before, after in zip(lack, raw, self.decode(ids)):
-            if before != after:
-                self.changed[word] = after
-        self.words.update(zip(lack, ids))
-
-    def prepare(self, batch: list[list[str]]) -> None:
-        """Make every piece of these texts known; pieces after the first stand after a space."""
-        self.words.age()
-        self.segments.age()
-        lack = self.segments.missing(set(chain.from_iterable(p[1:] for p in batch)))
-        split = {s: self.pattern.findall(" " + s) for s in lack}
-        words = {w for ws in split.values() for w in ws}
-        words.update(w for p in batch for w in self.pattern.findall(p[0]))
-        self.learn(words)
-        known = self.words.__getitem__
-        for s, ws in split.items():
-            self.segments[s] = ",".join(map(known, ws))
-
-    def document(self, parts: list[str]) -> tuple[int, str, bytes]:
-        """(number of ids, ids joined by commas, decoded bytes) of a prepared text: the
-        run of its words' ids, and of their decoded bytes."""
-        first = [self.words[w] for w in self.pattern.findall(parts[0])]
-        ids = ",".join([*first, *map(self.segments.__getitem__, parts[1:])])
-        said = " ".join(parts)
-        if self.changed:
-            back = b"".join(self.changed.get(w, w.encode("utf-8")) for w in self.pattern.findall(said))
-        else:
-            back = said.encode("utf-8")
-        return ids.count(",") + 1 if ids else 0, ids, back
-
-    def encode(self, text: str) -> list[int]:
-        parts = pieces(text)
-        self.prepare([parts])
-        ids = self.document(parts)[1]
-        return [int(i) for i in ids.split(",")] if ids else []
-
 
 _WORKER: dict[tuple[str, str], Bpe] = {}
 
 
 def worker(path: str, pattern: str) -> Bpe:
-    """One encoder for each Python worker, kept between its tasks."""
+    """One encoder for each Python worker, kept between its tasks: of a fixed size."""
     if (path, pattern) not in _WORKER:
         _WORKER[path, pattern] = Bpe(path, pattern)
     return _WORKER[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode and decode (doc_id, text) row by row, without a shuffle.
+    """(doc_id, text) to (doc_id, ids: array of int), row by row, without a shuffle.
 
-    Each distinct word of a batch is contracted once by the recursive query and its ids
-    are decoded once by ordered aggregation; a document's ids and decoded bytes are the
-    run of its words' (decoded bytes are kept only where they differ from the word). Words
-    known as whole tokens are taken as such, as the tiktoken library does. Null texts
-    are empty: no ids, digests of nothing. Repeated rows each give a row.
+    Each distinct word of a slice of rows is contracted once by the recursive query
+    (words over LONGEST bytes on a heap by the same rule); words known as whole tokens are
+    taken as such, as the tiktoken library does. Null texts are empty: no ids. Repeated
+    rows each give a row; an empty table none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        bpe = worker(path, pattern)
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids, n = bpe.encode(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode_documents(coded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids) with ``decoded``, the bytes of the ids by ordered aggregation over
+    their positions. Null ids are empty; an id that is not in the vocabulary is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bpe = worker(path, pattern)
         for batch in batches:
-            cut = [pieces(t) for t in texts(batch)]
-            rows = []
-            for at in range(0, len(cut), 5000):
-                bpe.prepare(cut[at : at + 5000])
-                for n, ids, back in map(bpe.document, cut[at : at + 5000]):
-                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
-            n, ids, back = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            ids = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
+            said = bpe.decode(ids.flatten().to_numpy(), pc.list_value_length(ids).to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def op7_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through the multilingual ranks and back."""
     import public_tokenizers
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), *how), *how)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
