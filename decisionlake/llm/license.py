@@ -26,79 +26,95 @@ MORE = {
     "public domain": "public-domain",
     "licensed under the apache license": "apache-2",
 }
-#: What a licence id allows, 0 nothing to 1 anything (fixed values); others get 0.5.
+#: What a licence allows, 0 nothing to 1 anything (fixed values); others get OTHER.
 GRANT = {
-    "mit": 1.0, "apache-2": 0.95, "bsd": 1.0, "isc": 1.0, "public-domain": 1.0, "cc0": 1.0, "unlicense": 1.0, "cc-by": 0.9,
-    "mpl": 0.7, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "all-rights-reserved": 0.0,
+    "mit": 1.0, "apache-2": 0.95, "apache-1": 0.9, "bsd": 1.0, "isc": 1.0, "zlib": 1.0, "bsl": 1.0, "public-domain": 1.0, "cc0": 1.0, "unlicense": 1.0,
+    "python": 0.95, "artistic": 0.8, "cc-by": 0.9, "cc-by-sa": 0.6, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2,
+    "all-rights-reserved": 0.0,
+}
+OTHER = 0.5
+#: Tags before a licence expression, and the ids that are known with their families,
+#: each at the begin of an id, longest first (fixed values).
+TAGS = ("spdx-license-identifier:", "license-expression:")
+FAMILIES = {
+    "all-rights-reserved": "all-rights-reserved", "public-domain": "public-domain", "apache-2": "apache-2", "apache-1": "apache-1", "artistic": "artistic",
+    "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "cc0": "cc0", "unlicense": "unlicense", "python": "python", "psf": "python",
+    "apache": "apache-2", "0bsd": "bsd", "bsd": "bsd", "bsl": "bsl", "zlib": "zlib", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "mpl": "mpl", "epl": "epl",
+    "mit": "mit", "x11": "mit", "isc": "isc",
 }
-TAG = "spdx license identifier"
 _TABLE = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
-_IN_TEXT = re.compile(r"spdx-license-identifier:", re.I)
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _LINE = re.compile(r"[^\r\n]*")
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
-_RANK = {"or": 1, "and": 2, "with": 3}
+_TOKEN = re.compile(r"[()/]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_KNOWN = re.compile(f"({'|'.join(map(re.escape, FAMILIES))})(?![a-z])")
+#: Ids of licences that are not known: references of one's own, or a name with a number.
+_SHAPED = re.compile(r"(licenseref|documentref)-|[a-z][a-z0-9.]*-[a-z0-9.+-]*[0-9]")
+_RANK = {"or": 1, "/": 1, "and": 2, "with": 3}
+
+
+def family(name: str) -> str | None:
+    """The family of a known licence id (mit, apache-2, gpl, ...), else null."""
+    found = _KNOWN.match(name.lower())
+    return FAMILIES[found[1]] if found else None
 
 
-def family(name: str) -> str:
-    """A licence id without its version: mit, apache-2, gpl, ..."""
-    name = name.lower().rstrip("+")
-    if name.startswith("apache"):
-        return "apache-2"
-    for head in ("cc-by-nc", "cc-by", "cc0", "agpl", "lgpl", "gpl", "mpl", "bsd"):
-        if name.startswith(head):
-            return head
-    return name
+def operand(token: str, after: str | None) -> bool:
+    """Whether a token can be a licence, or after ``with`` an exception."""
+    low = token.lower()
+    if after == "with":
+        return "-" in low
+    return family(low) is not None or _SHAPED.match(low) is not None
 
 
 def postfix(expression: str) -> list[str]:
     """Shunting-yard: a licence expression in postfix order; ``with`` binds closest,
-    then ``and``, then ``or``. Reading stops at the first token that cannot follow
-    (prose after the expression); unbalanced brackets close at the end."""
+    then ``and``, then ``or``, which a slash also says. Reading stops at the first token
+    that cannot follow (prose after the expression); an operator without its right side
+    is dropped, and brackets that are left open close at the end."""
     out: list[str] = []
     ops: list[str] = []
-    operand = False
+    whole = False  # whether what is read so far ends in an operand
     for found in _TOKEN.finditer(expression):
         token = found[0]
         low = token.lower()
         if token == "(":
-            if operand:
+            if whole:
                 break
             ops.append(token)
         elif token == ")":
-            if not operand:
+            if not whole:
                 break
             while ops and ops[-1] != "(":
                 out.append(ops.pop())
             if ops:
                 ops.pop()
         elif low in _RANK:
-            if not operand:
+            if not whole:
                 break
             while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[low]:
                 out.append(ops.pop())
-            ops.append(low)
-            operand = False
+            ops.append("or" if low == "/" else low)
+            whole = False
         else:
-            if operand:
+            if whole or not operand(token, ops[-1] if ops else None):
                 break
             out.append(token)
-            operand = True
-    if not operand and ops and ops[-1] in _RANK:  # an operator without its right side
-        ops.pop()
+            whole = True
+    while ops and not whole:
+        whole = ops.pop() != "("
     out += [op for op in reversed(ops) if op != "("]
     return out
 
 
 def evaluate(post: list[str]) -> tuple[float, set[str]] | None:
     """(grant, labels): ``and`` takes the stricter side, ``or`` the freer one, an
-    exception after ``with`` loosens its licence by a tenth. None if nothing parses."""
+    exception after ``with`` loosens its licence by a tenth. Licences that are not known
+    give no label. None if there is no licence."""
     stack: list[tuple[float, set[str]]] = []
     for token in post:
         if token in _RANK:
-            if len(stack) < 2:
-                return None
             (y, b), (x, a) = stack.pop(), stack.pop()
             if token == "with":
                 stack.append((min(1.0, x + 0.1), a))
@@ -109,43 +125,44 @@ def evaluate(post: list[str]) -> tuple[float, set[str]] | None:
             stack.append((min(x, y) if token == "and" else max(x, y), a))
         else:
             name = family(token)
-            stack.append((GRANT.get(name, 0.5), {name}))
+            stack.append((GRANT[name], {name}) if name else (OTHER, set()))
     return stack[-1] if stack else None
 
 
-def _automaton() -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
+def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    """Of phrases, over words with single spaces; of tags, over lower-cased texts."""
+    phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for phrase, label in {**MORE, **BASE}.items():
-        found.add_word(f" {phrase} ", (len(phrase) + 1, label, phrase in BASE))
-    found.add_word(f" {TAG} ", (0, "", False))
-    found.make_automaton()
-    return found
+        phrases.add_word(f" {phrase} ", (len(phrase) + 1, label, phrase in BASE))
+    for tag in TAGS:
+        tags.add_word(tag, len(tag))
+    phrases.make_automaton()
+    tags.make_automaton()
+    return phrases, tags
 
 
-def scan(text: str, automaton: ahocorasick.Automaton) -> tuple:
+def scan(text: str, automata: tuple[ahocorasick.Automaton, ahocorasick.Automaton]) -> tuple:
     """n_words, n_base, first_word, last_word, base labels, labels, score of a text."""
-    words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    phrases, tags = automata
+    data = text.encode("utf-8", "surrogatepass")
+    words = data.translate(_TABLE).split()
     line = " " + b" ".join(words).decode("latin-1") + " "
     places: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
     grants: list[float] = []
-    tagged = False
-    for end, (back, label, is_base) in automaton.iter(line):
-        if not label:
-            tagged = True
-            continue
+    for end, (back, label, is_base) in phrases.iter(line):
         labels.add(label)
-        grants.append(GRANT.get(label, 0.5))
+        grants.append(GRANT[label])
         if is_base:
             base.add(label)
             places.append(end - back)
-    if tagged:
-        tags = [m.span() for m in _IN_TEXT.finditer(text)]
-        for (_, at), (upto, _) in zip(tags, [*tags[1:], (len(text), 0)]):  # to the end of the line or the next tag
-            if got := evaluate(postfix(_LINE.match(text, at, upto)[0])):
-                grants.append(got[0])
-                labels |= got[1]
+    said = data.translate(_LOWER).decode("latin-1")
+    found = [(end + 1 - size, end + 1) for end, size in tags.iter(said)]
+    for (_, at), (upto, _) in zip(found, [*found[1:], (len(said), 0)]):  # to the end of the line or the next tag
+        if got := evaluate(postfix(_LINE.match(said, at, upto)[0])):
+            grants.append(got[0])
+            labels |= got[1]
     first = line.count(" ", 0, min(places)) if places else None
     last = line.count(" ", 0, max(places)) if places else None
     return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(grants, default=0.0)
@@ -159,15 +176,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are runs of digits, letters and non-ASCII characters after A-Z are lowered.
     n_base counts all places of base phrases, overlapping ones too. labels also holds
-    the method's own phrases and the ids in SPDX expressions; score is the strictest
+    the method's own phrases and the known ids in licence expressions after a tag, both
+    found by Aho-Corasick; an expression ends with its line or before the next tag; score is the strictest
     grant among what was found (0 where nothing was). Null texts are empty: no words,
     null places, empty labels. Repeated rows each give a row; an empty table none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton()
+        automata = _automata()
         for batch in batches:
-            cols = list(zip(*(scan(t, automaton) for t in texts(batch)))) or [()] * 7
+            cols = list(zip(*(scan(t, automata) for t in texts(batch)))) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), *(pa.array(list(c), k) for c, k in zip(cols, kinds))],
