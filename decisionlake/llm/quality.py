@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from decisionlake.llm.common import materialize, table
 
-#: Share of a group's rows that the determinant is minimised over, concentration
-#: steps, rows a group needs for an estimate of its own, squared distance beyond
-#: which a row is rejected.
-SHARE, STEPS, GROUP, CUTOFF = 0.75, 5, 100, 50.0
+#: Share of a group's rows that the determinant is minimised over, concentration steps
+#: at most, the change of the log determinant that ends them, rows a group needs for an
+#: estimate of its own, and squared distance beyond which a row is rejected.
+SHARE, STEPS, SETTLED, GROUP, CUTOFF = 0.75, 12, 1e-4, 10, 50.0
+#: Rows that the language's scales count in a group's shape (the regularised form of
+#: the estimate): small groups lean on them, in large ones they vanish.
+WEIGHT = 20
 #: Added to the variances: most documents have no symbol and no repeated window at
 #: all, so that the inner rows alone would have no spread there.
 RIDGE = (0.05, 0.02, 0.09, 0.0025)
@@ -71,13 +74,17 @@ def _distance(shape: str = "") -> str:
 
 
 def _whitened(moments: DataFrame, scale: float) -> DataFrame:
-    """(_group, _n, sums) to means ``_m`` and the inverse Cholesky factor ``_k`` of the
-    covariance, column by column."""
-    p = moments.selectExpr("_group", *(f"_s{i} / _n as _m{i}" for i in range(DIMS)), *(f"_q{i}{j} / _n as _e{i}{j}" for i, j in _PAIRS))
-    p = p.selectExpr(
-        "_group", *(f"_m{i}" for i in range(DIMS)),
-        *(f"{scale} * {'greatest(0, ' if i == j else '('}_e{i}{j} - _m{i} * _m{j})" + (f" + {RIDGE[i]}" if i == j else "") + f" as _c{i}{j}" for i, j in _PAIRS),
-    )
+    """moments (_n, sums, the language's variances ``_t``) with means ``_m``, the inverse
+    Cholesky factor ``_k`` of the covariance, column by column, and its log determinant."""
+    keep = moments.columns
+    p = moments.selectExpr("*", *(f"_s{i} / _n as _m{i}" for i in range(DIMS)), *(f"_q{i}{j} / _n as _e{i}{j}" for i, j in _PAIRS))
+
+    def covariance(i: int, j: int) -> str:
+        if i != j:
+            return f"_n * {scale} * (_e{i}{j} - _m{i} * _m{j}) / (_n + {WEIGHT})"
+        return f"(_n * {scale} * greatest(0, _e{i}{i} - _m{i} * _m{i}) + {WEIGHT} * _t{i}) / (_n + {WEIGHT}) + {RIDGE[i]}"
+
+    p = p.selectExpr(*keep, *(f"_m{i}" for i in range(DIMS)), *(f"{covariance(i, j)} as _c{i}{j}" for i, j in _PAIRS))
     for j in range(DIMS):
         p = p.withColumn(f"_l{j}{j}", F.expr(f"sqrt(greatest({RIDGE[j]} / 10, _c{j}{j}" + "".join(f" - pow(_l{j}{k}, 2)" for k in range(j)) + "))"))
         for i in range(j + 1, DIMS):
@@ -86,13 +93,16 @@ def _whitened(moments: DataFrame, scale: float) -> DataFrame:
         p = p.withColumn(f"_k{j}{j}", F.expr(f"1 / _l{j}{j}"))
         for i in range(j + 1, DIMS):
             p = p.withColumn(f"_k{i}{j}", F.expr("-(" + " + ".join(f"_l{i}{k} * _k{k}{j}" for k in range(j, i)) + f") / _l{i}{i}"))
-    return p.selectExpr("_group", *(f"_m{i}" for i in range(DIMS)), *(f"_k{i}{j}" for i, j in _PAIRS))
+    determinant = F.expr("2 * (" + " + ".join(f"ln(_l{j}{j})" for j in range(DIMS)) + ")").alias("_logdet")
+    return p.select(*keep, *_MODEL, determinant)
 
 
 def _sums() -> list:
     return [F.count("*").alias("_n"), *(F.sum(x).alias(f"_s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"_q{i}{j}") for i, j in _PAIRS)]
 
 
+_MODEL = [*(f"_m{i}" for i in range(DIMS)), *(f"_k{i}{j}" for i, j in _PAIRS)]
+_TARGET = [f"_t{i}" for i in range(DIMS)]
 _TOTALS = ["_n", *(f"_s{i}" for i in range(DIMS)), *(f"_q{i}{j}" for i, j in _PAIRS)]
 
 
@@ -119,7 +129,7 @@ def groups(narrow: DataFrame) -> DataFrame:
 
 
 def attach(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with ``small`` (written before, a row a key). Counted: up to SMALL
+    """rows joined with ``small`` (written before, few rows a key). Counted: up to SMALL
     rows it is broadcast; beyond that each of its rows is repeated a salt, so that the
     rows of a hot key meet it in SALTS tasks and sums over them are combined first."""
     if small.count() <= SMALL:
@@ -129,24 +139,53 @@ def attach(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner
     return salted.join(each, [*keys, "_salt"], how).drop("_salt")
 
 
+def _quartiles(narrow: DataFrame, key: str) -> DataFrame:
+    """Medians ``_d`` and variances ``_v`` as the quartiles of a normal distribution tell them, of each key."""
+    q = narrow.groupBy(key).agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_q{i}") for i, x in enumerate(_X)))
+    return q.select(key, *(F.col(f"_q{i}")[1].alias(f"_d{i}") for i in range(DIMS)), *(F.pow((F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) / 1.349, 2).alias(f"_v{i}") for i in range(DIMS)))
+
+
+def starts(narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets, models): each _group with its language's variances, and with the three
+    estimates that concentration starts from: the plain one, medians with the group's own
+    quartile scales, and medians with the language's."""
+    scales = _quartiles(narrow, "_lang").select("_lang", *(F.col(f"_v{i}").alias(f"_t{i}") for i in range(DIMS)))
+    totals = narrow.groupBy("_group", "_lang").agg(*_sums()).join(F.broadcast(scales) if scales.count() <= SMALL else scales, "_lang")
+    totals = materialize(totals.drop("_lang"), "targets")
+    plain = _whitened(totals, 1.0).select("_group", F.lit(0).alias("_start"), *_MODEL, "_logdet")
+    spread = _quartiles(narrow, "_group").join(totals.select("_group", "_n", *_TARGET), "_group")
+    models = plain
+    for start, variance in ((1, f"(_n * _v{{0}} + {WEIGHT} * _t{{0}}) / (_n + {WEIGHT})"), (2, "_t{0}")):
+        k = [f"1 / sqrt({variance.format(i)} + {RIDGE[i]}) as _k{i}{j}" if i == j else f"0.0D as _k{i}{j}" for i, j in _PAIRS]
+        models = models.unionByName(spread.selectExpr("_group", f"{start} as _start", *(f"_d{i} as _m{i}" for i in range(DIMS)), *k, "cast(null as double) as _logdet"))
+    return totals.select("_group", *_TARGET), materialize(models, "mcd")
+
+
 def estimates(narrow: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant location and shape of each _group of narrow
-    (_group, _x0..). Concentration steps from the plain estimate: each counts a group's
-    rows by their squared distance on a logarithmic scale, with the sums a covariance
-    needs, keeps the nearest rows up to SHARE (to the end of a step of the scale), and
-    estimates from them again. A step is one aggregation; a group of any size is
-    summed by all tasks, and its steps of the scale are bounded in number."""
-    now = materialize(_whitened(narrow.groupBy("_group").agg(*_sums()), 1.0), "mcd")
-    for step in range(STEPS):
-        near = attach(narrow, now, ["_group"]).withColumn("_at", F.expr(f"cast(floor({_FINE} * ln(1e-6 + {_distance()})) as int)"))
-        near = near.groupBy("_group", "_at").agg(*_sums())
+    (_group, _lang, _x0..), the shape regularised by the language's variances.
+
+    From each of the starts, concentration steps: a step counts a group's rows by their
+    squared distance on a logarithmic scale, with the sums a covariance needs, keeps the
+    nearest rows up to SHARE (to the end of a step of the scale), and estimates from them
+    again, until no log determinant moves by SETTLED or STEPS are done. Of a group's
+    results that of the least determinant is taken. A step is one aggregation; a group
+    of any size is summed by all tasks, and its steps of the scale are bounded in number."""
+    target, now = starts(narrow)
+    for _ in range(STEPS):
+        near = attach(narrow, now.select("_group", "_start", *_MODEL), ["_group"]).withColumn("_at", F.expr(f"cast(floor({_FINE} * ln(1e-6 + {_distance()})) as int)"))
+        near = near.groupBy("_group", "_start", "_at").agg(*_sums())
         near = near.selectExpr(
-            "*", "sum(_n) over (partition by _group) as _all",
-            "coalesce(sum(_n) over (partition by _group order by _at rows between unbounded preceding and 1 preceding), 0) as _before",
+            "*", "sum(_n) over (partition by _group, _start) as _all",
+            "coalesce(sum(_n) over (partition by _group, _start order by _at rows between unbounded preceding and 1 preceding), 0) as _before",
         ).where(f"_before < {SHARE} * _all")
-        inner = near.groupBy("_group").agg(*(F.sum(c).alias(c) for c in _TOTALS))
-        now = materialize(_whitened(inner, CONSISTENT if step == STEPS - 1 else 1.0), "mcd")
-    return now
+        inner = near.groupBy("_group", "_start").agg(*(F.sum(c).alias(c) for c in _TOTALS)).join(target, "_group")
+        before, now = now.select("_group", "_start", F.col("_logdet").alias("_old")), materialize(_whitened(inner, 1.0), "mcd")
+        moved = now.join(before, ["_group", "_start"]).where(f"_old is null or abs(_logdet - _old) >= {SETTLED}")
+        if moved.isEmpty():
+            break
+    best = now.groupBy("_group").agg(F.min_by(F.struct(*_TOTALS, *_TARGET), F.struct("_logdet", "_start")).alias("_best")).select("_group", "_best.*")
+    return materialize(_whitened(best, CONSISTENT).select("_group", *_MODEL), "mcd")
 
 
 def _judged(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -165,7 +204,7 @@ def _judged(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str]
     d = materialize(with_statistics(d).drop("text"), "stats")
     good = d.where("not base_failed").select("_lang", "_source", *_X)
     where = groups(good)
-    model = estimates(attach(good, where, ["_lang", "_source"]).select("_group", *_X))
+    model = estimates(materialize(attach(good, where, ["_lang", "_source"]).select("_group", "_lang", *_X), "vectors"))
     rules = materialize(where.join(model, "_group").drop("_group"), "rules")
     scored = attach(d, rules, ["_lang", "_source"], "left").withColumn("_d2", F.expr(_distance()))
     verdict = F.expr(f"not base_failed and coalesce(_d2, 0) <= {CUTOFF}").alias("kept")
