@@ -4,8 +4,8 @@ iterative interleave refinement.
 Only places that can repeat are sorted. Every run of 100 bytes holds an anchor, the
 least of its 32-byte strings by a hash; the runs of one anchor are a cell. Equal runs
 have equal anchors at equal places, so cells whose anchor string occurs once hold
-nothing that repeats, cells that are equal as a whole repeat as a whole, and what is
-left, different cells around an equal anchor, goes through the transforms. Where very many
+nothing that repeats, cells that are equal as a whole (by 128 bits of their bytes) repeat
+as a whole, and what is left, different cells around an equal anchor, goes through the transforms. Where very many
 differ around one anchor, their runs are told apart by digests, over all tasks.
 """
 
@@ -33,12 +33,13 @@ HOT, RUNS = 4096, 1 << 17
 
 _RANDOM = np.random.default_rng(19940510)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = 0xD6E8FEB86659FD93
+_OTHER = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_P, _Q = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 _DONE = 1 << 62
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(_P, n, 1 << 64))
+def _power(n: int, base: int = _P) -> np.uint64:
+    return np.uint64(pow(base, n, 1 << 64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -48,11 +49,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def cells(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first run, number of runs, anchor hash, hash of all its bytes) of each cell of
-    texts joined in ``data``, of these sizes; no run crosses a text."""
+    """(first run, number of runs, anchor hash, two hashes of all its bytes) of each cell of
+    texts joined in ``data``, of these sizes; no run crosses a text. The two hashes are
+    polynomials of bases and byte values of their own, 128 bits together: cells that
+    agree in both are taken as equal."""
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 3
     h, size = _BYTE[data], 1
     while size < ANCHOR:
         h = h[:-size] * _power(size) + h[size:]
@@ -73,11 +76,17 @@ def cells(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new & fits)
     runs = np.append(new[1:] | ~fits[1:], True)
     last = np.flatnonzero(runs & fits)
-    whole = np.zeros(len(first), dtype=np.uint64)
-    for place in (first, first + 36, last, last + 36):  # 64 bytes each: all of a cell
-        whole = _mix(whole * _power(1) + g[place])
-    whole = _mix(whole + (last - first).astype(np.uint64) * _power(3) + (at[first] - first).astype(np.uint64))
-    return first, last - first + 1, anchor[at[first]], whole
+    h, size = _OTHER[data], 1
+    while size < 64:
+        h = h[:-size] * _power(size, _Q) + h[size:]
+        size *= 2
+    wholes = []
+    for hashed, base in ((g, _P), (h, _Q)):
+        whole = np.zeros(len(first), dtype=np.uint64)
+        for place in (first, first + 36, last, last + 36):  # 64 bytes each: all of a cell
+            whole = _mix(whole * _power(1, base) + hashed[place])
+        wholes.append(_mix(whole + (last - first).astype(np.uint64) * _power(3, base) + (at[first] - first).astype(np.uint64)))
+    return first, last - first + 1, anchor[at[first]], *wholes
 
 
 def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -85,27 +94,27 @@ def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, whole, doc, sub, place) of cells. Of equal cells in a buffer the first goes
+    """Rows (key, whole, more, doc, sub, place) of cells. Of equal cells in a buffer the first goes
     on; the others are marked as done, so that a cell that very many documents share
     comes to the shuffle once a buffer."""
 
     def emit(docs: list[tuple[int, int]], parts: list[bytes], starts: list[int]) -> pa.RecordBatch:
         data, sizes = np.frombuffer(b"".join(parts), dtype=np.uint8), np.array([len(p) for p in parts])
-        first, n, key, whole = cells(data, sizes)
+        first, n, key, whole, more = cells(data, sizes)
         of = np.searchsorted(np.cumsum(sizes), first, side="right")
         start = first - (np.cumsum(sizes) - sizes)[of] + np.array(starts, dtype=np.int64)[of]
         doc, sub = np.array(docs, dtype=np.int64)[of].T
         place = _pack(start, n)
-        order = np.lexsort((place, sub, doc, whole))
-        doc, sub, place, key, whole = doc[order], sub[order], place[order], key[order].copy(), whole[order]
+        order = np.lexsort((place, sub, doc, more, whole))
+        doc, sub, place, key, whole, more = doc[order], sub[order], place[order], key[order].copy(), whole[order], more[order]
         later = np.zeros(len(doc), dtype=bool)
-        later[1:] = whole[1:] == whole[:-1]
+        later[1:] = (whole[1:] == whole[:-1]) & (more[1:] == more[:-1])
         head = np.maximum.accumulate(np.where(later, 0, np.arange(len(doc))))
         later &= (doc != doc[head]) | (sub != sub[head]) | (place != place[head])
         key[later] = _mix(key[later] + doc[later].astype(np.uint64) * _power(2) + sub[later].astype(np.uint64) * _power(3) + place[later].astype(np.uint64))
         place = np.where(later, place | _DONE, place)
         return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(sub), pa.array(place)], ["key", "whole", "doc", "sub", "place"]
+            [*(pa.array(x.view(np.int64)) for x in (key, whole, more)), pa.array(doc), pa.array(sub), pa.array(place)], ["key", "whole", "more", "doc", "sub", "place"]
         )
 
     release()
@@ -127,33 +136,33 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From cells sorted by key, whole, doc, sub, place: equal cells but the first (all
+    """From cells sorted by key, whole, more, doc, sub, place: equal cells but the first (all
     true), and the first of each of several different cells around one anchor. Of an
     anchor's cells before a batch only the last first one is held."""
-    held = np.zeros((5, 0), dtype=np.int64)  # the first of the equal cells that a batch ends in
-    alone, more = True, False  # whether it is still to be told; whether its key has another
+    held = np.zeros((6, 0), dtype=np.int64)  # the first of the equal cells that a batch ends in
+    alone, several = True, False  # whether it is still to be told; whether its key has another
     for batch in batches:
         if not batch.num_rows:
             continue
         begin = held.shape[1]
-        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(5)])], axis=1)
-        key, whole, doc, sub, place = rows
+        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(6)])], axis=1)
+        key, whole, more, doc, sub, place = rows
         done = place >= _DONE
         new_key = np.ones(len(key), dtype=bool)
         new_key[1:] = key[1:] != key[:-1]
         new = new_key.copy()
-        new[1:] |= whole[1:] != whole[:-1]
+        new[1:] |= (whole[1:] != whole[:-1]) | (more[1:] != more[:-1])
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         later = (doc != doc[head]) | (sub != sub[head]) | (place != place[head])
         group = np.cumsum(new_key) - 1
         count = np.bincount(group, weights=new & ~done)
-        if begin and more:
+        if begin and several:
             count[0] += 1
         out = later | done | (new & (count[group] > 1))
         if begin:
             out[0] = alone and not done[0] and count[0] > 1
         at = head[-1]
-        alone, more = count[-1] == 1, count[-1] > 1
+        alone, several = count[-1] == 1, count[-1] > 1
         held = rows[:, at : at + 1].copy()
         every, place = later | done, place & (_DONE - 1)
         yield pa.RecordBatch.from_arrays(
@@ -427,8 +436,8 @@ def _around(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame) -> DataFrame:
     """Cells that repeat as a whole (all), or whose anchor has different cells."""
-    cell = docs.select(*_key(docs), "text").mapInArrow(_cells, "key long, whole long, doc long, sub long, place long")
-    cell = cell.repartition("key").sortWithinPartitions("key", "whole", "doc", "sub", "place")
+    cell = docs.select(*_key(docs), "text").mapInArrow(_cells, "key long, whole long, more long, doc long, sub long, place long")
+    cell = cell.repartition("key").sortWithinPartitions("key", "whole", "more", "doc", "sub", "place")
     return materialize(cell.mapInArrow(_shared, "all boolean, key long, doc long, sub long, start long, n long"), "cells")
 
 
