@@ -11,6 +11,15 @@ from decisionlake.llm.common import table
 BLOCK, ROLE_END, TURN, END = "<s>", "<r>", "<t>", "</s>"
 _CONTROL = r"(s>|/s>|r>|t>)"
 _INST = r"(INST\]|/INST\])"
+#: unescape() in SQL.
+_UNESCAPE = rf"regexp_replace(regexp_replace({{}}, r'<\\(\\*){_CONTROL}', '<$1$2'), r'\[\\(\\*){_INST}', '[$1$2')"
+#: Turns whose places are found together.
+_RUN = 128
+
+
+def _runs(array: str) -> str:
+    """The begins of the runs of an array, in SQL; none of an empty one."""
+    return f"filter(sequence(0, greatest(size({array}) - 1, 0), {_RUN}), r -> r < size({array}))"
 
 
 def escape(text: Column) -> Column:
@@ -53,20 +62,34 @@ def format_conversations(rows: DataFrame) -> DataFrame:
                 x.text as text, x.role = 'assistant' as loss))"""
         ),
     )
-    ends = pieces.withColumn(
-        "q",
-        F.expr(
-            """aggregate(p, named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)),
-                (a, x) -> named_struct(
-                    'at', a.at + length(x.mark) + length(x.text),
-                    'spans', case when x.loss then array_append(a.spans, named_struct('start', a.at + length(x.mark), 'length', cast(length(x.text) as bigint)))
-                             else a.spans end)).spans"""
-        ),
-    )
+    # places by runs of turns, so that the work grows with the conversation and not with its square
+    size = "transform(p, x -> cast(length(x.mark) + length(x.text) as long))"
+    ends = pieces.withColumn("n", F.expr(f"transform({_runs('p')}, r -> slice({size}, r + 1, {_RUN}))"))
+    ends = ends.withColumn("n", F.expr(
+        """aggregate(transform(n, r -> aggregate(r, 0L, (a, x) -> a + x)), named_struct('at', 0L, 'all', cast(array() as array<bigint>)),
+            (a, x) -> named_struct('at', a.at + x, 'all', array_append(a.all, a.at))).all"""
+    ))
+    ends = ends.withColumn("q", F.expr(
+        f"""flatten(transform({_runs('p')}, (r, i) -> aggregate(slice(p, r + 1, {_RUN}),
+            named_struct('at', get(n, i), 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)),
+            (a, x) -> named_struct(
+                'at', a.at + length(x.mark) + length(x.text),
+                'spans', case when x.loss then array_append(a.spans, named_struct('start', a.at + length(x.mark), 'length', cast(length(x.text) as bigint)))
+                         else a.spans end)).spans))"""
+    ))
     formatted = F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["mark"], x["text"])), ""), F.lit(END))
     return ends.select("conv_id", formatted.alias("formatted"), F.col("q").alias("loss_spans"))
 
 
+def under_mask(formatted: str, spans: str) -> Column:
+    """The unescaped text under the spans of a formatted conversation, read run by run of
+    spans: a run's part of the text is cut out once."""
+    part = f"substring({formatted}, cast(s[0].start + 1 as int), cast(s[size(s) - 1].start + s[size(s) - 1].length - s[0].start as int))"
+    cut = "substring(part, cast(x.start - s[0].start + 1 as int), cast(x.length as int))"
+    run = f"transform(array({part}), part -> array_join(transform(s, x -> {_UNESCAPE.format(cut)}), ''))[0]"
+    return F.expr(f"array_join(transform(transform({_runs(spans)}, r -> slice({spans}, r + 1, {_RUN})), s -> {run}), '')")
+
+
 def parse_conversations(formatted: DataFrame) -> DataFrame:
     """The way back: (conv_id, formatted) to ``turns``, an array of (role, text)."""
     block = F.split(F.expr(f"substr(formatted, 1, length(formatted) - {len(END)})"), END, -1)
@@ -89,9 +112,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         for i, r in enumerate(("user", "assistant"))
     ])).alias("r")).select("r.*")
     out = parse_conversations(format_conversations(rows.unionByName(extra)))
-    under = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.withColumn("_under", under).select(
+    return out.withColumn("_under", under_mask("formatted", "loss_spans")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
