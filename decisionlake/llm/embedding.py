@@ -58,51 +58,58 @@ class Filters:
         return np.sort(first * self.words + second)
 
 
-def _decoded(classes: DataFrame, heavy: bool) -> DataFrame:
-    """A row for each vector and filter of it; heavy: with what a comparison needs."""
+def _decoded(classes: DataFrame) -> DataFrame:
+    """A row for each vector and filter of it, with what a comparison needs; vectors as
+    they came, which for single precision are half the bytes of their unit vectors."""
+    kind = _kind(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Filters] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rep, label, n = (part.column(i).to_numpy() for i in range(3))
-                vectors = [np.asarray(v, dtype=np.float64) for v in part.column(3).to_pylist()]
-                vectors = [v / np.linalg.norm(v) for v in vectors]
+                rep, group, n = (part.column(i).to_numpy() for i in range(3))
+                raw = [np.asarray(v, dtype=kind) for v in part.column(4).to_pylist()]
+                vectors = [v / np.linalg.norm(v) for v in (v.astype(np.float64) for v in raw)]
                 for dim in {len(v) for v in vectors} - made.keys():
                     made[dim] = Filters(dim)
                 lists = [made[len(v)].decode(v) for v in vectors]
                 size = np.array([len(x) for x in lists])
-                cols = [np.repeat(rep, size), np.repeat(label, size), np.repeat([len(v) for v in vectors], size), np.concatenate([*lists, np.zeros(0, np.int32)])]
-                names = ["rep", "label", "dim", "filter"]
+                cols = [np.repeat(rep, size), np.repeat(group, size), np.repeat([len(v) for v in vectors], size), np.concatenate([*lists, np.zeros(0, np.int32)])]
+                names = ["rep", "group", "dim", "filter"]
                 cols = [pa.array(c, pa.int64()) for c in cols]
-                if heavy:
-                    who = np.repeat(np.arange(len(lists)), size)
-                    cols += [
-                        pa.array(np.repeat(n, size), pa.int64()),
-                        pa.array([v.tobytes() for v in vectors], pa.binary()).take(pa.array(who)),
-                        pa.array([x.tobytes() for x in lists], pa.binary()).take(pa.array(who)),
-                    ]
-                    names += ["n", "unit", "filters"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                who = pa.array(np.repeat(np.arange(len(lists)), size))
+                cols += [
+                    pa.array(np.repeat(n, size), pa.int64()), part.column(3).take(who),
+                    pa.array([v.tobytes() for v in raw], pa.binary()).take(who), pa.array([x.tobytes() for x in lists], pa.binary()).take(who),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "n", "label", "vector", "filters"])
 
-    schema = "rep long, label long, dim long, filter long" + ", n long, unit binary, filters binary" * heavy
-    return classes.select("rep", F.col("label").cast("long"), "n", "embedding").mapInArrow(run, schema)
+    schema = "rep long, group long, dim long, filter long, n long, label string, vector binary, filters binary"
+    label = F.col("label").cast("string")
+    return classes.select("rep", F.xxhash64(label), "n", label, "embedding").mapInArrow(run, schema)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kind(classes: DataFrame) -> str:
+    return "<f4" if classes.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def _compare(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """Links of each unit: for each vector the weight of those linked with it, and
     edges that keep the unit's components together. A pair counts in the first filter
     that its vectors share, so once in all."""
     out: list[tuple] = []
-    for unit in runs(batches, ["label", "dim", "filter", "_i", "_j"]):
+    for unit in runs(batches, ["group", "dim", "filter", "_i", "_j"]):
         if unit.num_rows < 2:
             continue
         rep, n, at = (unit.column(c).to_numpy() for c in ("rep", "n", "_at"))
-        x = np.frombuffer(b"".join(unit.column("unit").to_pylist()), dtype=np.float64).reshape(len(rep), -1)
+        x = np.frombuffer(b"".join(unit.column("vector").to_pylist()), dtype=kind).reshape(len(rep), -1).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        label = pa.chunked_array(unit.column("label")).combine_chunks().dictionary_encode().indices.to_numpy()
         i, j = unit.column("_i")[0].as_py(), unit.column("_j")[0].as_py()
         left, right = (np.arange(len(rep)), np.arange(len(rep))) if i == j else (np.flatnonzero(at == i), np.flatnonzero(at == j))
         near = x[left] @ x[right].T >= COSINE
+        near &= label[left][:, None] == label[right][None, :]  # labels of one hash
         if i == j:
             near &= rep[left][:, None] < rep[right][None, :]
         if not near.any():
@@ -144,11 +151,11 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     lengths. Pairs are found by filters they share. On random pairs of cosine exactly
     COSINE one table shared none in 13 of 48,000 (64 dimensions; 6 of 48,000 in 384);
     TABLES independent ones miss by the product, about 7e-8. None found is below COSINE. Equal vectors of a label are one
-    class, compared once and counted by its size; repeated rows count as other
+    class, compared once and counted by its size. Labels may be of any type; they are
+    compared as strings. LEAST only adds filters where few are exceeded. Repeated rows count as other
     vectors; rows of one vec_id are one node. n_links, component_id (smallest vec_id
     reached), kept. An empty table gives none.
     """
-    spark = rows.sparkSession
     fine = F.expr(
         "label is not null and coalesce(size(embedding), 0) > 0 and vec_id is not null"
         " and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
@@ -161,9 +168,9 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     )
     members = d.where("fine").select("vec_id", "label", "h", "g").join(classes.select("label", "h", "g", "rep", "n"), ["label", "h", "g"]).select("vec_id", "rep", "n")
     members = members.unionByName(d.where("not fine").select("vec_id", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("n")))
-    keys = ["label", "dim", "filter"]
-    several = _decoded(classes, True)
-    found = materialize(in_units(several, keys, "rep", CHUNK, "filters").mapInArrow(_compare, "a long, b long, w long"), "links")
+    keys, kind = ["group", "dim", "filter"], _kind(classes)
+    units = in_units(_decoded(classes), keys, "rep", CHUNK, "filters")
+    found = materialize(units.mapInArrow(lambda batches: _compare(batches, kind), "a long, b long, w long"), "links")
     joined = components(found.select("a", "b"), "vectors-cc")
     weight = found.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     nodes = weight.join(joined.withColumnRenamed("node", "rep"), "rep", "full")
