@@ -19,6 +19,8 @@ BUCKETS, NGRAMS = 1 << 15, (1, 2, 3)
 #: Labelled rows the classifier is fitted on at most, over all languages, and the
 #: share of them kept for the temperature.
 SAMPLE, CALIBRATION = 4000, 0.2
+#: Languages that the weights are made for; more are an error.
+LANGUAGES = 1000
 #: Follow-the-regularised-leader: rate, smoothing, L1, L2, passes.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 2e-4, 1e-4, 3
 #: A document scored below this is rejected by keep_language().
@@ -116,10 +118,13 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on (doc_id, text, lang). Document frequencies cover every row that may be
     learned from; the classifier is fitted on at most about ``sample`` of them, an
-    equal number a language, those of the smallest hash of doc_id. Without a row to
-    learn from the model has no language and predicts ``und``."""
+    equal number a language, those of the smallest hash of doc_id and text, and on twice as
+    many at most where rows repeat each other. Without a row to learn from the model has no
+    language and predicts ``und``; more than LANGUAGES languages are an error."""
     rows = docs.select("doc_id", "text", "lang").where(learned(F.col("doc_id"), F.col("lang")))
-    sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}
+    sizes = {lang: n for lang, n in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     labels = sorted(sizes)
     df, n = document_frequencies(rows)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
@@ -127,8 +132,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if not labels:
         return empty
     share = F.create_map(*[F.lit(v) for lang in labels for v in (lang, min(1.0, sample / len(labels) / sizes[lang]))])
-    place = (F.xxhash64(F.col("doc_id"), F.lit("sample")).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    picked = rows.where(place < share[F.col("lang")])
+    place = (F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("sample")).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    picked = rows.select(place.alias("place"), "lang", "text").where(F.col("place") < share[F.col("lang")])
+    picked = picked.orderBy(F.col("place") / share[F.col("lang")], "lang").limit(2 * sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,10 +149,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 ["place", "lang", "at", "x"],
             )
 
-    got = picked.select(place.alias("place"), "lang", "text").mapInArrow(run, "place double, lang string, at binary, x binary").collect()
+    got = picked.mapInArrow(run, "place double, lang string, at binary, x binary").collect()
     code = {lang: i for i, lang in enumerate(labels)}
     got = sorted(got, key=lambda r: (r["place"], r["lang"], bytes(r["at"])))
-    data = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4").astype(np.float64), code[r["lang"]]) for r in got]
+    data = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4"), code[r["lang"]]) for r in got]
     kept = int(len(data) * CALIBRATION)
     return fit(labels, idf, data[kept:] or data, data[:kept])
 

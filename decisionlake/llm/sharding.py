@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from decisionlake.llm.common import materialize, table
 
 #: A key meets a mean of ln(shards) + 1 jumps; the chance of more than this many
-#: is below 1e-60 for any number of shards that fits in an int.
+#: is below 1e-60 for any number of shards that fits in an int, and an error.
 MAX_JUMPS = 160
 
 
@@ -40,7 +40,7 @@ def jump_hash(key: Column, shards: int) -> Column:
             k.alias("k"),
         )
 
-    return F.aggregate(steps, start, step, lambda acc: F.when(acc["j"] < shards, acc["j"]).otherwise(acc["b"]).cast("int"))
+    return F.aggregate(steps, start, step, lambda acc: F.when(acc["j"] < shards, F.raise_error(F.lit("the jumps did not end"))).otherwise(acc["b"]).cast("int"))
 
 
 def shard_documents(docs: DataFrame, shards: int, rows_per_run: int = 50_000) -> DataFrame:

@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 from decisionlake.llm import bpe, chat, embedding, jaccard, language, license, packing, quality, sharding, suffix
@@ -70,8 +71,14 @@ def test_quality_outliers(spark):
 def test_packing(spark, said):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows = packing.pack(make(spark, said).union(make(spark, said[:4]).selectExpr("doc_id + 100", *DOCS_COLUMNS[1:])), path).collect()
+    said = said + ["start <|endoftext|> end", "x<|endoftext|>y it's 12\n\nNew  two ", " lead", words(20_000, 77)]
+    docs = make(spark, said).union(make(spark, said[:4]).selectExpr("doc_id + 100", *DOCS_COLUMNS[1:]))
+    rows = packing.pack(docs, path, block=8).collect()
+    again = [1000 + i for i, t in enumerate(said)]  # repeated rows are packed each
+    twice = make(spark, said).selectExpr("doc_id + 1000 AS doc_id", "text").coalesce(1)
+    double = collections.Counter((r.doc_id, r.start) for r in packing.pack(twice.union(twice), path).collect())
+    assert set(double.values()) == {2} and {d for d, _ in double} == set(again)
+    assert library.encode("start <|endoftext|> end", add_special_tokens=False).ids == [9688, 220, 50256, 886]
     parts, bins = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         parts[r.doc_id].append(r)
@@ -96,6 +103,13 @@ def test_packing(spark, said):
 DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "_w", "kept"]
 
 
+def test_window_count_rises():
+    sizes = np.array([5, 5, 5, 5, 5, 5])  # three windows of capacity 10 would do by the sum, and do
+    assert np.bincount(packing.windows(sizes, 10), weights=sizes).max() == 10
+    sizes = np.array([6, 6, 6])  # the sum asks for two windows; no two fit together
+    assert sorted(np.bincount(packing.windows(sizes, 10))) == [1, 1, 1]
+
+
 def test_differencing_balances():
     sizes = np.random.default_rng(0).integers(1, 513, 2000)
     at = packing.windows(sizes, 2048)
@@ -144,19 +158,54 @@ def test_license(spark, said):
     assert (got[14].n_base, got[14].first_word, got[14].last_word, got[14].base_labels) == (3, 0, 9, "apache-2,cc-by-nc,mit")
     assert got[15].labels == "bsd,gpl,mit" and got[15].n_base == 0
     assert got[0].n_words == 0 and got[0].first_word is None and got[0].labels == ""
-    assert license.postfix("MIT or Apache-2.0 and GPL-2.0 with X") == ["MIT", "Apache-2.0", "GPL-2.0", "X", "with", "and", "or"]
+    assert license.postfix("MIT or Apache-2.0 and GPL-2.0 with Classpath-exception-2.0") == ["MIT", "Apache-2.0", "GPL-2.0", "Classpath-exception-2.0", "with", "and", "or"]
     assert license.postfix("(MIT OR ISC) AND BSD see file") == ["MIT", "ISC", "or", "BSD", "and"]
+    assert license.postfix("MIT OR (") == ["MIT"] and license.postfix("MIT OR (GPL AND (") == ["MIT", "GPL", "or"]
+    assert license.postfix("MIT/Apache-2.0") == ["MIT", "Apache-2.0", "or"] and license.postfix("see the file") == []
     assert license.evaluate(license.postfix("GPL-3.0 OR MIT"))[0] == 1.0 and license.evaluate([]) is None
+    docs = make(spark, said)
+    assert license.scan_licenses(docs.union(docs)).count() == 2 * len(said) and license.scan_licenses(make(spark, [])).count() == 0
 
 
 def test_license_of_long_expressions():
-    found = license._automaton()
+    found = license._automata()
     ids = [f"Own-{i}" for i in range(1000)]
     for last, score in (("GPL-2.0", 0.4), ("all-rights-reserved", 0.0)):
         got = license.scan("SPDX-License-Identifier: " + " AND ".join(["MIT", *ids, last]) + "\nprose", found)
-        assert set(got[5].split(",")) == {"mit", license.family(last), *(i.lower() for i in ids)} and got[6] == score
+        assert set(got[5].split(",")) == {"mit", license.family(last)} and got[6] == score
     got = license.scan("SPDX-License-Identifier: MIT and more prose SPDX-License-Identifier: GPL-2.0", found)
-    assert "gpl" in got[5].split(",") and got[6] == 0.4
+    assert got[5] == "gpl,mit" and got[6] == 0.4
+    assert license.scan("SPDX-License-Identifier: see the file", found)[5:] == ("", 0.0)
+    assert license.scan("x" * 3_000_000 + " CC BY-NC", found)[:4] == (4, 1, 1, 1)
+
+
+def test_license_against_brute_force():
+    found, r = license._automata(), random.Random(4)
+    known = {"MIT": "mit", "GPL-2.0-only": "gpl", "Apache-2.0": "apache-2", "BSD-3-Clause": "bsd", "CC-BY-NC-4.0": "cc-by-nc", "LGPL-2.1+": "lgpl"}
+
+    def expression(depth):  # (said, grant, labels), evaluated while it is made
+        if depth == 0 or r.random() < 0.3:
+            name = r.choice(list(known))
+            grant = license.GRANT[known[name]]
+            return (name, grant, {known[name]}) if r.random() < 0.8 else (f"{name} WITH Some-exception", min(1.0, grant + 0.1), {known[name]})
+        (a, x, p), (b, y, q) = expression(depth - 1), expression(depth - 1)
+        op = r.choice(["AND", "or"])
+        return f"({a}) {op} ({b})", min(x, y) if op == "AND" else max(x, y), p | q
+
+    vocabulary = [w for p in {**license.BASE, **license.MORE} for w in p.split()] + ["x", "É", "-", "2.0", "\n"]
+    for k in range(300):
+        text = r.choice([" ", "  ", "-"]).join(r.choice(list(license.BASE) if r.random() < 0.2 else vocabulary) for _ in range(40)).title()
+        said, grant, labels = expression(3)
+        if k % 3:
+            text += f"\nSPDX-License-Identifier: {said}\n tail"
+        got = license.scan(text, found)
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        places = [(i, license.BASE[p]) for p in license.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        more = {label for p, label in license.MORE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+        grants = [license.GRANT[x] for _, x in places] + [license.GRANT[x] for x in more] + [grant] * (k % 3 > 0)
+        want = more | {x for _, x in places} | (labels if k % 3 else set())
+        assert got[:2] == (len(w), len(places)) and (got[2], got[3]) == (min(places)[0] if places else None, max(places)[0] if places else None)
+        assert got[4] == ",".join(sorted({x for _, x in places})) and got[5] == ",".join(sorted(want)) and got[6] == min(grants, default=0.0)
 
 
 def test_chat(spark):
@@ -167,6 +216,10 @@ def test_chat(spark):
         assert [tuple(t) for t in r.turns] == want
         spans = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
         assert len(spans) == sum(w[0] == "assistant" for w in want)
+    long = [(9, i, "user" if i % 3 else "assistant", f"turn {i} <s>") for i in range(3000)]
+    again = chat.format_conversations(spark.createDataFrame([(*x, "extra") for x in long], "conv_id long, turn long, role string, text string, formatted string"))
+    r = chat.parse_conversations(again).withColumn("under", chat.under_mask("formatted", "loss_spans")).first()
+    assert [tuple(t) for t in r.turns] == [x[2:] for x in long] and r.under == "".join(x[3] for x in long if x[2] == "assistant")
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -186,6 +239,16 @@ def test_embedding(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1005))
 
 
+def test_embedding_labels_repeats_and_no_rows(spark):
+    x = np.random.default_rng(5).standard_normal((3, 8)).tolist()
+    rows = [(1, x[0], "red", "e"), (2, x[0], "red", "e"), (2, x[0], "red", "e"), (3, x[0], "1.5", "e"), (4, x[1], "1.5", "e"), (5, x[0], None, "e")]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n_links string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
+    halves = spark.createDataFrame([(1, x[0], 1.5), (2, x[0], 1.25)], "vec_id long, embedding array<float>, label double")
+    assert [r.n_links for r in embedding.near_duplicates(halves).collect()] == [0, 0]
+    assert embedding.near_duplicates(halves.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("dim, cosine", [(4, 0.93), (16, 0.93), (64, 0.93), (64, 0.94), (384, 0.93)])
 def test_filters_share_at_the_threshold(dim, cosine):
     random_ = np.random.default_rng(dim)
@@ -213,12 +276,28 @@ def encoding():
 
 
 def test_bpe(spark, said, encoding):
-    got = by(bpe.encode_documents(make(spark, said), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect())
+    how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    r = random.Random(6)
+    long = ["".join(r.choices("abcdefgh", k=k)) for k in (255, 256, 257, 900)] + ["".join(r.choices("日本語éя", k=400)), "a <|endoftext|> b it's", "x  y\n\n z "]
+    said = said + long
+    docs = make(spark, said)
+    got = by(bpe.decode_documents(bpe.encode_documents(docs, *how), *how).collect())
     for i, t in enumerate(said):
-        ids = encoding.encode_ordinary(t or "")
-        assert got[i].n_tokens == len(ids)
-        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        assert got[i].ids == encoding.encode_ordinary(t or ""), i
+        assert got[i].decoded == (t or "").encode()
+    assert len(bpe.encode_documents(docs.union(docs), *how).collect()) == 2 * len(said)
+    assert bpe.decode_documents(bpe.encode_documents(make(spark, []), *how), *how).count() == 0
+    swapped = bpe.decode_documents(spark.createDataFrame([(1, got[5].ids[:3]), (2, None), (3, [])], "doc_id long, ids array<int>"), *how)
+    assert by(swapped.collect())[1].decoded == encoding.decode_bytes(got[5].ids[:3])  # what is decoded are the ids
+
+
+def test_bpe_of_long_words(encoding):
+    r = random.Random(8)
+    said = ["".join(r.choices("abcdefghijklmnop", k=1000)) for _ in range(2000)]
+    coder = bpe.Bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids, n = coder.encode(pa.array(said))
+    assert np.split(ids, np.cumsum(n)[:-1])[7].tolist() == encoding.encode_ordinary(said[7])
+    assert coder.decode(ids, n) == [t.encode() for t in said]
 
 
 def test_sharding(spark):
@@ -232,6 +311,18 @@ def test_sharding(spark):
     assert 20 < sum(r.grown_shard == 8 for r in got) < 100
     assert by(got)[500].size == 1 and by(got)[500].text_crc32 == 0
 
+    def jump(key, shards):  # one row at a time
+        k, b, j = xxhash.xxh64_intdigest(b"jump", xxhash.xxh64_intdigest(str(key).encode(), 42)), 0, 0
+        while j < shards:
+            k = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)
+            b, j = j, int((j + 1) / (((k >> 33) + 1) / 2**31))
+        return b
+
+    assert all((r.shard, r.grown_shard) == (jump(r.doc_id, 8), jump(r.doc_id, 9)) for r in got)
+    twice = sharding.shard_documents(docs.union(docs), 8, rows_per_run=10).collect()
+    assert len({(r.shard, r.slot) for r in twice}) == len(twice) == 2 * len(got)
+    assert sharding.shard_documents(docs.limit(0), 8).count() == 0
+
 
 def test_language(spark):
     a, b = "the and of to in is that it was for", "der die und in den von zu das mit sich"
@@ -242,6 +333,21 @@ def test_language(spark):
     assert sum(got[i].lang_pred == ("en" if i % 2 else "de") for i in held) >= 0.95 * len(held)
     assert [got[i].lang_pred for i in (120, 121, 122)] == ["und"] * 3
     assert language.identify(make(spark, [])).count() == 0
+    docs = make(spark, said, {i: "en" if i % 2 else "de" for i in range(120)})
+    kept = language.keep_language(docs.union(docs))  # repeated rows stay alike
+    assert kept.columns == docs.columns
+    kept = collections.Counter(r.doc_id for r in kept.collect())
+    assert set(kept.values()) == {2} and len(kept) >= 110 and not {120, 121, 122} & set(kept)
+
+
+def test_language_bounds(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    docs = make(spark, [words(20, i) for i in range(40)], {i: f"l{i % 4}" for i in range(40)})
+    with pytest.raises(ValueError, match="languages"):
+        language.identify(docs)
+    same = docs.selectExpr("0L AS doc_id", "text", "'en' AS lang", "source", "n_chars", "_w", "kept").where("text is not null")
+    model = language.train(same.union(same), sample=5)
+    assert model.labels == ["en"]
 
 
 def test_suffix(spark, said, monkeypatch):
@@ -284,9 +390,9 @@ def test_suffix_around_hot_anchors(spark, monkeypatch):
 
 def test_shared_over_batches():
     random_ = np.random.default_rng(2)
-    rows = np.stack([np.sort(random_.integers(0, 12, 300)), random_.integers(0, 4, 300), random_.integers(0, 6, 300), np.zeros(300, np.int64), random_.integers(0, 3, 300) << 7 | 1])
+    rows = np.stack([np.sort(random_.integers(0, 12, 300)), random_.integers(0, 3, 300), random_.integers(0, 2, 300), random_.integers(0, 6, 300), np.zeros(300, np.int64), random_.integers(0, 3, 300) << 7 | 1])
     rows = rows[:, np.lexsort(rows[::-1])]
-    names = ["key", "whole", "doc", "sub", "place"]
+    names = ["key", "whole", "more", "doc", "sub", "place"]
     cut = lambda size: (pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in rows], names) for k in range(0, 300, size))
     told = [sorted(tuple(r.values()) for b in suffix._shared(cut(size)) for r in b.to_pylist()) for size in (300, 1, 7)]
     assert told[0] == told[1] == told[2] and 0 < len(told[0]) <= 300
@@ -315,7 +421,52 @@ def test_quality_judges_no_row_by_another_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = by(quality.judged(docs, ["doc_id"]).collect())
     assert [i for i, r in got.items() if not r.kept] == [500]
-    assert all((r.distance is None) == (i < 200) for i, r in got.items())
+    assert all(r.distance is not None for r in got.values())
+    few = spark.createDataFrame([(i, words(60, i), "zz", "s") for i in range(quality.GROUP - 1)] + [(100 + i, words(60, i), "yy", None) for i in range(40)], "doc_id long, text string, lang string, source string")
+    assert all((r.distance is None) == (r.doc_id < 100) and r.kept for r in quality.judged(few, ["doc_id"]).collect())
+
+
+def test_quality_of_small_groups_against_all_subsets(spark):
+    """Each (language, source) of a dozen rows: the least determinant over all inner
+    subsets, found by trying them, gives the same verdicts and the same distances."""
+    from itertools import combinations
+
+    rows = []
+    for g in range(4):
+        for i in range(12):
+            text = words(60 + (i * 7 + g) % 50, 100 * g + i)
+            rows.append((20 * g + i, text if i else "&&& ### " * 4 + text.replace(" ", " $%& "), "xy"[g % 2], f"s{g}"))
+    rows += [(900, "too short", "x", "s0"), (901, rows[5][1], None, None), (5, *rows[5][1:])]  # a row that repeats counts
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.judged(docs, ["doc_id"]).collect()
+    assert len(got) == len(rows)
+    got = by(got)
+
+    def vector(text):
+        w = text.split()
+        symbols, chars = len(re.findall(r"[#*$%&|<>]", text)), sum(map(len, w))
+        grams = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        twice = {k + j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        return [np.log(len(w)), np.log(chars / len(w)), np.log(1 + 100 * symbols / chars), len(twice) / len(w)]
+
+    good = {(k, r[0]): vector(r[1]) for k, r in enumerate(rows) if not got[r[0]].base_failed and r[2]}
+    for lang, source in {(r[2], r[3]) for r in rows if r[2]}:
+        keys = [k for k in good if rows[k[0]][2:] == (lang, source)]
+        x = np.array([good[k] for k in keys])
+        q = np.array([[sorted(c)[int(np.ceil(p * len(c))) - 1] for p in (0.25, 0.75)] for c in np.array([v for k, v in good.items() if rows[k[0]][2] == lang]).T])
+        target = ((q[:, 1] - q[:, 0]) / 1.349) ** 2
+
+        def shape(y, scale):
+            c = scale * np.cov(y.T, bias=True)
+            return (len(y) * c + quality.WEIGHT * np.diag(target)) / (len(y) + quality.WEIGHT) + np.diag(quality.RIDGE)
+
+        inner = min(combinations(range(len(x)), int(np.ceil(quality.SHARE * len(x)))), key=lambda c: np.linalg.slogdet(shape(x[list(c)], 1.0))[1])
+        y = x[list(inner)]
+        k = np.linalg.inv(shape(y, quality.CONSISTENT))
+        far = np.einsum("ij,jk,ik->i", x - y.mean(0), k, x - y.mean(0))
+        for (_, i), d in zip(keys, far):
+            assert got[i].kept == (d <= quality.CUTOFF) and abs(got[i].distance - d) <= 0.25 * max(d, 4), (i, d, got[i].distance)
+    assert sorted(i for i, r in got.items() if not r.kept) == [0, 20, 40, 60, 900]
 
 
 def test_quality_alike_with_salted_groups(spark, monkeypatch):
