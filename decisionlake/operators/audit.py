@@ -50,8 +50,17 @@ def selections_per_state(states: DataFrame, selections: DataFrame) -> DataFrame:
 
 
 def dangling_selections(demonstrations: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Demonstrations whose candidate does not exist (AU6)."""
-    return demonstrations.join(candidates.select("state_id", "candidate_index"), ["state_id", "candidate_index"], "left_anti").select("state_id", "candidate_index")
+    """Demonstrations whose candidate was not selected (AU6)."""
+    return demonstrations.join(candidates.where("selected").select("state_id", "candidate_index"), ["state_id", "candidate_index"], "left_anti").select("state_id", "candidate_index")
+
+
+def target_candidates(demonstrations: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Whether the targets of each demonstration are valid and name candidates that are
+    there (AU7)."""
+    t = demonstrations.select("state_id", targets_valid("targets").alias("good"), F.explode_outer("targets.index").alias("candidate_index"))
+    known = candidates.select("state_id", "candidate_index").distinct().withColumn("_in", F.lit(True))
+    d = t.join(known, ["state_id", "candidate_index"], "left")
+    return d.groupBy("state_id").agg((F.bool_and("good") & F.bool_and(F.col("candidate_index").isNull() | F.col("_in").isNotNull())).alias("valid"))
 
 
 def targets_valid(targets: str, tolerance: float = 1e-6) -> Column:

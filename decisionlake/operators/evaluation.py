@@ -10,13 +10,30 @@ from pyspark.sql import functions as F
 #: The gates a dataset passes before it grows.
 GATES = {
     "request_schema_valid_rate": (">=", 0.99),
+    "request_normalization_rate": ("<=", 0.05),
     "candidate_unique_ratio": (">=", 0.75),
+    "teacher_template_compliance_rate": (">=", 0.95),
+    "teacher_template_resolution_repair_rate": ("<=", 0.05),
+    "safe_template_coverage_rate": (">=", 1.0),
+    "greedy_selectable_rate": (">=", 1.0),
+    "executed_candidate_unique_ratio": (">=", 0.75),
     "candidate_post_repair_hard_feasible_rate": (">=", 1.0),
     "candidate_fallback_rate": ("<=", 0.05),
     "candidate_p95_repair_distance": ("<=", 0.25),
+    "selected_fallback_rate": ("<=", 0.0),
+    "selected_p95_repair_distance": ("<=", 0.05),
+    "selection_unresolved_rate": ("<=", 0.05),
+    "distillation_target_valid_rate": (">=", 1.0),
     "duplicate_causal_state_rate": ("<=", 0.0),
+    "state_distribution_max_abs_error": ("<=", 0.02),
+    "split_distribution_max_abs_error": ("<=", 0.02),
+    "demonstration_acceptance_rate": (">=", 0.99),
     "selected_vs_greedy_verified_win_rate": (">=", 0.55),
+    "selected_no_worse_than_greedy_verified_rate": (">=", 1.0),
     "selected_vs_random_verified_win_rate": (">=", 0.55),
+    "mean_greedy_minus_selected_verified_risk": (">=", 0.0),
+    "mean_random_minus_selected_verified_risk": (">=", 0.0),
+    "teacher_target_weight_share": (">=", 0.10),
 }
 #: A template of the same pair stands in within so many watts.
 NEAREST_WATTS = 8.0
@@ -42,14 +59,6 @@ def baseline_comparison(scores: DataFrame, selected: str, greedy: str, random: s
     )
 
 
-def gates(metrics: DataFrame) -> DataFrame:
-    """(metric, value) against GATES; a gate without a value fails (QR17)."""
-    rows = [(k, way, limit) for k, (way, limit) in GATES.items()]
-    wanted = metrics.sparkSession.createDataFrame(rows, "metric string, way string, threshold double")
-    passed = F.when(F.col("way") == ">=", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
-    return wanted.join(metrics, "metric", "left").select("metric", "way", "threshold", F.round("value", 8).alias("value"), F.coalesce(passed, F.lit(False)).alias("passed"))
-
-
 def greedy_decision(pair_tokens: str, global_features: str) -> list[Column]:
     """pair (from 1, first of ties), communication, near and processor shares (LK8)."""
     urgency = f"transform({pair_tokens}, t -> t[0] + t[1] + 0.5D * t[13])"
@@ -62,20 +71,20 @@ def greedy_decision(pair_tokens: str, global_features: str) -> list[Column]:
     return [F.expr(pair).alias("pair"), F.expr(f"1 - {sensing}").alias("eta_communication"), F.expr(near).alias("eta_near"), F.expr(cpu).alias("eta_cpu")]
 
 
-def grid_search(states: DataFrame, keys: list[str], axes: dict[str, list[float]], infeasible: str, cost: str, distance: str) -> DataFrame:
+def grid_search(states: DataFrame, keys: list[str], axes: dict[str, list[float]], infeasible: str, cost: str, distance: str, selected: str) -> DataFrame:
     """The best point of a small grid for each row by (infeasible, cost, distance), then
-    by the grid's order, and the number of points tried (LK9). Each task
-    reduces its rows' points before they are shuffled."""
+    by the grid's order, the number of points tried, and the regret of the ``selected``
+    cost against it (LK9). Each task reduces its rows' points before they are shuffled."""
     points = [()]
     for values in axes.values():
         points = [(*p, v) for p in points for v in values]
     made = F.array(*(F.struct(F.lit(i).alias("at"), *(F.lit(float(v)).alias(n) for n, v in zip(axes, p))) for i, p in enumerate(points)))
 
     tried = states.withColumn("_p", F.explode(made)).select("*", "_p.*").withColumn(
-        "_s", F.struct(F.expr(infeasible).cast("int").alias("infeasible"), F.expr(cost).alias("cost"), F.expr(distance).alias("distance"), "at", *axes)
+        "_s", F.struct(F.expr(infeasible).cast("int").alias("infeasible"), F.expr(cost).alias("cost"), F.expr(distance).alias("distance"), "at", *axes, F.expr(selected).alias("selected"))
     )
     best = tried.groupBy(*keys).agg(F.min("_s").alias("_s"), F.count("*").alias("evaluated"))
-    return best.select(*keys, "evaluated", "_s.infeasible", "_s.cost", *(f"_s.{n}" for n in axes))
+    return best.select(*keys, "evaluated", "_s.infeasible", "_s.cost", (F.col("_s.selected") - F.col("_s.cost")).alias("regret"), *(f"_s.{n}" for n in axes))
 
 
 def nearest_template(candidates: DataFrame, templates: DataFrame, watts: float = NEAREST_WATTS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,10 @@ def candidate_summary(candidates: DataFrame) -> DataFrame:
     )
 
 
-def action_diversity(candidates: DataFrame) -> DataFrame:
-    """Distinct actions to candidates, over states (QR3)."""
-    key = F.struct("pair", F.bround("eta_sensing", 8), F.bround("eta_near", 8), F.bround("eta_cpu", 8))
-    each = candidates.groupBy("state_id").agg((F.size(F.collect_set(key)) / F.count("*")).alias("r"))
-    return each.agg(F.count("*").alias("states"), F.round(F.avg("r"), 6).alias("mean_ratio"), F.sum(F.when(F.col("r") < 0.75, 1).otherwise(0)).alias("below"))
+def action_diversity(candidates: DataFrame, key: Column) -> DataFrame:
+    """Distinct actions (by a key) to candidates, over states (QR3)."""
+    each = candidates.groupBy("state_id").agg((F.count_distinct(key) / F.count("*")).alias("r"))
+    return each.agg(F.count("*").alias("states"), F.round(F.avg("r"), 8).alias("mean_ratio"), F.sum(F.when(F.col("r") < 0.75, 1).otherwise(0)).alias("below"))
 
 
 def role_compliance(candidates: DataFrame) -> DataFrame:
@@ -34,11 +33,13 @@ def role_compliance(candidates: DataFrame) -> DataFrame:
     return each.agg(_rate("k = 1", "compliance"))
 
 
-def action_field_changes(candidates: DataFrame) -> DataFrame:
-    """How repair changed each control (QR5)."""
-    d = candidates.selectExpr("stack(2, 'eta_sensing', abs(executed_sensing - eta_sensing), 'eta_near', abs(executed_near - eta_near)) as (field, x)")
+def action_field_changes(candidates: DataFrame, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """How repair changed each control, told by its proposed and executed columns (QR5)."""
+    stack = ", ".join(f"'{name}', cast(abs({done} - {own}) as double)" for name, (own, done) in fields.items())
+    d = candidates.selectExpr(f"stack({len(fields)}, {stack}) as (field, x)")
     return d.groupBy("field").agg(
-        F.count("*").alias("n"), F.count_if(F.col("x") > 1e-12).alias("changed"), F.round(F.avg("x"), 6).alias("mean_change"), F.round(F.percentile("x", 0.95), 6).alias("p95_change")
+        F.count("*").alias("n"), F.count_if(F.col("x") > 1e-12).alias("changed"), F.round(F.avg((F.col("x") > 1e-12).cast("double")), 8).alias("rate"),
+        F.round(F.avg("x"), 8).alias("mean_change"), F.round(F.percentile("x", 0.95), 8).alias("p95_change"),
     )
 
 
@@ -63,7 +64,10 @@ def duplicate_rate(states: DataFrame) -> DataFrame:
 
 
 def repair_reasons(candidates: DataFrame) -> DataFrame:
-    return candidates.select(F.explode("repair_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """How often each reason occurs, its rate per candidate, and its place by frequency (QR12)."""
+    d = candidates.select(F.explode("repair_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    d = d.crossJoin(F.broadcast(candidates.agg(F.count("*").alias("_all"))))  # one row
+    return d.selectExpr("reason", "n", "round(n / _all, 8) as rate", "cast(row_number() over (order by n desc, reason) as bigint) as place")  # a row a reason
 
 
 def latency_report(requests: DataFrame) -> DataFrame:
@@ -72,26 +76,20 @@ def latency_report(requests: DataFrame) -> DataFrame:
     )
 
 
-def difficulty_cube(states: DataFrame) -> DataFrame:
-    """Mean age by category and split with subtotals (QR19)."""
-    return states.cube("state_category", "split").agg(F.count("*").alias("n"), F.round(F.avg("mean_aoi"), 6).alias("mean_aoi"))
+def difficulty_cube(states: DataFrame, axes: list[str], metrics: list[str]) -> DataFrame:
+    """Means of metrics by all axes, with subtotals (QR19)."""
+    return states.cube(*axes).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in metrics))
 
 
 def template_resolution(candidates: DataFrame) -> DataFrame:
-    """Candidates and their share by how their template was found (QR14)."""
-    d = candidates.groupBy("template_resolution").agg(F.count("*").alias("n"))
-    return d.withColumn("share", F.round(F.col("n") / F.sum("n").over(_all()), 6))
+    """Candidates, their share and how many comply, by how their template was found, and in all (QR14)."""
+    d = candidates.groupingSets([[], ["template_resolution"]], "template_resolution").agg(F.count("*").alias("n"), F.round(F.avg(F.col("template_compliant").cast("double")), 8).alias("compliance"))
+    return d.withColumn("share", F.round(F.col("n") / F.max("n").over(_all()), 8))
 
 
 def target_shape(targets: DataFrame) -> DataFrame:
-    """Mean number of targets, none counting as one, and how many are valid (QR16, MG6)."""
+    """Mean number of targets, none counting as one, how many are valid, and their mean entropy (QR16)."""
     from decisionlake.operators.audit import targets_valid
 
     size = F.when(F.col("targets").isNull(), 1).otherwise(F.size("targets"))
-    return targets.agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_targets"), F.count_if(targets_valid("targets")).alias("valid"))
-
-
-def teacher_contribution(ranked: DataFrame) -> DataFrame:
-    """Each source's share of the weight of equivalent candidates (QR11)."""
-    d = ranked.where("equivalent").groupBy("candidate_source").agg(F.sum("quality_weight").alias("w"), F.count_if(F.col("rank") == 1).alias("selected"))
-    return d.select("candidate_source", "selected", F.round(F.col("w") / F.sum("w").over(_all()), 6).alias("share"))
+    return targets.agg(F.count("*").alias("n"), F.avg(size).alias("mean_targets"), F.count_if(targets_valid("targets")).alias("valid"), F.avg("target_entropy").alias("mean_entropy"))

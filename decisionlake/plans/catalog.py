@@ -241,23 +241,11 @@ def qr1(s, d):
     return quality.candidate_summary(a.candidates(s, d))
 
 
-@query("qr3_action_diversity", """SELECT count(*) AS states, round(avg(r), 6) AS mean_ratio, sum((r < 0.75)::INT)::BIGINT AS below FROM (
-  SELECT state_id, count(DISTINCT (pair, round_even(eta_sensing, 8), round_even(eta_near, 8), round_even(eta_cpu, 8))) / count(*) AS r FROM candidates GROUP BY 1)""", "candidates")
-def qr3(s, d):
-    return quality.action_diversity(a.candidates(s, d))
-
-
 @query("qr4_role_compliance", "SELECT round(avg((k = 1)::INT), 6) AS compliance FROM (SELECT state_id, count(*) FILTER (pair = 0) AS k FROM candidates GROUP BY 1)", "candidates")
 def qr4(s, d):
     return quality.role_compliance(a.candidates(s, d))
 
 
-@query("qr5_action_field_changes", """SELECT field, count(*) AS n, sum((x > 1e-12)::INT)::BIGINT AS changed, round(avg(x), 6) AS mean_change, round(quantile_cont(x, 0.95), 6) AS p95_change FROM (
-  SELECT 'eta_sensing' AS field, abs(executed_sensing - eta_sensing) AS x FROM candidates UNION ALL SELECT 'eta_near', abs(executed_near - eta_near) FROM candidates) GROUP BY 1""", "candidates")
-def qr5(s, d):
-    return quality.action_field_changes(a.candidates(s, d))
-
-
 _TARGET = {"ordinary": 0.35, "freshness_stress": 0.25, "sensing_stress": 0.15, "secrecy_stress": 0.15, "boundary_rare": 0.10}
 
 
@@ -272,21 +260,11 @@ def qr9(s, d):
     return quality.duplicate_rate(a.states(s, d))
 
 
-@query("qr12_repair_reasons", "SELECT reason, count(*) AS n FROM (SELECT unnest(repair_reasons) AS reason FROM candidates) GROUP BY 1", "candidates")
-def qr12(s, d):
-    return quality.repair_reasons(a.candidates(s, d))
-
-
 @query("qr18_latency_report", "SELECT round(avg(latency_s), 6) AS mean_latency, round(quantile_cont(latency_s, 0.95), 6) AS p95_latency, round(avg(completion_tokens), 6) AS mean_tokens FROM requests", "requests")
 def qr18(s, d):
     return quality.latency_report(a.requests(s, d))
 
 
-@query("qr19_difficulty_cube", """SELECT state_category, split, count(*) AS n, round(avg(mean_aoi), 6) AS mean_aoi FROM states GROUP BY CUBE (state_category, split)""", "states")
-def qr19(s, d):
-    return quality.difficulty_cube(a.states(s, d))
-
-
 # merge and tournament
 
 

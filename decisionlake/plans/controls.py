@@ -173,12 +173,6 @@ def au5(s, d):
     return audit.selections_per_state(a.states(s, d), a.candidates(s, d).where("candidate_source = 'teacher'"))
 
 
-@query("au6_dangling_selections", "SELECT state_id, candidate_index + 1 AS candidate_index FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates x WHERE x.state_id = c.state_id AND x.candidate_index = c.candidate_index + 1)", "candidates")
-def au6(s, d):
-    c = a.candidates(s, d)
-    return audit.dangling_selections(c.select("state_id", (F.col("candidate_index") + 1).alias("candidate_index")), c)
-
-
 STEPS["targets"] = """SELECT state_id, count(*) AS k, sum(w) AS total, count(DISTINCT i) AS different FROM (SELECT state_id, candidate_index // (CASE WHEN state_id::BIGINT % 7 = 0 THEN 2 ELSE 1 END) AS i,
   CASE WHEN state_id::BIGINT % 5 = 0 THEN teacher_confidence ELSE 1 / count(*) OVER (PARTITION BY state_id) END AS w FROM candidates) GROUP BY 1"""
 
@@ -195,22 +189,6 @@ def au7(s, d):
     return targets(s, d).select("state_id", audit.targets_valid("targets").alias("valid"))
 
 
-@query("qr16_target_shape", "SELECT count(*) AS n, round(avg(k), 6) AS mean_targets, sum((abs(total - 1) <= 1e-6 AND different = k)::INT)::BIGINT AS valid FROM targets", "candidates", "targets")
-def qr16(s, d):
-    return quality.target_shape(targets(s, d))
-
-
-@query("qr11_teacher_contribution", """SELECT candidate_source, sum((rank = 1)::INT)::BIGINT AS selected, round(sum(quality_weight) / (SELECT sum(quality_weight) FROM ranked WHERE equivalent), 6) AS share
-  FROM ranked WHERE equivalent GROUP BY 1""", "ranked")
-def qr11(s, d):
-    return quality.teacher_contribution(ranked(s, d))
-
-
-@query("qr14_template_resolution", "SELECT template_resolution, count(*) AS n, round(count(*) / (SELECT count(*) FROM candidates), 6) AS share FROM candidates GROUP BY 1", "candidates")
-def qr14(s, d):
-    return quality.template_resolution(a.candidates(s, d))
-
-
 # training and evaluation
 
 

@@ -21,13 +21,6 @@ def scores(s, d):
     )
 
 
-@query("qr10_baseline_comparison", """SELECT count(*) AS compared, round(avg(selected), 8) AS mean_selected, round(avg(greedy), 8) AS mean_greedy, round(avg(random), 8) AS mean_random,
-  round(avg((selected < greedy)::INT), 8) AS win_greedy, round(avg((selected <= greedy + 1e-12)::INT), 8) AS no_worse_greedy, round(avg((selected < random)::INT), 8) AS win_random,
-  round(avg(greedy - selected), 8) AS gap_greedy, round(avg(random - selected), 8) AS gap_random FROM scores WHERE selected IS NOT NULL AND greedy IS NOT NULL AND random IS NOT NULL""", "scores")
-def qr10(s, d):
-    return ev.baseline_comparison(scores(s, d), "selected", "greedy", "random")
-
-
 @query("qr7_decision_counts", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'practically_equivalent' WHEN o_orderstatus = 'F' THEN 'decisive'
   WHEN o_orderkey % 3 = 2 OR o_orderkey % 3 = 1 THEN 'unresolved' ELSE 'decisive' END AS status FROM orders) GROUP BY 1""")
 def qr7(s, d):
@@ -48,14 +41,14 @@ def lk8(s, d):
     return v.select("vec_id", pair, communication, near, cpu).withColumns({"eta_communication": F.round("eta_communication", 8), "eta_cpu": F.round("eta_cpu", 8)})
 
 
-@query("lk9_grid_search", """SELECT o_orderkey, 9::BIGINT AS evaluated, infeasible::INT AS infeasible, round(cost, 6) AS cost, x, y FROM (
+@query("lk9_grid_search", """SELECT o_orderkey, 9::BIGINT AS evaluated, infeasible::INT AS infeasible, round(cost, 10) AS cost, round(sel - cost, 10) AS regret, x, y FROM (
   SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY infeasible, cost, distance, x, y) AS rn FROM (
-  SELECT o_orderkey, x, y, x + y > w AS infeasible, abs(x * 400000 - o_totalprice) / 400000 + 0.1::DOUBLE * y AS cost, abs(x - y) AS distance
+  SELECT o_orderkey, x, y, x + y > w AS infeasible, abs(x * 400000 - o_totalprice) / 400000 + 0.1::DOUBLE * y AS cost, abs(x - y) AS distance, abs(0.5 * 400000 - o_totalprice) / 400000 + 0.04::DOUBLE AS sel
   FROM (SELECT *, 0.3::DOUBLE + (o_custkey % 5) / 4.0::DOUBLE AS w FROM orders) CROSS JOIN (SELECT unnest([0.2, 0.5, 0.8])::DOUBLE AS x) CROSS JOIN (SELECT unnest([0.0, 0.4, 0.9])::DOUBLE AS y))) WHERE rn = 1""")
 def lk9(s, d):
     o = a.table(s, d, "orders").selectExpr("o_orderkey", "o_totalprice", "0.3D + (o_custkey % 5) / 4.0D as w")
-    best = ev.grid_search(o, ["o_orderkey"], {"x": [0.2, 0.5, 0.8], "y": [0.0, 0.4, 0.9]}, "x + y > w", "abs(x * 400000 - o_totalprice) / 400000 + 0.1D * y", "abs(x - y)")
-    return best.withColumn("cost", F.round("cost", 6))
+    best = ev.grid_search(o, ["o_orderkey"], {"x": [0.2, 0.5, 0.8], "y": [0.0, 0.4, 0.9]}, "x + y > w", "abs(x * 400000 - o_totalprice) / 400000 + 0.1D * y", "abs(x - y)", "abs(0.5D * 400000 - o_totalprice) / 400000 + 0.04D")
+    return best.withColumns({c: F.round(c, 10) for c in ("cost", "regret")})
 
 
 @query("tr16_nearest_template", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'p' || p || '_sense' || w || 'w' AS resolved FROM (
@@ -123,11 +116,3 @@ def mg9(s, d):
     return ev.uncommon_states(a.requests(s, d).select("teacher_label", F.col("cache_key").alias("state_id")))
 
 
-@query("qr17_scale_up_gates")
-def qr17(s, d):
-    c = a.candidates(s, d).selectExpr("avg(cast(hard_feasible as double)) as f", "avg(cast(fallback_used as double)) as b", "percentile(repair_distance, 0.95) as p")
-    c = c.selectExpr("stack(3, 'candidate_post_repair_hard_feasible_rate', f, 'candidate_fallback_rate', b, 'candidate_p95_repair_distance', p) as (metric, value)")
-    r = a.requests(s, d).selectExpr("'request_schema_valid_rate' as metric", "avg(cast(schema_valid as double)) as value")
-    h = a.states(s, d).groupBy("causal_state_hash").agg(F.count("*").alias("n")).selectExpr("'duplicate_causal_state_rate' as metric", "sum(n - 1) / sum(n) as value")
-    w = ev.baseline_comparison(scores(s, d), "selected", "greedy", "random").selectExpr("stack(2, 'selected_vs_greedy_verified_win_rate', win_greedy, 'selected_vs_random_verified_win_rate', win_random) as (metric, value)")
-    return ev.gates(c.unionByName(r).unionByName(h).unionByName(w))
