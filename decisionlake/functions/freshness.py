@@ -28,7 +28,7 @@ def virtual_queue(log: DataFrame, clip: float) -> DataFrame:
     """Q' = min(clip, max(0, Q + g)) along an entity's slots (TS6). Each step is a
     function min(h, max(l, q + s)); these compose to one of their kind, so runs of slots
     are folded apart and joined, and a busy entity is no single task."""
-    run = 4096
+    run = 256
     d = log.select("entity", "slot", F.col("increment").alias("g"), F.floor(F.col("slot") / run).alias("_r"))
     d = d.groupBy("entity", "_r").agg(F.sort_array(F.collect_list(F.struct("slot", "g"))).alias("_a"))
     fold = "aggregate(_a, named_struct('s', 0D, 'l', double('-infinity'), 'h', double('infinity')), (f, x) -> named_struct('s', f.s + x.g, 'l', least({c}D, greatest(0D, f.l + x.g)), 'h', least({c}D, greatest(0D, f.h + x.g))))".format(c=clip)
@@ -61,7 +61,9 @@ def episode_kpis(log: DataFrame) -> DataFrame:
 
 def sensing_age(accepted: str, cap: int, start: int) -> Column:
     """Slots since the timestamp of the last accepted estimate, from 1 to cap; one more
-    a slot in between, from start before the first (TS3)."""
-    last = F.max(F.when(F.col(accepted).isNotNull(), F.struct("slot", F.greatest(F.lit(1), F.col("slot") - F.col(accepted)).alias("age")))).over(_run())
+    a slot in between, from start before the first; a timestamp in the future is an
+    error (TS3)."""
+    since = F.when(F.col(accepted) > F.col("slot"), F.raise_error(F.lit("a sensing timestamp lies in the future"))).otherwise(F.greatest(F.lit(1), F.col("slot") - F.col(accepted)))
+    last = F.max(F.when(F.col(accepted).isNotNull(), F.struct("slot", since.cast("long").alias("age")))).over(_run())
     grown = F.coalesce(F.least(last["age"], F.lit(cap)) + F.col("slot") - last["slot"], F.lit(start) + F.col("slot"))
     return F.least(grown, F.lit(cap)).cast("long")

@@ -49,7 +49,7 @@ def distribution_error(df: DataFrame, column: str, target: Mapping[str, float])
     have = df.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
     have = have.withColumn("total", F.sum("n").over(_all()))
     d = have.join(want, "label", "full").withColumns({"n": F.coalesce("n", F.lit(0)), "share": F.coalesce(F.col("n") / F.col("total"), F.lit(0.0))})
-    return d.select("label", "n", F.round("share", 6).alias("actual"), "target", F.round(F.abs(F.col("share") - F.col("target")), 6).alias("error"))
+    return d.select("label", "n", F.round("share", 8).alias("actual"), "target", F.round(F.abs(F.col("share") - F.col("target")), 8).alias("error"))
 
 
 def _all():
@@ -60,7 +60,7 @@ def _all():
 
 def duplicate_rate(states: DataFrame) -> DataFrame:
     """Repeats of a state hash to states (QR9)."""
-    return states.groupBy("causal_state_hash").agg(F.count("*").alias("n")).agg(F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("duplicate_rate"))
+    return states.groupBy("causal_state_hash").agg(F.count("*").alias("n")).agg(F.round(F.sum(F.col("n") - 1) / F.sum("n"), 8).alias("duplicate_rate"))
 
 
 def repair_reasons(candidates: DataFrame) -> DataFrame:

@@ -39,13 +39,15 @@ def largest_remainder_quotas(spark: SparkSession, total: int, fractions: Mapping
     return d.select("name", (F.col("base") + F.when(F.col("rn") <= F.col("rest"), 1).otherwise(0)).cast("long").alias("quota"))
 
 
-def global_rank(df: DataFrame, order: str, out: str = "rank", buckets: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, order: str, out: str = "rank", rows_each: int = 250_000) -> DataFrame:
     """Rank from 0 over all rows by a hex hash column: counted by hash prefix, offset
-    by the prefixes before, ranked within a prefix; no task holds all rows."""
+    by the prefixes before, ranked within a prefix. There are as many prefixes as keep
+    about ``rows_each`` rows in each, so no task holds more, whatever the table."""
+    buckets = min(65536, max(1, -(-df.count() // rows_each)))
     b = df.withColumn("_b", (F.conv(F.substring(order, 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
     sizes = b.groupBy("_b").agg(F.count("*").alias("_n")).selectExpr("_b", "coalesce(sum(_n) over (order by _b rows between unbounded preceding and 1 preceding), 0) as _before")
     ranked = b.selectExpr("*", f"row_number() over (partition by _b order by {order}) - 1 as _at")
-    return ranked.join(F.broadcast(sizes), "_b").withColumn(out, F.col("_at") + F.col("_before")).drop("_b", "_at", "_before")  # at most `buckets` rows
+    return ranked.join(F.broadcast(sizes), "_b").withColumn(out, F.col("_at") + F.col("_before")).drop("_b", "_at", "_before")  # 65536 rows at most
 
 
 def exact_assignments(df: DataFrame, index: str, total: int, fractions: Mapping[str, float], seed: int, label: str) -> DataFrame:

@@ -31,7 +31,12 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.select("cache_key").distinct().join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
-def cache_upsert(requests: DataFrame) -> DataFrame:
-    """One row a well-formed key: its first request and how many there are (TR5)."""
-    good = requests.where(F.col("cache_key").rlike("^[0-9a-f]{64}$"))
-    return good.groupBy("cache_key").agg(F.min("request_id").alias("request_id"), F.count("*").alias("n"))
+def cache_upsert(cache: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """The cache with new responses (TR5): of each key the row that was written last,
+    new ones after old ones and among each other by ``order``. A key that is not 64
+    lower-case hex digits is an error. Both have the same columns, among them cache_key."""
+    rows = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    good = F.coalesce(F.col("cache_key").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    rows = rows.withColumn("cache_key", F.when(good, F.col("cache_key")).otherwise(F.raise_error(F.lit("a cache key must be 64 lower-case hex digits"))))
+    last = rows.groupBy("cache_key").agg(F.max_by(F.struct(*cache.columns), F.struct("_new", order)).alias("_r"))
+    return last.select("cache_key", *(F.col(f"_r.{c}").alias(c) for c in cache.columns if c != "cache_key"))

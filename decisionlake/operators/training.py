@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decisionlake.operators.sampling import global_rank
 
 #: Two-sided 95 % quantiles of Student's t by degrees of freedom (fixed values).
-STUDENT = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 15: 2.131, 20: 2.086, 30: 2.042}
+STUDENT = [
+    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056,
+    2.052, 2.048, 2.045, 2.042,
+]
 
 
 def training_batches(df: DataFrame, size: int, seed: int) -> DataFrame:
@@ -17,26 +20,39 @@ def training_batches(df: DataFrame, size: int, seed: int) -> DataFrame:
     return ranked.withColumn("batch", F.floor(F.col("rank") / size)).drop("_h")
 
 
-def split_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("split").agg(F.count("*").alias("n"))
+def split_counts(df: DataFrame, wanted: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """Rows of each split; one of the wanted splits without a row is an error (TD8)."""
+    want = df.sparkSession.createDataFrame([(w,) for w in wanted], "split string")
+    d = want.join(df.groupBy("split").agg(F.count("*").alias("n")), "split", "full")
+    return d.select("split", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no rows in split "), "split"))).otherwise(F.col("n")).alias("n"))
+
+
+def student(freedom: Column) -> Column:
+    """The quantile of STUDENT; beyond its last, interpolated in 1 / freedom to the normal's."""
+    table = F.array(*map(F.lit, STUDENT))
+    tail = F.lit(1.96) + (STUDENT[-1] - 1.96) * len(STUDENT) / freedom
+    return F.when(freedom <= len(STUDENT), F.get(table, (freedom - 1).cast("int"))).otherwise(tail)
 
 
 def seed_means_ci(results: DataFrame) -> DataFrame:
-    """Mean over independent seeds with its 95 % half width (EV1)."""
+    """Mean over independent seeds with its 95 % half width, median and the worst
+    twentieth (EV1)."""
     each = results.groupBy("method", "seed").agg(F.avg("cost").alias("m"))
-    d = each.groupBy("method").agg(F.count("*").alias("seeds"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.percentile("m", 0.5).alias("median"))
-    t = F.lit(1.96)
-    for freedom, value in sorted(STUDENT.items(), reverse=True):
-        t = F.when(F.col("seeds") - 1 <= freedom, value).otherwise(t)
-    return d.select("method", "seeds", F.round("mean", 4).alias("mean"), F.round(t * F.col("sd") / F.sqrt("seeds"), 4).alias("half_width"), F.round("median", 4).alias("median"))
+    d = each.groupBy("method").agg(F.count("*").alias("seeds"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.percentile("m", 0.5).alias("median"), F.percentile("m", 0.95).alias("tail"))
+    t = student(F.col("seeds") - 1)
+    return d.select("method", "seeds", F.round("mean", 4).alias("mean"), F.round(t * F.col("sd") / F.sqrt("seeds"), 4).alias("half_width"), F.round("median", 4).alias("median"), F.round("tail", 4).alias("tail"))
 
 
 def paired_comparison(results: DataFrame, one: str, two: str) -> DataFrame:
-    """Difference of two methods on common scenarios, by seed (EV2)."""
+    """Difference of two methods on common scenarios: a mean for each seed, and over the
+    seeds its mean, 95 % half width and win rate (EV2)."""
     each = results.where(F.col("method").isin(one, two)).groupBy("seed", "scenario").agg(
         F.avg(F.when(F.col("method") == one, F.col("cost"))).alias("x"), F.avg(F.when(F.col("method") == two, F.col("cost"))).alias("y")
     ).where("x is not null and y is not null")
-    return each.groupBy("seed").agg(F.round(F.avg(F.col("x") - F.col("y")), 4).alias("mean_gap"), F.round(F.avg((F.col("x") < F.col("y")).cast("double")), 6).alias("win_rate"))
+    by_seed = each.groupBy("seed").agg(F.avg(F.col("x") - F.col("y")).alias("gap"), F.avg((F.col("x") < F.col("y")).cast("double")).alias("win"))
+    d = by_seed.agg(F.count("*").alias("seeds"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("sd"), F.avg("win").alias("w"))
+    half = student(F.col("seeds") - 1) * F.col("sd") / F.sqrt("seeds")
+    return d.select("seeds", F.round("m", 4).alias("mean_gap"), F.round(half, 4).alias("half_width"), F.round("w", 6).alias("win_rate"))
 
 
 def fifth_percentile_rate(results: DataFrame) -> DataFrame:
@@ -63,15 +79,16 @@ def head_size(df: DataFrame, label: str) -> DataFrame:
 
 
 def latency_percentiles(requests: DataFrame, deadline: float) -> DataFrame:
-    """Median, 95 % quantile and share beyond the deadline, by teacher (EV3)."""
+    """Median, 95 % quantile, share beyond the deadline and tokens a second, by teacher (EV3)."""
     return requests.groupBy("teacher_label").agg(
         F.round(F.percentile("latency_s", 0.5), 6).alias("p50"), F.round(F.percentile("latency_s", 0.95), 6).alias("p95"),
         F.round(F.avg((F.col("latency_s") > deadline).cast("double")), 6).alias("missed"),
+        F.round(F.sum(F.when(F.col("latency_s") > 0, F.coalesce("completion_tokens", F.lit(0)))) / F.sum("latency_s"), 6).alias("tokens_per_s"),
     )
 
 
-def active_query_ranking(summary: DataFrame, n: int) -> DataFrame:
-    """The n states of the greatest spread of risk among their candidates, ties by
-    state (EV5); a top-k report."""
-    each = summary.groupBy("state_id").agg(F.round(F.max("risk") - F.min("risk"), 8).alias("spread"))
-    return each.orderBy(F.desc("spread"), "state_id").limit(n)
+def active_query_ranking(states: DataFrame, weights: dict[str, float], n: int) -> DataFrame:
+    """The n states most worth asking about, ties by state (EV5); a top-k report. Each of
+    the criteria (columns) adds its weight times its value; a null adds nothing."""
+    score = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
+    return states.select("state_id", F.round(score, 8).alias("score")).orderBy(F.desc("score"), "state_id").limit(n)

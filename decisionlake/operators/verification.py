@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,43 +133,54 @@ def decision_status(selected: DataFrame) -> DataFrame:
     return selected.withColumn("decision_status", status).withColumn("uncertain", F.coalesce(F.col("confidence_low") <= 0, F.lit(False)))
 
 
+def select_with_confidence(ranked: DataFrame, rollouts: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """One row a state with everything a selection says (VE13): the winner, the margin's
+    interval and probability, the equivalent set and the status."""
+    return decision_status(select(ranked).join(paired_bootstrap(rollouts, ranked, s), "state_id", "left"))
+
+
 def paired_bootstrap(rollouts: DataFrame, ranked: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Confidence interval of the risk margin between ranks 1 and 2 over common seeds
-    (VE11): the same resampled rollouts for both, the whole risk again each time."""
+    (VE11): the same resampled rollouts for both, the whole risk again each time.
+
+    rollouts has rollout_seed; the two candidates' seeds must agree one by one in order of
+    rollout_index, else it is an error. The generator is seeded by the pair's indices and
+    seeds. A state with one candidate gives no row. A state's rollouts, s.cap at most for
+    each candidate, come as one row; a task reads many states from one batch."""
     pair = ranked.where("rank <= 2").select("state_id", "candidate_index", "rank")
-    d = rollouts.join(pair, ["state_id", "candidate_index"]).select(
-        "state_id", "rank", "rollout_index", "discounted_cost", "mean_constraint_violation", "mean_repair_distance", "fallback_rate", F.col("hard_feasible").cast("double").alias("feasible")
-    )
+    item = F.struct("rollout_index", "rollout_seed", "discounted_cost", "mean_constraint_violation", "mean_repair_distance", "fallback_rate", F.col("hard_feasible").cast("double").alias("feasible"))
+    d = rollouts.join(pair, ["state_id", "candidate_index"]).groupBy("state_id").agg(
+        *(F.sort_array(F.collect_list(F.when(F.col("rank") == k, item))).alias(name) for k, name in ((1, "one"), (2, "two"))),
+        *(F.max(F.when(F.col("rank") == k, F.col("candidate_index"))).alias(f"{name}_index") for k, name in ((1, "one"), (2, "two"))),
+    ).where("two_index is not null")
+    costs = ("discounted_cost", "mean_constraint_violation", "mean_repair_distance", "fallback_rate", "feasible")
 
     def risk(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        cost = np.sort(x[0][at], axis=1)
-        q = np.quantile(cost, s.cvar_alpha, axis=1, keepdims=True)
-        tail = cost >= q
+        cost = x[0][at]
+        tail = cost >= np.quantile(cost, s.cvar_alpha, axis=1, keepdims=True)
         mean = cost.mean(axis=1)
         cvar = (cost * tail).sum(axis=1) / tail.sum(axis=1)
         rest = [x[k][at].mean(axis=1) for k in range(1, 5)]
         return mean + s.cvar_weight * (cvar - mean) + s.constraint_weight * rest[0] + s.repair_weight * rest[1] + s.fallback_weight * rest[2] + s.infeasible_weight * (1 - rest[3])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        pdf = pdf.sort_values(["rank", "rollout_index"])
-        one, two = pdf[pdf["rank"] == 1], pdf[pdf["rank"] == 2]
-        empty = pd.DataFrame({"state_id": pd.Series(dtype=str), "confidence_low": [], "confidence_high": [], "probability": [], "standard_error": []})
-        if not len(two):
-            return empty
-        if one.rollout_index.tolist() != two.rollout_index.tolist():
-            raise ValueError("rollouts of a state are not aligned")
-        state = pdf.state_id.iloc[0]
-        random = np.random.default_rng(int(hashlib.sha256(state.encode()).hexdigest()[:16], 16))
-        at = random.integers(0, len(one), (s.resamples, len(one)))
-        cols = ["discounted_cost", "mean_constraint_violation", "mean_repair_distance", "fallback_rate", "feasible"]
-        gap = risk(two[cols].to_numpy().T, at) - risk(one[cols].to_numpy().T, at)
-        a = (1 - s.confidence) / 2
-        low, high = np.quantile(gap, [a, 1 - a])
-        return pd.DataFrame({"state_id": [state], "confidence_low": [low], "confidence_high": [high], "probability": [(gap > 0).mean()], "standard_error": [gap.std(ddof=1)]})
-
-    return d.groupBy("state_id").applyInPandas(run, "state_id string, confidence_low double, confidence_high double, probability double, standard_error double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                seeds = [x["rollout_seed"] for x in r["one"]]
+                if not seeds or seeds != [x["rollout_seed"] for x in r["two"]]:
+                    raise ValueError("the rollouts of a state's candidates must have common seeds")
+                said = f"{r['one_index']}:{r['two_index']}:" + ",".join(map(str, seeds))
+                random = np.random.default_rng(int.from_bytes(hashlib.sha256(said.encode()).digest()[:8], "big"))
+                at = random.integers(0, len(seeds), size=(s.resamples, len(seeds)))
+                one, two = (np.array([[x[c] for x in r[side]] for c in costs]) for side in ("one", "two"))
+                gap = risk(two, at) - risk(one, at)
+                a = (1 - s.confidence) / 2
+                out.append((r["state_id"], *np.quantile(gap, [a, 1 - a]).tolist(), float((gap > 0).mean()), float(gap.std(ddof=1))))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.float64()) for c in cols[1:])], ["state_id", "confidence_low", "confidence_high", "probability", "standard_error"])
+
+    return d.mapInArrow(run, "state_id string, confidence_low double, confidence_high double, probability double, standard_error double")
 
 
 def next_verification_round(selected: DataFrame, rollouts: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -178,10 +191,14 @@ def next_verification_round(selected: DataFrame, rollouts: DataFrame, s: Setting
     return wanted.join(rollouts, ["state_id", "candidate_index", "rollout_index"], "left_anti")
 
 
-def baseline_scores(summary: DataFrame) -> DataFrame:
-    """Per state the greedy baseline's scores, as columns (VE15)."""
-    greedy = F.col("candidate_source") == "greedy_baseline"
-    return summary.groupBy("state_id").agg(*(F.min(F.when(greedy, F.col(c))).alias(f"greedy_{c}") for c in ("risk", "mean_cost", "cvar_cost", "violation", "repair", "fallback")))
+def baseline_scores(summary: DataFrame, candidates: DataFrame, baselines: tuple[str, ...] = ("greedy_baseline", "random_baseline")) -> DataFrame:
+    """Per state a map of each baseline's scores (VE15): its cost after one step, and its
+    verified risk, mean, tail mean, violation, repair and fallback."""
+    d = summary.join(candidates.select("state_id", "candidate_index", "one_step_stage_cost"), ["state_id", "candidate_index"]).where(F.col("candidate_source").isin(*baselines))
+    names = {"one_step_stage_cost": "one_step_cost", "risk": "verified_risk_score", "mean_cost": "mean_cost", "cvar_cost": "cvar_cost", "violation": "constraint_violation", "repair": "repair_distance", "fallback": "fallback_rate"}
+    best = d.groupBy("state_id", "candidate_source").agg(F.min_by(F.struct(*names), "candidate_index").alias("_b"))
+    entries = F.array(*(F.struct(F.concat(F.substring_index("candidate_source", "_", 1), F.lit(f"_{n}")).alias("k"), F.col(f"_b.{c}").cast("double").alias("v")) for c, n in names.items()))
+    return best.groupBy("state_id").agg(F.map_from_entries(F.flatten(F.collect_list(entries))).alias("baseline_scores"))
 
 
 def soft_targets(ranked: DataFrame) -> DataFrame:
@@ -193,10 +210,12 @@ def soft_targets(ranked: DataFrame) -> DataFrame:
     )
 
 
-def demonstrations(selected: DataFrame, targets: DataFrame, candidates: DataFrame, states: DataFrame) -> DataFrame:
-    """Accepted states with the winner's executed action and targets (VE17)."""
-    c = candidates.selectExpr("state_id", "candidate_index as selected_index", "pair", "executed_sensing", "executed_near", "eta_cpu", "repair_distance")
-    return selected.join(c, ["state_id", "selected_index"]).join(targets, "state_id").join(states.select("state_id", "scenario_id", "split", "global_state_index"), "state_id")
+def demonstrations(selected: DataFrame, targets: DataFrame, candidates: DataFrame, states: DataFrame, action: list[str]) -> DataFrame:
+    """Accepted states (acceptance_status) with the winner's executed action, a struct of
+    the columns ``action``, its weight, risk and repair distance, and the targets (VE17)."""
+    c = candidates.select("state_id", F.col("candidate_index").alias("selected_index"), F.struct(*action).alias("selected_action"), "repair_distance")
+    accepted = selected.where("acceptance_status = 'accepted'")
+    return accepted.join(c, ["state_id", "selected_index"]).join(targets, "state_id").join(states.select("state_id", "scenario_id", "split", "global_state_index"), "state_id")
 
 
 def rejection_reason(candidates: DataFrame, ranked: DataFrame) -> DataFrame:

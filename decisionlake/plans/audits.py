@@ -276,3 +276,18 @@ def qr17(s, d):
         m = m.unionByName(report.distribution_metric(quality.distribution_error(states, column, target), name))
     share = report.teacher_contribution(demos, a.candidates(s, d)).agg(F.coalesce(F.max(F.when(F.col("source") == "teacher", F.col("weight_share"))), F.lit(0.0)).alias("value"))
     return report.all_gates(m.unionByName(share.select(F.lit("teacher_target_weight_share").alias("metric"), "value")).withColumn("value", F.round("value", 8)))
+
+
+_NINE = ["pair", "ris_code", *te.CONTINUOUS]
+
+
+@query("ve17_demonstrations", f"""SELECT s.state_id, scenario_id, split, global_state_index, selected_candidate_index AS selected_index, {', '.join(f"round(x_{c}, 8)::DOUBLE AS {c}" for c in _NINE)}, round(s.selected_risk, 8) AS risk, repair_distance,
+  (SELECT count(*) FROM demos d WHERE d.state_id = s.state_id) AS targets FROM selections s JOIN actions c ON c.state_id = s.state_id AND selected JOIN states ON states.state_id = s.state_id WHERE accepted""", "states", "selections", "actions", "demos")
+def ve17(s, d):
+    r = ranked(s, d)
+    w = ve.select(r).join(selections(s, d).select("state_id", "acceptance_status"), "state_id")
+    out = ve.demonstrations(w, ve.soft_targets(r), actions(s, d), a.states(s, d), [f"x_{c}" for c in _NINE])
+    return out.select(
+        "state_id", "scenario_id", "split", "global_state_index", "selected_index", *(F.round(F.col(f"selected_action.x_{c}").cast("double"), 8).alias(c) for c in _NINE), F.round("risk", 8).alias("risk"), "repair_distance",
+        F.size("target_candidates").cast("long").alias("targets"),
+    )

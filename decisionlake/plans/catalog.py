@@ -144,14 +144,24 @@ def ve7(s, d):
     return ranked(s, d).select("state_id", "candidate_index", F.col("rank").cast("long"), *rounded("quality_weight"), "equivalent")
 
 
-@query("ve10_score_margin", "SELECT state_id, candidate_index, round(score_margin, 10) AS score_margin FROM ranked WHERE isfinite(score_margin)", "ranked")
+@query("ve10_score_margin", "SELECT state_id, candidate_index, CASE WHEN isfinite(score_margin) THEN round(score_margin, 10) ELSE score_margin END AS score_margin FROM ranked", "ranked")
 def ve10(s, d):
-    return ranked(s, d).where("score_margin < double('infinity')").select("state_id", "candidate_index", *rounded("score_margin"))
+    return ranked(s, d).select("state_id", "candidate_index", *rounded("score_margin"))
+
+
+def seeded(s, d):
+    """Rollouts with the common seeds of their state."""
+    return a.rollouts(s, d).withColumn("rollout_seed", sampling.stable_seed(F.concat_ws(":", "state_id", F.col("rollout_index").cast("string")), 42))
 
 
 @query("ve11_paired_bootstrap")
 def ve11(s, d):
-    return ve.paired_bootstrap(a.rollouts(s, d), ranked(s, d))
+    return ve.paired_bootstrap(seeded(s, d), ranked(s, d))
+
+
+@query("ve12_decision_status")
+def ve12(s, d):
+    return ve.select_with_confidence(ranked(s, d), seeded(s, d)).select("state_id", "selected_index", "confidence_low", "confidence_high", "probability", "decision_status", "uncertain")
 
 
 @query("ve13_select", "SELECT state_id, selected_index, selected_source, rollouts, verified, len(equivalent_indices) AS equivalent, round(risk, 10) AS risk, round(quality_weight, 10) AS quality_weight FROM selected", "selected")
@@ -159,10 +169,15 @@ def ve13(s, d):
     return ve.select(ranked(s, d)).select("state_id", "selected_index", "selected_source", "rollouts", "verified", F.size("equivalent_indices").alias("equivalent"), *rounded("risk", "quality_weight"))
 
 
-@query("ve15_baseline_scores", """SELECT state_id, round(min(risk) FILTER (candidate_source = 'greedy_baseline'), 10) AS greedy_risk,
-  round(min(cvar_cost) FILTER (candidate_source = 'greedy_baseline'), 10) AS greedy_cvar_cost FROM summary GROUP BY state_id""", "summary")
+_BASE = {"one_step_stage_cost": "one_step_cost", "risk": "verified_risk_score", "mean_cost": "mean_cost", "cvar_cost": "cvar_cost", "violation": "constraint_violation", "repair": "repair_distance", "fallback": "fallback_rate"}
+
+
+@query("ve15_baseline_scores", "SELECT state_id, key, round(value, 8) AS value FROM (" + " UNION ALL ".join(
+    f"SELECT state_id, split_part(candidate_source, '_', 1) || '_{n}' AS key, arg_min({c}, candidate_index)::DOUBLE AS value FROM (SELECT summary.*, c.one_step_stage_cost FROM summary JOIN candidates c USING (state_id, candidate_index)) WHERE candidate_source IN ('greedy_baseline', 'safe_template') GROUP BY state_id, candidate_source"
+    for c, n in _BASE.items()) + ")", "summary", "candidates")
 def ve15(s, d):
-    return ve.baseline_scores(summary(s, d)).select("state_id", *rounded("greedy_risk", "greedy_cvar_cost"))
+    b = ve.baseline_scores(summary(s, d), a.candidates(s, d), ("greedy_baseline", "safe_template"))
+    return b.select("state_id", F.explode("baseline_scores")).select("state_id", "key", F.round("value", 8).alias("value"))
 
 
 _TARGETS = """SELECT state_id, count(*) AS targets, round(-sum(w * ln(greatest(w, 2.2250738585072014e-308))), 10) + 0.0 AS target_entropy FROM (
@@ -175,14 +190,6 @@ def ve16(s, d):
     return t.select("state_id", F.size("target_candidates").cast("long").alias("targets"), (F.round("target_entropy", 10) + 0.0).alias("target_entropy"))
 
 
-@query("ve17_demonstrations", """SELECT state_id, scenario_id, split, selected_index, c.pair, round(c.executed_near, 10) AS executed_near FROM selected
-  JOIN states USING (state_id) JOIN candidates c ON c.state_id = selected.state_id AND c.candidate_index = selected_index""".replace("SELECT state_id,", "SELECT selected.state_id,"), "states", "candidates", "selected")
-def ve17(s, d):
-    r = ranked(s, d)
-    out = ve.demonstrations(ve.select(r), ve.soft_targets(r), a.candidates(s, d), a.states(s, d))
-    return out.select("state_id", "scenario_id", "split", "selected_index", "pair", *rounded("executed_near"))
-
-
 @query("ve18_rejection_reason", """SELECT coalesce(reason, 'selected') AS reason, count(*) AS n FROM (
   SELECT CASE WHEN rank IS NULL THEN 'not_shortlisted' WHEN rank > 1 THEN 'higher_verified_risk_score' END AS reason
   FROM candidates LEFT JOIN ranked USING (state_id, candidate_index)) GROUP BY 1""", "candidates", "ranked")
@@ -249,13 +256,13 @@ def qr4(s, d):
 _TARGET = {"ordinary": 0.35, "freshness_stress": 0.25, "sensing_stress": 0.15, "secrecy_stress": 0.15, "boundary_rare": 0.10}
 
 
-@query("qr6_distribution_error", "SELECT label, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM states), 6) AS actual, target, round(abs(coalesce(n, 0) / (SELECT count(*) FROM states) - target), 6) AS error FROM (VALUES "
+@query("qr6_distribution_error", "SELECT label, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM states), 8) AS actual, target, round(abs(coalesce(n, 0) / (SELECT count(*) FROM states) - target), 8) AS error FROM (VALUES "
        + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _TARGET.items()) + ") t(label, target) FULL JOIN (SELECT state_category AS label, count(*) AS n FROM states GROUP BY 1) USING (label)", "states")
 def qr6(s, d):
     return quality.distribution_error(a.states(s, d), "state_category", _TARGET)
 
 
-@query("qr9_duplicate_rate", "SELECT round(sum(n - 1) / sum(n), 6) AS duplicate_rate FROM (SELECT count(*) AS n FROM states GROUP BY causal_state_hash)", "states")
+@query("qr9_duplicate_rate", "SELECT round(sum(n - 1) / sum(n), 8) AS duplicate_rate FROM (SELECT count(*) AS n FROM states GROUP BY causal_state_hash)", "states")
 def qr9(s, d):
     return quality.duplicate_rate(a.states(s, d))
 
@@ -286,9 +293,11 @@ def mg8(s, d):
     return shards.tournament_rank(shards.summarize_teacher(a.requests(s, d), 8))
 
 
-@query("tr5_cache_upsert", "SELECT cache_key, min(request_id) AS request_id, count(*) AS n FROM requests WHERE regexp_full_match(cache_key, '[0-9a-f]{64}') GROUP BY 1", "requests")
+@query("tr5_cache_upsert", "SELECT cache_key, arg_max(request_id, (source <> 'src1', state_id::BIGINT)) AS request_id FROM requests GROUP BY 1", "requests")
 def tr5(s, d):
-    return shards.cache_upsert(a.requests(s, d))
+    r = a.requests(s, d).select("cache_key", "request_id", "source", F.col("state_id").cast("long").alias("at"))
+    old = F.coalesce(F.col("source") == "src1", F.lit(False))
+    return shards.cache_upsert(r.where(old), r.where(~old), "at").select("cache_key", "request_id")
 
 
 @query("tr4_cache_misses", "SELECT DISTINCT cache_key FROM requests WHERE cache_key NOT IN (SELECT cache_key FROM requests WHERE source = 'src1')", "requests")
@@ -357,14 +366,14 @@ def td8(s, d):
     return training.split_counts(a.states(s, d))
 
 
-@query("ev1_seed_means_ci", """SELECT method, count(*) AS seeds, round(avg(m), 4) AS mean, round(2.262 * stddev_samp(m) / sqrt(count(*)), 4) AS half_width, round(quantile_cont(m, 0.5), 4) AS median FROM (
+@query("ev1_seed_means_ci", """SELECT method, count(*) AS seeds, round(avg(m), 4) AS mean, round(2.262 * stddev_samp(m) / sqrt(count(*)), 4) AS half_width, round(quantile_cont(m, 0.5), 4) AS median, round(quantile_cont(m, 0.95), 4) AS tail FROM (
   SELECT method, seed, avg(cost) AS m FROM seed_results GROUP BY 1, 2) GROUP BY 1""", "seed_results")
 def ev1(s, d):
     return training.seed_means_ci(a.seed_results(s, d))
 
 
-@query("ev2_paired_comparison", """SELECT seed, round(avg(x.m - y.m), 4) AS mean_gap, round(avg((x.m < y.m)::INT), 6) AS win_rate FROM (SELECT seed, scenario, avg(cost) AS m FROM seed_results WHERE method = 'A' GROUP BY 1, 2) x
-  JOIN (SELECT seed, scenario, avg(cost) AS m FROM seed_results WHERE method = 'N' GROUP BY 1, 2) y USING (seed, scenario) GROUP BY 1""", "seed_results")
+@query("ev2_paired_comparison", """SELECT count(*) AS seeds, round(avg(gap), 4) AS mean_gap, round(2.262 * stddev_samp(gap) / sqrt(count(*)), 4) AS half_width, round(avg(win), 6) AS win_rate FROM (SELECT seed, avg(x.m - y.m) AS gap, avg((x.m < y.m)::INT) AS win
+  FROM (SELECT seed, scenario, avg(cost) AS m FROM seed_results WHERE method = 'A' GROUP BY 1, 2) x JOIN (SELECT seed, scenario, avg(cost) AS m FROM seed_results WHERE method = 'N' GROUP BY 1, 2) y USING (seed, scenario) GROUP BY 1)""", "seed_results")
 def ev2(s, d):
     return training.paired_comparison(a.seed_results(s, d), "A", "N")
 

@@ -208,11 +208,6 @@ def ev3(s, d):
     return training.latency_percentiles(a.requests(s, d), 2.0)
 
 
-@query("ev5_active_query_ranking", "SELECT state_id, round(max(risk) - min(risk), 8) AS spread FROM summary GROUP BY 1 ORDER BY spread DESC, state_id LIMIT 100", "summary")
-def ev5(s, d):
-    return training.active_query_ranking(summary(s, d), 100)
-
-
 # sources and streams
 
 

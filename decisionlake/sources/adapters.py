@@ -71,7 +71,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_chars / 1000.0D as latency_s", "case when n_chars % 7 <> 0 then cast(floor(n_chars / 4) as bigint) end as completion_tokens",
         "8 as candidates_returned", "8 - n_chars % 3 as unique_candidates",
         "case when toxic = 1 then array('candidate[0].reason_codes_string_to_array') else array() end as response_normalization_notes",
-        "sha2(text, 256) as cache_key", "source", "text",
+        "sha2(coalesce(text, ''), 256) as cache_key", "source", "text",
     )
 
 
@@ -125,7 +125,7 @@ SQL = {
     "requests": """SELECT doc_id::VARCHAR AS state_id, doc_id || ':request-000' AS request_id, lang AS teacher_label, coalesce(quality, 1) = 1 AS schema_valid,
         CASE WHEN coalesce(quality, 1) = 1 THEN 'ok' ELSE 'parse_error' END AS status, n_chars / 1000.0::DOUBLE AS latency_s,
         CASE WHEN n_chars % 7 <> 0 THEN n_chars // 4 END AS completion_tokens, 8 AS candidates_returned, 8 - n_chars % 3 AS unique_candidates,
-        CASE WHEN toxic = 1 THEN ['candidate[0].reason_codes_string_to_array'] ELSE [] END AS response_normalization_notes, sha256(text) AS cache_key, source
+        CASE WHEN toxic = 1 THEN ['candidate[0].reason_codes_string_to_array'] ELSE [] END AS response_normalization_notes, sha256(coalesce(text, '')) AS cache_key, source
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "slot_log": """SELECT user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS slot, ts, event_id, value,
         event_type = 'purchase' AS delivered, event_type = 'error' AS intercepted, event_type = 'click' AS scheduled, event_type = 'signup' AS detected,

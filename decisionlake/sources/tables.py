@@ -55,8 +55,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def _encoded(c: Column, kind: DataType) -> Column:
     if isinstance(kind, DoubleType):
-        text = F.when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity").otherwise(c.cast("string"))
-        return F.when(F.isnan(c), F.raise_error(F.lit("NaN can't be written"))).otherwise(text)
+        return F.when(F.isnan(c), F.raise_error(F.lit("NaN can't be written"))).otherwise(c)
     if isinstance(kind, ArrayType):
         return F.transform(c, lambda x: _encoded(x, kind.elementType))
     if isinstance(kind, StructType):
@@ -65,7 +64,8 @@ def _encoded(c: Column, kind: DataType) -> Column:
 
 
 def encode_special_doubles(df: DataFrame) -> DataFrame:
-    """Doubles as text, infinities by name, also in arrays and structs; NaN is an error (IO4)."""
+    """df for write_table(), whose writer puts infinities down as the texts Infinity and
+    -Infinity and other doubles as numbers; NaN is an error, also in arrays and structs (IO4)."""
     return df.select(*[_encoded(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
