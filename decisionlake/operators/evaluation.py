@@ -159,3 +159,12 @@ def uncommon_states(judged: DataFrame) -> DataFrame:
     """States that not every teacher of (teacher_label, state_id) has judged (MG9)."""
     teachers = judged.select("teacher_label").where("teacher_label is not null").distinct().count()
     return judged.groupBy("state_id").agg(F.count_distinct("teacher_label").alias("teachers")).where(F.col("teachers") < teachers)
+
+
+def operating_map(points: DataFrame, axes: list[str], limits: dict[str, tuple[str, float]]) -> DataFrame:
+    """Each point of swept parameters with what limits it (EV6): means of the limits'
+    measures over its runs, feasible where all are within their bounds, else limited by the
+    one that is furthest beyond, relative to its bound; ties by name."""
+    d = points.groupBy(*axes).agg(F.count("*").alias("runs"), *(F.avg(measure).alias(f"mean_{name}") for name, (measure, _) in limits.items()))
+    worst = F.array_max(F.array(*(F.struct((F.col(f"mean_{name}") / bound).alias("x"), F.lit(f"{name}_limited").alias("n")) for name, (_, bound) in sorted(limits.items()))))
+    return d.withColumn("region", F.when(worst["x"] <= 1, "feasible").otherwise(worst["n"]))

@@ -90,3 +90,27 @@ def grid(spark: SparkSession, axes: Mapping[str, list[float]]) -> DataFrame:
     for name, values in axes.items():
         d = d.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
     return d
+
+
+def plan_states(spark: SparkSession, total: int, seed: int, categories: Mapping[str, float], fractions: Mapping[str, float] = SPLITS, rollin: int = 64) -> DataFrame:
+    """What is to be sampled for each global index (SP6): category and split with exact
+    counts, sampling seed, roll-in length and policy, scenario."""
+    d = exact_assignments(spark.range(total).withColumnRenamed("id", "global_state_index"), "global_state_index", total, categories, seed, "state_category")
+    d = exact_assignments(d, "global_state_index", total, fractions, seed, "split")
+    index = F.format_string("%08d", "global_state_index")
+    return d.withColumns({
+        "sampling_seed": stable_seed(F.concat(F.lit("state:"), index), seed), "rollin_slots": F.pmod(stable_seed(F.concat(F.lit("rollin:"), index), seed), F.lit(rollin + 1)),
+        "rollin_policy": F.when(F.col("global_state_index") % 2 == 0, "greedy").otherwise("random"), "scenario_id": F.concat(F.lit(f"scenario-{seed}-"), index),
+    })
+
+
+def retain_trajectories(rollouts: DataFrame, selected: DataFrame, run: str, fraction: float) -> DataFrame:
+    """rollouts with ``retained_trajectory``, and ``trajectory`` emptied where it is false
+    (SP9): kept are those of the selected candidate (state_id, candidate_index), those that
+    are not feasible, and a sample by hash."""
+    chosen = selected.select("state_id", "candidate_index").withColumn("_s", F.lit(True))
+    d = rollouts.join(chosen, ["state_id", "candidate_index"], "left")
+    place = unit_hash(F.concat_ws(":", F.lit(run), "state_id", F.col("candidate_index").cast("string"), F.col("rollout_index").cast("string"), F.lit("audit")), 8)
+    keep = F.coalesce("_s", F.lit(False)) | ~F.col("hard_feasible") | (place < max(0.0, fraction))
+    empty = F.array().cast(rollouts.schema["trajectory"].dataType)
+    return d.withColumn("retained_trajectory", keep).withColumn("trajectory", F.when(F.col("retained_trajectory"), F.col("trajectory")).otherwise(empty)).drop("_s")

@@ -1,4 +1,4 @@
-"""Merging, resuming, request cache and tournament."""
+"""The request cache."""
 
 from __future__ import annotations
 
@@ -6,26 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def trim_incomplete(states: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The states before the first one without candidates (MG4)."""
-    first = states.join(candidates.select("state_id").distinct(), "state_id", "left_anti").agg(F.min("global_state_index").alias("_stop"))
-    return states.crossJoin(F.broadcast(first)).where("_stop is null or global_state_index < _stop").drop("_stop")  # one row
-
-
-def summarize_teacher(requests: DataFrame, expected: int) -> DataFrame:
-    """Rates a teacher over all its requests (MG7)."""
-    valid = F.col("schema_valid")
-    return requests.groupBy("teacher_label").agg(
-        F.count("*").alias("n"), F.round(F.avg(valid.cast("double")), 6).alias("valid_rate"),
-        F.round(F.avg(F.when(valid, F.col("unique_candidates") / expected)), 6).alias("unique_ratio"), F.round(F.avg("latency_s"), 6).alias("latency"),
-    )
-
-
-def tournament_rank(summaries: DataFrame) -> DataFrame:
-    """Teachers in order (MG8): a row a teacher."""
-    return summaries.selectExpr("teacher_label", "cast(row_number() over (order by valid_rate desc, unique_ratio desc, latency, teacher_label) as bigint) as rank")
-
-
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Keys still to ask for, once each (TR4)."""
     return requests.select("cache_key").distinct().join(cache.select("cache_key").distinct(), "cache_key", "left_anti")

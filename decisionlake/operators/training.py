@@ -91,4 +91,46 @@ def active_query_ranking(states: DataFrame, weights: dict[str, float], n: int) -
     """The n states most worth asking about, ties by state (EV5); a top-k report. Each of
     the criteria (columns) adds its weight times its value; a null adds nothing."""
     score = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
-    return states.select("state_id", F.round(score, 8).alias("score")).orderBy(F.desc("score"), "state_id").limit(n)
+    return states.select("state_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "state_id").limit(n)
+
+
+def demonstrations(df: DataFrame, split: str | None = None) -> DataFrame:
+    """The demonstrations of a split, all where none is named (TD1)."""
+    return df if split is None else df.where(F.col("split") == split)
+
+
+def pad_targets(df: DataFrame, action: str = "selected_action") -> DataFrame:
+    """df (batch, targets: array of weight and action, selected_action) with targets of one
+    length a batch (TD3): its longest, filled up with nothing; ``target_mask`` says what is
+    there. Without targets the selected action is the only one, with weight 1."""
+    own = F.array(F.struct(F.lit(1.0).alias("weight"), F.col(action).alias("action")))
+    t = F.when(F.coalesce(F.size("targets"), F.lit(0)) > 0, F.transform("targets", lambda x: F.struct(x["weight"].cast("double").alias("weight"), x["action"].alias("action")))).otherwise(own)
+    longest = df.select("batch", F.size(t).alias("_n")).groupBy("batch").agg(F.max("_n").alias("_longest"))
+    d = df.withColumn("_t", t).join(longest, "batch")
+    gap = F.col("_longest") - F.size("_t")
+    nothing = {"int": F.lit(0), "bigint": F.lit(0).cast("long"), "double": F.lit(0.0)}
+    fields = df.schema[action].dataType.fields
+
+    def of(name: str):
+        return F.transform("_t", lambda x: x["action"][name])
+
+    return d.select(
+        *(c for c in df.columns if c != "targets"), F.concat(F.transform("_t", lambda x: x["weight"]), F.array_repeat(F.lit(0.0), gap)).alias("target_weight"),
+        *(F.concat(of(f.name), F.array_repeat(nothing[f.dataType.simpleString()], gap)).alias(f"target_{f.name}") for f in fields),
+        F.concat(F.transform("_t", lambda x: F.lit(1)), F.array_repeat(F.lit(0), gap)).alias("target_mask"),
+    )
+
+
+def auxiliary_targets(df: DataFrame, constraints: int) -> DataFrame:
+    """df with value, constraint and weight targets (TD6): the value or else the verifier's
+    score, 0 where not finite; constraints from 0 to 1 with a mask, of another length or
+    not finite an error; the quality weight from 0.001 to 1."""
+    x = F.coalesce("value_target", "verifier_score", F.lit(0.0))
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    c = F.col("constraint_targets")
+    wrong = (F.size(c) != constraints) | F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    clipped = F.when(wrong, F.raise_error(F.lit("constraint targets must be finite and as many as the head has"))).otherwise(F.transform(c, lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))))
+    return df.withColumns({
+        "value": F.when(finite, x).otherwise(0.0), "constraint_target": F.when(c.isNull(), F.array_repeat(F.lit(0.0), constraints)).otherwise(clipped), "constraint_mask": F.when(c.isNull(), 0).otherwise(1),
+        "weight": F.greatest(F.lit(1e-3), F.least(F.lit(1.0), F.coalesce("quality_weight", F.lit(1.0)))),
+    })

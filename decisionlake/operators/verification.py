@@ -44,14 +44,16 @@ def quantile(sorted_values: str, p: float) -> Column:
 
 
 def reduce_steps(steps: DataFrame, keys: list[str], s: Settings = DEFAULT) -> DataFrame:
-    """Step log (step, cost, delivered, users, queue, energy, feasible, terminated) to a
-    rollout row; steps beyond the horizon or after a termination drop out (VE1)."""
+    """Step log (step, cost, mean_aoi, delivered, outages, users, queue, energy, violation,
+    repair, fallback, feasible, terminated) to a rollout row (VE1); steps beyond the horizon
+    or after a termination drop out."""
     first = F.min(F.when(F.col("terminated"), F.col("step"))).over(_over(keys))
     d = steps.withColumn("_end", first).where(f"step < {s.horizon} and (_end is null or step <= _end)")
     g = F.pow(F.lit(s.discount), "step")
     return d.groupBy(*keys).agg(
-        (F.sum(g * F.col("cost")) / F.sum(g)).alias("discounted_cost"), F.sum("energy").alias("energy"), F.max("queue").alias("max_queue"),
-        (F.sum("delivered") / F.sum("users")).alias("delivery_rate"), F.bool_and("feasible").alias("hard_feasible"),
+        F.count("*").alias("steps"), (F.sum(g * F.col("cost")) / F.sum(g)).alias("discounted_cost"), F.avg("cost").alias("mean_cost"), F.max("mean_aoi").alias("max_mean_aoi"), F.sum("energy").alias("energy"),
+        F.max("queue").alias("max_queue"), (F.sum("delivered") / F.sum("users")).alias("delivery_rate"), (F.sum("outages") / F.sum("users")).alias("outage_rate"), F.avg("violation").alias("mean_constraint_violation"),
+        F.avg("repair").alias("mean_repair_distance"), F.avg(F.col("fallback").cast("double")).alias("fallback_rate"), F.bool_and("feasible").alias("hard_feasible"),
     )
 
 

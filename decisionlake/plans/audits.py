@@ -17,8 +17,8 @@ _ACTIONS = {
 }
 _OUT = ", ".join(f"{own} AS p_{c}, {done} AS x_{c}" for c, (own, done) in _ACTIONS.items())
 _COMPLY = "template_resolution = 'exact' AND l_quantity > 3"
-STEPS["actions"] = f"SELECT c.*, {_OUT}, {_COMPLY} AS template_compliant, candidate_index = selected_index AS selected FROM candidates c JOIN selected USING (state_id)".replace("0.", "0.").replace("SELECT c.*", "SELECT c.* EXCLUDE (candidate_source), c.candidate_source")
-NEEDS["actions"] = ["candidates", "selected"]
+STEPS["acts"] = f"SELECT c.*, {_OUT}, {_COMPLY} AS template_compliant, candidate_index = selected_index AS selected FROM candidates c JOIN selected USING (state_id)"
+NEEDS["acts"] = ["candidates", "selected"]
 STEPS["selections"] = """SELECT s.state_id, selected_index AS selected_candidate_index, selected_source AS selected_candidate_source, k % 29 <> 0 AS accepted,
   CASE WHEN k % 9 = 0 THEN NULL WHEN verified = 1 THEN 'decisive' WHEN len(equivalent_indices) > 1 THEN 'practically_equivalent' WHEN k % 4 = 0 THEN 'unresolved' ELSE 'decisive' END AS decision_status, k % 4 = 0 AS selection_uncertain,
   verified + (k % 31 = 0)::INT AS candidate_pool_count, verified AS verified_candidate_count, rollouts * (1 + k % 8) AS verification_rollouts, k % 3 AS adaptive_rounds,
@@ -27,8 +27,8 @@ STEPS["selections"] = """SELECT s.state_id, selected_index AS selected_candidate
   FROM (SELECT *, state_id::BIGINT AS k FROM selected) s JOIN scores b USING (state_id)
   LEFT JOIN (SELECT state_id, max(candidate_index) AS i FROM candidates WHERE candidate_source = 'greedy_baseline' GROUP BY 1) g USING (state_id)
   LEFT JOIN (SELECT state_id, min(one_step_stage_cost) FILTER (selected) AS selected, min(one_step_stage_cost) FILTER (candidate_source = 'greedy_baseline') AS greedy,
-    min(one_step_stage_cost) FILTER (candidate_source = 'safe_template') AS random FROM actions GROUP BY 1) one USING (state_id)"""
-NEEDS["selections"] = ["selected", "scores", "actions"]
+    min(one_step_stage_cost) FILTER (candidate_source = 'safe_template') AS random FROM acts GROUP BY 1) one USING (state_id)"""
+NEEDS["selections"] = ["selected", "scores", "acts"]
 STEPS["status"] = "SELECT *, CASE WHEN decision_status IN ('decisive', 'practically_equivalent', 'unresolved') THEN decision_status WHEN selection_uncertain THEN 'unresolved' ELSE 'decisive' END AS st FROM selections WHERE accepted"
 NEEDS["status"] = ["selections"]
 STEPS["demos"] = """SELECT r.state_id, candidate_index + CASE WHEN k % 41 = 0 THEN 100 ELSE 0 END AS i, quality_weight / sum(quality_weight) OVER (PARTITION BY r.state_id) * CASE WHEN k % 37 = 0 THEN 2 ELSE 1 END AS w
@@ -104,7 +104,7 @@ _R = {
     "request_schema_valid_rate": "avg(schema_valid::INT)", "request_normalization_rate": "avg((len(response_normalization_notes) > 0)::INT)", "candidate_unique_ratio": "avg(unique_candidates / greatest(1.0, candidates_returned)) FILTER (schema_valid)",
     "mean_request_latency_s": "avg(latency_s)", "p95_request_latency_s": "quantile_cont(latency_s, 0.95)", "mean_completion_tokens": "avg(completion_tokens)",
 }
-_T = "actions WHERE candidate_source = 'teacher'"
+_T = "acts WHERE candidate_source = 'teacher'"
 _C = {
     "teacher_template_compliance_rate": "avg(template_compliant::INT)", "teacher_template_resolution_repair_rate": "avg((template_resolution <> 'exact')::INT)", "candidate_pre_repair_feasible_rate": "avg(pre_repair_feasible::INT)",
     "candidate_post_repair_hard_feasible_rate": "avg(hard_feasible::INT)", "candidate_repair_rate": "avg((repair_distance > 1e-12)::INT)", "candidate_mean_repair_distance": "avg(repair_distance)",
@@ -124,12 +124,12 @@ _B = {
 _D = {"distillation_target_valid_rate": "avg(valid::INT)", "demonstration_acceptance_rate": "count(*) / (SELECT count(*) FROM states)"}
 _O = {"rollout_hard_feasible_rate": "avg(hard_feasible::INT)", "rollout_retained_trajectory_rate": "avg((NOT hard_feasible OR rollout_index = 0)::INT)"}
 _FROM = (
-    (_R, "requests"), (_C, _T), (_S, f"(SELECT count(DISTINCT {_KEY}) / count(*) AS r, count(*) FILTER (pair = 0) = 1 AS one FROM {_T} GROUP BY state_id)"), (_W, "actions WHERE selected"), (_A, "status"),
+    (_R, "requests"), (_C, _T), (_S, f"(SELECT count(DISTINCT {_KEY}) / count(*) AS r, count(*) FILTER (pair = 0) = 1 AS one FROM {_T} GROUP BY state_id)"), (_W, "acts WHERE selected"), (_A, "status"),
     (_B, "selections WHERE selected_risk IS NOT NULL AND greedy_risk IS NOT NULL AND random_risk IS NOT NULL"), (_D, "(SELECT abs(sum(w) - 1) <= 1e-6 AS valid FROM demos GROUP BY state_id)"), (_O, "rollouts"),
 )
 STEPS["metrics_all"] = " UNION ALL ".join(_M.format(name, value, source) for metrics, source in _FROM for name, value in metrics.items())
 STEPS["metrics"] = "SELECT * FROM metrics_all WHERE metric <> 'selected_no_worse_than_greedy_verified_rate'"
-NEEDS["metrics_all"], NEEDS["metrics"] = ["requests", "actions", "status", "selections", "demos", "states", "rollouts"], ["metrics_all"]
+NEEDS["metrics_all"], NEEDS["metrics"] = ["requests", "acts", "status", "selections", "demos", "states", "rollouts"], ["metrics_all"]
 
 
 def metrics(s, d):
@@ -169,7 +169,7 @@ def au14(s, d):
 _KEEP = ["scenario_id", "split", "state_category", "mean_aoi", "queue_max"]
 _NUM = ["pre_repair_feasible_rate", "post_repair_hard_feasible_rate", "fallback_rate", "repair_rate", "mean_repair_distance", "p95_repair_distance", "selected_one_step_cost", "selected_repair_distance", "selected_risk", "greedy_risk", "random_risk"]
 _EACH = """SELECT state_id, count(*) AS candidates, avg(pre_repair_feasible::INT) AS pre_repair_feasible_rate, avg(hard_feasible::INT) AS post_repair_hard_feasible_rate, avg(fallback_used::INT) AS fallback_rate, avg((repair_distance > 1e-12)::INT) AS repair_rate,
-  avg(repair_distance) AS mean_repair_distance, quantile_cont(repair_distance, 0.95) AS p95_repair_distance, min(one_step_stage_cost) FILTER (selected) AS selected_one_step_cost, min(repair_distance) FILTER (selected) AS selected_repair_distance FROM actions GROUP BY 1"""
+  avg(repair_distance) AS mean_repair_distance, quantile_cont(repair_distance, 0.95) AS p95_repair_distance, min(one_step_stage_cost) FILTER (selected) AS selected_one_step_cost, min(repair_distance) FILTER (selected) AS selected_repair_distance FROM acts GROUP BY 1"""
 
 
 @query("qr13_state_difficulty", f"""SELECT state_id, {', '.join(_KEEP)}, coalesce(candidates, 0) AS candidates, {', '.join(f"round({'coalesce(' + c + ', 0)' if i < 6 else c}, 8) AS {c}" for i, c in enumerate(_NUM))},
@@ -221,7 +221,7 @@ def qr16(s, d):
 
 
 @query("qr3_action_diversity", f"""SELECT side, count(*) AS states, round(avg(r), 8) AS mean_ratio, sum((r < 0.75)::INT)::BIGINT AS below FROM (
-  SELECT state_id, 'executed' AS side, count(DISTINCT {_KEY}) / count(*) AS r FROM actions GROUP BY 1 UNION ALL SELECT state_id, 'proposed', count(DISTINCT {_KEY.replace('x_', 'p_')}) / count(*) FROM actions GROUP BY 1) GROUP BY 1""", "actions")
+  SELECT state_id, 'executed' AS side, count(DISTINCT {_KEY}) / count(*) AS r FROM acts GROUP BY 1 UNION ALL SELECT state_id, 'proposed', count(DISTINCT {_KEY.replace('x_', 'p_')}) / count(*) FROM acts GROUP BY 1) GROUP BY 1""", "acts")
 def qr3(s, d):
     c = actions(s, d)
     sides = {"executed": executed(), "proposed": te.action_key("p_pair", "p_ris_code", tuple(f"p_{x}" for x in te.CONTINUOUS))}
@@ -230,7 +230,7 @@ def qr3(s, d):
 
 
 @query("qr5_action_field_changes", "SELECT field, count(*) AS n, sum((x > 1e-12)::INT)::BIGINT AS changed, round(avg((x > 1e-12)::INT), 8) AS rate, round(avg(x), 8) AS mean_change, round(quantile_cont(x, 0.95), 8) AS p95_change FROM ("
-       + " UNION ALL ".join(f"SELECT '{c}' AS field, abs(x_{c} - p_{c})::DOUBLE AS x FROM actions" for c in _ACTIONS) + ") GROUP BY 1", "actions")
+       + " UNION ALL ".join(f"SELECT '{c}' AS field, abs(x_{c} - p_{c})::DOUBLE AS x FROM acts" for c in _ACTIONS) + ") GROUP BY 1", "acts")
 def qr5(s, d):
     return quality.action_field_changes(actions(s, d), {c: (f"p_{c}", f"x_{c}") for c in _ACTIONS})
 
@@ -241,7 +241,7 @@ def qr12(s, d):
     return quality.repair_reasons(a.candidates(s, d))
 
 
-@query("qr14_template_resolution", """SELECT template_resolution, count(*) AS n, round(count(*) / (SELECT count(*) FROM actions), 8) AS share, round(avg(template_compliant::INT), 8) AS compliance FROM actions GROUP BY GROUPING SETS ((), (template_resolution))""", "actions")
+@query("qr14_template_resolution", """SELECT template_resolution, count(*) AS n, round(count(*) / (SELECT count(*) FROM acts), 8) AS share, round(avg(template_compliant::INT), 8) AS compliance FROM acts GROUP BY GROUPING SETS ((), (template_resolution))""", "acts")
 def qr14(s, d):
     return quality.template_resolution(actions(s, d))
 
@@ -282,7 +282,7 @@ _NINE = ["pair", "ris_code", *te.CONTINUOUS]
 
 
 @query("ve17_demonstrations", f"""SELECT s.state_id, scenario_id, split, global_state_index, selected_candidate_index AS selected_index, {', '.join(f"round(x_{c}, 8)::DOUBLE AS {c}" for c in _NINE)}, round(s.selected_risk, 8) AS risk, repair_distance,
-  (SELECT count(*) FROM demos d WHERE d.state_id = s.state_id) AS targets FROM selections s JOIN actions c ON c.state_id = s.state_id AND selected JOIN states ON states.state_id = s.state_id WHERE accepted""", "states", "selections", "actions", "demos")
+  (SELECT count(*) FROM demos d WHERE d.state_id = s.state_id) AS targets FROM selections s JOIN acts c ON c.state_id = s.state_id AND selected JOIN states ON states.state_id = s.state_id WHERE accepted""", "states", "selections", "acts", "demos")
 def ve17(s, d):
     r = ranked(s, d)
     w = ve.select(r).join(selections(s, d).select("state_id", "acceptance_status"), "state_id")

@@ -275,24 +275,6 @@ def qr18(s, d):
 # merge and tournament
 
 
-@query("mg4_trim_incomplete", """SELECT count(*) AS kept FROM states WHERE global_state_index < (SELECT min(s.global_state_index) FROM states s
-  LEFT JOIN (SELECT DISTINCT state_id FROM candidates) c USING (state_id) WHERE c.state_id IS NULL)""", "states", "candidates")
-def mg4(s, d):
-    return shards.trim_incomplete(a.states(s, d), a.candidates(s, d)).agg(F.count("*").alias("kept"))
-
-
-@query("mg7_summarize_teacher", """SELECT teacher_label, count(*) AS n, round(avg(schema_valid::INT), 6) AS valid_rate, round(avg(unique_candidates / 8) FILTER (schema_valid), 6) AS unique_ratio,
-  round(avg(latency_s), 6) AS latency FROM requests GROUP BY 1""", "requests")
-def mg7(s, d):
-    return shards.summarize_teacher(a.requests(s, d), 8)
-
-
-@query("mg8_tournament_rank", """SELECT teacher_label, row_number() OVER (ORDER BY v DESC, u DESC, l, teacher_label) AS rank FROM (SELECT teacher_label, round(avg(schema_valid::INT), 6) AS v,
-  round(avg(unique_candidates / 8) FILTER (schema_valid), 6) AS u, round(avg(latency_s), 6) AS l FROM requests GROUP BY 1)""", "requests")
-def mg8(s, d):
-    return shards.tournament_rank(shards.summarize_teacher(a.requests(s, d), 8))
-
-
 @query("tr5_cache_upsert", "SELECT cache_key, arg_max(request_id, (source <> 'src1', state_id::BIGINT)) AS request_id FROM requests GROUP BY 1", "requests")
 def tr5(s, d):
     r = a.requests(s, d).select("cache_key", "request_id", "source", F.col("state_id").cast("long").alias("at"))

@@ -203,11 +203,6 @@ def td7(s, d):
     return training.head_size(a.candidates(s, d), "pair")
 
 
-@query("ev3_latency_percentiles", "SELECT teacher_label, round(quantile_cont(latency_s, 0.5), 6) AS p50, round(quantile_cont(latency_s, 0.95), 6) AS p95, round(avg((latency_s > 2)::INT), 6) AS missed FROM requests GROUP BY 1", "requests")
-def ev3(s, d):
-    return training.latency_percentiles(a.requests(s, d), 2.0)
-
-
 # sources and streams
 
 

@@ -57,3 +57,39 @@ def rates(events: DataFrame, flags: list[str], length: str, late: str = "1 hour"
     """Share of rows with each flag by window (ST5)."""
     d = events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"))
     return d.agg(F.count("*").alias("n"), *[F.avg(F.col(f).cast("double")).alias(f) for f in flags]).select(F.col("w.start").alias("start"), "n", *flags)
+
+
+def ages(slots: DataFrame, key: str, cap: int, clip: float, start: int = 0) -> DataFrame:
+    """Age and virtual queue of each entity as its slots come (ST6): (key, slot, age, queue).
+    The state is (age, queue, last slot). A slot at or before the last is late and is
+    ignored; slots of one entity in a batch are taken in order. slots has slot, event, increment."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = slots.schema[key].dataType.simpleString()
+
+    def step(k, frames, state):
+        age, queue, last = state.get if state.exists else (start, 0.0, -1)
+        rows = pd.concat(list(frames)).sort_values("slot")
+        out = []
+        for slot, event, g in zip(rows["slot"].tolist(), rows["event"].tolist(), rows["increment"].tolist()):
+            if slot <= last:
+                continue
+            age = 1 if event else min(age + 1, cap)
+            queue = min(clip, max(0.0, queue + g))
+            last = slot
+            out.append((k[0], slot, age, queue))
+        state.update((age, queue, last))
+        yield pd.DataFrame(out, columns=[key, "slot", "age", "queue"])
+
+    d = slots.select(key, F.col("slot").cast("long"), F.col("event").cast("boolean"), F.col("increment").cast("double")).groupBy(key)
+    return d.applyInPandasWithState(step, f"{key} {kind}, slot long, age long, queue double", "age long, queue double, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def complete_states(parents: DataFrame, children: DataFrame, key: str, expected: str, late: str = "1 hour") -> DataFrame:
+    """Parents whose children have all come (ST7): (key, expected, found), counted over both
+    streams together. Both have key and ts; a parent says how many it expects."""
+    both = parents.select(key, "ts", F.col(expected).cast("long").alias("_want"), F.lit(0).cast("long").alias("_one"))
+    both = both.unionByName(children.select(key, "ts", F.lit(None).cast("long").alias("_want"), F.lit(1).cast("long").alias("_one")))
+    d = both.withWatermark("ts", late).groupBy(key).agg(F.max("_want").alias(expected), F.sum("_one").alias("found"))
+    return d.where(F.col("found") >= F.col(expected))

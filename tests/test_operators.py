@@ -40,7 +40,7 @@ def test_summary_and_rank(spark):
     assert sum(x.quality_weight for x in r.values()) == pytest.approx(1) and [r[i].equivalent for i in range(3)] == [True, True, False]
     chosen = ve.select(ranked)
     assert chosen.first().equivalent_indices == [0, 1]
-    boot = ve.paired_bootstrap(d, ranked)
+    boot = ve.paired_bootstrap(d.withColumn("rollout_seed", F.col("rollout_index") + 7), ranked)
     assert boot.first().confidence_low > 0
     status = ve.decision_status(chosen.join(boot, "state_id", "left")).first()
     assert status.decision_status == "practically_equivalent" and not status.uncertain

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from decisionlake.operators import evaluation as ev
+from decisionlake.operators import evaluation as ev, report
 
 
 def test_extrapolate_equals_repeated_steps(spark):
@@ -27,7 +27,7 @@ def test_nearest_template(spark):
 
 def test_gates_and_status(spark):
     m = spark.createDataFrame([("candidate_fallback_rate", 0.05), ("candidate_unique_ratio", 0.5)], "metric string, value double")
-    got = {r.metric: r.passed for r in ev.gates(m).collect()}
+    got = {r.metric: r.passed for r in report.all_gates(m).collect()}
     assert got["candidate_fallback_rate"] and not got["candidate_unique_ratio"] and not got["request_schema_valid_rate"] and len(got) == len(ev.GATES)
     d = spark.createDataFrame([("decisive", True), (None, False), ("odd", None)], "s string, u boolean")
     assert [r[0] for r in d.select(ev.decision_status("s", "u")).collect()] == ["decisive", "decisive", "unresolved"]
