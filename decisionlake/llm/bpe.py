@@ -14,8 +14,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import release, table
-from decisionlake.llm.segments import assemble, gather, slices
+from decisionlake.llm.common import release, small, table
+from decisionlake.llm.segments import assemble, gather
 
 #: Token-position rows (g = word * 2^16 + position) join the merge table; each round
 #: contracts every live word's leftmost pair of minimum rank; a word without a pair
@@ -189,11 +189,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         bpe = worker(path, pattern)
-        for batch in batches:
-            for part in slices(batch, 1):
-                ids, n = bpe.encode(part.column(1))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], ["doc_id", "ids"])
+        for part in small(batches):
+            ids, n = bpe.encode(part.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 

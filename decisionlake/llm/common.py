@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +43,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     lost executors, and gives Spark the true size for its broadcast decisions."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/decisionlake/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a task works on at a time.
+_BYTES = 4 << 20
+
+
+def small(batches: Iterable[pa.RecordBatch], name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about _BYTES of a text column: batches are cut by rows,
+    and what a task makes of one grows with its bytes. An empty batch stays one."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy()
+        step = np.cumsum(size, dtype=np.int64) // _BYTES
+        cut = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(size)]
+        for a, b in zip(cut, cut[1:]):
+            yield batch.slice(a, b - a)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column of an Arrow batch as strings, null as empty."""
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import components, in_units, likely, materialize, release, roots, runs, table, texts
+from decisionlake.llm.common import components, in_units, likely, materialize, release, roots, runs, small, table, texts
 from decisionlake.llm.segments import gather
 
 #: Words of a shingle; similarity as a fraction; bands and MinHash values of a band; MinHash
@@ -93,7 +93,7 @@ def needed(values: int) -> list[tuple[int, int]]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for text in texts(batch):
             sh = shingles(text)
@@ -109,7 +109,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     told: set[int] = set()  # of rows that are equal the first of a task goes on
-    for batch in batches:
+    for batch in small(batches):
         new = []
         for k, rep in enumerate(batch.column(0).to_pylist()):
             if rep not in told:

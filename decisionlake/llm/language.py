@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import release, table, texts
+from decisionlake.llm.common import release, small, table, texts
 
 #: Buckets of hashed n-grams, and their lengths.
 BUCKETS, NGRAMS = 1 << 15, (1, 2, 3)
@@ -100,7 +100,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         total, n = np.zeros(BUCKETS + 1, dtype=np.int64), 0
-        for batch in batches:
+        for batch in small(batches):
             for text in texts(batch):
                 total[counts(text)[0]] += 1
                 n += 1
@@ -108,10 +108,9 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    got = rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    got = rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(BUCKETS + 1, dtype=np.int64)
-    for bucket, n in got:
-        df[bucket] = n
+    df[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     return df[:BUCKETS], int(df[BUCKETS])
 
 
@@ -149,12 +148,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 ["place", "lang", "at", "x"],
             )
 
-    got = picked.mapInArrow(run, "place double, lang string, at binary, x binary").collect()
+    got = picked.mapInArrow(run, "place double, lang string, at binary, x binary").toArrow().to_pylist()
     code = {lang: i for i, lang in enumerate(labels)}
     got = sorted(got, key=lambda r: (r["place"], r["lang"], bytes(r["at"])))
     data = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4"), code[r["lang"]]) for r in got]
     kept = int(len(data) * CALIBRATION)
-    return fit(labels, idf, data[kept:] or data, data[:kept])
+    model = fit(labels, idf, data[kept:] or data, data[:kept])
+    del got, data
+    release()
+    return model
 
 
 def fit(labels: list[str], idf: np.ndarray, data: list, calibration: list) -> Model:
@@ -203,7 +205,7 @@ def predict(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         model = shared.value
-        for batch in batches:
+        for batch in small(batches, "_text"):
             got = [model.predict(t) for t in batch.column(len(names)).to_pylist()]
             pred, score = zip(*got) if got else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -236,7 +238,7 @@ def keep_language(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             got = [model.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array([p != "und" and s >= MIN_SCORE for p, s in got], pa.bool_()))
 

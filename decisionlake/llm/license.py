@@ -9,7 +9,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm.common import table, texts
+from decisionlake.llm.common import small, table, texts
 
 #: Phrases and their labels (fixed values): the base set.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -184,7 +184,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata()
-        for batch in batches:
+        for batch in small(batches):
             cols = list(zip(*(scan(t, automata) for t in texts(batch)))) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm.common import release, table
-from decisionlake.llm.segments import assemble, slices
+from decisionlake.llm.common import release, small, table
+from decisionlake.llm.segments import assemble
 
 #: Tokens of a window, the id that closes a document, the longest piece that enters
 #: the differencing, and how many pieces are differenced together.
@@ -166,31 +166,30 @@ def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE,
             serial += int(at.max()) + 1
             return emit(rows, serial - int(at.max()) - 1 + at, offset)
 
-        for batch in batches:
-            for part in slices(batch, 1):
-                ids, n = tokenizer.encode(part.column(1))
-                # whole windows from the front of a document, then pieces
-                whole = n // capacity
-                count = whole + -(-(n - whole * capacity) // piece)
-                of = np.repeat(np.arange(len(n)), count)
-                k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-                start = np.where(k < whole[of], k * capacity, whole[of] * capacity + (k - whole[of]) * piece)
-                length = np.where(k < whole[of], capacity, np.minimum(piece, n[of] - start))
-                at = 4 * ((np.cumsum(n) - n)[of] + start)
-                said = memoryview(ids.tobytes())
-                crc = [zlib.crc32(said[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
-                cols = [part.column(0).cast(pa.int64()).take(pa.array(of)), *(pa.array(c, pa.int64()) for c in (start, length, crc, n[of]))]
-                rows = pa.RecordBatch.from_arrays(cols, _NAMES[:5])
-                full = rows.filter(pa.array(length == capacity))
-                yield emit(full, serial + np.arange(len(full)), np.zeros(len(full), dtype=np.int64))
-                serial += len(full)
-                rest.append(rows.filter(pa.array(length < capacity)))
-                waiting += len(rest[-1])
-                if waiting >= block:
-                    held = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-                    for a in range(0, waiting - block + 1, block):
-                        yield packed(held.slice(a, block))
-                    rest, waiting = [held.slice(waiting - waiting % block)], waiting % block
+        for part in small(batches):
+            ids, n = tokenizer.encode(part.column(1))
+            # whole windows from the front of a document, then pieces
+            whole = n // capacity
+            count = whole + -(-(n - whole * capacity) // piece)
+            of = np.repeat(np.arange(len(n)), count)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.where(k < whole[of], k * capacity, whole[of] * capacity + (k - whole[of]) * piece)
+            length = np.where(k < whole[of], capacity, np.minimum(piece, n[of] - start))
+            at = 4 * ((np.cumsum(n) - n)[of] + start)
+            said = memoryview(ids.tobytes())
+            crc = [zlib.crc32(said[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            cols = [part.column(0).cast(pa.int64()).take(pa.array(of)), *(pa.array(c, pa.int64()) for c in (start, length, crc, n[of]))]
+            rows = pa.RecordBatch.from_arrays(cols, _NAMES[:5])
+            full = rows.filter(pa.array(length == capacity))
+            yield emit(full, serial + np.arange(len(full)), np.zeros(len(full), dtype=np.int64))
+            serial += len(full)
+            rest.append(rows.filter(pa.array(length < capacity)))
+            waiting += len(rest[-1])
+            if waiting >= block:
+                held = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                for a in range(0, waiting - block + 1, block):
+                    yield packed(held.slice(a, block))
+                rest, waiting = [held.slice(waiting - waiting % block)], waiting % block
         if waiting:
             yield packed(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
 

@@ -11,7 +11,7 @@ from decisionlake.llm.common import materialize, table
 #: Share of a group's rows that the determinant is minimised over, concentration steps
 #: at most, the change of the log determinant that ends them, rows a group needs for an
 #: estimate of its own, and squared distance beyond which a row is rejected.
-SHARE, STEPS, SETTLED, GROUP, CUTOFF = 0.75, 12, 1e-4, 10, 50.0
+SHARE, STEPS, SETTLED, GROUP, CUTOFF = 0.75, 8, 1e-2, 10, 50.0
 #: Rows that the language's scales count in a group's shape (the regularised form of
 #: the estimate): small groups lean on them, in large ones they vanish.
 WEIGHT = 20

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +17,6 @@ _ODD = " (?:[^!-~À-ɏ]|$)"
 #: Letters and what follows them: the patterns end a token where letters end, and
 #: the rest begins with an ASCII character that is none.
 _STEM = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<rest>|[\x00-@\[-`{-\x7f][\s\S]*)$"
-#: Bytes of text whose pieces are told apart together.
-_BYTES = 12 << 20
 
 
 @dataclass(frozen=True)
@@ -43,16 +41,6 @@ class Pieces:
         return [x or "" for x in stem.dictionary.to_pylist()], [x or "" for x in rest.dictionary.to_pylist()], *at
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about _BYTES of a text column."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-    step = np.cumsum(size, dtype=np.int64) // _BYTES
-    cut = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(size)]
-    for a, b in zip(cut, cut[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def pieces(said: pa.StringArray) -> Pieces:
     """The pieces of texts (null: empty)."""
     said = pc.fill_null(said, "")

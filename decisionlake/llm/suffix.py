@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import materialize, release, table, texts
+from decisionlake.llm.common import materialize, release, small, table, texts
 
 #: Bytes of a passage, of an anchor, and of a symbol of the transforms.
 LENGTH, ANCHOR, SYMBOL = 100, 32, 10
@@ -118,7 +118,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     release()
-    for batch in batches:
+    for batch in small(batches):
         docs, parts, starts, held = [], [], [], 0
         for doc, sub, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch)):
             data = text.encode("utf-8", "surrogatepass")
@@ -417,7 +417,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in small(batches):
             data = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(data, pa.binary())], ["doc_id", "doc", "sub", "packed"])
 
@@ -506,7 +506,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     joined = docs.join(passages, (doc == F.col("_doc")) & (sub == F.col("_sub")), "left").select(*(docs[c] for c in names), "_passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             said = batch.column(names.index("text")).to_pylist()
             for k, passages in enumerate(batch.column(len(names)).to_pylist()):
                 if passages and said[k]:
