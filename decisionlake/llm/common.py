@@ -51,12 +51,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 _BYTES = 4 << 20
 
 
-def small(batches: Iterable[pa.RecordBatch], name: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of about _BYTES of a text column: batches are cut by rows,
+def small(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = _BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about ``most`` bytes of a text column: batches are cut by rows,
     and what a task makes of one grows with its bytes. An empty batch stays one."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy()
-        step = np.cumsum(size, dtype=np.int64) // _BYTES
+        step = np.cumsum(size, dtype=np.int64) // most
         cut = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(size)]
         for a, b in zip(cut, cut[1:]):
             yield batch.slice(a, b - a)

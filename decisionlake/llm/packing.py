@@ -17,6 +17,8 @@ from decisionlake.llm.segments import assemble
 #: Tokens of a window, the id that closes a document, the longest piece that enters
 #: the differencing, and how many pieces are differenced together.
 WINDOW, CLOSING, PIECE, BLOCK = 2048, 1, 512, 2048
+#: Bytes of text whose words are told apart together: the more, the fewer are encoded twice.
+_BYTES = 12 << 20
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -166,7 +168,7 @@ def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE,
             serial += int(at.max()) + 1
             return emit(rows, serial - int(at.max()) - 1 + at, offset)
 
-        for part in small(batches):
+        for part in small(batches, most=_BYTES):
             ids, n = tokenizer.encode(part.column(1))
             # whole windows from the front of a document, then pieces
             whole = n // capacity
