@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -42,6 +42,8 @@ _DECODE = "SELECT run, string_agg(said, '' ORDER BY pos) AS said FROM coded JOIN
 LONGEST = 256
 #: Rows that the rounds of a query's words come to at most, and ids decoded at a time.
 _ROWS, _IDS = 2 << 20, 1 << 18
+#: Bytes of text whose words are told apart together.
+_BYTES = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +54,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encoder and decoder over a rank file; holds the merge table in DuckDB."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "256MB") -> None:
+    def __init__(self, path: str, pattern: str, memory: str = "192MB") -> None:
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         # queries are bounded by rows, so that none spills; without a folder none could
@@ -177,6 +179,35 @@ def worker(path: str, pattern: str) -> Bpe:
     return _WORKER[path, pattern]
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, ids)."""
+    for part in small(batches, most=_BYTES):
+        ids, n = bpe.encode(part.column(1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) to (doc_id, ids, decoded)."""
+    for batch in batches:
+        ids = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
+        said = bpe.decode(ids.flatten().to_numpy(), pc.list_value_length(ids).to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
+def _run(rows: DataFrame, path: str, pattern: str, steps: list[Callable], schema: str) -> DataFrame:
+    """rows through the steps, one after another, in one Python worker a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        bpe = worker(path, pattern)
+        for step in steps:
+            batches = step(batches, bpe)
+        yield from batches
+
+    return rows.mapInArrow(run, schema)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, text) to (doc_id, ids: array of int), row by row, without a shuffle.
 
@@ -185,31 +216,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     taken as such, as the tiktoken library does. Null texts are empty: no ids. Repeated
     rows each give a row; an empty table none.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        bpe = worker(path, pattern)
-        for part in small(batches):
-            ids, n = bpe.encode(part.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return _run(docs.select("doc_id", "text"), path, pattern, [_encoded], "doc_id long, ids array<int>")
 
 
 def decode_documents(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) with ``decoded``, the bytes of the ids by ordered aggregation over
     their positions. Null ids are empty; an id that is not in the vocabulary is an error."""
+    return _run(coded.select("doc_id", "ids"), path, pattern, [_decoded], "doc_id long, ids array<int>, decoded binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        bpe = worker(path, pattern)
-        for batch in batches:
-            ids = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
-            said = bpe.decode(ids.flatten().to_numpy(), pc.list_value_length(ids).to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """encode_documents() and decode_documents() one after the other, in the same task."""
+    return _run(docs.select("doc_id", "text"), path, pattern, [_encoded, _decoded], "doc_id long, ids array<int>, decoded binary")
 
 
 def op7_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,8 +235,7 @@ def op7_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), *how), *how)
-    return coded.select(
+    return round_trip(table(spark, sf_dir, "documents"), *how).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
