@@ -49,8 +49,8 @@ def fe3(s, d):
                     F.expr("named.virtual_queues.sensing_outage_deficit").alias("sensing"), F.expr("named.previous_action.eta_cpu").alias("eta_cpu"))
 
 
-@query("fe4_state_metrics", """SELECT vec_id, round(list_sum(e[1:4]) / 4, 8) AS mean_aoi, list_max(e[1:4]) AS max_aoi, round(list_sum(e[5:8]) / 4, 8) AS mean_aoli, list_min(e[5:8]) AS min_aoli, round(list_sum(e[9:22]), 8) AS queue_l1,
-  round(sqrt(list_sum([x * x FOR x IN e[9:22]])), 8) AS queue_l2, list_max(e[9:22]) AS queue_max, round(e[23] + e[28] + e[33] + e[38], 8) AS tracking_covariance_trace, round(list_sum([x * x FOR x IN e[39:46]]), 8) AS power FROM v""", "v")
+@query("fe4_state_metrics", """SELECT vec_id, round(list_sum(e[1:4]) / 4, 8) + 0 AS mean_aoi, list_max(e[1:4]) AS max_aoi, round(list_sum(e[5:8]) / 4, 8) + 0 AS mean_aoli, list_min(e[5:8]) AS min_aoli, round(list_sum(e[9:22]), 8) + 0 AS queue_l1,
+  round(sqrt(list_sum([x * x FOR x IN e[9:22]])), 8) AS queue_l2, list_max(e[9:22]) AS queue_max, round(e[23] + e[28] + e[33] + e[38], 8) + 0 AS tracking_covariance_trace, round(list_sum([x * x FOR x IN e[39:46]]), 8) AS power FROM v""", "v")
 def fe4(s, d):
     v = vectors(s, d).selectExpr("vec_id", "array(slice(e, 1, 2), slice(e, 3, 2)) as aoi", "array(slice(e, 5, 2), slice(e, 7, 2)) as aoli", "slice(e, 9, 14) as q",
                                  "transform(sequence(0, 3), i -> slice(e, 23 + 4 * i, 4)) as p", "array(slice(e, 39, 4)) as re", "array(slice(e, 43, 4)) as im")
