@@ -17,8 +17,8 @@ _OWN: dict[str, str] = {}
 
 
 def release() -> None:
-    """At the start of an operator's tasks: give back what earlier tasks of this Python
-    worker have freed, so that it does not count beside what this one needs."""
+    """At the start and end of an operator's tasks: give back what this Python worker has
+    freed, so that it does not count beside what the next task or another worker needs."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
@@ -60,6 +60,7 @@ def small(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = _BY
         cut = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(size)]
         for a, b in zip(cut, cut[1:]):
             yield batch.slice(a, b - a)
+    release()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -161,6 +162,8 @@ def runs(batches, keys: list[str]):
             last = key
     if held:
         yield pa.concat_tables(held).combine_chunks()
+    del held
+    release()
 
 
 def roots(n: int, left, right) -> np.ndarray:

@@ -128,7 +128,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE, block: int = BLOCK, most: int = _BYTES) -> DataFrame:
     """Pack (doc_id, text) into sequences of at most ``capacity`` ids; one row a piece.
 
     A document is its ids and a closing id; the file's special tokens are such in a
@@ -136,7 +136,8 @@ def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE,
     id alone. Whole windows are cut from a document's front and are sequences by
     themselves; the rest is cut to pieces of at most ``piece`` ids, which are packed
     together in blocks of ``block`` pieces by differencing, the window count rising
-    until all fit. A block lies within one task, so nothing is shuffled, memory is
+    until all fit. A task tells the words of about ``most`` bytes of text apart at a time:
+    more take more memory and less time. A block lies within one task, so nothing is shuffled, memory is
     bounded by a block, and a lost task is packed again from the same rows alike;
     a task's last block is smaller. sequence_id holds task, block and window. Repeated
     rows are packed each; an empty table gives none.
@@ -168,7 +169,7 @@ def pack(docs: DataFrame, path: str, capacity: int = WINDOW, piece: int = PIECE,
             serial += int(at.max()) + 1
             return emit(rows, serial - int(at.max()) - 1 + at, offset)
 
-        for part in small(batches, most=_BYTES):
+        for part in small(batches, most=most):
             ids, n = tokenizer.encode(part.column(1))
             # whole windows from the front of a document, then pieces
             whole = n // capacity

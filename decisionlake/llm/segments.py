@@ -61,8 +61,9 @@ def pieces(said: pa.StringArray) -> Pieces:
 def gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The runs pool[begin[k] : begin[k] + size[k]] of each k in ``of``, one after another."""
     n = size[of]
-    shift = begin[of] - (np.cumsum(n) - n)
-    return pool[np.repeat(shift, n) + np.arange(int(n.sum()))]
+    at = np.repeat(begin[of] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return pool[at]
 
 
 def assemble(said: pa.StringArray, spell: Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]], closing: list[int]) -> tuple[np.ndarray, np.ndarray]:
