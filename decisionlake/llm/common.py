@@ -47,6 +47,38 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], tag: str) -> DataFrame:
+    """df with ``_rank``, from 0 without gaps in each group by ``order`` (columns without
+    nulls in ``group``; nulls first in ``order``), written once.
+
+    Rows are sorted over all tasks by ranges; what is counted is one row a task and group,
+    so that no task holds a group. Rows that agree in group and order are dealt to ranges
+    by their place in the input, so that they may differ in which of their ranks each gets."""
+    by = [*group, *order, "_row"]
+    d = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    d = materialize(d.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row"), tag)
+    runs = d.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    over = "partition by {} order by _part rows between unbounded preceding and 1 preceding".format(", ".join(group) or "1")
+    runs = materialize(runs.selectExpr(*group, "_part", f"coalesce(sum(_n) over ({over}), 0) - _first as _shift"), tag)
+    return attach(d, runs, [*group, "_part"]).withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+#: Rows of a table that is broadcast (a few numbers and a short key each), and the
+#: salts of a hot key's rows where the table is larger.
+_FEW, _SALTS = 100_000, 64
+
+
+def attach(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with ``few`` (written before, one row a key). Counted: up to _FEW rows
+    it is broadcast; beyond that each of its rows is repeated a salt, so that the rows
+    of a hot key meet it in _SALTS tasks."""
+    if few.count() <= _FEW:
+        return rows.join(F.broadcast(few), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
+    each = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 #: Bytes of text that a task works on at a time.
 _BYTES = 4 << 20
 
