@@ -22,12 +22,21 @@ def cache_key(model: Column, revision: Column, prompt_hash: Column, sampling: di
     return F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)
 
 
+#: What a hit takes from the cache, as far as the cache has it.
+CACHED = ("text", "reasoning_text", "prompt_tokens", "completion_tokens")
+
+
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests with the cached text where the key is known; such take no time (TR3)."""
-    known = cache.select("cache_key", F.col("text").alias("_text"), F.lit(True).alias("_hit"))
+    """Requests with what the cache has where the key is known: text, reasoning and token
+    counts, nulls too; such take no time, no retry and have no error (TR3)."""
+    taken = [c for c in CACHED if c in cache.columns]
+    known = cache.select("cache_key", F.struct(*taken).alias("_hit"))
     d = requests.join(known, "cache_key", "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    return d.withColumns({"text": F.when(hit, F.col("_text")).otherwise(F.col("text")), "cached": hit, "latency_s": F.when(hit, 0.0).otherwise(F.col("latency_s"))}).drop("_text", "_hit")
+    hit = F.col("_hit").isNotNull()
+    kept = {c: F.when(hit, F.col(f"_hit.{c}")).otherwise(F.col(c)) if c in requests.columns else F.col(f"_hit.{c}") for c in taken}
+    plain = {"latency_s": F.lit(0.0), "retries": F.lit(0), "status": F.lit("ok"), "error": F.lit(None)}
+    kept |= {c: F.when(hit, v).otherwise(F.col(c)) for c, v in plain.items() if c in requests.columns}
+    return d.withColumns(kept | {"cached": hit}).drop("_hit")
 
 
 def split_reasoning(text: Column) -> tuple[Column, Column]:

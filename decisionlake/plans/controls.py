@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from decisionlake.functions import control, freshness, links
-from decisionlake.operators import audit, quality, responses, training
+from decisionlake.operators import audit, quality, responses, shards, training
 from decisionlake.plans.catalog import STEPS, query, ranked, rounded, rounded_sql, summary
 from decisionlake.sources import adapters as a
 from decisionlake.sources import tables
+from decisionlake.sources.store import BucketTable
+from decisionlake.sources.tables import shared_folder
 from decisionlake.streaming import streams
 
 _CONTROLS = ["eta_haps", "eta_communication", "eta_near", "eta_jamming", "heading", "speed", "eta_cpu"]
@@ -122,12 +125,31 @@ def tr2(s, d):
     return a.requests(s, d).dropna(subset=["teacher_label", "source", "cache_key"]).select("request_id", key.alias("key"))
 
 
-@query("tr3_cache_lookup", """SELECT request_id, k.cache_key IS NOT NULL AS cached, CASE WHEN k.cache_key IS NULL THEN latency_s ELSE 0 END AS latency_s FROM requests r
-  LEFT JOIN (SELECT DISTINCT cache_key FROM requests WHERE source = 'src1') k USING (cache_key)""", "requests")
+def cached(s, d):
+    """A cache of the responses of one source, in buckets, and all requests, written."""
+    r = a.requests(s, d).withColumns({"text": F.concat("source", F.lit(":"), "state_id"), "k": F.col("state_id").cast("long")})
+    r.write.parquet(path := shared_folder(s, "requests"))
+    r = s.read.schema(r.schema).parquet(path)
+    cache = shards.response_cache(s, shared_folder(s, "cache"), 16).create()
+    mine = r.where("source = 'src1'").selectExpr("cache_key", "text", "cast(null as string) as reasoning_text", "k % 50 as prompt_tokens", "completion_tokens", "k")
+    shards.put(cache, mine, "k")
+    return r, cache
+
+
+@query("tr3_cache_lookup", """SELECT request_id, k.cache_key IS NOT NULL AS cached, CASE WHEN k.cache_key IS NULL THEN latency_s ELSE 0 END AS latency_s, CASE WHEN k.cache_key IS NULL THEN r.source || ':' || r.state_id ELSE k.text END AS text,
+  CASE WHEN k.cache_key IS NULL THEN r.completion_tokens ELSE k.tokens END AS completion_tokens, k.prompt AS prompt_tokens FROM requests r LEFT JOIN (
+  SELECT cache_key, arg_max(source || ':' || state_id, state_id::BIGINT) AS text, max(state_id::BIGINT) % 50 AS prompt, arg_max_null(completion_tokens, state_id::BIGINT) AS tokens FROM requests WHERE source = 'src1' GROUP BY 1) k USING (cache_key)""", "requests")
 def tr3(s, d):
-    r = a.requests(s, d)
-    cache = r.where("source = 'src1'").groupBy("cache_key").agg(F.min("text").alias("text"))
-    return responses.cache_lookup(r, cache).select("request_id", "cached", "latency_s")
+    r, cache = cached(s, d)
+    return shards.look_up(r, cache).select("request_id", "cached", "latency_s", "text", "completion_tokens", "prompt_tokens")
+
+
+@query("tr5_cache_table", "SELECT cache_key, arg_max(source || ':' || state_id, (source <> 'src1', state_id::BIGINT)) AS text FROM requests WHERE source IS NOT NULL GROUP BY 1", "requests")
+def tr5(s, d):
+    r, cache = cached(s, d)
+    new = r.where("source <> 'src1'").selectExpr("cache_key", "text", "cast(null as string) as reasoning_text", "cast(null as bigint) as prompt_tokens", "completion_tokens", "k")
+    shards.put(cache, new, "k")
+    return cache.read().select("cache_key", "text")
 
 
 @query("tr7_split_reasoning", r"""SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS answer, CASE WHEN doc_id % 3 <> 0 THEN source END AS reasoning FROM documents""")
@@ -231,19 +253,21 @@ def _time(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-@query("st2_windows", """SELECT strftime(time_bucket(INTERVAL 20 MINUTE, ts) - k * INTERVAL 20 MINUTE, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(avg(value), 8) AS mean, max(value) AS top
-  FROM events CROSS JOIN range(3) r(k) GROUP BY 1, 2""")
+@query("st2_windows", """SELECT strftime(time_bucket(INTERVAL 20 MINUTE, ts) - k * INTERVAL 20 MINUTE, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(avg(value), 8) AS mean_value, max(value) AS top_value,
+  round(avg(user_id % 100), 8) AS mean_memory, max(user_id % 100) AS top_memory FROM events CROSS JOIN range(3) r(k) GROUP BY 1, 2""")
 def st2(s, d):
-    out = streams.drain(streams.windows(_events(s, d), ["event_type"], "value", "1 hour", "20 minutes"), ["start", "event_type"], "st2")
-    return out.select(_time("start"), "event_type", "n", F.round("mean", 8).alias("mean"), "top")
+    events = _events(s, d).withColumn("memory", F.expr("user_id % 100"))
+    out = streams.drain(streams.windows(events, ["event_type"], ["value", "memory"], "1 hour", "20 minutes"), ["start", "event_type"], "st2")
+    return out.select(_time("start"), "event_type", "n", *(F.round(c, 8).alias(c) for c in ("mean_value", "mean_memory")), "top_value", "top_memory")
 
 
-@query("st3_sessions", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
-  SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+@query("st3_sessions", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS requests, sum(event_id % 100)::BIGINT AS tokens, round(sum(event_id % 100) / sum(value), 6) AS tokens_per_second, count(*) FILTER (event_type = 'error') AS errors
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g""")
 def st3(s, d):
-    events = _events(s, d)
-    out = streams.drain(streams.sessions(events, "user_id", "6 hours"), ["start", "end", "user_id"], "st3", "append")
-    return out.select("user_id", _time("start"), "n")
+    events = streams.with_end(_events(s, d))
+    out = streams.drain(streams.sessions(events, "user_id", "6 hours", "1 hour", "event_id % 100", "value", "event_type = 'error'"), ["start", "end", "user_id"], "st3", "append")
+    return out.select("user_id", _time("start"), "requests", "tokens", F.round("tokens_per_second", 6).alias("tokens_per_second"), "errors")
 
 
 @query("st4_distinct_keys", "SELECT DISTINCT user_id, event_type FROM events")
@@ -251,6 +275,18 @@ def st4(s, d):
     return streams.drain(streams.distinct_keys(_events(s, d), ["user_id", "event_type"]).select("user_id", "event_type"), ["user_id", "event_type"], "st4")
 
 
+@query("st4_once", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def st4_once(s, d):
+    """Twice over the same events: the second run finds all keys in the table."""
+    schema = StructType.fromDDL("user_id long, event_type string, first_batch long")
+    seen = BucketTable(s, shared_folder(s, "seen"), ["user_id", "event_type"], schema, 16).create()
+    out, log = shared_folder(s, "once"), shared_folder(s, "once-log")
+    events = _events(s, d)
+    for _ in range(2):
+        streams.once(events, seen, ["event_id"], out, log)
+    return s.read.schema(events.schema.add("_batch", "long")).parquet(out).select("user_id", "event_type", "event_id")
+
+
 @query("st5_rates", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg((event_type = 'error')::INT), 8) AS failed FROM events GROUP BY 1")
 def st5(s, d):
     out = streams.drain(streams.rates(_events(s, d).withColumn("failed", F.col("event_type") == "error"), ["failed"], "1 hour"), ["start"], "st5")
