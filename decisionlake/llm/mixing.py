@@ -12,7 +12,7 @@ from decisionlake.llm.common import attach, materialize, ranked, table
 #: settle, at most one of its documents a source, is passed on to smaller ones.
 BANDS = (4096, 1024, 256, 64, 16, 1)
 #: Members of a node of the reduction tree.
-FAN = 4096
+FAN = 512
 #: Parts of a word that mass is counted in, so that moving it is exact.
 _UNIT = 1 << 20
 _MASK = (1 << 64) - 1
