@@ -1,54 +1,55 @@
-"""Ages, queues and availability over slot logs (entity, slot, ...)."""
+"""Ages, queues and availability over slot logs (entity, slot, ...). Slots count from 0 or more."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from decisionlake.functions.scan import prefix, running_max
 
 
-def _run():
-    return Window.partitionBy("entity").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def age(log: DataFrame, event: str, cap: int, start: int, out: str = "age") -> DataFrame:
+    """log with 1 at an event, one more each slot after it, at most cap; from start before
+    the first (TS1, TS2). Slots count from 1."""
+    d = running_max(log, "_last", F.when(F.col(event), F.col("slot")))
+    return d.withColumn(out, F.expr(f"cast(least(case when _last is null then {start} + slot else 1 + slot - _last end, {cap}) as bigint)")).drop("_last")
 
 
-def age(event: str, cap: int, start: int) -> Column:
-    """1 at an event, one more each slot after it, at most cap; from start before the
-    first (TS1, TS2). Slots count from 1."""
-    last = F.max(F.when(F.col(event), F.col("slot"))).over(_run())
-    return F.when(last.isNull(), F.least(F.lit(start) + F.col("slot"), F.lit(cap))).otherwise(F.least(1 + F.col("slot") - last, F.lit(cap))).cast("long")
+def waiting(log: DataFrame, event: str, cap: int, out: str = "waiting") -> DataFrame:
+    """log with 0 at an event, one more each slot after it, at most cap (TS4)."""
+    d = running_max(log, "_last", F.when(F.col(event), F.col("slot")))
+    return d.withColumn(out, F.expr(f"cast(least(slot - coalesce(_last, 0), {cap}) as bigint)")).drop("_last")
 
 
-def waiting(event: str, cap: int) -> Column:
-    """0 at an event, one more each slot after it (TS4)."""
-    last = F.max(F.when(F.col(event), F.col("slot"))).over(_run())
-    return F.least(F.col("slot") - F.coalesce(last, F.lit(0)), F.lit(cap)).cast("long")
+def sensing_age(log: DataFrame, accepted: str, cap: int, start: int, out: str = "age") -> DataFrame:
+    """log with the slots since the timestamp of the last accepted estimate, from 1 to cap;
+    one more a slot in between, from start before the first; a timestamp in the future is an
+    error (TS3)."""
+    since = F.when(F.col(accepted) > F.col("slot"), F.raise_error(F.lit("a sensing timestamp lies in the future"))).otherwise(F.greatest(F.lit(1), F.col("slot") - F.col(accepted)))
+    d = running_max(log, "_last", F.when(F.col(accepted).isNotNull(), F.struct("slot", since.cast("long").alias("age"))))
+    return d.withColumn(out, F.expr(f"cast(least(coalesce(least(_last.age, {cap}) + slot - _last.slot, {start} + slot), {cap}) as bigint)")).drop("_last")
 
 
 def virtual_queue(log: DataFrame, clip: float) -> DataFrame:
     """Q' = min(clip, max(0, Q + g)) along an entity's slots (TS6). Each step is a
-    function min(h, max(l, q + s)); these compose to one of their kind, so runs of slots
-    are folded apart and joined, and a busy entity is no single task."""
-    run = 256
-    d = log.select("entity", "slot", F.col("increment").alias("g"), F.floor(F.col("slot") / run).alias("_r"))
-    d = d.groupBy("entity", "_r").agg(F.sort_array(F.collect_list(F.struct("slot", "g"))).alias("_a"))
-    fold = "aggregate(_a, named_struct('s', 0D, 'l', double('-infinity'), 'h', double('infinity')), (f, x) -> named_struct('s', f.s + x.g, 'l', least({c}D, greatest(0D, f.l + x.g)), 'h', least({c}D, greatest(0D, f.h + x.g))))".format(c=clip)
-    d = d.withColumn("_f", F.expr(fold))
-    # what the runs before make of an empty queue: a row a run
-    starts = d.select("entity", "_r", "_f").groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("_r", "_f"))).alias("_all"))
-    starts = starts.selectExpr("entity", "explode(transform(_all, (x, i) -> struct(x._r as _r, aggregate(slice(_all, 1, i), 0D, (q, y) -> least(y._f.h, greatest(y._f.l, q + y._f.s))) as _q))) as e").select("entity", "e._r", "e._q")
-    d = d.join(starts, ["entity", "_r"])
-    walk = "aggregate(_a, named_struct('q', _q, 'o', cast(array() as array<struct<slot: int, queue: double>>)), (f, x) -> named_struct('q', least({c}D, greatest(0D, f.q + x.g)), 'o', array_append(f.o, named_struct('slot', x.slot, 'queue', least({c}D, greatest(0D, f.q + x.g)))))).o".format(c=clip)
-    return d.select("entity", F.explode(F.expr(walk)).alias("e")).select("entity", "e.slot", "e.queue")
+    function min(h, max(l, q + s)); these compose to one of their kind, so that the queue
+    before a slot comes from prefix()."""
+    g = "case when {0} is null then 0D else {0} end"
+    f = log.selectExpr("entity", "slot", f"named_struct('s', cast({g.format('increment')} as double), 'l', 0D, 'h', {clip}D) as f")
+    then = "named_struct('s', {a}.s + {b}.s, 'l', least({b}.h, greatest({b}.l, {a}.l + {b}.s)), 'h', least({b}.h, greatest({b}.l, {a}.h + {b}.s)))"
+    before = prefix(f, ["entity"], "slot", "f", then, f"named_struct('s', 0D, 'l', 0D, 'h', {clip}D)")
+    d = log.select("entity", "slot", F.col("increment").cast("double").alias("g")).alias("a").join(before.alias("b"), (F.col("a.slot") == F.col("b.slot")) & F.col("a.entity").eqNullSafe(F.col("b.entity")))
+    return d.selectExpr("a.entity as entity", "a.slot as slot", f"least({clip}D, greatest(0D, least(_before.h, greatest(_before.l, _before.s)) + {g.format('g')})) as queue")
 
 
 def sensing_availability(slots: DataFrame, jobs: DataFrame) -> DataFrame:
     """As-of join (TS7): at each slot the usable job of the greatest timestamp, one of
-    smaller trace first; one sort of both tables together."""
+    smaller trace first: both tables as one log, whose running maximum it is. Jobs that
+    become ready in one slot are one row of it."""
     job = F.struct("timestamp", (-F.col("trace")).alias("_t"))
-    events = jobs.select("entity", F.col("ready_slot").alias("slot"), job.alias("_job"), F.lit(0).alias("_kind"))
-    events = events.unionByName(slots.select("entity", "slot", F.lit(None).cast(events.schema["_job"].dataType).alias("_job"), F.lit(1).alias("_kind")))
-    w = Window.partitionBy("entity").orderBy("slot", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("available", F.max("_job").over(w)).where("_kind = 1").select("entity", "slot", "available")
+    ready = jobs.groupBy("entity", F.col("ready_slot").cast("long").alias("slot")).agg(F.max(job).alias("_job"), F.lit(False).alias("_own"))
+    mine = slots.select("entity", F.col("slot").cast("long").alias("slot"), F.lit(None).cast(ready.schema["_job"].dataType).alias("_job"), F.lit(True).alias("_own"))
+    return running_max(ready.unionByName(mine), "available", F.col("_job")).where("_own").select("entity", "slot", "available")
 
 
 def episode_kpis(log: DataFrame) -> DataFrame:
@@ -57,13 +58,3 @@ def episode_kpis(log: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg("covariance_trace"), 6).alias("trace"), F.round(F.avg("energy"), 6).alias("energy"),
         F.round(F.avg(F.col("delivered").cast("double")), 6).alias("delivery_rate"), F.round(F.avg(F.col("detected").cast("double")), 6).alias("detection_rate"),
     )
-
-
-def sensing_age(accepted: str, cap: int, start: int) -> Column:
-    """Slots since the timestamp of the last accepted estimate, from 1 to cap; one more
-    a slot in between, from start before the first; a timestamp in the future is an
-    error (TS3)."""
-    since = F.when(F.col(accepted) > F.col("slot"), F.raise_error(F.lit("a sensing timestamp lies in the future"))).otherwise(F.greatest(F.lit(1), F.col("slot") - F.col(accepted)))
-    last = F.max(F.when(F.col(accepted).isNotNull(), F.struct("slot", since.cast("long").alias("age")))).over(_run())
-    grown = F.coalesce(F.least(last["age"], F.lit(cap)) + F.col("slot") - last["slot"], F.lit(start) + F.col("slot"))
-    return F.least(grown, F.lit(cap)).cast("long")

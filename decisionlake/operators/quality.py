@@ -7,17 +7,24 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlake.operators.quantiles import Exact, aggregate
 
 def _rate(condition: str, name: str):
     return F.round(F.avg(F.expr(f"cast({condition} as double)")), 6).alias(name)
 
 
-def candidate_summary(candidates: DataFrame) -> DataFrame:
-    """Rates and distances in all, by source and by confidence bucket (QR1, QR2)."""
-    d = candidates.withColumn("bucket", F.expr("case when teacher_confidence < 0.5D then 'low' when teacher_confidence < 0.8D then 'medium' else 'high' end"))
-    return d.groupingSets([[], ["candidate_source"], ["bucket"]], "candidate_source", "bucket").agg(
+def candidate_summary(candidates: DataFrame, selected: str | None = None) -> DataFrame:
+    """Rates and distances in all, by source and by confidence bucket (QR1, QR2), and with
+    ``selected``, a condition, of the candidates that it holds for; ``part`` tells which."""
+    bucket = F.expr("case when teacher_confidence < 0.5D then 'low' when teacher_confidence < 0.8D then 'medium' else 'high' end")
+    none = F.lit(None).cast("string")
+    sets = [("all", none, none), ("source", F.col("candidate_source"), none), ("bucket", none, bucket), *([("selected", none, none)] if selected else [])]
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("part"), s.alias("s"), b.alias("b")) for name, s, b in sets)))
+    d = candidates.withColumn("_set", each).withColumns({"part": F.col("_set.part"), "candidate_source": F.col("_set.s"), "bucket": F.col("_set.b")}).drop("_set")
+    return aggregate(
+        d.where(f"part <> 'selected' or ({selected})") if selected else d, ["part", "candidate_source", "bucket"],
         F.count("*").alias("n"), _rate("pre_repair_feasible", "pre_feasible"), _rate("hard_feasible", "feasible"), _rate("fallback_used", "fallback"), _rate("repair_distance > 1e-12D", "repaired"),
-        F.round(F.avg("repair_distance"), 9).alias("mean_distance"), F.round(F.percentile("repair_distance", 0.95), 6).alias("p95_distance"),
+        F.round(F.avg("repair_distance"), 9).alias("mean_distance"), Exact("p95_distance", "repair_distance", 0.95, 6),
     )
 
 
@@ -37,9 +44,9 @@ def action_field_changes(candidates: DataFrame, fields: Mapping[str, tuple[str,
     """How repair changed each control, told by its proposed and executed columns (QR5)."""
     stack = ", ".join(f"'{name}', cast(abs({done} - {own}) as double)" for name, (own, done) in fields.items())
     d = candidates.selectExpr(f"stack({len(fields)}, {stack}) as (field, x)")
-    return d.groupBy("field").agg(
-        F.count("*").alias("n"), F.count_if(F.col("x") > 1e-12).alias("changed"), F.round(F.avg((F.col("x") > 1e-12).cast("double")), 8).alias("rate"),
-        F.round(F.avg("x"), 8).alias("mean_change"), F.round(F.percentile("x", 0.95), 8).alias("p95_change"),
+    return aggregate(
+        d, ["field"], F.count("*").alias("n"), F.count_if(F.col("x") > 1e-12).alias("changed"), F.round(F.avg((F.col("x") > 1e-12).cast("double")), 8).alias("rate"),
+        F.round(F.avg("x"), 8).alias("mean_change"), Exact("p95_change", "x", 0.95, 8),
     )
 
 
@@ -71,8 +78,8 @@ def repair_reasons(candidates: DataFrame) -> DataFrame:
 
 
 def latency_report(requests: DataFrame) -> DataFrame:
-    return requests.agg(
-        F.round(F.avg("latency_s"), 6).alias("mean_latency"), F.round(F.percentile("latency_s", 0.95), 6).alias("p95_latency"), F.round(F.avg("completion_tokens"), 6).alias("mean_tokens")
+    return aggregate(
+        requests, [], F.round(F.avg("latency_s"), 6).alias("mean_latency"), Exact("p95_latency", "latency_s", 0.95, 6), F.round(F.avg("completion_tokens"), 6).alias("mean_tokens")
     )
 
 

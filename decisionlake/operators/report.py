@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from decisionlake.operators.audit import targets_valid
 from decisionlake.operators.evaluation import GATES, decision_status
+from decisionlake.operators.quantiles import Exact, aggregate
 
 #: The audit's rules in order (metric, way, threshold, text, first and last
 #: schema they hold for).
@@ -48,6 +49,7 @@ def mean(value: str) -> Column:
 
 
 def high(value: str, p: float = 0.95) -> Column:
+    """For groups that are small by their nature, as the candidates of a state."""
     return F.coalesce(F.percentile(F.expr(value), p), F.lit(0.0))
 
 
@@ -85,24 +87,24 @@ def candidate_counts(requests: DataFrame, candidates: DataFrame, selections: Dat
 
 
 def request_metrics(requests: DataFrame) -> DataFrame:
-    return long(requests.agg(
-        share("schema_valid").alias("request_schema_valid_rate"), share("size(response_normalization_notes) > 0").alias("request_normalization_rate"),
+    return long(aggregate(
+        requests, [], share("schema_valid").alias("request_schema_valid_rate"), share("size(response_normalization_notes) > 0").alias("request_normalization_rate"),
         mean("case when schema_valid then unique_candidates / greatest(1.0D, candidates_returned) end").alias("candidate_unique_ratio"),
-        mean("latency_s").alias("mean_request_latency_s"), high("latency_s").alias("p95_request_latency_s"), mean("completion_tokens").alias("mean_completion_tokens"),
+        mean("latency_s").alias("mean_request_latency_s"), Exact("p95_request_latency_s", "latency_s", 0.95, default=0.0), mean("completion_tokens").alias("mean_completion_tokens"),
     ))
 
 
 def candidate_metrics(candidates: DataFrame, executed_key: Column, schema: int = 5) -> DataFrame:
     """Of the teacher's candidates from schema 5 on, else of all."""
     some = candidates.where("candidate_source = 'teacher'") if schema >= 5 else candidates
-    rows = some.agg(
-        share("template_compliant").alias("teacher_template_compliance_rate"), share("template_resolution <> 'exact'").alias("teacher_template_resolution_repair_rate"),
+    rows = aggregate(
+        some, [], share("template_compliant").alias("teacher_template_compliance_rate"), share("template_resolution <> 'exact'").alias("teacher_template_resolution_repair_rate"),
         share("pre_repair_feasible").alias("candidate_pre_repair_feasible_rate"), share("hard_feasible").alias("candidate_post_repair_hard_feasible_rate"), share("repair_distance > 1e-12D").alias("candidate_repair_rate"),
-        mean("repair_distance").alias("candidate_mean_repair_distance"), high("repair_distance").alias("candidate_p95_repair_distance"), share("fallback_used").alias("candidate_fallback_rate"),
+        mean("repair_distance").alias("candidate_mean_repair_distance"), Exact("candidate_p95_repair_distance", "repair_distance", 0.95, default=0.0), share("fallback_used").alias("candidate_fallback_rate"),
     )
     each = some.groupBy("state_id").agg((F.count_distinct(executed_key) / F.count("*")).alias("r"), (F.count_if(F.col("pair") == 0) == 1).alias("one"))
     states = each.agg(mean("r").alias("executed_candidate_unique_ratio"), share("one").alias("candidate_role_compliance_rate"))
-    chosen = candidates.where("selected").agg(share("fallback_used").alias("selected_fallback_rate"), high("repair_distance").alias("selected_p95_repair_distance"))
+    chosen = aggregate(candidates.where("selected"), [], share("fallback_used").alias("selected_fallback_rate"), Exact("selected_p95_repair_distance", "repair_distance", 0.95, default=0.0))
     return long(rows).unionByName(long(states)).unionByName(long(chosen))
 
 
@@ -184,12 +186,12 @@ def state_difficulty(states: DataFrame, candidates: DataFrame, selections: DataF
 def selection_quality(selections: DataFrame) -> DataFrame:
     """One row over accepted selections (QR15)."""
     d = selections.where("acceptance_status = 'accepted'").withColumn("_s", decision_status("decision_status", "selection_uncertain"))
-    return d.agg(
-        F.count("*").alias("accepted_count"), share("selection_uncertain").alias("uncertain_rate"), share("_s = 'unresolved'").alias("unresolved_rate"), share("_s = 'practically_equivalent'").alias("practically_equivalent_rate"),
-        mean("verification_rollouts").alias("mean_verification_rollouts"), high("verification_rollouts").alias("p95_verification_rollouts"), F.coalesce(F.max("verification_rollouts"), F.lit(0)).cast("double").alias("max_verification_rollouts"),
+    return aggregate(
+        d, [], F.count("*").alias("accepted_count"), share("selection_uncertain").alias("uncertain_rate"), share("_s = 'unresolved'").alias("unresolved_rate"), share("_s = 'practically_equivalent'").alias("practically_equivalent_rate"),
+        mean("verification_rollouts").alias("mean_verification_rollouts"), Exact("p95_verification_rollouts", "verification_rollouts", 0.95, default=0.0), F.coalesce(F.max("verification_rollouts"), F.lit(0)).cast("double").alias("max_verification_rollouts"),
         mean("adaptive_rounds").alias("mean_adaptive_rounds"), mean("candidate_pool_count").alias("mean_candidate_pool_size"), mean("verified_candidate_count").alias("mean_verified_candidate_count"),
         mean("coalesce(safe_template_coverage_rate, 0)").alias("safe_template_coverage_rate"), share("greedy_candidate_index is not null").alias("greedy_selectable_rate"),
-        share("selected_candidate_source = 'teacher'").alias("teacher_selected_rate"), mean("oracle_regret").alias("mean_oracle_regret"), high("oracle_regret").alias("p95_oracle_regret"),
+        share("selected_candidate_source = 'teacher'").alias("teacher_selected_rate"), mean("oracle_regret").alias("mean_oracle_regret"), Exact("p95_oracle_regret", "oracle_regret", 0.95, default=0.0),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlake.operators.quantiles import Exact, aggregate
 from decisionlake.operators.sampling import global_rank
 
 #: Two-sided 95 % quantiles of Student's t by degrees of freedom (fixed values).
@@ -38,7 +39,7 @@ def seed_means_ci(results: DataFrame) -> DataFrame:
     """Mean over independent seeds with its 95 % half width, median and the worst
     twentieth (EV1)."""
     each = results.groupBy("method", "seed").agg(F.avg("cost").alias("m"))
-    d = each.groupBy("method").agg(F.count("*").alias("seeds"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.percentile("m", 0.5).alias("median"), F.percentile("m", 0.95).alias("tail"))
+    d = aggregate(each, ["method"], F.count("*").alias("seeds"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), Exact("median", "m", 0.5), Exact("tail", "m", 0.95))
     t = student(F.col("seeds") - 1)
     return d.select("method", "seeds", F.round("mean", 4).alias("mean"), F.round(t * F.col("sd") / F.sqrt("seeds"), 4).alias("half_width"), F.round("median", 4).alias("median"), F.round("tail", 4).alias("tail"))
 
@@ -56,7 +57,7 @@ def paired_comparison(results: DataFrame, one: str, two: str) -> DataFrame:
 
 
 def fifth_percentile_rate(results: DataFrame) -> DataFrame:
-    return results.groupBy("method", "seed").agg(F.round(F.sum("rate"), 2).alias("sum_rate"), F.round(F.percentile("rate", 0.05), 2).alias("p05_rate"))
+    return aggregate(results, ["method", "seed"], F.round(F.sum("rate"), 2).alias("sum_rate"), Exact("p05_rate", "rate", 0.05, 2))
 
 
 def continuous_targets(actions: DataFrame) -> DataFrame:
@@ -80,8 +81,8 @@ def head_size(df: DataFrame, label: str) -> DataFrame:
 
 def latency_percentiles(requests: DataFrame, deadline: float) -> DataFrame:
     """Median, 95 % quantile, share beyond the deadline and tokens a second, by teacher (EV3)."""
-    return requests.groupBy("teacher_label").agg(
-        F.round(F.percentile("latency_s", 0.5), 6).alias("p50"), F.round(F.percentile("latency_s", 0.95), 6).alias("p95"),
+    return aggregate(
+        requests, ["teacher_label"], Exact("p50", "latency_s", 0.5, 6), Exact("p95", "latency_s", 0.95, 6),
         F.round(F.avg((F.col("latency_s") > deadline).cast("double")), 6).alias("missed"),
         F.round(F.sum(F.when(F.col("latency_s") > 0, F.coalesce("completion_tokens", F.lit(0)))) / F.sum("latency_s"), 6).alias("tokens_per_s"),
     )

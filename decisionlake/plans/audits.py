@@ -8,6 +8,7 @@ from decisionlake.operators import audit, evaluation as ev, quality, report, tea
 from decisionlake.plans.catalog import NEEDS, STEPS, query, ranked, rounded_sql
 from decisionlake.plans.reports import scores
 from decisionlake.sources import adapters as a
+from decisionlake.sources.tables import shared_folder
 
 #: Proposed controls and what repair makes of them.
 _ACTIONS = {
@@ -36,25 +37,38 @@ STEPS["demos"] = """SELECT r.state_id, candidate_index + CASE WHEN k % 41 = 0 TH
 NEEDS["demos"] = ["ranked", "selections"]
 
 
-def actions(s, d):
-    """Candidates with nine proposed (p_) and executed (x_) controls, and whether each was selected."""
-    c = a.candidates(s, d).selectExpr("*", *(f"{x.replace('0.05', '0.05D').replace('0.25', '0.25D').replace('0.04', '0.04D').replace('0.5)', '0.5D)')} as {p}_{n}" for n, pair in _ACTIONS.items() for p, x in zip("px", pair)), f"{_COMPLY} as template_compliant")
-    winner = ve.select(ranked(s, d)).select("state_id", "selected_index")
-    return c.join(winner, "state_id").withColumn("selected", F.expr("candidate_index = selected_index"))
+def controls(s, d):
+    """Candidates with nine proposed (p_) and executed (x_) controls."""
+    return a.candidates(s, d).selectExpr("*", *(f"{x.replace('0.05', '0.05D').replace('0.25', '0.25D').replace('0.04', '0.04D').replace('0.5)', '0.5D)')} as {p}_{n}" for n, pair in _ACTIONS.items() for p, x in zip("px", pair)), f"{_COMPLY} as template_compliant")
+
+
+def kept(s, d):
+    """The ranking, written once for all that a query makes of it."""
+    r = ranked(s, d)
+    path = shared_folder(s, "ranked")
+    r.write.parquet(path)
+    return s.read.schema(r.schema).parquet(path)
+
+
+def actions(s, d, r=None):
+    """controls() with whether each candidate was selected."""
+    winner = ve.select(ranked(s, d) if r is None else r).select("state_id", "selected_index")
+    return controls(s, d).join(winner, "state_id").withColumn("selected", F.expr("candidate_index = selected_index"))
 
 
 def executed():
     return te.action_key("x_pair", "x_ris_code", tuple(f"x_{c}" for c in te.CONTINUOUS))
 
 
-def selections(s, d):
-    c = actions(s, d)
+def selections(s, d, r=None):
+    r = kept(s, d) if r is None else r
+    c = actions(s, d, r)
     own = "case when candidate_source = '{}' then {} end"
     one = c.groupBy("state_id").agg(
         F.max(F.expr(own.format("greedy_baseline", "candidate_index"))).alias("greedy_candidate_index"), F.min(F.expr("case when selected then one_step_stage_cost end")).alias("selected_one_step"),
         F.min(F.expr(own.format("greedy_baseline", "one_step_stage_cost"))).alias("greedy_one_step"), F.min(F.expr(own.format("safe_template", "one_step_stage_cost"))).alias("random_one_step"),
     )
-    w = ve.select(ranked(s, d)).withColumn("k", F.col("state_id").cast("long")).join(scores(s, d).select("state_id", F.col("greedy").alias("greedy_risk"), F.col("random").alias("random_risk")), "state_id")
+    w = ve.select(r).withColumn("k", F.col("state_id").cast("long")).join(scores(s, d, r).select("state_id", F.col("greedy").alias("greedy_risk"), F.col("random").alias("random_risk")), "state_id")
     return w.join(one, "state_id").selectExpr(
         "state_id", "selected_index as selected_candidate_index", "selected_source as selected_candidate_source", "case when k % 29 <> 0 then 'accepted' else 'rejected' end as acceptance_status",
         "case when k % 9 = 0 then null when verified = 1 then 'decisive' when size(equivalent_indices) > 1 then 'practically_equivalent' when k % 4 = 0 then 'unresolved' else 'decisive' end as decision_status",
@@ -64,9 +78,10 @@ def selections(s, d):
     )
 
 
-def demonstrations(s, d):
+def demonstrations(s, d, r=None):
     """Accepted states with weighted targets, some broken: doubled weights, unknown indices."""
-    t = ve.soft_targets(ranked(s, d)).join(selections(s, d).where("acceptance_status = 'accepted'").select("state_id", "selected_candidate_index"), "state_id")
+    r = kept(s, d) if r is None else r
+    t = ve.soft_targets(r).join(selections(s, d, r).where("acceptance_status = 'accepted'").select("state_id", "selected_candidate_index"), "state_id")
     k = "cast(state_id as bigint)"
     return t.selectExpr("state_id", "selected_candidate_index", f"""transform(target_candidates, x -> named_struct('index', x.candidate_index + case when {k} % 41 = 0 then 100 else 0 end,
         'weight', x.weight * case when {k} % 37 = 0 then 2 else 1 end)) as targets""", "target_entropy")
@@ -223,7 +238,7 @@ def qr16(s, d):
 @query("qr3_action_diversity", f"""SELECT side, count(*) AS states, round(avg(r), 8) AS mean_ratio, sum((r < 0.75)::INT)::BIGINT AS below FROM (
   SELECT state_id, 'executed' AS side, count(DISTINCT {_KEY}) / count(*) AS r FROM acts GROUP BY 1 UNION ALL SELECT state_id, 'proposed', count(DISTINCT {_KEY.replace('x_', 'p_')}) / count(*) FROM acts GROUP BY 1) GROUP BY 1""", "acts")
 def qr3(s, d):
-    c = actions(s, d)
+    c = controls(s, d)
     sides = {"executed": executed(), "proposed": te.action_key("p_pair", "p_ris_code", tuple(f"p_{x}" for x in te.CONTINUOUS))}
     out = [quality.action_diversity(c, key).withColumn("side", F.lit(side)) for side, key in sides.items()]
     return out[0].unionByName(out[1])
@@ -232,7 +247,7 @@ def qr3(s, d):
 @query("qr5_action_field_changes", "SELECT field, count(*) AS n, sum((x > 1e-12)::INT)::BIGINT AS changed, round(avg((x > 1e-12)::INT), 8) AS rate, round(avg(x), 8) AS mean_change, round(quantile_cont(x, 0.95), 8) AS p95_change FROM ("
        + " UNION ALL ".join(f"SELECT '{c}' AS field, abs(x_{c} - p_{c})::DOUBLE AS x FROM acts" for c in _ACTIONS) + ") GROUP BY 1", "acts")
 def qr5(s, d):
-    return quality.action_field_changes(actions(s, d), {c: (f"p_{c}", f"x_{c}") for c in _ACTIONS})
+    return quality.action_field_changes(controls(s, d), {c: (f"p_{c}", f"x_{c}") for c in _ACTIONS})
 
 
 @query("qr12_repair_reasons", """SELECT reason, n, round(n / (SELECT count(*) FROM candidates), 8) AS rate, row_number() OVER (ORDER BY n DESC, reason) AS place FROM (
@@ -243,7 +258,7 @@ def qr12(s, d):
 
 @query("qr14_template_resolution", """SELECT template_resolution, count(*) AS n, round(count(*) / (SELECT count(*) FROM acts), 8) AS share, round(avg(template_compliant::INT), 8) AS compliance FROM acts GROUP BY GROUPING SETS ((), (template_resolution))""", "acts")
 def qr14(s, d):
-    return quality.template_resolution(actions(s, d))
+    return quality.template_resolution(controls(s, d))
 
 
 @query("qr19_difficulty_cube", f"""SELECT state_category, split, selected_candidate_source AS source, count(*) AS n, round(avg(mean_aoi), 6) AS mean_aoi, round(avg(queue_max), 6) AS queue_max, round(avg(selected_risk), 6) AS selected_risk
@@ -268,8 +283,9 @@ _PASS = "coalesce(CASE WHEN way = '>=' THEN value >= threshold ELSE value <= thr
 @query("qr17_scale_up_gates", f"""SELECT metric, way, threshold, value, {_PASS} AS passed, bool_and({_PASS}) OVER () AS all_passed FROM (VALUES {', '.join(f"('{k}', '{way}', {limit}::DOUBLE)" for k, (way, limit) in ev.GATES.items())}) g(metric, way, threshold)
   LEFT JOIN (SELECT metric, round(value, 8) AS value FROM ({_MORE})) USING (metric)""", "metrics_all")
 def qr17(s, d):
-    x, states, demos = selections(s, d), a.states(s, d), demonstrations(s, d)
-    m = report.audit_metrics(a.requests(s, d), actions(s, d), rollouts(s, d), x, demos, states, executed())
+    r = kept(s, d)
+    x, states, demos = selections(s, d, r), a.states(s, d), demonstrations(s, d, r)
+    m = report.audit_metrics(a.requests(s, d), actions(s, d, r), rollouts(s, d), x, demos, states, executed())
     m = m.unionByName(report.selection_metrics(x).where("metric = 'selected_no_worse_than_greedy_verified_rate'"))
     m = m.unionByName(quality.duplicate_rate(states).selectExpr("'duplicate_causal_state_rate' as metric", "duplicate_rate as value"))
     for name, column, target in (("state_distribution_max_abs_error", "state_category", _CATEGORIES), ("split_distribution_max_abs_error", "split", _SPLITS)):
@@ -284,9 +300,9 @@ _NINE = ["pair", "ris_code", *te.CONTINUOUS]
 @query("ve17_demonstrations", f"""SELECT s.state_id, scenario_id, split, global_state_index, selected_candidate_index AS selected_index, {', '.join(f"round(x_{c}, 8)::DOUBLE AS {c}" for c in _NINE)}, round(s.selected_risk, 8) AS risk, repair_distance,
   (SELECT count(*) FROM demos d WHERE d.state_id = s.state_id) AS targets FROM selections s JOIN acts c ON c.state_id = s.state_id AND selected JOIN states ON states.state_id = s.state_id WHERE accepted""", "states", "selections", "acts", "demos")
 def ve17(s, d):
-    r = ranked(s, d)
-    w = ve.select(r).join(selections(s, d).select("state_id", "acceptance_status"), "state_id")
-    out = ve.demonstrations(w, ve.soft_targets(r), actions(s, d), a.states(s, d), [f"x_{c}" for c in _NINE])
+    r = kept(s, d)
+    w = ve.select(r).join(selections(s, d, r).select("state_id", "acceptance_status"), "state_id")
+    out = ve.demonstrations(w, ve.soft_targets(r), actions(s, d, r), a.states(s, d), [f"x_{c}" for c in _NINE])
     return out.select(
         "state_id", "scenario_id", "split", "global_state_index", "selected_index", *(F.round(F.col(f"selected_action.x_{c}").cast("double"), 8).alias(c) for c in _NINE), F.round("risk", 8).alias("risk"), "repair_distance",
         F.size("target_candidates").cast("long").alias("targets"),

@@ -245,7 +245,14 @@ _CAND = """count(*) AS n, round(avg(pre_repair_feasible::INT), 6) AS pre_feasibl
   SELECT *, CASE WHEN teacher_confidence < 0.5 THEN 'low' WHEN teacher_confidence < 0.8 THEN 'medium' ELSE 'high' END AS bucket FROM candidates)
   GROUP BY GROUPING SETS ((), (candidate_source), (bucket))""", "candidates")
 def qr1(s, d):
-    return quality.candidate_summary(a.candidates(s, d))
+    return quality.candidate_summary(a.candidates(s, d)).drop("part")
+
+
+@query("qr1_selected_summary", f"SELECT {_CAND} FROM candidates JOIN selected ON selected.state_id = candidates.state_id AND selected_index = candidate_index", "candidates", "selected")
+def qr1_selected(s, d):
+    won = ve.select(ranked(s, d)).select("state_id", F.col("selected_index").alias("candidate_index"), F.lit(True).alias("won"))
+    c = a.candidates(s, d).join(won, ["state_id", "candidate_index"], "left")
+    return quality.candidate_summary(c, "won").where("part = 'selected'").drop("part", "candidate_source", "bucket")
 
 
 @query("qr4_role_compliance", "SELECT round(avg((k = 1)::INT), 6) AS compliance FROM (SELECT state_id, count(*) FILTER (pair = 0) AS k FROM candidates GROUP BY 1)", "candidates")
@@ -294,13 +301,13 @@ def tr4(s, d):
 @query("ts1_age_of_information", """SELECT entity, slot, CASE WHEN l IS NULL THEN least(5 + slot, 20) ELSE least(1 + slot - l, 20) END AS age FROM (
   SELECT entity, slot, max(CASE WHEN delivered THEN slot END) OVER (PARTITION BY entity ORDER BY slot) AS l FROM slot_log)""", "slot_log")
 def ts1(s, d):
-    return a.slot_log(s, d).select("entity", "slot", freshness.age("delivered", 20, 5).alias("age"))
+    return freshness.age(a.slot_log(s, d), "delivered", 20, 5).select("entity", "slot", "age")
 
 
 @query("ts4_waiting_time", """SELECT entity, slot, CASE WHEN l IS NULL THEN least(slot, 20) ELSE least(slot - l, 20) END AS waiting FROM (
   SELECT entity, slot, max(CASE WHEN scheduled THEN slot END) OVER (PARTITION BY entity ORDER BY slot) AS l FROM slot_log)""", "slot_log")
 def ts4(s, d):
-    return a.slot_log(s, d).select("entity", "slot", freshness.waiting("scheduled", 20).alias("waiting"))
+    return freshness.waiting(a.slot_log(s, d), "scheduled", 20).select("entity", "slot", "waiting")
 
 
 @query("ts6_virtual_queue", """SELECT entity, count(*) AS slots, round(list_reduce(list_prepend(0.0::DOUBLE, list(increment ORDER BY slot)), lambda q, g: least(25, greatest(0, q + g))), 6) AS queue FROM slot_log GROUP BY entity""", "slot_log")

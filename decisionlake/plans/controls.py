@@ -88,14 +88,14 @@ def lk5(s, d):
 @query("ts2_age_of_leakage", """SELECT entity, slot, CASE WHEN l IS NULL THEN least(20 + slot, 50) ELSE least(1 + slot - l, 50) END AS age FROM (
   SELECT entity, slot, max(CASE WHEN intercepted THEN slot END) OVER (PARTITION BY entity ORDER BY slot) AS l FROM slot_log)""", "slot_log")
 def ts2(s, d):
-    return a.slot_log(s, d).select("entity", "slot", freshness.age("intercepted", 50, 20).alias("age"))
+    return freshness.age(a.slot_log(s, d), "intercepted", 50, 20).select("entity", "slot", "age")
 
 
 @query("ts3_age_of_sensing", """SELECT entity, slot, CASE WHEN l IS NULL THEN least(5 + slot, 30) ELSE least(least(greatest(1, 2), 30) + slot - l, 30) END AS age FROM (
   SELECT entity, slot, max(CASE WHEN detected THEN slot END) OVER (PARTITION BY entity ORDER BY slot) AS l FROM slot_log)""", "slot_log")
 def ts3(s, d):
     log = a.slot_log(s, d).withColumn("accepted", F.expr("case when detected then slot - 2 end"))
-    return log.select("entity", "slot", freshness.sensing_age("accepted", 30, 5).alias("age"))
+    return freshness.sensing_age(log, "accepted", 30, 5).select("entity", "slot", "age")
 
 
 @query("ts8_processing_delay", """SELECT event_id, greatest(1, ceil(value * 1e7 / (1e9 * 0.1)))::BIGINT AS delay, round(0.1 * (value + 2) + 1e-28 * value * 1e7 * 1e18, 10) AS energy FROM events""")

@@ -14,9 +14,9 @@ STEPS["scores"] = """SELECT state_id, arg_min(risk, rank) AS selected, min(risk)
 NEEDS["scores"] = ["ranked"]
 
 
-def scores(s, d):
+def scores(s, d, r=None):
     own = "case when candidate_source = '{}' then risk end"
-    return ranked(s, d).groupBy("state_id").agg(
+    return (ranked(s, d) if r is None else r).groupBy("state_id").agg(
         F.min_by("risk", "rank").alias("selected"), F.min(F.expr(own.format("greedy_baseline"))).alias("greedy"), F.min(F.expr(own.format("safe_template"))).alias("random")
     )
 

@@ -60,7 +60,7 @@ def test_controls(spark):
 
 def test_sensing_age(spark):
     log = spark.createDataFrame([("u", 1, None), ("u", 2, 0), ("u", 3, None), ("u", 4, 4)], "entity string, slot int, accepted int")
-    assert [r.age for r in log.select("slot", freshness.sensing_age("accepted", 4, 2).alias("age")).orderBy("slot").collect()] == [3, 2, 3, 1]
+    assert [r.age for r in freshness.sensing_age(log, "accepted", 4, 2).orderBy("slot").collect()] == [3, 2, 3, 1]
 
 
 def test_targets(spark):

@@ -45,7 +45,7 @@ def test_errors_are_raised(spark):
         shards.cache_upsert(old, new.withColumn("cache_key", F.lit("no")), "at").collect()
     log = spark.createDataFrame([("u", 1, 2)], "entity string, slot int, accepted int")
     with pytest.raises(Exception, match="future"):
-        log.select(freshness.sensing_age("accepted", 4, 2)).collect()
+        freshness.sensing_age(log, "accepted", 4, 2).collect()
     with pytest.raises(Exception, match="no rows in split"):
         training.split_counts(spark.createDataFrame([("train",)], "split string")).collect()
     states = spark.createDataFrame([("a", 0), ("b", 2)], "state_id string, global_state_index long")

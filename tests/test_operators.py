@@ -48,7 +48,7 @@ def test_summary_and_rank(spark):
 
 def test_ages_and_queue(spark):
     log = spark.createDataFrame([("u", i, e, g) for i, (e, g) in enumerate([(False, 1.0), (True, -5.0), (False, 30.0), (False, -1.0)], 1)], "entity string, slot int, delivered boolean, increment double")
-    assert [r.age for r in log.select("slot", freshness.age("delivered", 10, 3).alias("age")).orderBy("slot").collect()] == [4, 1, 2, 3]
+    assert [r.age for r in freshness.age(log, "delivered", 10, 3).orderBy("slot").collect()] == [4, 1, 2, 3]
     assert [r.queue for r in freshness.virtual_queue(log, 25.0).orderBy("slot").collect()] == [1.0, 0.0, 25.0, 24.0]
 
 
