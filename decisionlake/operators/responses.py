@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from decisionlake.functions.jsontext import is_object
+
 
 def strip(text: Column) -> Column:
     """Text without white space at its ends."""
@@ -49,17 +51,14 @@ def split_reasoning(text: Column) -> tuple[Column, Column]:
 
 
 @F.pandas_udf(StringType())
-def first_object(text: pd.Series) -> pd.Series:
-    """The first JSON object of a text, else null (TR8). An object that does not close
-    can't be told from a prefix by expressions, hence the decoder."""
+def _first_object(text: pd.Series) -> pd.Series:
     decoder = json.JSONDecoder()
 
     def one(t: str | None) -> str | None:
         at = -1 if t is None else t.find("{")
         while at >= 0:
             try:
-                value, _ = decoder.raw_decode(t, at)
-                return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+                return t[at : decoder.raw_decode(t, at)[1]]
             except ValueError:
                 at = t.find("{", at + 1)
         return None
@@ -67,6 +66,16 @@ def first_object(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def first_object(text: Column) -> Column:
+    """The first JSON object of a text as it stands there, else null (TR8): from the first
+    brace that begins one to its end, whatever follows. Where that is all from the first
+    brace to the last, as in answers with words around one object, expressions tell it;
+    only other texts with a brace go to a decoder, row by row."""
+    near = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    plain = is_object(near)
+    return F.when(plain, near).otherwise(_first_object(F.when(~plain & F.contains(text, F.lit("{")), text)))
+
+
 def extract_json_object(text: Column) -> Column:
     """As first_object, after one outer code fence is taken off."""
     t = strip(text)

@@ -40,39 +40,73 @@ def render_prompts(states: DataFrame, packet: str, instructions: str) -> DataFra
     return d.withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
+#: SQL of a number in a text, and of a whole one.
+_NUMBER, _WHOLE = r"^\\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*$", r"^\\s*[+-]?[0-9]+([.]0*)?\\s*$"
+
+
+#: Number fields of a candidate, and those of them that have no fraction.
+_NUMBERS, _CODES = ("eta_near", "eta_cpu", "confidence", *OPTIONAL), ("pair", "ris_code")
+
+
+def _number(kind: str, said: str, whole: bool = False) -> str:
+    """SQL: a JSON value, told by its kind and its text, as a number; null where it is of no
+    type that stands for one: numbers, true and false, and numbers in texts."""
+    text = f"case when {said} rlike '{_WHOLE if whole else _NUMBER}' then try_cast(trim({said}) as double) end"
+    return f"case when {kind} = 'BOOLEAN' then if({said} = 'true', 1D, 0D) when {kind} = 'STRING' then {text} when {kind} in ('BIGINT', 'DOUBLE', 'FLOAT') or {kind} like 'DECIMAL%' then try_cast({said} as double) end"
+
+
+def _whole(x: str) -> str:
+    return f"case when {x} = floor({x}) and abs({x}) < 9e15D then cast({x} as bigint) end"
+
+
 def normalized(payload: str = "payload") -> Column:
     """The candidates of a payload (JSON text) as an array of structs, with what was
     repaired (TR9): a template named as actual takes the template's place, a single
-    reason becomes a list, an override of reasons drops out; ``keys`` are the keys left."""
-    items = f"from_json({payload}, 'candidates array<string>').candidates"
-    has = "array_contains(json_object_keys(c), '{}')"
+    reason becomes a list, an override of reasons drops out; ``keys`` are the keys left
+    (null where a candidate is no object). Each field is of its own type or null, and
+    ``mistyped`` names those that are there with a value of another type: a template is a
+    text, reasons are a list of texts, numbers are what _number() takes (a code has no
+    fraction), and null only stands for an optional control."""
+    # step by step, each field once: a VARIANT; kinds and texts of its fields; their values; what is wrong
+    fields = ("template_id", "template_id_actual", "reason_codes", *_NUMBERS)
+    variants = f"transform(from_json({payload}, 'candidates array<string>').candidates, c -> named_struct('v', try_parse_json(c), 'k', json_object_keys(c)))"
+    read = ", ".join(f"'{k}', named_struct('kind', coalesce(schema_of_variant(try_variant_get(x.v, '$.{k}', 'variant')), ''), 'said', try_variant_get(x.v, '$.{k}', 'string'))" for k in fields)
+    kinds = f"transform({variants}, x -> named_struct('k', x.k, 'reasons', try_variant_get(x.v, '$.reason_codes', 'array<variant>'), {read}))"
+    has = "array_contains(x.k, '{}')"
+    one = "if(x.{0}.kind = 'STRING', x.{0}.said, cast(null as string))"
+    template = f"if({has.format('template_id_actual')}, {one.format('template_id_actual')}, {one.format('template_id')})"
+    texts = "if(forall(x.reasons, e -> coalesce(schema_of_variant(e), '') = 'STRING'), transform(x.reasons, e -> cast(e as string)), cast(null as array<string>))"
+    reasons = f"case when x.reason_codes.kind = 'STRING' then array(x.reason_codes.said) when {has.format('reason_codes')} then {texts} else cast(array() as array<string>) end"
+    numbers = ", ".join(f"'{k}', {_number(f'x.{k}.kind', f'x.{k}.said', k in _CODES)}" for k in _NUMBERS)
+    values = f"transform({kinds}, x -> named_struct('x', x, 'template_id', {template}, 'template_id_raw', {one.format('template_id')}, 'reason_codes', {reasons}, {numbers}))"
+    numbers = ", ".join(f"'{k}', {_whole(f'y.{k}') if k in _CODES else f'y.{k}'}" for k in _NUMBERS)
+    codes = f"transform({values}, y -> named_struct('x', y.x, 'template_id', y.template_id, 'template_id_raw', y.template_id_raw, 'reason_codes', y.reason_codes, {numbers}))"
+    has = "array_contains(y.x.k, '{}')"
     actual, said = has.format("template_id_actual"), has.format("template_id")
-    one, two = "get_json_object(c, '$.template_id')", "get_json_object(c, '$.template_id_actual')"
-    several = "try_variant_get(try_parse_json(c), '$.reason_codes', 'array<string>')"
-    single = f"({has.format('reason_codes')} and {several} is null and schema_of_variant(variant_get(try_parse_json(c), '$.reason_codes')) = 'STRING')"
     notes = (
         f"case when {actual} and not {said} then concat('candidate[', i, '].template_id_actual->template_id')"
-        f" when {actual} and {one} <=> {two} then concat('candidate[', i, '].template_id_actual_duplicate_removed')"
+        f" when {actual} and y.x.template_id <=> y.x.template_id_actual then concat('candidate[', i, '].template_id_actual_duplicate_removed')"
         f" when {actual} then concat('candidate[', i, '].template_id_conflict_prefer_actual') end",
-        f"case when {single} then concat('candidate[', i, '].reason_codes_string_to_array') end",
+        "case when y.x.reason_codes.kind = 'STRING' then concat('candidate[', i, '].reason_codes_string_to_array') end",
         f"case when {has.format('reason_codes_override')} then concat('candidate[', i, '].reason_codes_override_removed') end",
     )
-    keys = f"array_union(array_except(json_object_keys(c), array('template_id_actual', 'reason_codes_override')), case when {actual} then array('template_id') else array() end)"
-    numbers = ", ".join(f"'{k}', try_variant_get(try_parse_json(c), '$.{k}', '{'int' if k in ('pair', 'ris_code') else 'double'}')" for k in ("eta_near", "eta_cpu", "confidence", *OPTIONAL))
+    keys = f"array_union(array_except(y.x.k, array('template_id_actual', 'reason_codes_override')), if({actual}, array('template_id'), array()))"
+    mistyped = [f"case when ({actual} or {said}) and y.template_id is null then 'template_id' end", "case when y.reason_codes is null then 'reason_codes' end"]
+    mistyped += [f"case when {has.format(k)} and y.{k} is null" + (f" and y.x.{k}.kind <> 'VOID'" if k in OPTIONAL else "") + f" then '{k}' end" for k in _NUMBERS]
     return F.expr(
-        f"transform({items}, (c, i) -> named_struct('candidate_index', i, 'template_id', case when {actual} then {two} else {one} end, 'template_id_raw', {one},"
-        f" 'reason_codes', case when {single} then array(get_json_object(c, '$.reason_codes')) when {has.format('reason_codes')} then {several} else cast(array() as array<string>) end,"
-        f" {numbers}, 'keys', {keys}, 'notes', array_compact(array({', '.join(notes)}))))"
+        f"transform({codes}, (y, i) -> named_struct('candidate_index', i, 'template_id', y.template_id, 'template_id_raw', y.template_id_raw, 'reason_codes', y.reason_codes, {', '.join(f"'{k}', y.{k}" for k in _NUMBERS)},"
+        f" 'keys', {keys}, 'notes', array_compact(array({', '.join(notes)})), 'mistyped', array_compact(array({', '.join(mistyped)}))))"
     )
 
 
 def validated(responses: DataFrame, expected: str = "expected_candidates") -> DataFrame:
     """responses (state_id, payload, ``expected``) with ``candidates``, ``notes``, ``valid``
-    and ``error``, the first thing that is wrong (TR10): fields that are not known,
-    values beyond their bounds, another schema, state or number of candidates."""
+    and ``error``, the first thing that is wrong (TR10): fields that are not known or of
+    another type, values beyond their bounds, another schema, state or number of candidates."""
     allowed = "array(" + ", ".join(f"'{k}'" for k in _FIELDS) + ")"
-    bounds = [f"(x.{k} is null and not array_contains(x.keys, '{k}') or x.{k} >= {low}" + (f" and x.{k} <= {high})" if high is not None else ")") for k, (low, high) in OPTIONAL.items()]
+    bounds = [f"(x.{k} is null or x.{k} >= {low}" + (f" and x.{k} <= {high})" if high is not None else ")") for k, (low, high) in OPTIONAL.items()]
     wrong = {
+        "a candidate is no object": "exists(candidates, x -> x.keys is null)",
         "a candidate has unknown fields": f"exists(candidates, x -> size(array_except(x.keys, {allowed})) > 0)",
         "a template_id has no valid length": "exists(candidates, x -> not coalesce(length(x.template_id) between 1 and 64, false))",
         "eta_near lies beyond its bounds": "exists(candidates, x -> not coalesce(x.eta_near between 0 and 0.5D, false))",
@@ -81,30 +115,48 @@ def validated(responses: DataFrame, expected: str = "expected_candidates") -> Da
         "confidence lies beyond its bounds": "exists(candidates, x -> array_contains(x.keys, 'confidence') and not coalesce(x.confidence between 0 and 1, false))",
         "another control lies beyond its bounds": f"exists(candidates, x -> not ({' and '.join(bounds)}))",
     }
-    top = "from_json(payload, 'schema_version bigint, state_id string')"
+    type_error = "case when exists(candidates, x -> size(x.mistyped) > 0) then concat(get(flatten(transform(candidates, x -> x.mistyped)), 0), ' is of another type') end"
+    top = "try_parse_json(payload)"
+    kind = "coalesce(schema_of_variant(try_variant_get(top, '$.{0}', 'variant')), '')"
+    version, state = _number(kind.format("schema_version"), "try_variant_get(top, '$.schema_version', 'string')", True), f"if({kind.format('state_id')} = 'STRING', try_variant_get(top, '$.state_id', 'string'), null)"
     checks = [
         "case when payload is null or json_object_keys(payload) is null then 'response contains no valid JSON object' end",
         "case when size(array_except(json_object_keys(payload), array('schema_version', 'state_id', 'candidates'))) > 0 then 'the response has unknown fields' end",
         "case when candidates is null then 'candidates are no list' end",
-        *(f"case when {test} then '{text}' end" for text, test in wrong.items()),
-        f"case when not coalesce({top}.schema_version = 1, false) then 'unsupported teacher response schema' end",
-        f"case when not coalesce({top}.state_id = state_id, false) then 'teacher response state_id does not match the request' end",
+        *(f"case when {test} then '{text}' end" for text, test in list(wrong.items())[:2]), type_error,
+        *(f"case when {test} then '{text}' end" for text, test in list(wrong.items())[2:]),
+        f"case when not coalesce({version} = 1, false) then 'unsupported teacher response schema' end",
+        f"case when not coalesce({state} = state_id, false) then 'teacher response state_id does not match the request' end",
         f"case when size(candidates) <> {expected} then concat('expected ', {expected}, ' candidates, received ', size(candidates)) end",
     ]
-    d = responses.select("*", F.explode(F.array(normalized())).alias("candidates"))  # generated, so that a filter does not work it out again
-    d = d.withColumn("error", F.expr(f"coalesce({', '.join(checks)})"))
+    d = responses.select("*", F.expr(top).alias("top"), F.explode(F.array(normalized())).alias("candidates"))  # generated, so that a filter does not work it out again
+    d = d.withColumn("error", F.expr(f"coalesce({', '.join(checks)})")).drop("top")
     d = d.withColumn("notes", F.expr("coalesce(flatten(transform(candidates, x -> x.notes)), array())"))
     return d.withColumn("valid", F.col("error").isNull())
 
 
-def route(checked: DataFrame, transport_failed: str) -> tuple[DataFrame, DataFrame]:
-    """(requests, selections) of checked responses (TR11): every request with its status;
-    for each that is not valid a rejected selection and no candidate."""
-    status = F.when(F.col("valid"), "ok").when(F.col(transport_failed), "transport_error").otherwise("parse_error")
-    requests = checked.withColumn("status", status)
-    rejected = requests.where("not valid").select(
-        "state_id", F.lit(-1).alias("selected_candidate_index"), F.lit("none").alias("selected_candidate_source"), F.lit("unresolved").alias("decision_status"),
-        F.lit("rejected").alias("acceptance_status"), F.col("error").alias("rejection_reason"),
+def route(checked: DataFrame, status: str = "call_status", call_error: str | None = None, max_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(requests, selections) of checked responses (TR11). ``status`` is what the call itself
+    came to (null: ok). A call that failed keeps its status and its own error, whatever
+    its payload; an ok call with a response that is not valid is a parse_error. Every
+    request has its counts (0 where it is rejected) and whether its completion_tokens
+    reached ``max_tokens``; for each rejected one there is a selection of none."""
+    call = F.coalesce(F.col(status), F.lit("ok"))
+    good = F.col("valid") & (call == "ok")
+    key = "struct(x.template_id, bround(x.eta_near, 8), bround(x.eta_cpu, 8))"
+    failed = F.coalesce(F.col(call_error), F.lit("unknown teacher failure")) if call_error else F.lit("unknown teacher failure")
+    requests = checked.withColumn("error", F.when(call != "ok", failed).otherwise(F.col("error"))).withColumns({
+        "status": F.when(call != "ok", call).when(F.col("valid"), "ok").otherwise("parse_error"), "parse_valid": good, "schema_valid": good,
+        "candidates_returned": F.when(good, F.size("candidates")).otherwise(0),
+        "unique_candidates": F.when(good, F.expr(f"size(array_distinct(transform(candidates, x -> {key})))")).otherwise(0),
+        "truncated": F.coalesce(F.col("completion_tokens") >= max_tokens, F.lit(False)) if max_tokens is not None else F.lit(False),
+    })
+    counts = ("candidate_pool_count", "teacher_candidate_count", "verified_candidate_count", "external_baseline_rollout_count", "verification_rollouts", "adaptive_rounds")
+    amounts = ("score_margin", "standardized_margin", "margin_confidence_lower", "margin_confidence_upper", "selection_probability", "safe_template_coverage_rate")
+    rejected = requests.where("not schema_valid").select(
+        "state_id", F.lit(-1).alias("selected_candidate_index"), F.lit("none").alias("selected_candidate_source"), F.lit("unresolved").alias("decision_status"), F.lit(True).alias("selection_uncertain"),
+        F.lit("rejected").alias("acceptance_status"), F.col("error").alias("rejection_reason"), *(F.lit(0).alias(c) for c in counts), *(F.lit(0.0).alias(c) for c in amounts),
+        F.array().cast("array<int>").alias("equivalent_candidate_indices"),
     )
     return requests, rejected
 
@@ -125,8 +177,13 @@ def unique_ratio(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("state_id").agg(F.count("*").alias("candidates"), F.count_distinct(action_key()).alias("unique_candidates"))
 
 
+def _bare(text: str) -> str:
+    """SQL: a text without white space of any kind at its ends."""
+    return f"regexp_replace({text}, '(?U)^\\\\s+|\\\\s+\\\\z', '')"
+
+
 def _plain(text: str) -> str:
-    return f"replace(replace(lower(trim({text})), '-', '_'), ' ', '_')"
+    return f"replace(replace(lower({_bare(text)}), '-', '_'), ' ', '_')"
 
 
 def resolve_template(candidates: DataFrame, templates: DataFrame) -> DataFrame:
@@ -138,8 +195,8 @@ def resolve_template(candidates: DataFrame, templates: DataFrame) -> DataFrame:
     item = F.struct("template_id", "pair", "eta_haps", "eta_communication")
     offered = templates.groupBy("state_id").agg(F.sort_array(F.collect_list(item)).alias("_t"))
     d = candidates.join(offered, "state_id", "left").withColumns({
-        "_t": F.coalesce("_t", F.array().cast(offered.schema["_t"].dataType)), "_n": F.trim(F.coalesce("template_id", F.lit(""))),
-        "_r": F.expr("trim(case when coalesce(template_id_raw, '') = '' then trim(coalesce(template_id, '')) else template_id_raw end)"),
+        "_t": F.coalesce("_t", F.array().cast(offered.schema["_t"].dataType)), "_n": F.expr(_bare("coalesce(template_id, '')")),
+        "_r": F.expr(_bare("case when coalesce(template_id_raw, '') = '' then coalesce(template_id, '') else template_id_raw end")),
     })
     longest = "array_max(transform(filter(_t, t -> startswith({}, concat(" + _plain("t.template_id") + ", '_'))), t -> struct(length(t.template_id) as n, t.template_id as id))).id"
     watts = f"cast(regexp_extract({{}}, '{shape}', 2) as double)"

@@ -118,11 +118,10 @@ def ts14(s, d):
 # responses
 
 
-@query("tr2_cache_key", """SELECT request_id, sha256('{"model_id":"' || teacher_label || '","model_revision":"' || source || '","prompt_hash":"' || cache_key || '","sampling":{"max_tokens":' || coalesce(completion_tokens::VARCHAR, 'null') || ',"top_k":40},"seed":7}') AS key
-  FROM requests WHERE teacher_label IS NOT NULL AND source IS NOT NULL AND cache_key IS NOT NULL""", "requests")
+@query("tr2_cache_key", """SELECT request_id, sha256('{"model_id":' || coalesce('"' || teacher_label || '"', 'null') || ',"model_revision":' || coalesce('"' || source || '"', 'null') || ',"prompt_hash":' || coalesce('"' || cache_key || '"', 'null') || ',"sampling":{"max_tokens":' || coalesce(completion_tokens::VARCHAR, 'null') || ',"top_k":40},"seed":7}') AS key FROM requests""", "requests")
 def tr2(s, d):
     key = responses.cache_key(F.col("teacher_label"), F.col("source"), F.col("cache_key"), {"top_k": F.lit(40), "max_tokens": F.col("completion_tokens")}, F.lit(7))
-    return a.requests(s, d).dropna(subset=["teacher_label", "source", "cache_key"]).select("request_id", key.alias("key"))
+    return a.requests(s, d).select("request_id", key.alias("key"))
 
 
 def cached(s, d):
@@ -159,11 +158,17 @@ def tr7(s, d):
     return r.select("doc_id", F.md5(answer).alias("answer"), reasoning.alias("reasoning"))
 
 
-@query("tr8_extract_json_object", "SELECT doc_id, lang, n_chars FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL")
+@query("tr8_extract_json_object", """SELECT doc_id, CASE WHEN doc_id % 8 < 6 THEN lang END AS lang, CASE WHEN doc_id % 8 < 6 THEN n_chars END AS n_chars, CASE doc_id % 8 WHEN 4 THEN '} {' END AS note FROM documents""")
 def tr8(s, d):
-    docs = a.table(s, d, "documents").dropna(subset=["lang", "n_chars"])
-    body = F.concat(F.lit("```json\n{ not yet "), F.to_json(F.struct("lang", "n_chars")), F.lit(" and more {\n```"))
-    return docs.select("doc_id", F.from_json(responses.extract_json_object(body), "lang string, n_chars long").alias("r")).select("doc_id", "r.lang", "r.n_chars")
+    """Objects alone, in a fence, among words, before others, with braces in texts; and none, and null."""
+    docs = a.table(s, d, "documents")
+    one, noted = F.to_json(F.struct("lang", "n_chars")), F.to_json(F.struct("lang", "n_chars", F.lit("} {").alias("note")))
+    shapes = [
+        one, F.concat(F.lit("```json\n"), one, F.lit("\n```")), F.concat(F.lit("Sure: "), one, F.lit(" as asked")), F.concat(F.lit("{ not yet "), one, F.lit(" and more {")), F.concat(F.lit("so "), noted, F.lit(' then {"lang":"x"}')),
+        F.concat(one, F.lit(' {"lang":"second"}')), F.concat(F.lit("no object: {"), F.substring(one, 2, 4)), F.lit(None).cast("string"),
+    ]
+    body = F.get(F.array(*shapes), (F.col("doc_id") % 8).cast("int"))
+    return docs.select("doc_id", F.from_json(responses.extract_json_object(body), "lang string, n_chars long, note string").alias("r")).select("doc_id", "r.lang", "r.n_chars", "r.note")
 
 
 @query("tr14_unique_candidates", """SELECT state_id, count(DISTINCT (pair, round_even(eta_sensing, 8), round_even(eta_communication, 8), round_even(eta_near, 8), round_even(eta_cpu, 8))) AS unique_candidates FROM candidates GROUP BY 1""", "candidates")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
+
+from decisionlake.functions.jsontext import closed, is_object, whole
 
 _OWN: dict[str, str] = {}
 
@@ -22,19 +22,14 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A JSON-lines table of a fixed schema; a malformed line is an error (IO1)."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-
-
-@F.pandas_udf(BooleanType())
-def _is_object(lines: pd.Series) -> pd.Series:
-    def one(line: str) -> bool:
-        try:
-            return isinstance(json.loads(line), dict)
-        except ValueError:
-            return False
-
-    return lines.map(one)
+    """A JSON-lines table of a fixed schema (IO1); blank lines are skipped, a line that is
+    not one JSON object, or has text after it, is an error."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    items, closing = closed(F.col("value"), schema, "FAILFAST")
+    d = lines.select(items.alias("_items"), closing.alias("_closing"), "value")
+    wrong = F.raise_error(F.concat(F.lit("not one JSON object in a line: "), F.substring("value", 1, 200)))
+    row = F.when(whole(F.col("_items"), F.col("_closing")), F.get("_items", F.lit(0))).otherwise(wrong)
+    return d.select(row.alias("r")).select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields))
 
 
 def read_valid_prefix(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -43,7 +38,7 @@ def read_valid_prefix(spark: SparkSession, path: str, schema: StructType) -> Dat
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_f"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("_at")
     ).where(F.trim("value") != "")
-    stops = lines.where(~_is_object("value")).groupBy("_f").agg(F.min("_at").alias("_stop"))
+    stops = lines.where(~is_object(F.col("value"))).groupBy("_f").agg(F.min("_at").alias("_stop"))
     kept = lines.join(stops, "_f", "left").where("_stop is null or _at < _stop")
     return kept.select(F.from_json("value", schema).alias("r")).select("r.*")
 

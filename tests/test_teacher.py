@@ -41,7 +41,7 @@ def test_normalising_and_routing(spark):
     assert [c.template_id for c in r.candidates] == ["x", "p1_sense10w", "z"] and [list(c.reason_codes) for c in r.candidates] == [["single"], [], ["a", "b"]]
     assert [n.split(".")[1] for n in r.notes] == [
         "template_id_actual->template_id", "reason_codes_string_to_array", "reason_codes_override_removed", "template_id_actual_duplicate_removed", "template_id_conflict_prefer_actual"]
-    requests, rejected = te.route(checked, "failed")
+    requests, rejected = te.route(checked.selectExpr("*", "case when failed then 'transport_error' end as call_status"))
     assert {x.state_id: x.status for x in requests.collect()} == {"s": "ok", "u": "transport_error", "v": "parse_error"}
     assert sorted((x.state_id, x.selected_candidate_index, x.acceptance_status) for x in rejected.collect()) == [("u", -1, "rejected"), ("v", -1, "rejected")]
     each = te.explode_candidates(checked).orderBy("candidate_index").collect()
