@@ -22,10 +22,12 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
-def clip_action(actions: DataFrame, pairs: int) -> DataFrame:
-    """Every control within its bounds; a pair out of range becomes -1 (FE12)."""
+def clip_action(actions: DataFrame, pairs: int, ris_enabled: bool = False) -> DataFrame:
+    """Every control within its bounds; a pair out of range becomes -1, and a ris_code, if
+    there is one, 0 unless these are enabled (FE12)."""
     pair = F.when(F.col("pair").between(0, pairs), F.col("pair")).otherwise(-1)
-    return actions.withColumns({"pair": pair} | {c: clip(F.col(c), *b) for c, b in BOUNDS.items()})
+    ris = {"ris_code": F.lit(0).cast(actions.schema["ris_code"].dataType)} if "ris_code" in actions.columns and not ris_enabled else {}
+    return actions.withColumns({"pair": pair} | ris | {c: clip(F.col(c), *b) for c, b in BOUNDS.items()})
 
 
 def decode_action(raw: DataFrame) -> DataFrame:
@@ -78,15 +80,31 @@ def stage_cost(parts: dict[str, tuple[float, float]]) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def violation_total(columns: list[str]) -> Column:
+#: The violations that a total sums up (fixed values).
+VIOLATIONS = ("reliability_violation", "secrecy_violation", "sensing_violation", "uncertainty_violation", "power_violation", "mobility_violation")
+
+
+def mean_positive(increments: str) -> Column:
+    """Mean of the positive values of an array, 0 where there is none (TS10)."""
+    positive = F.filter(increments, lambda x: x > 0)
+    return F.when(F.size(positive) > 0, F.aggregate(positive, F.lit(0.0), lambda s, x: s + x) / F.size(positive)).otherwise(0.0)
+
+
+def mean_age(ages: str) -> Column:
+    """Mean over the users of an array of ages, one of the parts of stage_cost() (TS9)."""
+    return F.aggregate(ages, F.lit(0.0), lambda s, x: s + x) / F.size(ages)
+
+
+def violation_total(columns: list[str] | tuple[str, ...] = VIOLATIONS) -> Column:
     """Sum of the positive parts (TS10)."""
     terms = [F.greatest(F.col(c), F.lit(0.0)) for c in columns]
     return sum(terms[1:], terms[0])
 
 
-def non_finite(columns: list[str]) -> Column:
-    """True where any column is null, NaN or infinite (TS14)."""
-    bad = [F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in columns]
+def non_finite(columns: list[str], bounds: dict[str, tuple[float, float]] | None = None) -> Column:
+    """True where any column is null, NaN or infinite, or lies beyond its bounds (TS14)."""
+    beyond = [(F.col(c) < low) | (F.col(c) > high) for c, (low, high) in (bounds or {}).items()]
+    bad = beyond + [F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in columns]
     out = bad[0]
     for b in bad[1:]:
         out = out | b

@@ -53,8 +53,12 @@ def sensing_availability(slots: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def episode_kpis(log: DataFrame) -> DataFrame:
-    """Means and rates a policy (TS13)."""
+    """Means and rates a policy over its transitions (TS13): stage cost, the three ages,
+    trace, energy, repair distance, fallbacks, hard failures, deliveries and detections."""
+    means = {"mean_stage_cost": "stage_cost", "mean_aoi": "mean_aoi", "mean_aoli": "mean_aoli", "mean_aosi": "aosi", "mean_repair_distance": "repair_distance"}
     return log.groupBy("policy").agg(
-        F.count("*").alias("n"), F.round(F.avg("covariance_trace"), 6).alias("trace"), F.round(F.avg("energy"), 6).alias("energy"),
+        F.count("*").alias("n"), F.round(F.avg("covariance_trace"), 6).alias("trace"), F.round(F.avg("energy"), 6).alias("energy"), *(F.round(F.avg(c), 6).alias(n) for n, c in means.items()),
+        F.round(F.avg(F.col("fallback_used").cast("double")), 6).alias("fallback_rate"), F.round(F.avg((~F.col("hard_feasible")).cast("double")), 6).alias("hard_failure_rate"),
+        F.round(F.sum("deliveries") / F.count("*"), 6).alias("deliveries_per_transition"),
         F.round(F.avg(F.col("delivered").cast("double")), 6).alias("delivery_rate"), F.round(F.avg(F.col("detected").cast("double")), 6).alias("detection_rate"),
     )

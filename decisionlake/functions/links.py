@@ -15,19 +15,39 @@ def path_loss_db(distance: str, frequency: float, extra_db: float = 0.0) -> Colu
     return 20 * F.log10(4 * pi * frequency * F.col(distance) / LIGHT) + extra_db
 
 
-def noma_kpis(links: DataFrame, bandwidth: float = 1.0, threshold: float = 0.2) -> DataFrame:
+def noma_kpis(links: DataFrame, bandwidth: float = 1.0, threshold: float = 0.2, residual: float = 0.0) -> DataFrame:
     """Rates of a near and a far user that share power, the far one decoded first; the
-    far rate takes the worse of both receivers (LK3)."""
-    d = links.withColumns({
-        "far_sinr": F.expr("far_power * far_gain / (near_power * far_gain + disturbance)"), "far_at_near_sinr": F.expr("far_power * near_gain / (near_power * near_gain + disturbance)"),
-        "near_sinr": F.expr("near_power * near_gain / disturbance"),
+    far rate takes the worse of both receivers, and of the far signal the share ``residual``
+    still disturbs the near user (LK3). Each user has a disturbance of its own
+    (near_disturbance, far_disturbance; one column, disturbance, where these are absent);
+    a negative power, gain or disturbance is an error."""
+    if bandwidth <= 0 or not 0 <= residual <= 1:
+        raise ValueError("invalid bandwidth or residual")
+    near, far = ("near_disturbance", "far_disturbance") if "near_disturbance" in links.columns else ("disturbance", "disturbance")
+    whole = " and ".join(f"{c} >= 0" for c in ("near_power", "far_power", "near_gain", "far_gain", near, far))
+    power = F.when(~F.expr(whole), F.raise_error(F.lit("powers, gains and disturbances must not be negative"))).otherwise(F.col("near_power"))
+    d = links.withColumn("near_power", power).withColumns({
+        "far_sinr": F.expr(f"far_power * far_gain / (near_power * far_gain + {far})"), "far_at_near_sinr": F.expr(f"far_power * near_gain / (near_power * near_gain + {near})"),
+        "near_sinr": F.expr(f"near_power * near_gain / ({residual}D * far_power * near_gain + {near})"),
     })
     return d.withColumns({
-        "far_rate": bandwidth * F.least(F.log2(1 + F.col("far_sinr")), F.log2(1 + F.col("far_at_near_sinr"))), "near_rate": bandwidth * F.log2(1 + F.col("near_sinr")),
+        "far_rate": bandwidth * F.log2(1 + F.least("far_sinr", "far_at_near_sinr")), "near_rate": bandwidth * F.log2(1 + F.col("near_sinr")),
         "sic_margin": F.col("far_at_near_sinr") - threshold,
     })
 
 
+def packet_completed(rate: str, duration: float, bits: float) -> Column:
+    """Whether a rate carries a packet within its duration (LK3)."""
+    return duration * F.col(rate) >= bits
+
+
+def near_power_cap(threshold: float, power: str = "near_power + far_power", near_disturbance: str = "near_disturbance") -> Column:
+    """The largest near power that leaves the far signal decodable at the near user (LK3);
+    minus infinity without a gain."""
+    cap = F.expr(f"(({power}) * near_gain - {threshold}D * {near_disturbance}) / (near_gain * {1 + threshold}D)")
+    return F.when(F.col("near_gain") == 0, float("-inf")).otherwise(cap)
+
+
 def beam_gain(h_re: Column, h_im: Column, w_re: Column, w_im: Column) -> Column:
     """Squared magnitude of the inner product of two complex arrays (LK2)."""
     def total(a: Column, b: Column) -> Column:

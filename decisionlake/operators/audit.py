@@ -25,11 +25,20 @@ def duplicate_states(states: DataFrame) -> DataFrame:
     return states.groupBy("causal_state_hash").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def rollout_transactions(candidates: DataFrame, rollouts: DataFrame, each: int) -> DataFrame:
-    """States whose number of rollouts is not candidates times ``each`` (AU10)."""
-    want = candidates.groupBy("state_id").agg((F.count("*") * each).alias("expected"))
+def rollout_transactions(selections: DataFrame, candidates: DataFrame, rollouts: DataFrame, schema: int = 5) -> DataFrame:
+    """Accepted selections whose rollouts are not complete (AU10): (state_id, expected, found).
+    Expected are as many rollouts as the selection says (verification_rollouts), for each
+    of its candidates that is rollout_verified and each external baseline, whose number the
+    selection says from schema 5 on (external_baseline_rollout_count, null: none) and
+    which are two before; a selection without rollouts is wrong in any case."""
+    s = selections.where("acceptance_status = 'accepted'")
+    outside = F.coalesce(F.col("external_baseline_rollout_count"), F.lit(0)) if schema >= 5 else F.lit(2)
+    s = s.select("state_id", F.coalesce("verification_rollouts", F.lit(0)).cast("long").alias("_each"), outside.cast("long").alias("_outside"))
+    verified = candidates.groupBy("state_id").agg(F.count_if("rollout_verified").alias("_verified"))
     have = rollouts.groupBy("state_id").agg(F.count("*").alias("found"))
-    return want.join(have, "state_id", "left").withColumn("found", F.coalesce("found", F.lit(0))).where("expected <> found")
+    d = s.join(verified, "state_id", "left").join(have, "state_id", "left")
+    d = d.selectExpr("state_id", "(coalesce(_verified, 0) + _outside) * _each as expected", "coalesce(found, 0) as found", "_each")
+    return d.where("_each <= 0 or expected <> found").drop("_each")
 
 
 def split_leakage(states: DataFrame) -> DataFrame:

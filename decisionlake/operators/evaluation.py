@@ -112,10 +112,17 @@ def soft_class_targets(targets: str, classes: int) -> Column:
     return F.when(inside, sums).otherwise(F.raise_error(F.lit("a label lies beyond the head")))
 
 
-def score_predictions(preds: DataFrame, logits: str, label: str, weight: str) -> DataFrame:
-    """Weighted share of rows whose largest logit, the first of ties, is their label (TD9)."""
-    hit = (F.array_position(logits, F.array_max(logits)) - 1 == F.col(label)).cast("double")
-    return preds.agg(F.round(F.sum(hit * F.col(weight)) / F.sum(weight), 8).alias("accuracy"))
+def score_predictions(preds: DataFrame, heads: dict[str, tuple[str, str]], weight: str, means: str | None = None, selected: str | None = None, heading: int = 4) -> DataFrame:
+    """Weighted means over rows (TD9): of each head (name: logits, label) whether its largest
+    logit, the first of ties, is the label; and the absolute error of the continuous means
+    against the selected values, averaged over the controls, each mean bounded by a
+    sigmoid or, the heading's (a place from 0), by a hyperbolic tangent."""
+    out = {f"{name}_top1_accuracy": (F.array_position(logits, F.array_max(logits)) - 1 == F.col(label)).cast("double") for name, (logits, label) in heads.items()}
+    if means:
+        bounded = F.transform(means, lambda x, i: F.when(i == heading, F.tanh(x)).otherwise(1 / (1 + F.exp(-x))))
+        errors = F.zip_with(bounded, selected, lambda x, y: F.abs(x - y))
+        out["continuous_mae"] = F.aggregate(errors, F.lit(0.0), lambda s, x: s + x) / F.size(means)
+    return preds.agg(*(F.round(F.sum(x * F.col(weight)) / F.sum(weight), 8).alias(name) for name, x in out.items()))
 
 
 def soft_cross_entropy(logits: str, target: str, classes: int, smoothing: float = 0.0) -> Column:

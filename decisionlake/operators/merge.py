@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from decisionlake.operators.audit import index_coverage, targets_valid
 from decisionlake.operators.teacher import canonical
+from decisionlake.sources.tables import parsed, read_table
 
 #: What of a manifest says how its shard was made.
 CONFIGURATION = (
@@ -77,28 +80,92 @@ def merge_shards(tables: dict[str, DataFrame], run_id: str, total: int) -> dict[
     return out
 
 
-def complete_states(tables: dict[str, DataFrame], external: int = 0) -> DataFrame:
+#: Where a merged dataset's tables are: a row a merge, the last counts.
+_MERGED = StructType([StructField("place", LongType()), StructField("folder", StringType()), StructField("run_id", StringType()), StructField("shards", LongType()), StructField("states", LongType())])
+
+
+def merge_folder(spark: SparkSession, root: str, out: str, run_id: str, schemas: dict[str, StructType], manifest: StructType, expected: int | None = None) -> DataFrame:
+    """Merge all shard-* folders under ``root`` into one dataset at ``out`` (MG3).
+
+    The shards' manifests must pass validate_shards() and be ``expected`` in number. Every
+    table is read strictly and written as JSON lines in the order of shards, and of the
+    lines in each, with the merge's run_id: lines are placed by shard, block of the file and
+    place in the block, and sorted over all tasks. The states' global indices must cover
+    the plan once each. Only then is the merge published, by one row in one file that names
+    the folder of all its tables: a failure before leaves what was there, and readers never
+    see some tables without others. Returns that row."""
+    found = discover_shards(spark, root, manifest)
+    problems = [r.problem for r in validate_shards(found).orderBy("shard_index").collect()]  # a few a shard
+    shards, total = found.agg(F.count("*"), F.max("total_requested_states")).first()
+    if expected is not None and shards != expected:
+        problems.append(f"expected {expected} shards, found {shards}")
+    if problems:
+        raise ValueError("; ".join(problems))
+    place = len(spark.read.schema(_MERGED).json(f"{out}/merges").select("place").collect()) if _exists(spark, f"{out}/merges") else 0
+    folder = f"{out}/data-{uuid.uuid4().hex}"
+    for name, schema in schemas.items():
+        lines = spark.read.text(f"{root}/shard-*/{name}.jsonl").select(
+            F.regexp_extract(F.col("_metadata.file_path"), r"/(shard-[^/]*)/", 1).alias("shard"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), "value")
+        lines = lines.join(F.broadcast(found.select("shard", F.col("shard_index").alias("_shard"))), "shard").drop("shard")  # a row a shard
+        rows = parsed(lines.select("_shard", "_block", "_line", "value"), schema).withColumn("run_id", F.lit(run_id))
+        ordered = rows.repartitionByRange("_shard", "_block", "_line").sortWithinPartitions("_shard", "_block", "_line").drop("_shard", "_block", "_line")
+        ordered.select(*sorted(ordered.columns)).write.json(f"{folder}/{name}.jsonl")
+    states = spark.read.schema(schemas["states"]).json(f"{folder}/states.jsonl")
+    bad = index_coverage(states, 0, total).take(1)
+    if bad:
+        raise ValueError(f"global state indices are missing or repeated: {bad[0].problem} {bad[0].global_state_index}")
+    row = spark.createDataFrame([(place, folder, run_id, shards, total)], _MERGED)
+    row.coalesce(1).write.mode("append").json(f"{out}/merges")
+    return row
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except Exception as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return False
+    return True
+
+
+def read_merged(spark: SparkSession, out: str, name: str, schema: StructType) -> DataFrame:
+    """A table of the merge that was published last."""
+    folder = spark.read.schema(_MERGED).json(f"{out}/merges").agg(F.max_by("folder", "place")).first()[0]
+    return read_table(spark, f"{folder}/{name}.jsonl", schema)
+
+
+def complete_states(tables: dict[str, DataFrame], external: int = 0, schema: int = 5, candidates: int = 0, shortlist: int = 0) -> DataFrame:
     """(state_id, global_state_index, complete): an accepted state has a demonstration, as
     many candidates as its selection says, and rollouts for each verified candidate and
-    external baseline; a rejected one has neither candidates nor a demonstration (MG4)."""
+    external baseline (external_baseline_rollout_count of the selection, where there is such a
+    column, else ``external``); another one has neither candidates nor a demonstration (MG4). Before
+    schema 5 a state has ``candidates`` candidates and rollouts for ``shortlist`` + 2. A state
+    without a selection or, where that table is given, a request is not complete."""
     c = tables["candidates"].groupBy("state_id").agg(F.count("*").alias("_c"))
     r = tables["rollouts"].groupBy("state_id").agg(F.count("*").alias("_r"))
     m = tables["demonstrations"].groupBy("state_id").agg(F.count("*").alias("_m"))
-    s = tables["selections"].select("state_id", "acceptance_status", "candidate_pool_count", "verified_candidate_count", "verification_rollouts")
+    own = [x for x in ("candidate_pool_count", "verified_candidate_count", "verification_rollouts", "external_baseline_rollout_count") if x in tables["selections"].columns]
+    s = tables["selections"].select("state_id", "acceptance_status", *own)
+    outside = f"coalesce(external_baseline_rollout_count, {external})" if "external_baseline_rollout_count" in own else str(external)
+    pool, rolled = ("candidate_pool_count", f"(verified_candidate_count + {outside})") if schema >= 5 else (str(candidates), str(shortlist + 2))
+    asked = tables["requests"].select("state_id").distinct().withColumn("_q", F.lit(True)) if "requests" in tables else None
     d = tables["states"].select("state_id", "global_state_index")
-    for part in (s, c, r, m):
+    for part in (s, c, r, m, *([] if asked is None else [asked])):
         d = d.join(part, "state_id", "left")
+    d = d if asked is not None else d.withColumn("_q", F.lit(True))
     d = d.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("_c", "_r", "_m")})
     good = F.expr(
-        f"case acceptance_status when 'accepted' then _m > 0 and _c = candidate_pool_count and _r > 0 and _r = (verified_candidate_count + {external}) * verification_rollouts"
-        " when 'rejected' then _c = 0 and _m = 0 else false end"
+        f"case when _q is null or acceptance_status is null then false when acceptance_status = 'accepted' then _m > 0 and _c = {pool} and verification_rollouts > 0 and _r = {rolled} * verification_rollouts"
+        " else _c = 0 and _m = 0 end"
     )
     return d.select("state_id", "global_state_index", F.coalesce(good, F.lit(False)).alias("complete"))
 
 
-def trim_incomplete(tables: dict[str, DataFrame], external: int = 0) -> dict[str, DataFrame]:
-    """All tables cut to the states before the first that is not complete (MG4)."""
-    d = complete_states(tables, external)
+def trim_incomplete(tables: dict[str, DataFrame], external: int = 0, **older: int) -> dict[str, DataFrame]:
+    """All tables cut to the states before the first that is not complete (MG4); ``older`` are
+    complete_states()'s settings for datasets before schema 5."""
+    d = complete_states(tables, external, **older)
     stop = d.where("not complete").agg(F.min("global_state_index").alias("_stop"))
     keep = d.crossJoin(F.broadcast(stop)).where("_stop is null or global_state_index < _stop").select("state_id")  # one row
     return {name: t.join(keep, "state_id", "left_semi") for name, t in tables.items()}
@@ -110,12 +177,14 @@ def distillation_view(demonstrations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where("_ok").drop("_ok"), d.where("not _ok").drop("_ok")
 
 
-def view_summary(demonstrations: DataFrame, states: int) -> DataFrame:
+def view_summary(demonstrations: DataFrame, states: int, first: int = 100) -> DataFrame:
     """One row (MG6): usable and excluded demonstrations, coverage of the source's states,
-    and whether there is anything to train on. The excluded ids are the excluded part of
-    distillation_view()."""
+    whether there is anything to train on, and the ``first`` excluded ids in order; all of
+    them are the excluded part of distillation_view()."""
     d = demonstrations.agg(F.count("*").alias("n"), F.count_if(targets_valid("targets")).alias("ok"))
-    return d.selectExpr("ok as usable", "n - ok as excluded", f"ok / {max(1, states)} as coverage", "ok > 0 as ready")
+    ids = demonstrations.where(~targets_valid("targets")).select("state_id").orderBy("state_id").limit(first)  # a top-k report
+    ids = ids.agg(F.sort_array(F.collect_list("state_id")).alias("excluded_ids"))
+    return d.crossJoin(ids).selectExpr("ok as usable", "n - ok as excluded", f"ok / {max(1, states)} as coverage", "ok > 0 as ready", "excluded_ids")  # one row each
 
 
 def summarize_teacher(records: DataFrame, expected: int) -> DataFrame:

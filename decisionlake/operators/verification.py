@@ -129,16 +129,32 @@ def select(ranked: DataFrame) -> DataFrame:
 
 
 def decision_status(selected: DataFrame) -> DataFrame:
-    """Decisive, practically equivalent or unresolved (VE12); confidence_low is null for
-    a state with one candidate."""
-    status = F.when(F.col("verified") == 1, "decisive").when(F.size("equivalent_indices") > 1, "practically_equivalent").when(F.col("confidence_low") > 0, "decisive").otherwise("unresolved")
-    return selected.withColumn("decision_status", status).withColumn("uncertain", F.coalesce(F.col("confidence_low") <= 0, F.lit(False)))
+    """Decisive, practically equivalent or unresolved (VE12), with the interval, the
+    probability and the margin over its standard error. A state with one candidate is
+    decisive: margin, interval and standardised margin are infinite, the probability is 1;
+    so is a standardised margin without any error."""
+    alone = F.col("verified") == 1
+    endless = F.lit(float("inf"))
+    d = selected.withColumns({c: F.when(alone, endless).otherwise(F.col(c)) for c in ("score_margin", "confidence_low", "confidence_high")})
+    ratio = F.when(F.col("standard_error") > 0, F.col("score_margin") / F.col("standard_error")).otherwise(endless) if "standard_error" in selected.columns else F.lit(None).cast("double")
+    d = d.withColumn("standardized_margin", F.when(alone, endless).otherwise(ratio))
+    if "probability" in selected.columns:
+        d = d.withColumn("probability", F.when(alone, 1.0).otherwise(F.col("probability")))
+    status = F.when(alone, "decisive").when(F.size("equivalent_indices") > 1, "practically_equivalent").when(F.col("confidence_low") > 0, "decisive").otherwise("unresolved")
+    return d.withColumn("decision_status", status).withColumn("uncertain", F.coalesce(F.col("confidence_low") <= 0, F.lit(False)))
+
+
+def source_counts(candidates: DataFrame) -> DataFrame:
+    """Of each state a map of its pool's candidates by source (VE13)."""
+    each = candidates.groupBy("state_id", "candidate_source").agg(F.count("*").alias("_n"))
+    return each.groupBy("state_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("candidate_source", "_n")))).alias("candidate_source_counts"))  # the few sources of a pool
 
 
 def select_with_confidence(ranked: DataFrame, rollouts: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """One row a state with everything a selection says (VE13): the winner, the margin's
-    interval and probability, the equivalent set and the status."""
-    return decision_status(select(ranked).join(paired_bootstrap(rollouts, ranked, s), "state_id", "left"))
+    interval and probability, the equivalent set, the status, and counts by source."""
+    d = decision_status(select(ranked).join(paired_bootstrap(rollouts, ranked, s), "state_id", "left"))
+    return d.join(source_counts(ranked), "state_id", "left")
 
 
 def paired_bootstrap(rollouts: DataFrame, ranked: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -166,7 +182,7 @@ def paired_bootstrap(rollouts: DataFrame, ranked: DataFrame, s: Settings = DEFAU
         return mean + s.cvar_weight * (cvar - mean) + s.constraint_weight * rest[0] + s.repair_weight * rest[1] + s.fallback_weight * rest[2] + s.infeasible_weight * (1 - rest[3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):  # few states are Python objects at a time
             out: list[tuple] = []
             for r in batch.to_pylist():
                 seeds = [x["rollout_seed"] for x in r["one"]]

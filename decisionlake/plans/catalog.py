@@ -161,7 +161,7 @@ def ve11(s, d):
 
 @query("ve12_decision_status")
 def ve12(s, d):
-    return ve.select_with_confidence(ranked(s, d), seeded(s, d)).select("state_id", "selected_index", "confidence_low", "confidence_high", "probability", "decision_status", "uncertain")
+    return ve.select_with_confidence(ranked(s, d), seeded(s, d)).select("state_id", "selected_index", "confidence_low", "confidence_high", "probability", "decision_status", "uncertain", "standardized_margin")
 
 
 @query("ve13_select", "SELECT state_id, selected_index, selected_source, rollouts, verified, len(equivalent_indices) AS equivalent, round(risk, 10) AS risk, round(quality_weight, 10) AS quality_weight FROM selected", "selected")
@@ -221,11 +221,26 @@ def au9(s, d):
     return audit.duplicate_states(a.states(s, d))
 
 
-@query("au10_rollout_transactions", """SELECT c.state_id, c.n * 8 AS expected, coalesce(r.n, 0) AS found FROM (SELECT state_id, count(*) AS n FROM candidates GROUP BY 1) c
-  LEFT JOIN (SELECT state_id, count(*) AS n FROM rollouts WHERE state_id::BIGINT % 89 <> 0 OR rollout_index <> 7 GROUP BY 1) r USING (state_id) WHERE c.n * 8 <> coalesce(r.n, 0)""", "rollouts")
+@query("au10_rollout_transactions", """SELECT state_id, expected, found FROM (SELECT c.state_id, CASE WHEN k % 31 = 0 THEN 0 ELSE 8 END AS each, (c.n + (k % 43 = 0)::INT) * CASE WHEN k % 31 = 0 THEN 0 ELSE 8 END AS expected, coalesce(r.n, 0) AS found
+  FROM (SELECT state_id, state_id::BIGINT AS k, count(*) FILTER (state_id::BIGINT % 37 <> 0 OR candidate_index > 0) AS n FROM candidates GROUP BY 1) c
+  LEFT JOIN (SELECT state_id, count(*) AS n FROM rollouts WHERE state_id::BIGINT % 89 <> 0 OR rollout_index <> 7 GROUP BY 1) r USING (state_id) WHERE k % 29 <> 0) WHERE each <= 0 OR expected <> found""", "rollouts")
 def au10(s, d):
-    r = a.rollouts(s, d).where("cast(state_id as bigint) % 89 <> 0 or rollout_index <> 7")
-    return audit.rollout_transactions(a.candidates(s, d), r, 8)
+    """Some states say no rollouts, an external baseline that is not there, a candidate that was not verified; some have too few."""
+    k = "cast(state_id as bigint)"
+    r = a.rollouts(s, d).where(f"{k} % 89 <> 0 or rollout_index <> 7")
+    c = a.candidates(s, d).withColumn("rollout_verified", F.expr(f"{k} % 37 <> 0 or candidate_index > 0"))
+    x = c.select("state_id").distinct().selectExpr("state_id", f"case when {k} % 29 <> 0 then 'accepted' else 'rejected' end as acceptance_status", f"case when {k} % 31 = 0 then 0 else 8 end as verification_rollouts",
+                                                   f"cast({k} % 43 = 0 as int) as external_baseline_rollout_count")
+    return audit.rollout_transactions(x, c, r)
+
+
+@query("ve12_status_of_sure_states", """SELECT state_id, candidate_index AS selected_index, verified = 1 AS alone, CASE WHEN verified = 1 THEN 'decisive' ELSE 'practically_equivalent' END AS decision_status, CASE WHEN verified = 1 THEN 1.0::DOUBLE END AS probability,
+  verified = 1 AS endless, sources FROM (SELECT state_id, count(*) AS verified, count(*) FILTER (equivalent) AS eq, arg_min(candidate_index, rank) AS candidate_index, count(DISTINCT candidate_source) AS sources FROM ranked GROUP BY 1) WHERE verified = 1 OR eq > 1""", "ranked")
+def ve12_sure(s, d):
+    """States whose status does not hang on the generator: alone, or with equivalents."""
+    x = ve.select_with_confidence(ranked(s, d), seeded(s, d)).where("verified = 1 or size(equivalent_indices) > 1")
+    endless = "score_margin = double('infinity') and standardized_margin = double('infinity') and confidence_low = double('infinity') and confidence_high = double('infinity')"
+    return x.selectExpr("state_id", "selected_index", "verified = 1 as alone", "decision_status", "case when verified = 1 then probability end as probability", f"coalesce(({endless}), false) as endless", "cast(size(candidate_source_counts) as bigint) as sources")
 
 
 @query("au11_split_leakage", """SELECT count(*) AS leaking FROM (SELECT scenario_id FROM (
@@ -321,10 +336,12 @@ def ts7(s, d):
     return freshness.sensing_availability(a.slot_log(s, d), a.sensing_jobs(s, d)).select("entity", "slot", F.col("available.timestamp").alias("newest"))
 
 
-@query("ts13_episode_kpis", """SELECT policy, count(*) AS n, round(avg(covariance_trace), 6) AS trace, round(avg(energy), 6) AS energy, round(avg(delivered::INT), 6) AS delivery_rate,
+@query("ts13_episode_kpis", """SELECT policy, count(*) AS n, round(avg(value), 6) AS mean_stage_cost, round(avg(slot), 6) AS mean_aoi, round(avg(slot / 2), 6) AS mean_aoli, round(avg(slot / 4), 6) AS mean_aosi, round(avg(abs(increment)), 6) AS mean_repair_distance,
+  round(avg(intercepted::INT), 6) AS fallback_rate, round(avg((value > 60)::INT), 6) AS hard_failure_rate, round(sum(delivered::INT * 2) / count(*), 6) AS deliveries_per_transition, round(avg(covariance_trace), 6) AS trace, round(avg(energy), 6) AS energy, round(avg(delivered::INT), 6) AS delivery_rate,
   round(avg(detected::INT), 6) AS detection_rate FROM slot_log GROUP BY 1""", "slot_log")
 def ts13(s, d):
-    return freshness.episode_kpis(a.slot_log(s, d))
+    log = a.slot_log(s, d).selectExpr("*", "value as stage_cost", "cast(slot as double) as mean_aoi", "slot / 2 as mean_aoli", "slot / 4 as aosi", "abs(increment) as repair_distance", "intercepted as fallback_used", "value <= 60 as hard_feasible", "cast(delivered as int) * 2 as deliveries")
+    return freshness.episode_kpis(log)
 
 
 # links
@@ -335,11 +352,15 @@ def lk1(s, d):
     return a.links(s, d).groupBy("l_partkey").agg(F.max(F.round(links.path_loss_db("distance", 2e9), 6)).alias("loss_db"))
 
 
-@query("lk3_noma_kpis", """SELECT l_orderkey, round(sum(least(log2(1 + far_power * far_gain / (near_power * far_gain + disturbance)), log2(1 + far_power * near_gain / (near_power * near_gain + disturbance)))), 4) AS far_rate,
-  round(sum(log2(1 + near_power * near_gain / disturbance)), 4) AS near_rate FROM links GROUP BY 1""", "links")
+@query("lk3_noma_kpis", """SELECT l_orderkey, round(sum(log2(1 + least(far_power * far_gain / (near_power * far_gain + 2 * disturbance), far_power * near_gain / (near_power * near_gain + disturbance)))), 4) AS far_rate, round(sum(near), 4) AS near_rate,
+  sum((0.5 * near >= 1.5)::INT)::BIGINT AS completed, round(sum(CASE WHEN near_gain > 0 THEN ((near_power + far_power) * near_gain - 0.2 * disturbance) / (near_gain * 1.2) END) / 7, 6) AS near_cap, count(*) FILTER (near_gain = 0) AS endless
+  FROM (SELECT *, log2(1 + near_power * near_gain / (0.1 * far_power * near_gain + disturbance)) AS near FROM (SELECT * REPLACE (CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE near_gain END AS near_gain) FROM links)) GROUP BY 1""", "links")
 def lk3(s, d):
-    k = links.noma_kpis(a.links(s, d))
-    return k.groupBy("l_orderkey").agg(F.round(F.sum("far_rate"), 4).alias("far_rate"), F.round(F.sum("near_rate"), 4).alias("near_rate"))
+    x = a.links(s, d).withColumns({"near_gain": F.expr("case when l_suppkey % 7 = 0 then 0D else near_gain end"), "near_disturbance": F.col("disturbance"), "far_disturbance": 2 * F.col("disturbance")})
+    k = links.noma_kpis(x, residual=0.1).withColumns({"done": links.packet_completed("near_rate", 0.5, 1.5), "cap": links.near_power_cap(0.2)})
+    endless = F.col("cap") == float("-inf")
+    return k.groupBy("l_orderkey").agg(
+        F.round(F.sum("far_rate"), 4).alias("far_rate"), F.round(F.sum("near_rate"), 4).alias("near_rate"), F.count_if("done").alias("completed"), F.round(F.sum(F.when(~endless, F.col("cap"))) / 7, 6).alias("near_cap"), F.count_if(endless).alias("endless"))
 
 
 # training and evaluation

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from decisionlake.functions import control, freshness, links
-from decisionlake.operators import audit, quality, responses, shards, training
+from decisionlake.operators import audit, quality, responses, shards, teacher as te, training
 from decisionlake.plans.catalog import STEPS, query, ranked, rounded, rounded_sql, summary
 from decisionlake.sources import adapters as a
 from decisionlake.sources import tables
@@ -28,9 +28,9 @@ def actions(s, d):
     )
 
 
-@query("fe12_clip_action", f"SELECT l_orderkey, l_linenumber, pair, {rounded_sql(*_CONTROLS)} FROM ({_CLIPPED})", "actions")
+@query("fe12_clip_action", f"SELECT l_orderkey, l_linenumber, 0 AS ris_code, pair, {rounded_sql(*_CONTROLS)} FROM ({_CLIPPED})", "actions")
 def fe12(s, d):
-    return control.clip_action(actions(s, d), 4).select("l_orderkey", "l_linenumber", "pair", *rounded(*_CONTROLS))
+    return control.clip_action(actions(s, d).withColumn("ris_code", F.col("l_linenumber") % 3), 4).select("l_orderkey", "l_linenumber", "ris_code", "pair", *rounded(*_CONTROLS))
 
 
 @query("fe11_decode_action", """SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-eta_haps)), 10) AS eta_haps, round(0.5 / (1 + exp(-eta_near)), 10) AS eta_near,
@@ -104,15 +104,22 @@ def ts8(s, d):
     return a.table(s, d, "events").select("event_id", control.processing_delay(cycles, hz, 0.1).alias("delay"), F.round(control.slot_energy(F.col("value"), F.lit(2.0), 0.1, 1e-28, cycles, hz), 10).alias("energy"))
 
 
-@query("ts9_stage_cost", "SELECT policy, round(avg(0.6 * covariance_trace / 50000 + 0.4 * energy / 2), 8) AS cost, round(avg(greatest(increment, 0)), 8) AS violation FROM slot_log GROUP BY 1", "slot_log")
+_PARTS = ("increment", "0.2 - increment", "energy - 0.5", "0.1 - energy", "increment * 2", "slot % 3 - 1.5")
+
+
+@query("ts9_stage_cost", f"""SELECT policy, round(avg(0.3 * (slot % 20 + slot % 7) / 2 / 50 + 0.2 * (slot % 11) / 50 + 0.3 * covariance_trace / 50000 + 0.2 * energy / 2), 8) AS cost, round(avg({' + '.join(f'greatest({x}, 0)' for x in _PARTS)}), 8) AS violation,
+  round(avg(CASE WHEN increment > 0 THEN (increment + 1) / 2 ELSE 1 END), 8) AS growth FROM slot_log GROUP BY 1""", "slot_log")
 def ts9(s, d):
-    log = a.slot_log(s, d)
-    return log.groupBy("policy").agg(F.round(F.avg(control.stage_cost({"covariance_trace": (0.6, 50000.0), "energy": (0.4, 2.0)})), 8).alias("cost"), F.round(F.avg(control.violation_total(["increment"])), 8).alias("violation"))
+    names = control.VIOLATIONS
+    log = a.slot_log(s, d).selectExpr("*", "array(slot % 20, slot % 7) as aoi", "slot % 11 as aosi", "array(increment, 1D, -2D) as increments", *(f"{x} as {n}" for n, x in zip(names, _PARTS)))
+    log = log.withColumn("mean_aoi", control.mean_age("aoi"))
+    cost = control.stage_cost({"mean_aoi": (0.3, 50.0), "aosi": (0.2, 50.0), "covariance_trace": (0.3, 50000.0), "energy": (0.2, 2.0)})
+    return log.groupBy("policy").agg(*(F.round(F.avg(x), 8).alias(n) for n, x in (("cost", cost), ("violation", control.violation_total()), ("growth", control.mean_positive("increments")))))
 
 
-@query("ts14_non_finite_check", "SELECT count(*) AS bad FROM slot_log WHERE increment IS NULL OR increment = 0 OR NOT isfinite(increment)", "slot_log")
+@query("ts14_non_finite_check", "SELECT count(*) AS bad FROM slot_log WHERE increment IS NULL OR increment = 0 OR NOT isfinite(increment) OR value > 90", "slot_log")
 def ts14(s, d):
-    return a.slot_log(s, d).withColumn("inverse", F.expr("try_divide(1D, increment)")).where(control.non_finite(["increment", "inverse"])).agg(F.count("*").alias("bad"))
+    return a.slot_log(s, d).withColumn("inverse", F.expr("try_divide(1D, increment)")).where(control.non_finite(["increment", "inverse"], {"value": (float("-inf"), 90.0)})).agg(F.count("*").alias("bad"))
 
 
 # responses
@@ -171,9 +178,11 @@ def tr8(s, d):
     return docs.select("doc_id", F.from_json(responses.extract_json_object(body), "lang string, n_chars long, note string").alias("r")).select("doc_id", "r.lang", "r.n_chars", "r.note")
 
 
-@query("tr14_unique_candidates", """SELECT state_id, count(DISTINCT (pair, round_even(eta_sensing, 8), round_even(eta_communication, 8), round_even(eta_near, 8), round_even(eta_cpu, 8))) AS unique_candidates FROM candidates GROUP BY 1""", "candidates")
+@query("tr14_unique_candidates", """SELECT state_id, count(*) AS candidates, count(DISTINCT (pair, l_suppkey % 2, round_even(eta_sensing, 8), round_even(eta_communication, 8), round_even(eta_near, 8), round_even(l_tax, 8), round_even(l_tax - 0.04, 8), round_even(l_tax * 10, 8), round_even(eta_cpu, 8))) AS unique_candidates
+  FROM candidates GROUP BY 1""", "candidates")
 def tr14(s, d):
-    return responses.unique_candidates(a.candidates(s, d))
+    c = a.candidates(s, d).selectExpr("state_id", "pair", "l_suppkey % 2 as ris_code", "eta_sensing as eta_haps", "eta_communication", "eta_near", "l_tax as eta_jamming", "l_tax - 0.04D as aav_heading_rad", "l_tax * 10 as aav_speed_fraction", "eta_cpu")
+    return te.unique_ratio(c)
 
 
 @query("tr18_expand_templates", "SELECT p_partkey, c AS eta_cpu, least((p_size % 10) / 10.0::DOUBLE, 0.3) AS eta_near, 'safe_template' AS candidate_source FROM part CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0)) v(c)")

@@ -219,12 +219,40 @@ def mg2(s, d):
 
 @query("mg3_merge_shards", "SELECT name, 'merged' AS run_id, n FROM (SELECT 'states' AS name, count(*) AS n FROM states UNION ALL SELECT 'candidates', count(*) FROM candidates)", "states", "candidates")
 def mg3(s, d):
-    states = a.states(s, d).withColumn("global_state_index", F.expr("row_number() over (order by global_state_index) - 1"))
+    states = sampling.global_rank(a.states(s, d).drop("global_state_index"), "state_id", "global_state_index")
     merged = me.merge_shards({"states": states.withColumn("run_id", F.lit("one")), "candidates": a.candidates(s, d)}, "merged", states.count())
     parts = [t.groupBy("run_id").agg(F.count("*").alias("n")).withColumn("name", F.lit(name)) for name, t in merged.items()]
     return parts[0].unionByName(parts[1])
 
 
+def sharded(s, d, n=4):
+    """A folder of n shards of orders and their lines, with manifests, and the tables' schemas."""
+    root = tables.shared_folder(s, "sharded")
+    o = sampling.global_rank(a.table(s, d, "orders").select("o_orderkey"), "o_orderkey", "global_state_index")
+    total = o.count()
+    o = o.select(F.col("o_orderkey").cast("string").alias("state_id"), F.col("global_state_index").cast("long"), F.lit("old").alias("run_id"))
+    lines = a.table(s, d, "lineitem").selectExpr("cast(l_orderkey as string) as state_id", "l_linenumber", "l_partkey").join(o.select("state_id", "global_state_index"), "state_id")
+    for k in range(n):
+        start, stop = k * total // n, (k + 1) * total // n
+        mine = f"global_state_index >= {start} and global_state_index < {stop}"
+        o.where(mine).repartitionByRange(2, "global_state_index").sortWithinPartitions("global_state_index").write.json(f"{root}/shard-{n - k:04d}/states.jsonl")
+        lines.where(mine).drop("global_state_index").write.json(f"{root}/shard-{n - k:04d}/lines.jsonl")
+        m = s.range(1).selectExpr(f"{k}L as shard_index", f"{n}L as shard_count", f"{total}L as total_requested_states", "42L as master_seed", "'model' as teacher_model_id", "'commit' as git_commit", "false as git_dirty",
+                                  f"{start}L as global_state_start", f"{stop}L as global_state_stop", "'done' as completed_at", f"map('states', {stop - start}L) as table_counts")
+        m.coalesce(1).write.json(f"{root}/shard-{n - k:04d}/manifest.json")
+    return root, m.schema, {"states": o.schema, "lines": lines.drop("global_state_index").schema}
+
+
+@query("mg3_merge_folder", """SELECT o_orderkey::VARCHAR AS state_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS global_state_index, 'merged' AS run_id, n, parts FROM orders
+  LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_partkey) AS parts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def mg3_folder(s, d):
+    root, manifest, schemas = sharded(s, d)
+    out = tables.shared_folder(s, "merged")
+    me.merge_folder(s, root, out, "merged", schemas, manifest, 4)
+    lines = me.read_merged(s, out, "lines", schemas["lines"]).groupBy("state_id").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"))
+    return me.read_merged(s, out, "states", schemas["states"]).join(lines, "state_id", "left").select("state_id", "global_state_index", "run_id", "n", "parts")
+
+
 def dataset(s, d):
     """Six linked tables of the states that have a selection, some incomplete."""
     x = selections(s, d).withColumns({"k": F.col("state_id").cast("long"), "verification_rollouts": F.lit(8), "candidate_pool_count": F.col("verified_candidate_count")})
@@ -256,9 +284,9 @@ def mg5(s, d):
     return usable.select("state_id", F.lit(True).alias("usable")).unionByName(excluded.select("state_id", F.lit(False).alias("usable")))
 
 
-@query("mg6_view_summary", "SELECT sum(ok::INT)::BIGINT AS usable, sum((NOT ok)::INT)::BIGINT AS excluded, round(sum(ok::INT) / (SELECT count(*) FROM states), 8) AS coverage, TRUE AS ready FROM (SELECT abs(sum(w) - 1) <= 1e-6 AS ok FROM demos GROUP BY state_id)", "demos", "states")
+@query("mg6_view_summary", "SELECT sum(ok::INT)::BIGINT AS usable, sum((NOT ok)::INT)::BIGINT AS excluded, round(sum(ok::INT) / (SELECT count(*) FROM states), 8) AS coverage, sum(ok::INT) > 0 AS ready, array_to_string(list(state_id ORDER BY state_id) FILTER (NOT ok)[1:20], ',') AS excluded_ids FROM (SELECT state_id, abs(sum(w) - 1) <= 1e-6 AS ok FROM demos GROUP BY state_id)", "demos", "states")
 def mg6(s, d):
-    return me.view_summary(demonstrations(s, d), a.states(s, d).count()).withColumn("coverage", F.round("coverage", 8))
+    return me.view_summary(demonstrations(s, d), a.states(s, d).count(), 20).withColumns({"coverage": F.round("coverage", 8), "excluded_ids": F.array_join("excluded_ids", ",")})
 
 
 def records(s, d):

@@ -67,12 +67,14 @@ _LOGITS = "SELECT vec_id, label, embedding::DOUBLE[] AS e, (vec_id % 10 + 1) / 1
 
 
 def predictions(s, d):
-    return a.table(s, d, "embeddings").selectExpr("vec_id", "label % 5 as pair", "transform(embedding, x -> cast(x as double)) as e", "(vec_id % 10 + 1) / 10.0D as w")
+    return a.table(s, d, "embeddings").selectExpr("vec_id", "label % 5 as pair", "label % 3 as ris", "transform(embedding, x -> cast(x as double)) as e", "(vec_id % 10 + 1) / 10.0D as w")
 
 
-@query("td9_score_predictions", f"SELECT round(sum((list_position(e[33:37], list_max(e[33:37])) - 1 = label % 5)::INT * w) / sum(w), 8) AS accuracy FROM ({_LOGITS})")
+@query("td9_score_predictions", f"""SELECT round(sum((list_position(e[33:37], list_max(e[33:37])) - 1 = label % 5)::INT * w) / sum(w), 8) AS pair_top1_accuracy, round(sum((list_position(e[38:40], list_max(e[38:40])) - 1 = label % 3)::INT * w) / sum(w), 8) AS ris_top1_accuracy,
+  round(sum(list_avg([abs(CASE WHEN i = 4 THEN (exp(2 * e[41 + i]) - 1) / (exp(2 * e[41 + i]) + 1) ELSE 1 / (1 + exp(-e[41 + i])) END - e[48 + i]) FOR i IN range(7)]) * w) / sum(w), 8) AS continuous_mae FROM ({_LOGITS})""")
 def td9(s, d):
-    return ev.score_predictions(predictions(s, d).withColumn("logits", F.slice("e", 33, 5)), "logits", "pair", "w")
+    p = predictions(s, d).withColumns({"logits": F.slice("e", 33, 5), "ris_logits": F.slice("e", 38, 3), "means": F.slice("e", 41, 7), "chosen": F.slice("e", 48, 7)})
+    return ev.score_predictions(p, {"pair": ("logits", "pair"), "ris": ("ris_logits", "ris")}, "w", "means", "chosen")
 
 
 @query("td10_soft_cross_entropy", f"""SELECT vec_id, round(list_sum([(0.9 * (k = label % 5)::INT + 0.02) * (ln(list_sum([exp(x) FOR x IN e[33:37]])) - e[33 + k]) FOR k IN range(5)]), 6) AS loss FROM ({_LOGITS})""")

@@ -24,12 +24,18 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A JSON-lines table of a fixed schema (IO1); blank lines are skipped, a line that is
     not one JSON object, or has text after it, is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return parsed(spark.read.text(path), schema)
+
+
+def parsed(lines: DataFrame, schema: StructType) -> DataFrame:
+    """Lines (value, and other columns, which stay in front) as rows of a schema, each one
+    JSON object; blank ones are skipped."""
     items, closing = closed(F.col("value"), schema, "FAILFAST")
-    d = lines.select(items.alias("_items"), closing.alias("_closing"), "value")
+    keep = [c for c in lines.columns if c != "value"]
+    d = lines.where(F.trim("value") != "").select(*keep, items.alias("_items"), closing.alias("_closing"), "value")
     wrong = F.raise_error(F.concat(F.lit("not one JSON object in a line: "), F.substring("value", 1, 200)))
     row = F.when(whole(F.col("_items"), F.col("_closing")), F.get("_items", F.lit(0))).otherwise(wrong)
-    return d.select(row.alias("r")).select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields))
+    return d.select(*keep, row.alias("_r")).select(*keep, *(F.col(f"_r.`{f.name}`").alias(f.name) for f in schema.fields))
 
 
 def read_valid_prefix(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
