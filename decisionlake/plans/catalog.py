@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from decisionlake.functions import freshness, links
-from decisionlake.operators import audit, quality, sampling, shards, training, verification as ve
+from decisionlake.operators import adaptive, audit, quality, sampling, shards, training, verification as ve
 from decisionlake.sources import adapters as a
+from decisionlake.sources.tables import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -164,6 +165,25 @@ def ve12(s, d):
     return ve.select_with_confidence(ranked(s, d), seeded(s, d)).select("state_id", "selected_index", "confidence_low", "confidence_high", "probability", "decision_status", "uncertain", "standardized_margin")
 
 
+def longer(s, d, count):
+    """Rollouts with their seeds, ``count`` of each candidate."""
+    r = a.rollouts(s, d).where("rollout_index = 0").drop("rollout_index").withColumn("rollout_index", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    r = r.withColumn("discounted_cost", F.expr("discounted_cost + (cast(conv(substr(sha2(concat(state_id, ':', candidate_index, ':', rollout_index), 256), 1, 6), 16, 10) as double) / 16777216D - 0.5D) * 0.15D"))
+    return r.withColumn("rollout_seed", sampling.stable_seed(F.concat_ws(":", "state_id", F.col("rollout_index").cast("string")), 42))
+
+
+@query("ve14_adaptive_rounds")
+def ve14_rounds(s, d):
+    """Up to three rounds of 8 rollouts, each for the states that the one before left open."""
+    settings, root = ve.Settings(cap=24, resamples=200), shared_folder(s, "rounds")
+    every = longer(s, d, 24)
+    new = every.where("rollout_index < 8")
+    for number in range(3):
+        work = adaptive.verify_round(s, root, new, number, settings)
+        new = every.join(work, ["state_id", "candidate_index", "rollout_index"], "left_semi")
+    return adaptive.verified(s, root).select("state_id", "selected_index", "rollouts", "adaptive_rounds", "decision_status")
+
+
 @query("ve13_select", "SELECT state_id, selected_index, selected_source, rollouts, verified, len(equivalent_indices) AS equivalent, round(risk, 10) AS risk, round(quality_weight, 10) AS quality_weight FROM selected", "selected")
 def ve13(s, d):
     return ve.select(ranked(s, d)).select("state_id", "selected_index", "selected_source", "rollouts", "verified", F.size("equivalent_indices").alias("equivalent"), *rounded("risk", "quality_weight"))
