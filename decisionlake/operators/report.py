@@ -154,9 +154,10 @@ def audit_warnings(metrics: DataFrame, schema: int = 5) -> DataFrame:
     return d.select("place", "warning")
 
 
-def audit_report(errors: DataFrame, warnings: DataFrame, metrics: DataFrame) -> DataFrame:
+def audit_report(errors: DataFrame, warnings: DataFrame, metrics: DataFrame, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """One row (AU14): distinct errors (place, error) and warnings (place, warning) in
-    order, and passed, which no error and full feasibility after repair make."""
+    order, passed, which no error and full feasibility after repair make, and counts, a map
+    of the rows of each table that is given."""
     feasible = metrics.where("metric in ('candidate_post_repair_hard_feasible_rate', 'rollout_hard_feasible_rate') and value < 1")
     more = feasible.limit(1).select(F.lit(2**31 - 1).alias("place"), F.lit("post-repair hard feasibility must be 100%").alias("error"))
 
@@ -165,18 +166,30 @@ def audit_report(errors: DataFrame, warnings: DataFrame, metrics: DataFrame) ->
         return first.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", name))), lambda x: x[name]).alias(f"{name}s"))  # rules, not rows of data
 
     both = listed(errors.unionByName(more), "error").crossJoin(listed(warnings, "warning"))  # one row each
-    return both.select((F.size("errors") == 0).alias("passed"), "errors", "warnings")
+    counts = None
+    for name, t in (tables or {}).items():
+        one = t.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    out = both.select((F.size("errors") == 0).alias("passed"), "errors", "warnings")
+    if counts is None:
+        return out.withColumn("counts", F.create_map().cast("map<string,bigint>"))
+    return out.crossJoin(counts.agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("counts")))  # one row each
+
+
+#: What selections may say of how sure they are and of the baselines after one step.
+SURENESS = ("selection_probability", "margin_confidence_lower", "margin_confidence_upper", "greedy_one_step_cost", "random_one_step_cost")
 
 
 def state_difficulty(states: DataFrame, candidates: DataFrame, selections: DataFrame, keep: list[str]) -> DataFrame:
     """A row a state (QR13): its own columns ``keep``, how its candidates fared, what was
-    selected and the baselines; nulls where there is nothing."""
+    selected, how sure that was, and the baselines, as far as the selections have these columns; nulls
+    where there is nothing."""
     each = candidates.groupBy("state_id").agg(
         F.count("*").alias("candidates"), share("pre_repair_feasible").alias("pre_repair_feasible_rate"), share("hard_feasible").alias("post_repair_hard_feasible_rate"),
         share("fallback_used").alias("fallback_rate"), share("repair_distance > 1e-12D").alias("repair_rate"), mean("repair_distance").alias("mean_repair_distance"), high("repair_distance").alias("p95_repair_distance"),
         *(F.min(F.when(F.col("selected"), F.col(c))).alias(f"selected_{n}") for c, n in (("one_step_stage_cost", "one_step_cost"), ("repair_distance", "repair_distance"), ("fallback_used", "fallback_used"))),
     )
-    s = selections.select("state_id", "selected_candidate_index", "selected_risk", "greedy_risk", "random_risk", "verification_rollouts", "adaptive_rounds", "selection_uncertain", F.col("decision_status").alias("_d"))
+    s = selections.select("state_id", "selected_candidate_index", "selected_risk", "greedy_risk", "random_risk", "verification_rollouts", "adaptive_rounds", "selection_uncertain", F.col("decision_status").alias("_d"), *(c for c in SURENESS if c in selections.columns))
     d = states.select("state_id", *keep).join(each, "state_id", "left").join(s, "state_id", "left")
     d = d.withColumn("decision_status", decision_status("_d", "selection_uncertain")).drop("_d")
     zero = ["candidates", "pre_repair_feasible_rate", "post_repair_hard_feasible_rate", "fallback_rate", "repair_rate", "mean_repair_distance", "p95_repair_distance"]

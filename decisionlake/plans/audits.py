@@ -24,6 +24,7 @@ STEPS["selections"] = """SELECT s.state_id, selected_index AS selected_candidate
   CASE WHEN k % 9 = 0 THEN NULL WHEN verified = 1 THEN 'decisive' WHEN len(equivalent_indices) > 1 THEN 'practically_equivalent' WHEN k % 4 = 0 THEN 'unresolved' ELSE 'decisive' END AS decision_status, k % 4 = 0 AS selection_uncertain,
   verified + (k % 31 = 0)::INT AS candidate_pool_count, verified AS verified_candidate_count, rollouts * (1 + k % 8) AS verification_rollouts, k % 3 AS adaptive_rounds,
   CASE WHEN k % 50 = 0 THEN 0.5 ELSE 1 END AS safe_template_coverage_rate, g.i AS greedy_candidate_index, CASE WHEN k % 3 > 0 THEN s.risk * 0.01 END AS oracle_regret,
+  k % 100 / 100 AS selection_probability, s.risk * 0.01 - 0.02 AS margin_confidence_lower, s.risk * 0.01 + 0.02 AS margin_confidence_upper, one.greedy AS greedy_one_step_cost, one.random AS random_one_step_cost,
   s.risk AS selected_risk, b.greedy AS greedy_risk, b.random AS random_risk, one.selected AS selected_one_step, one.greedy AS greedy_one_step, one.random AS random_one_step
   FROM (SELECT *, state_id::BIGINT AS k FROM selected) s JOIN scores b USING (state_id)
   LEFT JOIN (SELECT state_id, max(candidate_index) AS i FROM candidates WHERE candidate_source = 'greedy_baseline' GROUP BY 1) g USING (state_id)
@@ -74,6 +75,7 @@ def selections(s, d, r=None):
         "case when k % 9 = 0 then null when verified = 1 then 'decisive' when size(equivalent_indices) > 1 then 'practically_equivalent' when k % 4 = 0 then 'unresolved' else 'decisive' end as decision_status",
         "k % 4 = 0 as selection_uncertain", "verified + cast(k % 31 = 0 as int) as candidate_pool_count", "verified as verified_candidate_count", "rollouts * (1 + k % 8) as verification_rollouts", "k % 3 as adaptive_rounds",
         "case when k % 50 = 0 then 0.5D else 1D end as safe_template_coverage_rate", "greedy_candidate_index", "case when k % 3 > 0 then risk * 0.01D end as oracle_regret", "risk as selected_risk", "greedy_risk", "random_risk",
+        "k % 100 / 100 as selection_probability", "risk * 0.01D - 0.02D as margin_confidence_lower", "risk * 0.01D + 0.02D as margin_confidence_upper", "greedy_one_step as greedy_one_step_cost", "random_one_step as random_one_step_cost",
         "selected_one_step", "greedy_one_step", "random_one_step",
     )
 
@@ -168,21 +170,22 @@ def au13(s, d):
     return report.audit_warnings(metrics(s, d))
 
 
-@query("au14_audit_report", """SELECT FALSE AS passed, e.errors, w.warnings FROM (SELECT list(warning ORDER BY place) AS warnings FROM warned) w,
-  (SELECT list(error ORDER BY place) AS errors FROM (SELECT 1 AS place, n || ' scenarios cross dataset splits' AS error FROM (SELECT count(*) AS n FROM (SELECT scenario_id FROM states GROUP BY 1
+@query("au14_audit_report", """SELECT len(coalesce(e.errors, [])) = 0 AS passed, coalesce(e.errors, []) AS errors, coalesce(w.warnings, []) AS warnings, (SELECT 'candidates=' || count(*) FROM candidates) || ',' || (SELECT 'rollouts=' || count(*) FROM rollouts) || ',' || (SELECT 'states=' || count(*) FROM states) AS counts
+  FROM (SELECT list(warning ORDER BY place) AS warnings FROM warned) w, (SELECT list(error ORDER BY place) AS errors FROM (SELECT 1 AS place, n || ' scenarios cross dataset splits' AS error FROM (SELECT count(*) AS n FROM (SELECT scenario_id FROM states GROUP BY 1
     HAVING count(DISTINCT CASE WHEN global_state_index % 101 = 0 THEN 'test' ELSE split END) > 1)) WHERE n > 0
   UNION ALL SELECT 2, 'post-repair hard feasibility must be 100%' WHERE (SELECT min(value) FROM metrics WHERE metric IN ('candidate_post_repair_hard_feasible_rate', 'rollout_hard_feasible_rate')) < 1)) e""", "warned", "states")
 def au14(s, d):
     m = metrics(s, d)
     broken = a.states(s, d).withColumn("split", F.expr("case when global_state_index % 101 = 0 then 'test' else split end"))
     errors = audit.split_leakage(broken).where("leaking > 0").select(F.lit(1).alias("place"), F.concat("leaking", F.lit(" scenarios cross dataset splits")).alias("error"))
-    return report.audit_report(errors, report.audit_warnings(m), m)
+    out = report.audit_report(errors, report.audit_warnings(m), m, {"states": broken, "candidates": a.candidates(s, d), "rollouts": a.rollouts(s, d)})
+    return out.withColumn("counts", F.expr("array_join(transform(array_sort(map_entries(counts)), x -> concat(x.key, '=', x.value)), ',')"))
 
 
 # quality report
 
 _KEEP = ["scenario_id", "split", "state_category", "mean_aoi", "queue_max"]
-_NUM = ["pre_repair_feasible_rate", "post_repair_hard_feasible_rate", "fallback_rate", "repair_rate", "mean_repair_distance", "p95_repair_distance", "selected_one_step_cost", "selected_repair_distance", "selected_risk", "greedy_risk", "random_risk"]
+_NUM = ["pre_repair_feasible_rate", "post_repair_hard_feasible_rate", "fallback_rate", "repair_rate", "mean_repair_distance", "p95_repair_distance", "selected_one_step_cost", "selected_repair_distance", "selected_risk", "greedy_risk", "random_risk", "selection_probability", "margin_confidence_lower", "margin_confidence_upper", "greedy_one_step_cost", "random_one_step_cost"]
 _EACH = """SELECT state_id, count(*) AS candidates, avg(pre_repair_feasible::INT) AS pre_repair_feasible_rate, avg(hard_feasible::INT) AS post_repair_hard_feasible_rate, avg(fallback_used::INT) AS fallback_rate, avg((repair_distance > 1e-12)::INT) AS repair_rate,
   avg(repair_distance) AS mean_repair_distance, quantile_cont(repair_distance, 0.95) AS p95_repair_distance, min(one_step_stage_cost) FILTER (selected) AS selected_one_step_cost, min(repair_distance) FILTER (selected) AS selected_repair_distance FROM acts GROUP BY 1"""
 

@@ -211,8 +211,11 @@ def mg1(s, d):
     return m.select("shard_index", me.config_fingerprint(m).alias("fingerprint"))
 
 
-@query("mg2_validate_shards", """SELECT problem, shard_index FROM (VALUES ('configuration, total or seed differs', NULL), ('shards are not of one clean commit', NULL), ('global ranges are not contiguous', 7), ('state count does not match the range', 7),
-  ('shard is not finalized', 3), ('state count does not match the range', 11)) v(problem, shard_index) WHERE (SELECT count(*) FROM nation) = 25""")
+@query("mg2_validate_shards", """WITH m AS (SELECT n_nationkey AS i, n_nationkey = 20 AS other, n_regionkey // 4 AS made, n_nationkey * 100 + (n_nationkey = 7)::INT AS start, (n_nationkey + 1) * 100 AS stop, n_nationkey = 3 AS unfinished, 100 - (n_nationkey = 11)::INT AS states FROM nation),
+  l AS (SELECT *, coalesce(lag(stop) OVER (ORDER BY i), 0) AS before FROM m)
+  SELECT 'configuration, total or seed differs' AS problem, NULL::BIGINT AS shard_index FROM m HAVING count(DISTINCT made) > 1 UNION ALL SELECT 'shards are not of one clean commit', NULL FROM m HAVING count(DISTINCT other) > 1
+  UNION ALL SELECT 'shards are missing', NULL FROM m HAVING count(*) <> 25 UNION ALL SELECT 'shard indices are incomplete or duplicated', NULL FROM m HAVING count(DISTINCT i) <> count(*) OR max(i) <> count(*) - 1 UNION ALL SELECT 'shards do not cover the plan', NULL FROM m HAVING max(stop) <> 2500
+  UNION ALL SELECT 'global ranges are not contiguous', i FROM l WHERE start <> before OR stop <= start UNION ALL SELECT 'state count does not match the range', i FROM l WHERE states <> stop - start UNION ALL SELECT 'shard is not finalized', i FROM l WHERE unfinished""")
 def mg2(s, d):
     return me.validate_shards(manifests(s, d))
 

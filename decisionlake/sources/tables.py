@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,13 @@ _OWN: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir), or in
-    one of our own where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="decisionlake-"))
+    one of our own where that is unset on a single machine, as in tests; on a cluster it
+    must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="decisionlake-"))
     return f"{base.rstrip('/')}/decisionlake/{tag}-{uuid.uuid4().hex}"
 
 
