@@ -60,24 +60,32 @@ def family(name: str) -> str | None:
     return FAMILIES[found[1]] if found else None
 
 
-def operand(token: str, after: str | None) -> bool:
-    """Whether a token can be a licence, or after ``with`` an exception."""
+def operand(token: str, after: str | None, joined: bool) -> bool:
+    """Whether a token can be a licence, or after ``with`` an exception. Beside an operator
+    (``joined``) any token is one, whether it is known or not; by itself a known one, or one
+    that is shaped like an id."""
     low = token.lower()
     if after == "with":
         return "-" in low
-    return family(low) is not None or _SHAPED.match(low) is not None
+    return joined or family(low) is not None or _SHAPED.match(low) is not None
 
 
 def postfix(expression: str) -> list[str]:
     """Shunting-yard: a licence expression in postfix order; ``with`` binds closest,
     then ``and``, then ``or``, which a slash also says. Reading stops at the first token
-    that cannot follow (prose after the expression); an operator without its right side
-    is dropped, and brackets that are left open close at the end."""
+    that cannot follow (prose after the expression has no operator before it); an operator
+    without its right side is dropped, and brackets that are left open close at the end."""
     out: list[str] = []
     ops: list[str] = []
     whole = False  # whether what is read so far ends in an operand
-    for found in _TOKEN.finditer(expression):
-        token = found[0]
+    tokens = _TOKEN.findall(expression)
+    # whether the next token after each that closes no bracket is an operator
+    follows, nxt = [False] * len(tokens), False
+    for i in range(len(tokens) - 1, -1, -1):
+        follows[i] = nxt
+        if tokens[i] != ")":
+            nxt = tokens[i].lower() in _RANK
+    for token, before_operator in zip(tokens, follows):
         low = token.lower()
         if token == "(":
             if whole:
@@ -98,7 +106,8 @@ def postfix(expression: str) -> list[str]:
             ops.append("or" if low == "/" else low)
             whole = False
         else:
-            if whole or not operand(token, ops[-1] if ops else None):
+            after = ops[-1] if ops else None
+            if whole or not operand(token, after, before_operator or after in _RANK):
                 break
             out.append(token)
             whole = True
@@ -177,7 +186,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Words are runs of digits, letters and non-ASCII characters after A-Z are lowered.
     n_base counts all places of base phrases, overlapping ones too. labels also holds
     the method's own phrases and the known ids in licence expressions after a tag, both
-    found by Aho-Corasick; an expression ends with its line or before the next tag; score is the strictest
+    found by Aho-Corasick (other ids take part in an expression without a label); an expression ends with its line or before the next tag; score is the strictest
     grant among what was found (0 where nothing was). Null texts are empty: no words,
     null places, empty labels. Repeated rows each give a row; an empty table none.
     """

@@ -163,6 +163,12 @@ def test_license(spark, said):
     assert license.postfix("MIT OR (") == ["MIT"] and license.postfix("MIT OR (GPL AND (") == ["MIT", "GPL", "or"]
     assert license.postfix("MIT/Apache-2.0") == ["MIT", "Apache-2.0", "or"] and license.postfix("see the file") == []
     assert license.evaluate(license.postfix("GPL-3.0 OR MIT"))[0] == 1.0 and license.evaluate([]) is None
+    for said, want in {
+        "WTFPL OR MIT": (1.0, {"mit"}), "curl AND GPL-2.0": (0.4, {"gpl"}), "MIT AND JSON AND GPL-3.0-only": (0.4, {"mit", "gpl"}), "MIT AND (Foo OR GPL-3.0)": (0.5, {"mit", "gpl"}), "(Foo) AND MIT": (0.5, {"mit"}),
+        "((Foo)) OR (Bar AND MIT) see file": (0.5, {"mit"}), "MIT OR Foo of any kind": (1.0, {"mit"}),
+    }.items():
+        assert license.evaluate(license.postfix(said)) == want, said
+    assert license.postfix("(c) by us") == [] and license.postfix("none") == []
     docs = make(spark, said)
     assert license.scan_licenses(docs.union(docs)).count() == 2 * len(said) and license.scan_licenses(make(spark, [])).count() == 0
 
