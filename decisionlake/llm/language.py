@@ -3,7 +3,6 @@ n-grams, trained by follow-the-regularised-leader with elastic net, then tempere
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +25,14 @@ ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 2e-4, 1e-4, 3
 #: A document scored below this is rejected by keep_language().
 MIN_SCORE = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SLICE = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of the Unicode category L; other numerals have none."""
+    return any(map(str.isalpha, text))
+
+
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a text's n-grams over lower-cased code points."""
     total = None
@@ -71,7 +74,7 @@ class Model:
         return at, x / max(float(np.sqrt(x @ x)), 1e-12)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.labels or not _LETTER.search(text):
+        if not text or not self.labels or not has_letter(text):
             return "und", 0.0
         at, x = self.vector(text)
         p = _softmax((x @ self.weights[at] + self.bias) / self.temperature)

@@ -339,6 +339,7 @@ def test_language(spark):
     assert all(got[i].held_out == (i in held) for i in range(120))
     assert sum(got[i].lang_pred == ("en" if i % 2 else "de") for i in held) >= 0.95 * len(held)
     assert [got[i].lang_pred for i in (120, 121, 122)] == ["und"] * 3
+    assert [language.has_letter(t) for t in ("½", "12 ²", "Ⅷ", "", "_", "é", "ª", "語", "1a")] == [False] * 5 + [True] * 4
     assert language.identify(make(spark, [])).count() == 0
     docs = make(spark, said, {i: "en" if i % 2 else "de" for i in range(120)})
     kept = language.keep_language(docs.union(docs))  # repeated rows stay alike
