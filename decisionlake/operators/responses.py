@@ -58,7 +58,8 @@ def _first_object(text: pd.Series) -> pd.Series:
         at = -1 if t is None else t.find("{")
         while at >= 0:
             try:
-                return t[at : decoder.raw_decode(t, at)[1]]
+                value, _ = decoder.raw_decode(t, at)
+                return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
             except ValueError:
                 at = t.find("{", at + 1)
         return None
@@ -66,14 +67,20 @@ def _first_object(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+#: What a VARIANT may write in another way than the decoder: exponents, trailing zeros,
+#: more digits than a double has, small numbers, escapes, characters beyond 16 bits.
+_OTHERWISE = r"[0-9][eE]|[.][0-9]*0(?![0-9])|[0-9][0-9.]{15,}|[.]0000|-0(?![.0-9])|\\|[\x{10000}-\x{10FFFF}]"
+
+
 def first_object(text: Column) -> Column:
-    """The first JSON object of a text as it stands there, else null (TR8): from the first
-    brace that begins one to its end, whatever follows. Where that is all from the first
-    brace to the last, as in answers with words around one object, expressions tell it;
-    only other texts with a brace go to a decoder, row by row."""
+    """The first JSON object of a text with its keys sorted and no blanks, else null (TR8):
+    from the first brace that begins one to its end, whatever follows. Where that is all
+    from the first brace to the last, as in answers with words around one object,
+    expressions tell it; only other texts with a brace go to a decoder, row by row."""
     near = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    plain = is_object(near)
-    return F.when(plain, near).otherwise(_first_object(F.when(~plain & F.contains(text, F.lit("{")), text)))
+    told = F.to_json(F.try_parse_json(near))
+    plain = is_object(near) & ~near.rlike(_OTHERWISE) & told.isNotNull()
+    return F.when(plain, told).otherwise(_first_object(F.when(~plain & F.contains(text, F.lit("{")), text)))
 
 
 def extract_json_object(text: Column) -> Column:

@@ -46,7 +46,8 @@ def test_table_reads_lines(spark, tmp_path):
 def test_first_object(spark):
     says = {
         '{"a":1} tail': '{"a":1}', 'so {"a":"}"} it is': '{"a":"}"}', '{ not {"b":2} and {': '{"b":2}', 'x {"a":1} {"b":2}': '{"a":1}', "none": None, "{": None, None: None,
-        '```json\n{"c": 3}\n```': '{"c": 3}', 'a } b { c {"d":[{}]}': '{"d":[{}]}',
+        '```json\n{"c": 3, "b": 1.50, "a": [0.25, "é"]}\n```': '{"a":[0.25,"é"],"b":1.5,"c":3}', '{"b": 0.25, "a": {"z": null, "y": true}}': '{"a":{"y":true,"z":null},"b":0.25}', '{"x": 1.0, "y": 1e-7}': '{"x":1.0,"y":1e-07}',
+        'a } b { c {"d":[{}]}': '{"d":[{}]}',
     }
     d = spark.createDataFrame([(t,) for t in says], "t string")
     assert {r.t: r.o for r in d.select("t", responses.extract_json_object(d.t).alias("o")).collect()} == says
