@@ -275,12 +275,12 @@ def st2(s, d):
     return out.select(_time("start"), "event_type", "n", *(F.round(c, 8).alias(c) for c in ("mean_value", "mean_memory")), "top_value", "top_memory")
 
 
-@query("st3_sessions", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS requests, sum(event_id % 100)::BIGINT AS tokens, round(sum(event_id % 100) / sum(value), 6) AS tokens_per_second, count(*) FILTER (event_type = 'error') AS errors
+@query("st3_sessions", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS requests, sum(floor(value * 10)::BIGINT % 100)::BIGINT AS tokens, coalesce(round(sum(floor(value * 10)::BIGINT % 100) / nullif(sum(value), 0), 6), 0) AS tokens_per_second, count(*) FILTER (event_type = 'error') AS errors
   FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g""")
 def st3(s, d):
     events = streams.with_end(_events(s, d))
-    out = streams.drain(streams.sessions(events, "user_id", "6 hours", "1 hour", "event_id % 100", "value", "event_type = 'error'"), ["start", "end", "user_id"], "st3", "append")
+    out = streams.drain(streams.sessions(events, "user_id", "6 hours", "1 hour", "cast(floor(value * 10) as bigint) % 100", "value", "event_type = 'error'"), ["start", "end", "user_id"], "st3", "append")
     return out.select("user_id", _time("start"), "requests", "tokens", F.round("tokens_per_second", 6).alias("tokens_per_second"), "errors")
 
 
