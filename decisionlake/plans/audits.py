@@ -190,12 +190,12 @@ _EACH = """SELECT state_id, count(*) AS candidates, avg(pre_repair_feasible::INT
   avg(repair_distance) AS mean_repair_distance, quantile_cont(repair_distance, 0.95) AS p95_repair_distance, min(one_step_stage_cost) FILTER (selected) AS selected_one_step_cost, min(repair_distance) FILTER (selected) AS selected_repair_distance FROM acts GROUP BY 1"""
 
 
-@query("qr13_state_difficulty", f"""SELECT state_id, {', '.join(_KEEP)}, coalesce(candidates, 0) AS candidates, {', '.join(f"round({'coalesce(' + c + ', 0)' if i < 6 else c}, 8) AS {c}" for i, c in enumerate(_NUM))},
+@query("qr13_state_difficulty", f"""SELECT state_id, {', '.join(_KEEP)}, coalesce(candidates, 0) AS candidates, {', '.join(f"round({'coalesce(' + c + ', 0)' if i < 6 else c}, 10) AS {c}" for i, c in enumerate(_NUM))},
   coalesce(selected_candidate_index, -1) AS selected_candidate_index, verification_rollouts, adaptive_rounds, CASE WHEN decision_status IN ('decisive', 'practically_equivalent', 'unresolved') THEN decision_status
   WHEN coalesce(selection_uncertain, TRUE) THEN 'unresolved' ELSE 'decisive' END AS decision_status FROM states LEFT JOIN ({_EACH}) USING (state_id) LEFT JOIN selections USING (state_id)""", "states", "selections")
 def qr13(s, d):
     out = report.state_difficulty(a.states(s, d), actions(s, d), selections(s, d), _KEEP)
-    return out.select("state_id", *_KEEP, "candidates", *(F.round(c, 8).alias(c) for c in _NUM), "selected_candidate_index", "verification_rollouts", "adaptive_rounds", "decision_status")
+    return out.select("state_id", *_KEEP, "candidates", *(F.round(c, 10).alias(c) for c in _NUM), "selected_candidate_index", "verification_rollouts", "adaptive_rounds", "decision_status")
 
 
 _Q15 = {

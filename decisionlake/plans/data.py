@@ -398,7 +398,22 @@ def st6(s, d):
 
 @query("st7_complete_states", "SELECT o_orderkey, o_orderkey % 8 AS expected, coalesce(n, 0) AS found FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(n, 0) >= o_orderkey % 8")
 def st7(s, d):
+    """All lines that ever come: dates of an order and its lines lie up to 2478 days apart."""
+    return _complete(s, d, "3000 days")
+
+
+@query("st7_states_within_hold", """SELECT o_orderkey, o_orderkey % 8 AS expected, count(DISTINCT line) AS found FROM (
+  SELECT *, sum(gap) OVER (PARTITION BY o_orderkey ORDER BY ts, line NULLS FIRST) AS session FROM (
+    SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY o_orderkey ORDER BY ts, line NULLS FIRST) + INTERVAL 200 DAY THEN 0 ELSE 1 END AS gap FROM (
+      SELECT o_orderkey, o_orderdate::TIMESTAMP AS ts, NULL AS line FROM orders UNION ALL SELECT l_orderkey, l_shipdate::TIMESTAMP, l_linenumber FROM lineitem)))
+  GROUP BY o_orderkey, session HAVING count(*) > count(line) AND count(DISTINCT line) >= o_orderkey % 8""")
+def st7_within_hold(s, d):
+    """Lines that come with their order, no further than 200 days from the next row; state goes after that."""
+    return _complete(s, d, "200 days")
+
+
+def _complete(s, d, hold):
     """Every other line comes twice."""
     o = streams.with_end(_stream(s, d, "orders").selectExpr("o_orderkey", "cast(o_orderdate as timestamp) as ts", "o_orderkey % 8 as expected"))
     lines = _stream(s, d, "lineitem").selectExpr("l_orderkey as o_orderkey", "l_linenumber", "cast(l_shipdate as timestamp) as ts", "explode(sequence(0, cast(l_linenumber % 2 as int)))")
-    return streams.drain(streams.complete_states(o, lines, "o_orderkey", "expected", "l_linenumber", hold="200 days"), ["o_orderkey"], "complete", "append").select("o_orderkey", "expected", "found")
+    return streams.drain(streams.complete_states(o, lines, "o_orderkey", "expected", "l_linenumber", hold=hold), ["o_orderkey"], "complete", "append").select("o_orderkey", "expected", "found")
