@@ -58,6 +58,14 @@ class Filters:
         return np.sort(first * self.words + second)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors. They are scaled by a power of two first, which changes no
+    digit, so that squares of very large or small components stay within range."""
+    x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _decoded(classes: DataFrame) -> DataFrame:
     """A row for each vector and filter of it, with what a comparison needs; vectors as
     they came, which for single precision are half the bytes of their unit vectors."""
@@ -70,7 +78,7 @@ def _decoded(classes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 rep, group, n = (part.column(i).to_numpy() for i in range(3))
                 raw = [np.asarray(v, dtype=kind) for v in part.column(4).to_pylist()]
-                vectors = [v / np.linalg.norm(v) for v in (v.astype(np.float64) for v in raw)]
+                vectors = [_units(v[None])[0] for v in raw]
                 for dim in {len(v) for v in vectors} - made.keys():
                     made[dim] = Filters(dim)
                 lists = [made[len(v)].decode(v) for v in vectors]
@@ -103,8 +111,8 @@ def _compare(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Record
         if unit.num_rows < 2:
             continue
         rep, n, at = (unit.column(c).to_numpy() for c in ("rep", "n", "_at"))
-        x = np.frombuffer(b"".join(unit.column("vector").to_pylist()), dtype=kind).reshape(len(rep), -1).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.frombuffer(b"".join(unit.column("vector").to_pylist()), dtype=kind).reshape(len(rep), -1)
+        x = _units(x)
         label = pa.chunked_array(unit.column("label")).combine_chunks().dictionary_encode().indices.to_numpy()
         i, j = unit.column("_i")[0].as_py(), unit.column("_j")[0].as_py()
         left, right = (np.arange(len(rep)), np.arange(len(rep))) if i == j else (np.flatnonzero(at == i), np.flatnonzero(at == j))

@@ -62,12 +62,14 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """,
     "op6_cap_filters": f"""
-WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x, list_max(list_transform(embedding::DOUBLE[], lambda e: abs(e))) AS m FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS (SELECT vec_id, label, list_transform(x, lambda e: e / pow(2, floor(log2(m)))) AS x FROM fine WHERE m > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
-  WHERE list_dot_product(a.x, b.x) >= 0.93 * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))
-    AND list_dot_product(a.x, a.x) > 0 AND list_dot_product(b.x, b.x) > 0),
-nodes AS (SELECT vec_id AS a FROM v),
+  WHERE list_dot_product(a.x, b.x) >= 0.93 * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))),
+nodes AS (SELECT vec_id AS a FROM embeddings),
 {_REACH}
 SELECT nodes.a AS vec_id, coalesce(degree.n, 0) AS n_links, low AS component_id, low = nodes.a AS kept
 FROM nodes JOIN low USING (a) LEFT JOIN degree USING (a)

@@ -245,6 +245,17 @@ def test_embedding(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1005))
 
 
+def test_embedding_of_very_large_and_small_components(spark):
+    base = np.random.default_rng(5).standard_normal((3, 16))
+    rows = [(10 * k + j, (v * scale).tolist(), "a") for k, v in enumerate(base) for j, scale in enumerate((1.0, 1e200, 3e-200))]
+    rows.append((99, (base[0] * 1e200 + base[1] * 1e199).tolist(), "a"))  # cosine 0.99 with 0 to 2
+    got = by(embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect(), "vec_id")
+    unit = [np.asarray(v) / np.abs(v).max() for _, v, _ in rows]
+    near = [[i for i, x in enumerate(unit) if i != j and x @ y >= 0.93 * np.sqrt((x @ x) * (y @ y))] for j, y in enumerate(unit)]
+    assert [got[r[0]].n_links for r in rows] == [len(n) for n in near] == [3, 3, 3, 2, 2, 2, 2, 2, 2, 3]
+    assert got[99].component_id == 0 and got[12].component_id == 10
+
+
 def test_embedding_labels_repeats_and_no_rows(spark):
     x = np.random.default_rng(5).standard_normal((3, 8)).tolist()
     rows = [(1, x[0], "red", "e"), (2, x[0], "red", "e"), (2, x[0], "red", "e"), (3, x[0], "1.5", "e"), (4, x[1], "1.5", "e"), (5, x[0], None, "e")]
