@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm.common import materialize, release, small, table, texts
+from decisionlake.llm.common import attach, materialize, release, small, table, texts
 
 #: Bytes of a passage, of an anchor, and of a symbol of the transforms.
 LENGTH, ANCHOR, SYMBOL = 100, 32, 10
@@ -427,9 +427,9 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _around(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The cells to compare with their bytes, and the runs around hot anchors."""
     several = found.where("not `all`")
-    hot = several.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("key", F.lit(True).alias("hot"))
+    hot = materialize(several.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("key", F.lit(True).alias("hot")), "hot")
     cell = F.struct("key", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = several.join(F.broadcast(hot), "key", "left").groupBy("doc", "sub").agg(F.collect_list(cell).alias("wanted"))
+    wanted = attach(several, hot, ["key"], "left").groupBy("doc", "sub").agg(F.collect_list(cell).alias("wanted"))
     around = _packed(docs).join(wanted, ["doc", "sub"]).select("doc", "sub", "packed", "wanted")
     return around.mapInArrow(_bytes_of, "key long, doc long, sub long, start long, n long, bytes binary")
 
