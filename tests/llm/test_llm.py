@@ -501,3 +501,20 @@ def test_quality_alike_with_salted_groups(spark, monkeypatch):
     assert wide.keys() == salted.keys() and len(wide) == 600
     for k, r in wide.items():
         assert r.kept == salted[k].kept and abs((r.distance or 0) - (salted[k].distance or 0)) < 1e-6 * max(1, r.distance or 0)
+
+
+def test_quality_asks_few_jobs_of_the_driver(spark):
+    """The driver keeps the plan of each job, and a thread for each broadcast."""
+
+    def jobs_so_far():
+        spark.sparkContext.setJobGroup(group := f"jobs-{random.random()}", "")
+        try:
+            spark.range(1).count()
+            return max(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    docs = spark.createDataFrame([(i, words(40 + i % 50, i), "xyz"[i % 3], f"s{i % 4}") for i in range(480)], "doc_id long, text string, lang string, source string")
+    before = jobs_so_far()
+    assert all(r.distance is not None for r in quality.judged(docs, ["doc_id"]).collect())
+    assert jobs_so_far() - before <= 25 + 6 * quality.STEPS
