@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -103,11 +103,22 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether edges (a > b) are stars around their smallest nodes: no node is the larger end
+    of two edges, or the larger end of one and the smaller of another."""
+    seen = Observation()
+    ends = edges.selectExpr("stack(2, a, 1, 0, b, 0, 1) as (node, up, down)")
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    ends.observe(seen, F.count(F.when(F.expr("up + down > 1"), 1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return not seen.get["n"]
+
+
 def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b: long) as (node, component), component
-    the smallest node. Alternating large-star and small-star rounds over joins;
-    only a row count and a checksum per round reach the driver. Nodes without an
-    edge to another node do not appear. Null ends are dropped.
+    the smallest node. Alternating large-star and small-star rounds over joins, until
+    the edges are stars, as they often are from the start: a look is two jobs, a round
+    seven. Only a row count a round reaches the driver. Nodes without an edge to another
+    node do not appear. Null ends are dropped.
     """
     cur = materialize(
         edges.where("a is not null and b is not null and a <> b")
@@ -115,8 +126,9 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
         .distinct(),
         tag,
     )
-    before = None
     for _ in range(max_rounds):
+        if _stars(cur):
+            break
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (
@@ -131,10 +143,6 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
             .distinct()
         )
         cur = materialize(small, tag)
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

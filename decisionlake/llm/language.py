@@ -145,7 +145,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary()),
+                    pa.array([a.astype("<u2").tobytes() for a, _ in made], pa.binary()),
                     pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary()),
                 ],
                 ["place", "lang", "at", "x"],
@@ -154,7 +154,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     got = picked.mapInArrow(run, "place double, lang string, at binary, x binary").toArrow().to_pylist()
     code = {lang: i for i, lang in enumerate(labels)}
     got = sorted(got, key=lambda r: (r["place"], r["lang"], bytes(r["at"])))
-    data = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4"), code[r["lang"]]) for r in got]
+    data = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["x"], "<f4"), code[r["lang"]]) for r in got]
     kept = int(len(data) * CALIBRATION)
     model = fit(labels, idf, data[kept:] or data, data[:kept])
     del got, data

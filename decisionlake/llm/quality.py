@@ -3,13 +3,15 @@ determinant, in Spark expressions only."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from decisionlake.llm.common import materialize, table
 
 #: Share of a group's rows that the determinant is minimised over, concentration steps
-#: at most, the change of the log determinant that ends them, rows a group needs for an
+#: at most, the fall of the log determinant that they go on for, rows a group needs for an
 #: estimate of its own, and squared distance beyond which a row is rejected.
 SHARE, STEPS, SETTLED, GROUP, CUTOFF = 0.75, 8, 1e-2, 10, 50.0
 #: Rows that the language's scales count in a group's shape (the regularised form of
@@ -176,16 +178,20 @@ def estimates(narrow: DataFrame, n: int) -> DataFrame:
     From each of the starts, concentration steps: a step counts a group's rows by their
     squared distance on a logarithmic scale, with the sums a covariance needs, keeps the
     nearest rows up to SHARE (to the end of a step of the scale), and estimates from them
-    again, until no log determinant moves by SETTLED or STEPS are done. Of a group's
-    results that of the least determinant is taken. A step is one aggregation; a group
-    of any size is summed by all tasks, and its steps of the scale are bounded in number.
+    again, until no start's log determinant falls below its least so far by SETTLED (as the
+    inner share ends at a step of the scale, it may go round instead of settling) or STEPS are
+    done. Of all that a group's starts and steps came to, the least determinant is taken. A step
+    is one aggregation; a group of any size is summed by all tasks, and its steps of the scale
+    are bounded in number.
 
     The driver keeps the plans of all that ran. So a step carries what the next one needs (the
-    language's variances, the determinant before) through its sums and joins only once."""
+    language's variances, the least determinant) through its sums and joins only once."""
     now, models = starts(narrow, n)
-    carried = [F.first(c).alias(c) for c in (*_TARGET, "_old")]
+    now = now.withColumn("_least", F.col("_logdet"))
+    carried = [F.first(c).alias(c) for c in (*_TARGET, "_least")]
+    results = []
     for _ in range(STEPS):
-        near = attach(narrow, now.select("_group", "_start", *_MODEL, *_TARGET, F.col("_logdet").alias("_old")), models, ["_group"])
+        near = attach(narrow, now.select("_group", "_start", *_MODEL, *_TARGET, F.least("_least", "_logdet").alias("_least")), models, ["_group"])
         near = near.withColumn("_at", F.expr(f"cast(floor({_FINE} * ln(1e-6 + {_distance()})) as int)"))
         near = near.groupBy("_group", "_start", "_at").agg(*_sums(), *carried)
         rows = "over (partition by _group, _start order by _at rows between unbounded preceding and {})".format
@@ -193,10 +199,11 @@ def estimates(narrow: DataFrame, n: int) -> DataFrame:
             "*", f"sum(_n) {rows('unbounded following')} as _all", f"coalesce(sum(_n) {rows('1 preceding')}, 0) as _before",
         ).where(f"_before < {SHARE} * _all")
         inner = near.groupBy("_group", "_start").agg(*(F.sum(c).alias(c) for c in _TOTALS), *carried)
-        now, moved = _counted(_whitened(inner, 1.0), "mcd", F.expr(f"_old is null or abs(_logdet - _old) >= {SETTLED}"))
-        if not moved:
+        now, fell = _counted(_whitened(inner, 1.0), "mcd", F.expr(f"_least is null or _logdet <= _least - {SETTLED}"))
+        results.append(now)
+        if not fell:
             break
-    best = now.groupBy("_group").agg(F.min_by(F.struct(*_TOTALS, *_TARGET), F.struct("_logdet", "_start")).alias("_best")).select("_group", "_best.*")
+    best = reduce(DataFrame.unionByName, results).groupBy("_group").agg(F.min_by(F.struct(*_TOTALS, *_TARGET), F.struct("_logdet", "_start")).alias("_best")).select("_group", "_best.*")
     return _whitened(best, CONSISTENT).select("_group", *_MODEL)
 
 

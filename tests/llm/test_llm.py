@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from decisionlake.llm import bpe, chat, embedding, jaccard, language, license, packing, quality, sharding, suffix
+from decisionlake.llm import bpe, chat, common, embedding, jaccard, language, license, packing, quality, sharding, suffix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _w string, kept string"
 
@@ -518,3 +518,65 @@ def test_quality_asks_few_jobs_of_the_driver(spark):
     before = jobs_so_far()
     assert all(r.distance is not None for r in quality.judged(docs, ["doc_id"]).collect())
     assert jobs_so_far() - before <= 25 + 6 * quality.STEPS
+
+
+def jobs_of(spark, work):
+    """What work() gives, and the number of Spark's jobs that it asked for."""
+
+    def last():
+        spark.sparkContext.setJobGroup(group := f"jobs-{random.random()}", "")
+        try:
+            spark.range(1).count()
+            return max(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    before = last()
+    out = work()
+    return out, last() - before
+
+
+def test_components_of_stars_ask_few_jobs_of_the_driver(spark):
+    rows = [(10 * k + i, 10 * k) for k in range(20) for i in range(1, 6)] + [(7, None), (None, 7), (8, 8)]
+    got, jobs = jobs_of(spark, lambda: common.components(spark.createDataFrame(rows, "a long, b long")))
+    assert sorted(map(tuple, got.collect())) == [(10 * k + i, 10 * k) for k in range(20) for i in range(6)]
+    assert jobs <= 12
+
+
+def test_components_of_chains_rings_and_nothing(spark):
+    chain = [(i, i + 1) for i in range(100, 130)]
+    r = random.Random(4)
+    drawn = [(r.randrange(1000, 1200), r.randrange(1000, 1200)) for _ in range(110)]
+    edges = chain + [(1, 2), (2, 3), (3, 1)] + [(50, 60), (50, 40), (70, 60)] + drawn
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    alone = {x for x in root if all(a == b for a, b in edges if x in (a, b))}
+    assert sorted(map(tuple, got)) == sorted((x, c) for x, c in root.items() if x not in alone)
+    assert common.components(spark.createDataFrame([(5, 5)], "a long, b long")).count() == 0
+
+
+def test_quality_ends_when_no_determinant_falls_and_takes_the_least(spark, monkeypatch):
+    """Steps may go round: what counts is the least determinant of all steps."""
+    r = random.Random(5)
+    rows = [(f"g{k}", "en", *(r.gauss(0, 1) * (8 if i % 9 == 0 else 1) for _ in range(4))) for k in range(12) for i in range(60)]
+    docs = spark.createDataFrame(rows, "_group string, _lang string, _x0 double, _x1 double, _x2 double, _x3 double")
+    seen, counted = [], quality._counted
+
+    def noted(df, tag, rows=None):
+        d, n = counted(df, tag, rows)
+        seen.append({(x._group, x._start): x for x in d.collect()})
+        return d, n
+
+    monkeypatch.setattr(quality, "_counted", noted)
+    got = {x._group: x for x in quality.estimates(docs, 12).collect()}
+    steps = seen[1:]  # the first are the starts
+    assert len(steps) < quality.STEPS
+    for k in range(1, len(steps)):
+        falls = [key for key, x in steps[k].items() if x._logdet <= min(s[key]._logdet for s in steps[:k]) - quality.SETTLED]
+        assert bool(falls) == (k + 1 < len(steps))
+    for g, x in got.items():
+        least = min((s[g, start] for s in steps for start in range(3)), key=lambda y: y._logdet)
+        assert abs(x._m0 - least._m0) < 1e-9 and abs(x._m3 - least._m3) < 1e-9
