@@ -73,3 +73,14 @@ def test_pool_and_compliance(spark):
     c = pool.withColumn("template_id", F.expr("case when candidate_index = 0 then 'a' else 'b' end"))
     assert [r.template_compliant for r in te.template_compliance(c, templates).orderBy("candidate_index").collect()] == [True, False, False, None]
     assert te.template_compliance(c.where("candidate_index = 0").withColumn("eta_near", F.lit(0.3)), templates).first().template_compliant is False
+
+
+def test_templates_of_states_are_never_broadcast(spark):
+    """They grow with the states, though their file is small."""
+    t = spark.range(20).selectExpr("cast(id as string) as state_id", "inline(array(struct('p1_sense10w' as template_id, 1 as pair, 0.25D as eta_haps, 0.75D as eta_communication, 0.1D as default_near, 0.3D as maximum_near)))")
+    c = spark.range(20).selectExpr("cast(id as string) as state_id", "0 as candidate_index", "'teacher' as candidate_source", "'p1_sense10w' as template_id", "'' as template_id_raw", "array('a') as reason_codes", "1 as pair", "0.25D as eta_haps",
+                                   "0.75D as eta_communication", "0.1D as eta_near", "0.5D as eta_cpu")
+    d = te.project(te.resolve_template(c, t), t)
+    out = te.template_compliance(d.withColumn("template_id", F.col("resolved")).drop("resolved"), t)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.template_compliant for r in out.collect()] == [True] * 20
