@@ -13,13 +13,14 @@ def _rate(condition: str, name: str):
     return F.round(F.avg(F.expr(f"cast({condition} as double)")), 6).alias(name)
 
 
-def candidate_summary(candidates: DataFrame, selected: str | None = None) -> DataFrame:
+def candidate_summary(candidates: DataFrame, selected: str | None = None, parts: tuple[str, ...] = ("all", "source", "bucket", "selected")) -> DataFrame:
     """Rates and distances in all, by source and by confidence bucket (QR1, QR2), and with
-    ``selected``, a condition, of the candidates that it holds for; ``part`` tells which."""
+    ``selected``, a condition, of the candidates that it holds for; ``part`` tells which.
+    ``parts`` are those that are asked for."""
     bucket = F.expr("case when teacher_confidence < 0.5D then 'low' when teacher_confidence < 0.8D then 'medium' else 'high' end")
     none = F.lit(None).cast("string")
     sets = [("all", none, none), ("source", F.col("candidate_source"), none), ("bucket", none, bucket), *([("selected", none, none)] if selected else [])]
-    each = F.explode(F.array(*(F.struct(F.lit(name).alias("part"), s.alias("s"), b.alias("b")) for name, s, b in sets)))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("part"), s.alias("s"), b.alias("b")) for name, s, b in sets if name in parts)))
     d = candidates.withColumn("_set", each).withColumns({"part": F.col("_set.part"), "candidate_source": F.col("_set.s"), "bucket": F.col("_set.b")}).drop("_set")
     return aggregate(
         d.where(f"part <> 'selected' or ({selected})") if selected else d, ["part", "candidate_source", "bucket"],
