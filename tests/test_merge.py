@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from decisionlake.operators import audit, merge as me, verification as ve
+from decisionlake.operators import audit, merge as me, sampling, verification as ve
 
 
 
@@ -93,3 +93,10 @@ def test_a_single_candidate_is_sure(spark):
     assert (a.score_margin, a.confidence_low, a.confidence_high, a.standardized_margin, a.probability, a.decision_status, a.uncertain) == (endless, endless, endless, endless, 1.0, "decisive", False)
     assert (b.confidence_low, b.standardized_margin, b.probability, b.decision_status, b.uncertain) == (0.1, endless, 0.9, "decisive", False)
     assert {r.state_id: r.candidate_source_counts for r in ve.source_counts(ranked).collect()} == {"a": {"t": 1}, "b": {"t": 1, "g": 1}}
+
+
+def test_ranks_by_numbers_go_by_their_size(spark):
+    """Not by their digits, in as many ranges as there are."""
+    x = spark.range(1000).selectExpr("id * 7 as x")
+    got = sampling.global_rank(x, "x", "place", rows_each=90)
+    assert [r.place for r in got.orderBy("x").collect()] == list(range(1000))
