@@ -45,3 +45,11 @@ def test_rollouts_are_not_dealt_out_for_the_pairs(spark):
     sf = "/root/testdata/sf0.001"
     plan = catalog.ve11(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(state_id" in plan and not [x for x in plan.splitlines() if "Exchange" in x and ", candidate_index" in x]
+
+
+def test_only_states_that_are_asked_for_are_resampled(spark, monkeypatch):
+    seen, real = [], ve.paired_bootstrap
+    monkeypatch.setattr(ve, "paired_bootstrap", lambda rollouts, ranked, s: seen.append(ranked) or real(rollouts, ranked, s))
+    catalog.ve12_sure(spark, "/root/testdata/sf0.001")
+    each = seen[0].groupBy("state_id").agg({"equivalent": "count", "*": "count"})
+    assert each.count() > 0 and seen[0].selectExpr("count(*) over (partition by state_id) as n", "count_if(equivalent) over (partition by state_id) as e").where("n > 1 and e = 1").count() == 0
